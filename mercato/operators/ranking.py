@@ -27,8 +27,9 @@ def top1_per_group(df: DataFrame, group_cols: list[str], value: str, tie: str,
 
 
 def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int | None = None,
-                    relative_error: float = 0.001) -> DataFrame:
-    """Add ``rank`` = 1 + number of distinct ``value``s greater than this row's value."""
+                    relative_error: float = 0.001, ascending: bool = False) -> DataFrame:
+    """Add ``rank`` = 1 + number of distinct ``value``s greater than this row's value
+    (smaller, with ``ascending=True``)."""
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
@@ -37,9 +38,9 @@ def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int |
     if n > 1:
         probs = [i / n for i in range(1, n)]
         cuts = sorted(set(distinct.select(v.alias("_v")).approxQuantile("_v", probs, relative_error)))
-    # range 0 holds the largest values: range = number of cut points strictly above the value
+    # range 0 holds the first values: range = number of cut points strictly before the value
     if cuts:
-        rng = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > v))
+        rng = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), (lambda c: c < v) if ascending else (lambda c: c > v)))
     else:
         rng = F.lit(0)
     ranged = distinct.withColumn("_range", rng)
@@ -48,7 +49,7 @@ def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int |
     offsets = sizes.select("_range", (F.sum("_n").over(
         Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     local = ranged.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_range").orderBy(F.col(value).desc())))
+        Window.partitionBy("_range").orderBy(F.col(value).asc() if ascending else F.col(value).desc())))
     ranks = local.join(F.broadcast(offsets), "_range").select(
         value, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long").alias(rank))
     return df.join(ranks, value, "left")
@@ -60,3 +61,9 @@ def keep_at_least_max(groups: DataFrame, value: str, reference: DataFrame) -> Da
     result because its outer groups are then empty as well)."""
     ref_max: Column = reference.agg(F.max(reference.columns[0])).scalar()
     return groups.where(F.col(value) >= ref_max)
+
+
+def positions(df: DataFrame, order_col: str, out: str = "position") -> DataFrame:
+    """1-based position of each row by a unique ``order_col`` (ids for new rows: repeatable,
+    unlike ``monotonically_increasing_id``), computed without a one-partition window."""
+    return dense_rank_desc(df, order_col, out, ascending=True)

@@ -3,18 +3,10 @@
 from __future__ import annotations
 
 from mercato.plans.catalog import QUERIES, Query
+from mercato.plans.jobs import JOB_QUERIES
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = dict(QUERIES)
-    try:
-        from mercato.operators.quality_catalog import QUALITY_QUERIES
-        out.update(QUALITY_QUERIES)
-    except ImportError:
-        pass
-    try:
-        from mercato.operators.changes_catalog import CHANGE_QUERIES
-        out.update(CHANGE_QUERIES)
-    except ImportError:
-        pass
+    out.update(JOB_QUERIES)
     return out
