@@ -395,3 +395,230 @@ ORACLE["R48_order_status_employee"] = with_store("""SELECT CASE
         ELSE 'Delayed' END AS status_text,
         COUNT(*) AS n_orders
     FROM st_orders WHERE is_valid GROUP BY 1""")
+
+# ---- validation jobs --------------------------------------------------------------------------
+_FEED = """feed AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS line_number,
+        CAST(l_extendedprice AS DECIMAL(10,2)) AS price, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem)"""
+ORACLE["V1_duplicate_line_keys"] = """SELECT l_orderkey AS order_id, l_partkey AS product_id, COUNT(*) AS n_copies
+    FROM lineitem GROUP BY l_orderkey, l_partkey HAVING COUNT(*) > 1"""
+ORACLE["V_line_feed_violations"] = with_store("""
+    SELECT order_id, product_id, line_number, 'V2:order_id:null' AS reason FROM feed WHERE order_id IS NULL
+    UNION ALL SELECT order_id, product_id, line_number, 'V2:product_id:null' FROM feed WHERE product_id IS NULL
+    UNION ALL SELECT order_id, product_id, line_number, 'V2:price:null' FROM feed WHERE price IS NULL
+    UNION ALL SELECT order_id, product_id, line_number, 'V2:quantity:null' FROM feed WHERE quantity IS NULL
+    UNION ALL SELECT order_id, product_id, line_number, 'V6:price:range' FROM feed WHERE price <= 0
+    UNION ALL SELECT order_id, product_id, line_number, 'V6:quantity:range' FROM feed WHERE quantity <= 0
+    UNION ALL SELECT f.order_id, f.product_id, f.line_number, 'V1:primary_key:duplicate' FROM feed f
+        JOIN (SELECT order_id, product_id FROM feed GROUP BY 1, 2 HAVING COUNT(*) > 1) d
+          ON f.order_id = d.order_id AND f.product_id = d.product_id
+    UNION ALL SELECT order_id, product_id, line_number, 'V3:order_id:orphan' FROM feed
+        WHERE order_id IS NOT NULL AND order_id NOT IN (SELECT order_id FROM st_orders)
+    UNION ALL SELECT order_id, product_id, line_number, 'V3:product_id:orphan' FROM feed
+        WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM st_product)""", _FEED)
+ORACLE["V_employee_violations"] = with_store("""
+    SELECT employee_id, 'V2:employee_name:length' AS reason FROM st_employee WHERE length(employee_name) > 100
+    UNION ALL SELECT employee_id, 'V2:emp_role:length' FROM st_employee WHERE length(emp_role) > 50
+    UNION ALL SELECT employee_id, 'V2:phone_number:length' FROM st_employee WHERE length(phone_number) > 20
+    UNION ALL SELECT employee_id, 'V2:email_address:length' FROM st_employee WHERE length(email_address) > 100
+    UNION ALL SELECT employee_id, 'V7:emp_role:domain' FROM st_employee
+        WHERE lower(emp_role) NOT IN ('manager', 'assistant manager', 'customer service', 'procurement specialist',
+                                      'inventory specialist')
+    UNION ALL SELECT employee_id, 'V4:email_address:pattern' FROM st_employee
+        WHERE NOT regexp_matches(email_address, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
+    UNION ALL SELECT employee_id, 'V5:phone_number:pattern' FROM st_employee WHERE NOT regexp_matches(phone_number, '^\\d{10}$')
+    UNION ALL SELECT employee_id, 'V1:primary_key:duplicate' FROM st_employee
+        WHERE employee_id IN (SELECT employee_id FROM st_employee GROUP BY 1 HAVING COUNT(*) > 1)
+    UNION ALL SELECT employee_id, 'V3:manager_id:orphan' FROM st_employee
+        WHERE manager_id IS NOT NULL AND manager_id NOT IN (SELECT employee_id FROM st_employee)
+    UNION ALL SELECT employee_id, 'V3:manager_id:default' FROM st_employee WHERE manager_id = -1""")
+ORACLE["V_purchase_order_violations"] = with_store("""
+    SELECT purchase_order_id, 'V2:order_date:null' AS reason FROM st_purchase_order WHERE order_date IS NULL
+    UNION ALL SELECT purchase_order_id, 'V2:delivery_status:length' FROM st_purchase_order WHERE length(delivery_status) > 50
+    UNION ALL SELECT purchase_order_id, 'V7:delivery_status:domain' FROM st_purchase_order
+        WHERE lower(delivery_status) NOT IN ('pending', 'shipped', 'received')
+    UNION ALL SELECT purchase_order_id, 'V1:primary_key:duplicate' FROM st_purchase_order
+        WHERE purchase_order_id IN (SELECT purchase_order_id FROM st_purchase_order GROUP BY 1 HAVING COUNT(*) > 1)
+    UNION ALL SELECT purchase_order_id, 'V3:employee_id:orphan' FROM st_purchase_order
+        WHERE employee_id NOT IN (SELECT employee_id FROM st_employee)
+    UNION ALL SELECT purchase_order_id, 'V3:supplier_id:orphan' FROM st_purchase_order
+        WHERE supplier_id NOT IN (SELECT supplier_id FROM st_supplier)""")
+ORACLE["V_product_violations"] = with_store("""
+    SELECT product_id, 'V2:product_name:length' AS reason FROM st_product WHERE length(product_name) > 100
+    UNION ALL SELECT product_id, 'V2:category:length' FROM st_product WHERE length(category) > 50
+    UNION ALL SELECT product_id, 'V6:price:range' FROM st_product WHERE price <= 0
+    UNION ALL SELECT product_id, 'V6:stock_quantity:range' FROM st_product WHERE stock_quantity < 0
+    UNION ALL SELECT product_id, 'V1:primary_key:duplicate' FROM st_product
+        WHERE product_id IN (SELECT product_id FROM st_product GROUP BY 1 HAVING COUNT(*) > 1)""")
+ORACLE["V_contract_violations"] = with_store("""
+    SELECT contract_id, 'V6:salary:range' AS reason FROM st_contract WHERE salary <= 0
+    UNION ALL SELECT contract_id, 'V8:contract:dates' FROM st_contract WHERE contract_start_date >= contract_end_date
+    UNION ALL SELECT contract_id, 'V1:primary_key:duplicate' FROM st_contract
+        WHERE contract_id IN (SELECT contract_id FROM st_contract GROUP BY 1 HAVING COUNT(*) > 1)""")
+ORACLE["V_order_details_violations"] = with_store("""
+    SELECT order_id, product_id, 'V6:price:range' AS reason FROM st_order_details WHERE price <= 0
+    UNION ALL SELECT order_id, product_id, 'V6:quantity:range' FROM st_order_details WHERE quantity <= 0
+    UNION ALL SELECT order_id, product_id, 'V1:primary_key:duplicate' FROM st_order_details
+        WHERE (order_id, product_id) IN (SELECT (order_id, product_id) FROM st_order_details GROUP BY order_id, product_id
+                                        HAVING COUNT(*) > 1)
+    UNION ALL SELECT order_id, product_id, 'V3:order_id:orphan' FROM st_order_details
+        WHERE order_id NOT IN (SELECT order_id FROM st_orders)
+    UNION ALL SELECT order_id, product_id, 'V3:product_id:orphan' FROM st_order_details
+        WHERE product_id NOT IN (SELECT product_id FROM st_product)""")
+ORACLE["V11_payment_mismatch"] = with_store(f"""SELECT p.payment_id, i.order_id, p.amount_paid,
+        CAST(l.v AS {M38}) AS lines_value
+    FROM st_payment p JOIN st_invoice i ON p.invoice_id = i.invoice_id
+    LEFT JOIN (SELECT order_id, SUM(price * quantity) AS v FROM st_order_details GROUP BY order_id) l ON l.order_id = i.order_id
+    WHERE p.amount_paid IS DISTINCT FROM CAST(l.v AS {M38})""")
+ORACLE["V11_line_price_drift"] = with_store("""SELECT od.order_id, od.product_id, od.price, p.price AS current_price
+    FROM st_order_details od JOIN st_product p ON od.product_id = p.product_id WHERE od.price <> p.price""")
+ORACLE["V11_order_count_drift"] = with_store("""SELECT c.customer_id, c.order_count AS stored_count, COALESCE(n.n, 0) AS counted
+    FROM st_customer c LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM st_orders WHERE is_valid GROUP BY 1) n
+      ON c.customer_id = n.customer_id
+    WHERE c.order_count IS DISTINCT FROM COALESCE(n.n, 0)""")
+
+# ---- change jobs ------------------------------------------------------------------------------
+_PATCHES = """patches AS (
+    SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id,
+        CASE WHEN p_partkey % 2 = 0 THEN ['price'] ELSE ['category'] END AS set_fields,
+        CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS category,
+        CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 1 AS DECIMAL(10,2)) AS price
+    FROM part WHERE p_partkey % 7 = 0
+    UNION ALL
+    SELECT p_partkey * 10 + 2, p_partkey, ['product_name', 'price'],
+        p_name || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) || ' v2', CAST(NULL AS VARCHAR),
+        CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 2 AS DECIMAL(10,2))
+    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 21 = 0
+    UNION ALL
+    SELECT p_partkey * 10 + 3, p_partkey + 10000000, ['price'], NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
+    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 49 = 0
+    UNION ALL
+    SELECT p_partkey * 10 + 4, p_partkey, CAST([] AS VARCHAR[]), NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
+    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 35 = 0),
+okp AS (SELECT pt.* FROM patches pt JOIN st_product s ON pt.product_id = s.product_id AND s.is_valid
+        WHERE len(pt.set_fields) > 0),
+lp AS (SELECT product_id,
+        bool_or(list_contains(set_fields, 'product_name')) AS has_name,
+        arg_max_null(product_name, change_id) FILTER (WHERE list_contains(set_fields, 'product_name')) AS product_name,
+        bool_or(list_contains(set_fields, 'category')) AS has_category,
+        arg_max_null(category, change_id) FILTER (WHERE list_contains(set_fields, 'category')) AS category,
+        bool_or(list_contains(set_fields, 'price')) AS has_price,
+        arg_max_null(price, change_id) FILTER (WHERE list_contains(set_fields, 'price')) AS price
+       FROM okp GROUP BY product_id)"""
+ORACLE["W2_patched_products"] = with_store("""SELECT s.product_id,
+        CASE WHEN lp.has_name THEN lp.product_name ELSE s.product_name END AS product_name,
+        CASE WHEN lp.has_category THEN lp.category ELSE s.category END AS category,
+        CASE WHEN lp.has_price THEN lp.price ELSE s.price END AS price,
+        s.is_valid, s.stock_quantity, s.stock_arrival_date
+    FROM st_product s LEFT JOIN lp ON s.product_id = lp.product_id""", _PATCHES)
+ORACLE["W2_patch_rejects"] = with_store("""SELECT change_id,
+        CASE WHEN len(set_fields) = 0 THEN 'W2:empty_patch' ELSE 'W2:unknown_key' END AS reason
+    FROM patches pt
+    WHERE len(set_fields) = 0
+       OR NOT EXISTS (SELECT 1 FROM st_product s WHERE s.product_id = pt.product_id AND s.is_valid)""", _PATCHES)
+
+_FLAGS = """flags AS (
+    SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id, FALSE AS flag FROM part WHERE p_partkey % 13 = 0
+    UNION ALL SELECT p_partkey * 10 + 2, p_partkey, TRUE FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 26 = 0
+    UNION ALL SELECT p_partkey * 10 + 3, p_partkey + 10000000, FALSE FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 39 = 0),
+lastf AS (SELECT product_id, MAX(change_id) AS change_id, arg_max(flag, change_id) AS flag FROM flags GROUP BY product_id),
+reqf AS (SELECT l.*, s.is_valid AS old,
+        COALESCE(CASE WHEN l.flag THEN s.is_valid IS NOT NULL ELSE s.is_valid = TRUE END, FALSE) AS ok
+    FROM lastf l LEFT JOIN st_product s ON l.product_id = s.product_id)"""
+ORACLE["W3_flagged_products"] = with_store("""SELECT s.product_id, s.product_name, s.category, s.price,
+        COALESCE(r.flag, s.is_valid) AS is_valid, s.stock_quantity, s.stock_arrival_date
+    FROM st_product s LEFT JOIN (SELECT product_id, flag FROM reqf WHERE ok) r ON s.product_id = r.product_id""", _FLAGS)
+ORACLE["W3_flag_rejects"] = with_store("""SELECT change_id,
+        CASE WHEN old IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason FROM reqf WHERE NOT ok
+    UNION ALL SELECT change_id, 'W3:superseded' FROM flags WHERE change_id NOT IN (SELECT change_id FROM lastf)""", _FLAGS)
+
+_DELETES = """dels AS (SELECT p_partkey AS product_id FROM part WHERE p_partkey % 17 = 0
+    UNION SELECT p_partkey + 10000000 FROM part WHERE p_partkey % 17 = 0 AND p_partkey % 34 = 0)"""
+ORACLE["W5_product_archive"] = with_store("""SELECT product_id, product_name, category, price, stock_quantity, stock_arrival_date,
+        TIMESTAMP '2024-02-01 12:00:00' AS archived_at
+    FROM st_product WHERE product_id IN (SELECT product_id FROM dels)""", _DELETES)
+ORACLE["W5_lines_after_delete"] = with_store(
+    "SELECT * FROM st_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)", _DELETES)
+
+_CART = """ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS customer_id, event_id % 4 AS product_id,
+        CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type = 'error' THEN 'remove'
+             WHEN event_type = 'purchase' THEN 'checkout' END AS action
+    FROM events WHERE event_type <> 'signup'),
+ev2 AS (SELECT * FROM ev WHERE action <> 'add' OR product_id IN (SELECT product_id FROM st_product)),
+ev3 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ts, event_id) AS ord,
+        last_value(CASE WHEN action <> 'remove' THEN action END IGNORE NULLS) OVER (
+            PARTITION BY customer_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+    FROM ev2),
+ev4 AS (SELECT *, COALESCE(action = 'checkout' AND prev = 'add', FALSE) AS ok FROM ev3),
+ev5 AS (SELECT *, CAST(COALESCE(SUM(CASE WHEN ok THEN 1 ELSE 0 END) OVER (
+            PARTITION BY customer_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+        AS cart_no FROM ev4),
+carts AS (SELECT customer_id, cart_no, MIN(CASE WHEN action = 'add' THEN ts END) AS opened_at,
+        MIN(CASE WHEN ok THEN ts END) AS checked_out_at
+    FROM ev5 GROUP BY customer_id, cart_no HAVING MIN(CASE WHEN action = 'add' THEN ts END) IS NOT NULL),
+clines AS (SELECT customer_id, cart_no, product_id, CAST(COUNT(*) FILTER (WHERE action = 'add') AS INTEGER) AS quantity,
+        MIN(ord) FILTER (WHERE action = 'add') AS fa, MAX(ord) FILTER (WHERE action = 'remove') AS lr
+    FROM ev5 GROUP BY customer_id, cart_no, product_id HAVING COUNT(*) FILTER (WHERE action = 'add') > 0)"""
+ORACLE["W6_cart_lines"] = with_store("""SELECT l.customer_id, l.cart_no, l.product_id, l.quantity, p.price,
+        (NOT COALESCE(l.lr > l.fa, FALSE)) AND c.checked_out_at IS NULL AS is_valid
+    FROM clines l JOIN st_product p ON l.product_id = p.product_id
+    JOIN carts c ON l.customer_id = c.customer_id AND l.cart_no = c.cart_no""", _CART)
+ORACLE["W6_cart_orders"] = with_store("""SELECT customer_id, cart_no, opened_at, checked_out_at,
+        CASE WHEN checked_out_at IS NOT NULL THEN 'confirmed' ELSE 'cart' END AS status FROM carts""", _CART)
+ORACLE["W6_stock_moves"] = with_store("""SELECT product_id, CAST(-COUNT(*) AS BIGINT) AS stock_change
+    FROM ev5 WHERE action = 'add' GROUP BY product_id""", _CART)
+
+_STATUS = """upd AS (SELECT o_orderkey AS change_id, o_orderkey AS order_id,
+        CASE WHEN o_orderkey % 60 = 31 THEN (o_custkey % 25 + 1) % 25 ELSE o_custkey % 25 END AS employee_id,
+        'Completed' AS status, CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) AS received_date
+    FROM orders WHERE o_orderkey % 30 = 1),
+okst AS (SELECT u.* FROM upd u JOIN st_orders o ON o.order_id = u.order_id AND o.is_valid AND o.employee_id = u.employee_id),
+lastst AS (SELECT order_id, arg_max(status, change_id) AS status, arg_max(received_date, change_id) AS rd
+    FROM okst GROUP BY order_id)"""
+ORACLE["W8_status_changed_orders"] = with_store("""SELECT o.order_id, o.customer_id, o.employee_id, o.order_date,
+        o.expected_received_date,
+        CASE WHEN lower(l.status) = 'completed' AND l.rd IS NOT NULL THEN l.rd ELSE o.actual_received_date END
+            AS actual_received_date,
+        COALESCE(l.status, o.status) AS status, o.is_valid
+    FROM st_orders o LEFT JOIN lastst l ON o.order_id = l.order_id
+    WHERE o.order_id IN (SELECT order_id FROM upd)""", _STATUS)
+ORACLE["W8_status_rejects"] = with_store("""SELECT change_id, 'W8:not_found_or_not_owned' AS reason FROM upd
+    WHERE change_id NOT IN (SELECT change_id FROM okst)""", _STATUS)
+
+_PURCHASE = """li AS (SELECT * FROM lineitem WHERE l_orderkey % 100 = 3),
+hdr AS (SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_suppkey AS supplier_id, l_suppkey % 25 AS employee_id,
+        CAST(MAX(CAST(l_shipdate AS DATE)) + 30 AS DATE) AS expected_received_date
+    FROM li GROUP BY l_orderkey, l_suppkey),
+itm AS (SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_partkey AS product_id,
+        MAX(CAST(l_extendedprice AS DECIMAL(10,2))) AS price, CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity
+    FROM li GROUP BY l_orderkey, l_suppkey, l_partkey),
+badi AS (SELECT DISTINCT i.change_id FROM itm i LEFT JOIN st_product p ON i.product_id = p.product_id AND p.is_valid
+    WHERE p.product_id IS NULL OR i.price <= 0 OR i.quantity <= 0),
+chk AS (SELECT h.*,
+        (h.supplier_id IS NULL OR h.employee_id IS NULL OR h.expected_received_date IS NULL
+         OR h.change_id NOT IN (SELECT change_id FROM itm)) AS r_missing,
+        COALESCE(h.expected_received_date <= DATE '1995-06-01', FALSE) AS r_date,
+        h.supplier_id NOT IN (SELECT supplier_id FROM st_supplier WHERE is_valid) AS r_supp,
+        h.change_id IN (SELECT change_id FROM badi) AS r_item
+    FROM hdr h)"""
+ORACLE["W9_purchase_rejects"] = with_store("""
+    SELECT change_id, 'W9:missing_field' AS reason FROM chk WHERE r_missing
+    UNION ALL SELECT change_id, 'V9:expected_date_not_after_as_of' FROM chk WHERE r_date
+    UNION ALL SELECT change_id, 'W9:supplier_inactive' FROM chk WHERE r_supp
+    UNION ALL SELECT change_id, 'W9:inactive_product' FROM chk WHERE r_item""", _PURCHASE)
+ORACLE["W9_new_purchase_orders"] = with_store("""SELECT
+        (SELECT MAX(purchase_order_id) FROM st_purchase_order) + ROW_NUMBER() OVER (ORDER BY change_id) AS purchase_order_id,
+        employee_id, supplier_id, DATE '1995-06-01' AS order_date, expected_received_date,
+        CAST(NULL AS DATE) AS actual_received_date, 'pending' AS delivery_status, TRUE AS is_valid
+    FROM chk WHERE NOT (r_missing OR r_date OR r_supp OR r_item)""", _PURCHASE)
+
+ORACLE["W12_stock_ledger"] = with_store("""SELECT p.product_id, p.stock_quantity,
+        CAST(COALESCE(s.sold, 0) AS BIGINT) AS sold, CAST(COALESCE(r.received, 0) AS BIGINT) AS received,
+        CAST(COALESCE(r.received, 0) - COALESCE(s.sold, 0) AS BIGINT) AS net_movement,
+        p.stock_quantity + (COALESCE(r.received, 0) - COALESCE(s.sold, 0)) < 0 AS negative
+    FROM st_product p
+    LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM st_order_details WHERE is_valid GROUP BY 1) s
+      ON p.product_id = s.product_id
+    LEFT JOIN (SELECT pod.product_id, SUM(pod.quantity) AS received
+               FROM st_purchase_order_details pod JOIN st_purchase_order po ON pod.purchase_order_id = po.purchase_order_id
+               WHERE pod.is_valid AND lower(po.delivery_status) = 'received' GROUP BY 1) r
+      ON p.product_id = r.product_id""")
