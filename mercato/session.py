@@ -63,3 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir`` (not the per-application subfolder
+    Spark creates inside it), so staged data can be found again by later sessions."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (base or ensure_checkpoint_dir(spark)).rstrip("/")

@@ -256,7 +256,49 @@ class Store(Mapping):
         return Store(self.spark, makers, self.driver)
 
 
-def store_from_driver(spark: SparkSession, sf_dir: str) -> Store:
+def adapted_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store as lazy adapter plans over the driver's files (nothing is written)."""
     configure(spark)
     d = DriverTables(spark, sf_dir)
     return Store(spark, {name: (lambda b=b: b(d)) for name, b in BUILDERS.items()}, d)
+
+
+_STAGED: dict[tuple[str, str], Store] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and modification times of the driver files (any Hadoop file system)."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = []
+    for name in DRIVER_TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if fs.exists(p):
+            for st in fs.listStatus(p):
+                parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha1("|".join([sf_dir] + parts).encode()).hexdigest()[:16]
+
+
+def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) -> Store:
+    """The store for a driver data set. With ``staged`` (default) the adapter runs once per
+    source fingerprint: the tables are written as Parquet under the session's
+    ``spark.checkpoint.dir`` (shared storage; order tables clustered by order id) and every
+    query reads that snapshot instead of re-deriving it from the raw files."""
+    live = adapted_store(spark, sf_dir)
+    if not staged:
+        return live
+    from mercato.session import shared_dir
+    from mercato.sources.store import materialize, read_store
+    fp = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, fp)
+    if key not in _STAGED:
+        root = f"{shared_dir(spark)}/mercato-store/{fp}"
+        try:
+            st = read_store(spark, root)
+        except Exception:
+            st = materialize(live, root)
+        _STAGED[key] = st
+    st = _STAGED[key]
+    return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver)
