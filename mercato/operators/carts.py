@@ -85,15 +85,14 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
     events = events.where(F.col("action") != ADD).unionByName(
         events.where(is_add).join(known.select("product_id"), "product_id", "left_semi"))
     ev = with_cart_numbers(events, chunk_seconds)
-    adds = ev.where(is_add).join(known, "product_id")
     line_keys = ["customer_id", "cart_no", "product_id"]
-    first_add = adds.groupBy(*line_keys).agg(
-        F.count(F.lit(1)).cast("int").alias("quantity"), F.min(seq).alias("_first_add"),
-        F.first("price").alias("price"))
-    removes = ev.where(is_remove).groupBy(*line_keys).agg(F.max(seq).alias("_last_remove"))
-    line_events = ev.where(is_add | is_remove).groupBy(*line_keys).agg(
-        F.max_by(F.col("action"), seq).alias("_last_action"))
-    lines = first_add.join(removes, line_keys, "left").join(line_events, line_keys, "left")
+    # every line fact in one aggregate (partial before the shuffle): adds, first add, last
+    # remove and the last add/remove action
+    lines = ev.where(is_add | is_remove).groupBy(*line_keys).agg(
+        F.count_if(is_add).cast("int").alias("quantity"),
+        F.min(F.when(is_add, seq)).alias("_first_add"),
+        F.max(F.when(is_remove, seq)).alias("_last_remove"),
+        F.max_by(F.col("action"), seq).alias("_last_action")).where(F.col("quantity") > 0)
     removed_after_add = F.coalesce(F.col("_last_remove") > F.col("_first_add"), F.lit(False))
     line_on = (F.col("_last_action") == ADD) if reactivate_on_add else ~removed_after_add
     carts = ev.groupBy("customer_id", "cart_no").agg(
@@ -101,10 +100,12 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
         F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
     carts = carts.where(F.col("opened_at").isNotNull())
     carts = carts.withColumn("status", F.when(F.col("checked_out_at").isNotNull(), "confirmed").otherwise("cart"))
-    lines = lines.join(carts.select("customer_id", "cart_no", "status"), ["customer_id", "cart_no"])
+    lines = lines.join(carts.select("customer_id", "cart_no", "status"), ["customer_id", "cart_no"]) \
+        .join(known, "product_id")
     lines = lines.select(*line_keys, "quantity", "price",
                          (line_on & (F.col("status") == "cart")).alias("is_valid"))
-    stock_moves = adds.groupBy("product_id").agg((-F.count(F.lit(1))).cast("long").alias("stock_change"))
+    # each add takes one unit of stock; adds are exactly the line quantities
+    stock_moves = lines.groupBy("product_id").agg((-F.sum("quantity")).cast("long").alias("stock_change"))
     return {"cart_orders": carts.select("customer_id", "cart_no", "opened_at", "checked_out_at", "status"),
             "cart_lines": lines, "stock_moves": stock_moves}
 

@@ -16,6 +16,7 @@ from mercato.functions.expr import NA, average, label_if_null, zero_if_null
 from mercato.operators.joins import lookup
 from mercato.operators.ranking import dense_rank_desc, top1_per_group
 from mercato.plans.common import Store, active_orders, customer_product_lines, order_totals
+from mercato.session import ensure_checkpoint_dir
 from mercato.sources.schemas import SUM_MONEY
 
 
@@ -135,7 +136,10 @@ PROFILE_COLUMNS = ["customer_id", "customer_name", "phone_number", "email_addres
 def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_scope: str = "all") -> DataFrame:
     """The full profile, one row per customer (or per requested id)."""
     cp = customer_product_lines(store, line_scope)
-    spend = _spend_stats(store, line_scope)
+    # one row per customer, needed three times (profile, rank cut points, rank): computed once
+    # and cut from its lineage with a reliable checkpoint in the shared checkpoint folder
+    ensure_checkpoint_dir(store.spark)
+    spend = _spend_stats(store, line_scope).checkpoint(eager=True)
     stats = _order_stats(store)
     products = cp.groupBy("customer_id").agg(F.count(F.lit(1)).alias("distinct_products"))
     base = _customers(store, customer_ids).drop("order_count")
@@ -155,7 +159,10 @@ def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_s
         label_if_null("top_product", NA).alias("top_product"),
         F.coalesce(average("total_spent", "_orders_with_lines"), F.lit(0.0)).alias("avg_order_value"))
     # The rank needs every customer's total, not only the requested ones.
-    ranks = spend_rank(store, line_scope)
+    totals = store["customer"].select("customer_id").join(spend.select("customer_id", "total_spent"),
+                                                          "customer_id", "left") \
+        .select("customer_id", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)).alias("total_spent"))
+    ranks = dense_rank_desc(totals, "total_spent", "spend_rank").select("customer_id", "spend_rank")
     return out.join(ranks, "customer_id", "left").select(*PROFILE_COLUMNS)
 
 

@@ -13,6 +13,7 @@ old version or the new one, never a mix (the snapshot replaces the reference's t
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from mercato.sources.adapter import Store
 from mercato.sources.schemas import SCHEMAS, TABLES
 
-# tables clustered by their join key when written, so that order x lines joins and per-order
-# aggregates read co-located, sorted files
+# tables bucketed by their join key when written, so that order x lines joins and per-order
+# aggregates read co-partitioned, sorted files without a shuffle
 CLUSTER_KEYS = {"orders": "order_id", "order_details": "order_id", "purchase_order": "purchase_order_id",
-                "purchase_order_details": "purchase_order_id", "invoice": "order_id"}
+                "purchase_order_details": "purchase_order_id"}
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
@@ -53,47 +54,85 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def _catalog_name(path: str) -> str:
+    return "mercato_" + hashlib.sha1(path.encode()).hexdigest()[:16]
+
+
+def _open_table(spark: SparkSession, table: str, path: str, bucket: list | None) -> DataFrame:
+    """Plain tables are read as Parquet with the declared schema. Bucketed tables are read
+    through the session catalog, declared over the existing files with their bucket spec, so
+    the scan reports hash partitioning on the key and joins / aggregates on it skip the
+    shuffle."""
+    if not bucket:
+        return spark.read.schema(SCHEMAS[table]).parquet(path)
+    key, n = bucket
+    name = _catalog_name(path)
+    if not spark.catalog.tableExists(name):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[table].fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
+                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(n)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_store(spark: SparkSession, root: str, version: str | None = None) -> Store:
     """A1: open a published store (the version named by CURRENT unless given)."""
     root = root.rstrip("/")
     version = version or (_read_text(spark, f"{root}/CURRENT") or "").strip()
     manifest = json.loads(_read_text(spark, f"{root}/{version}/manifest.json"))
-    makers = {t: (lambda path=path, t=t: spark.read.schema(SCHEMAS[t]).parquet(path))
+    buckets = manifest.get("buckets", {})
+    makers = {t: (lambda path=path, t=t: _open_table(spark, t, path, buckets.get(t)))
               for t, path in manifest["tables"].items()}
     return Store(spark, makers)
 
 
-def write_table(df: DataFrame, path: str, table: str) -> None:
-    """Write one store table as Parquet, clustered by its join key when it has one."""
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets per clustered table: the session's shuffle partition count (size it to about
+    one 128-256 MB file per bucket at the target scale)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None) -> list | None:
+    """Write one store table as Parquet. Tables with a join key are bucketed and sorted by
+    it (an external catalog table over ``path``); returns the bucket spec, or None."""
     key = CLUSTER_KEYS.get(table)
-    if key:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartitionByRange(n, key).sortWithinPartitions(key)
+    if key and buckets:
+        (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+         .option("path", path).saveAsTable(_catalog_name(path)))
+        return [key, buckets]
     df.write.mode("overwrite").parquet(path)
+    return None
 
 
-def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], base: Store | None = None) -> str:
+def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], base: Store | None = None,
+            buckets: int | None = None) -> str:
     """Write the changed tables into a new version and switch CURRENT to it. Tables not in
     ``changed`` keep pointing at the previous version's files."""
     root = root.rstrip("/")
     current = (_read_text(spark, f"{root}/CURRENT") or "").strip()
-    previous = json.loads(_read_text(spark, f"{root}/{current}/manifest.json"))["tables"] if current else {}
+    previous = json.loads(_read_text(spark, f"{root}/{current}/manifest.json")) if current else {}
     number = int(current[1:]) + 1 if current else 1
     version = f"v{number:06d}"
-    tables = dict(previous)
+    tables = dict(previous["tables"]) if previous else {}
+    specs = dict(previous.get("buckets", {})) if previous else {}
+    n = buckets or bucket_count(spark)
     for t, df in changed.items():
         if t not in SCHEMAS:
             continue  # rejects and reports are not store tables
         path = f"{root}/{version}/{t}"
-        write_table(df.select(*SCHEMAS[t].fieldNames()), path, t)
+        specs.pop(t, None)
+        spec = write_table(df.select(*SCHEMAS[t].fieldNames()), path, t, n)
         tables[t] = path
+        if spec:
+            specs[t] = spec
     if base is not None:
         for t in TABLES:
             if t not in tables:
                 path = f"{root}/{version}/{t}"
-                write_table(base[t], path, t)
+                spec = write_table(base[t], path, t, n)
                 tables[t] = path
-    _write_text(spark, f"{root}/{version}/manifest.json", json.dumps({"tables": tables}))
+                if spec:
+                    specs[t] = spec
+    _write_text(spark, f"{root}/{version}/manifest.json", json.dumps({"tables": tables, "buckets": specs}))
     _write_text(spark, f"{root}/CURRENT", version)
     return version
 

@@ -622,3 +622,64 @@ ORACLE["W12_stock_ledger"] = with_store("""SELECT p.product_id, p.stock_quantity
                FROM st_purchase_order_details pod JOIN st_purchase_order po ON pod.purchase_order_id = po.purchase_order_id
                WHERE pod.is_valid AND lower(po.delivery_status) = 'received' GROUP BY 1) r
       ON p.product_id = r.product_id""")
+
+_CHECKOUT = """carts AS (SELECT customer_id, MIN(order_id) AS order_id FROM st_orders WHERE lower(status) = 'cart'
+    GROUP BY customer_id),
+req AS (SELECT c_custkey AS change_id, c_custkey AS customer_id, c_name AS name,
+        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@shop.test' END AS email,
+        CASE WHEN c_custkey % 4 = 0 THEN 'card' ELSE 'cash' END AS payment_method,
+        c_custkey % 8 <> 4 AS has_card_fields
+    FROM customer WHERE c_custkey % 2 = 0),
+chk AS (SELECT r.*,
+        (NULLIF(trim(name), '') IS NULL OR NULLIF(trim(email), '') IS NULL OR NULLIF(trim(payment_method), '') IS NULL)
+            AS r_missing,
+        (lower(payment_method) = 'card' AND NOT COALESCE(has_card_fields, FALSE)) AS r_card
+    FROM req r),
+good AS (SELECT * FROM chk WHERE NOT r_missing AND NOT r_card),
+firstreq AS (SELECT customer_id, MIN(change_id) AS change_id FROM good GROUP BY customer_id),
+done AS (SELECT f.change_id, f.customer_id, g.payment_method, c.order_id,
+        CAST(COALESCE((SELECT SUM(CAST(od.price * od.quantity AS DECIMAL(18,2))) FROM st_order_details od
+                       WHERE od.order_id = c.order_id AND od.is_valid), 0) AS DECIMAL(10,2)) AS amount_paid
+    FROM firstreq f JOIN good g ON f.change_id = g.change_id JOIN carts c ON f.customer_id = c.customer_id),
+inv AS (SELECT d.*, (SELECT MAX(invoice_id) FROM st_invoice) + ROW_NUMBER() OVER (ORDER BY change_id) AS invoice_id
+    FROM done d)"""
+ORACLE["W7_checkout_payments"] = with_store("""SELECT
+        (SELECT MAX(payment_id) FROM st_payment) + ROW_NUMBER() OVER (ORDER BY change_id) AS payment_id,
+        invoice_id, DATE '2024-02-01' AS payment_date, amount_paid, payment_method, TRUE AS is_valid
+    FROM inv""", _CHECKOUT)
+ORACLE["W7_checkout_rejects"] = with_store("""
+    SELECT change_id, 'W7:missing_field' AS reason FROM chk WHERE r_missing
+    UNION ALL SELECT change_id, 'W7:card_fields' FROM chk WHERE r_card
+    UNION ALL SELECT f.change_id, 'W7:no_cart' FROM firstreq f WHERE f.customer_id NOT IN (SELECT customer_id FROM carts)
+    UNION ALL SELECT change_id, 'W7:no_cart' FROM good WHERE change_id NOT IN (SELECT change_id FROM firstreq)""",
+    _CHECKOUT)
+
+ORACLE["W10_received_products"] = with_store("""SELECT p.product_id, p.product_name, p.category, p.price, p.is_valid,
+        CAST(p.stock_quantity + COALESCE(pp.q, 0) AS INTEGER) AS stock_quantity,
+        COALESCE(pp.arrival, p.stock_arrival_date) AS stock_arrival_date
+    FROM st_product p LEFT JOIN pp ON p.product_id = pp.product_id""",
+    """upd AS (SELECT purchase_order_id,
+        CASE WHEN purchase_order_id % 7 = 0 THEN 'Received' ELSE 'Shipped' END AS status,
+        CASE WHEN purchase_order_id % 7 = 0 THEN CAST(order_date + 12 AS DATE) END AS rd
+    FROM st_purchase_order WHERE purchase_order_id % 7 <= 1),
+rec AS (SELECT purchase_order_id, rd FROM upd WHERE lower(status) = 'received' AND rd IS NOT NULL),
+pp AS (SELECT pod.product_id, MAX(r.rd) AS arrival, SUM(pod.quantity) AS q
+    FROM st_purchase_order_details pod JOIN rec r ON pod.purchase_order_id = r.purchase_order_id
+    WHERE pod.is_valid GROUP BY pod.product_id)""")
+
+_TYPES = """chg AS (
+    SELECT n * 10 + 1 AS change_id, n AS employee_id,
+        CASE WHEN (n // 4) % 2 = 1 THEN 'hourly' ELSE 'contract' END AS new_type
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey % 4 = 1) k
+    UNION ALL SELECT 92, 9, 'regular'),
+okt AS (SELECT c.* FROM chg c JOIN st_employee e ON c.employee_id = e.employee_id AND e.is_valid),
+lastt AS (SELECT employee_id, MAX(change_id) AS change_id, arg_max(new_type, change_id) AS t FROM okt GROUP BY employee_id)"""
+ORACLE["W11_hourly_after"] = with_store("""SELECT he.employee_id, he.hours_worked, he.hourly_wages,
+        he.is_valid AND he.employee_id NOT IN (SELECT employee_id FROM lastt) AS is_valid
+    FROM st_hourly_employee he WHERE he.employee_id NOT IN (SELECT employee_id FROM lastt WHERE t = 'hourly')
+    UNION ALL SELECT employee_id, 40, CAST(20 AS DECIMAL(10,2)), TRUE FROM lastt WHERE t = 'hourly'""", _TYPES)
+ORACLE["W11_contract_employee_after"] = with_store("""SELECT ce.employee_id, ce.contract_id,
+        ce.is_valid AND ce.employee_id NOT IN (SELECT employee_id FROM lastt) AS is_valid
+    FROM st_contract_employee ce WHERE ce.employee_id NOT IN (SELECT employee_id FROM lastt WHERE t = 'contract')
+    UNION ALL SELECT employee_id, (SELECT MAX(contract_id) FROM st_contract) + ROW_NUMBER() OVER (ORDER BY change_id),
+        TRUE FROM lastt WHERE t = 'contract'""", _TYPES)
