@@ -125,7 +125,9 @@ def label_if_null(c, label: str) -> Column:
 
 # E8
 def money_text(c, thousands: bool = False) -> Column:
-    return F.format_number(col(c), 2) if thousands else F.format_string("%.2f", col(c))
+    """``'%.2f'`` or ``'{:,.2f}'`` text of an amount (money has exactly two decimals, so its
+    double value prints the same digits)."""
+    return F.format_number(col(c), 2) if thousands else F.format_string("%.2f", col(c).cast("double"))
 
 
 # E10 / E11

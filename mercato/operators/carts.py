@@ -104,8 +104,9 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
         .join(known, "product_id")
     lines = lines.select(*line_keys, "quantity", "price",
                          (line_on & (F.col("status") == "cart")).alias("is_valid"))
-    # each add takes one unit of stock; adds are exactly the line quantities
-    stock_moves = lines.groupBy("product_id").agg((-F.sum("quantity")).cast("long").alias("stock_change"))
+    # each add of a known product takes one unit of stock; no cart numbers are needed for it
+    stock_moves = events.where(is_add).groupBy("product_id").agg(
+        (-F.count(F.lit(1))).cast("long").alias("stock_change"))
     return {"cart_orders": carts.select("customer_id", "cart_no", "opened_at", "checked_out_at", "status"),
             "cart_lines": lines, "stock_moves": stock_moves}
 

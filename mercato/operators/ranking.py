@@ -6,16 +6,22 @@
   window partition ever holds a whole group.
 * ``dense_rank_desc`` (N1): a global dense rank without a one-partition window. Distinct
   values are cut into value ranges at approximate quantiles (a bounded list of cut points on
-  the driver); each range is ranked locally, and a range offset (one row per range) is added.
+  the driver, found per row by binary search); each range is ranked locally, and a range
+  offset (one row per range) is added.
 * ``keep_at_least_max`` (G13): ``HAVING agg >= ALL (subquery)`` as a comparison with a scalar
   subquery ``max``.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import ensure_checkpoint_dir
+
 
 def top1_per_group(df: DataFrame, group_cols: list[str], value: str, tie: str,
                    out: str | None = None) -> DataFrame:
@@ -32,18 +38,22 @@ def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int |
     (smaller, with ``ascending=True``)."""
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
-    v = F.col(value).cast("double")
+    ensure_checkpoint_dir(spark)
+    # the distinct values are read twice (cut points, ranks): cut from the lineage once
+    distinct = df.select(value).where(F.col(value).isNotNull()).distinct() \
+        .withColumn("_v", F.col(value).cast("double")).checkpoint(eager=True)
     cuts: list[float] = []
     if n > 1:
         probs = [i / n for i in range(1, n)]
-        cuts = sorted(set(distinct.select(v.alias("_v")).approxQuantile("_v", probs, relative_error)))
-    # range 0 holds the first values: range = number of cut points strictly before the value
+        cuts = sorted(set(distinct.approxQuantile("_v", probs, relative_error)))
     if cuts:
-        rng = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), (lambda c: c < v) if ascending else (lambda c: c > v)))
+        # range of a value by binary search over the cut points (JVM-side)
+        splits = [-math.inf] + cuts + [math.inf]
+        ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(distinct)
+        b = F.col("_b").cast("int")
+        ranged = ranged.withColumn("_range", b if ascending else F.lit(len(splits) - 2) - b).drop("_b")
     else:
-        rng = F.lit(0)
-    ranged = distinct.withColumn("_range", rng)
+        ranged = distinct.withColumn("_range", F.lit(0))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range (bounded by ``ranges``): prefix sums on a tiny frame
     offsets = sizes.select("_range", (F.sum("_n").over(

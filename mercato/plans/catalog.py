@@ -128,4 +128,5 @@ QUERIES: dict[str, Query] = {
     "R47_supplier_check": _s(lambda st: L.supplier_check(st, supplier_requests(st))),
     "R48_order_status_manager": _s(lambda st: L.order_status_counts(st, "manager")),
     "R48_order_status_employee": _s(lambda st: L.order_status_counts(st, "employee")),
+    "E_product_labels": _s(L.product_labels),
 }

@@ -149,3 +149,30 @@ def employee_type_changes(store: Store) -> DataFrame:
     again = base.where(F.col("employee_id") == 9).withColumn("change_id", F.col("change_id") + 1) \
         .withColumn("new_type", F.lit("regular"))
     return base.unionByName(again)
+
+
+def product_creates(store: Store) -> DataFrame:
+    """W1 feed: parts with key % 50 = 0 are offered as new products named '<name> new' at
+    950 below their retail price (some prices fall to zero or below); key % 100 = 0 comes
+    without a name."""
+    p = store.driver["part"].where(F.col("p_partkey") % 50 == 0)
+    k = F.col("p_partkey")
+    return p.select(k.alias("change_id"),
+                    F.when(k % 100 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(" new"))).alias("product_name"),
+                    F.col("p_type").alias("category"),
+                    (F.col("p_retailprice") - 950).cast("decimal(10,2)").alias("price"),
+                    F.col("p_size").alias("stock_quantity"))
+
+
+def employee_deactivations(store: Store) -> DataFrame:
+    """W4 feed: nation-employees with key % 5 = 0 are deactivated."""
+    n = store.driver["nation"].where(F.col("n_nationkey") % 5 == 0)
+    k = F.col("n_nationkey").cast("long")
+    return n.select(k.alias("change_id"), k.alias("employee_id"), F.lit(False).alias("flag"))
+
+
+def purchase_order_deactivations(store: Store) -> DataFrame:
+    """W4 feed: purchase orders with id % 9 = 0 are withdrawn."""
+    po = store["purchase_order"].where(F.col("purchase_order_id") % 9 == 0)
+    k = F.col("purchase_order_id")
+    return po.select(k.alias("change_id"), k.alias("purchase_order_id"), F.lit(False).alias("flag"))

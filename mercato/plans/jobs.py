@@ -99,7 +99,20 @@ def _type_changes(st: Store) -> dict[str, DataFrame]:
     return W.change_employee_type(st, feeds.employee_type_changes(st))
 
 
+def _inserted(st: Store) -> dict[str, DataFrame]:
+    return W.insert_rows(st, "product", feeds.product_creates(st))
+
+
 JOB_QUERIES = {
+    "W1_inserted_products": _s(lambda st: _inserted(st)["inserted"]),
+    "W1_insert_rejects": _s(lambda st: _inserted(st)["rejects"]),
+    "W4_hourly_after_deactivation": _s(
+        lambda st: W.deactivate_employees(st, feeds.employee_deactivations(st))["hourly_employee"]),
+    "W4_employee_rejects": _s(lambda st: W.deactivate_employees(st, feeds.employee_deactivations(st))["rejects"]),
+    "W4_purchase_lines_after": _s(
+        lambda st: W.set_purchase_order_active(st, feeds.purchase_order_deactivations(st))["purchase_order_details"]),
+    "W4_purchase_order_rejects": _s(
+        lambda st: W.set_purchase_order_active(st, feeds.purchase_order_deactivations(st))["rejects"]),
     "V1_duplicate_line_keys": _s(duplicate_line_keys),
     "V_line_feed_violations": _s(line_feed_violations),
     "V_employee_violations": _s(_table_violations("employee", contact=True)),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.expr import (UNKNOWN_PRODUCT, active, delivery_status_text, employee_status_text,
-                                    label_if_null, line_value, text_equals, zero_if_null)
+from mercato.functions.expr import (UNKNOWN_PRODUCT, active, active_label, delivery_status_text,
+                                    employee_status_text, iso_date, label_if_null, line_value, money_text,
+                                    text_equals, zero_if_null)
 from mercato.functions.search import (SearchSpec, apply_search, by_flag, by_id, by_int, by_money, by_text,
                                       by_text_equal, by_tristate)
 from mercato.operators.joins import lookup
@@ -254,3 +255,13 @@ def order_status(store: Store, variant: str = "manager") -> DataFrame:
 def order_status_counts(store: Store, variant: str = "manager") -> DataFrame:
     """Number of active orders per status text."""
     return order_status(store, variant).groupBy("status_text").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+# ---- display labels (E8, E10, E16) -------------------------------------------------------------
+def product_labels(store: Store) -> DataFrame:
+    """Products as the pages show them: Active/Inactive, price with two decimals and with
+    thousands separators, arrival date as ISO text."""
+    p = store["product"]
+    return p.select("product_id", active_label().alias("status_label"), money_text("price").alias("price_text"),
+                    money_text("price", thousands=True).alias("price_display"),
+                    iso_date("stock_arrival_date").alias("arrival_text"))

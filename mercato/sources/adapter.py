@@ -294,7 +294,7 @@ def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) ->
     fp = _fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, fp)
     if key not in _STAGED:
-        root = f"{shared_dir(spark)}/mercato-store/b2-{fp}"
+        root = f"{shared_dir(spark)}/mercato-store/b3-{fp}"
         try:
             st = read_store(spark, root)
         except Exception:

@@ -96,8 +96,10 @@ def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None
     it (an external catalog table over ``path``); returns the bucket spec, or None."""
     key = CLUSTER_KEYS.get(table)
     if key and buckets:
-        (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
-         .option("path", path).saveAsTable(_catalog_name(path)))
+        # hash-partition on the key first (the same hash bucketing uses), so each bucket is
+        # written by one task as one sorted file instead of one file per task and bucket
+        (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+         .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_catalog_name(path)))
         return [key, buckets]
     df.write.mode("overwrite").parquet(path)
     return None

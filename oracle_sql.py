@@ -683,3 +683,51 @@ ORACLE["W11_contract_employee_after"] = with_store("""SELECT ce.employee_id, ce.
     FROM st_contract_employee ce WHERE ce.employee_id NOT IN (SELECT employee_id FROM lastt WHERE t = 'contract')
     UNION ALL SELECT employee_id, (SELECT MAX(contract_id) FROM st_contract) + ROW_NUMBER() OVER (ORDER BY change_id),
         TRUE FROM lastt WHERE t = 'contract'""", _TYPES)
+
+_CREATES = """req AS (SELECT p_partkey AS change_id,
+        CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_name || ' new' END AS product_name, p_type AS category,
+        CAST(p_retailprice - 950 AS DECIMAL(10,2)) AS price, CAST(p_size AS INTEGER) AS stock_quantity
+    FROM part WHERE p_partkey % 50 = 0),
+bad AS (
+    SELECT change_id, 'V10:product_name:required' AS reason FROM req WHERE NULLIF(trim(product_name), '') IS NULL
+    UNION ALL SELECT change_id, 'V10:category:required' FROM req WHERE NULLIF(trim(category), '') IS NULL
+    UNION ALL SELECT change_id, 'V10:price:required' FROM req WHERE price IS NULL
+    UNION ALL SELECT change_id, 'V10:stock_quantity:required' FROM req WHERE stock_quantity IS NULL
+    UNION ALL SELECT change_id, 'V2:product_name:null' FROM req WHERE product_name IS NULL
+    UNION ALL SELECT change_id, 'V2:price:null' FROM req WHERE price IS NULL
+    UNION ALL SELECT change_id, 'V2:stock_quantity:null' FROM req WHERE stock_quantity IS NULL
+    UNION ALL SELECT change_id, 'V2:product_name:length' FROM req WHERE length(product_name) > 100
+    UNION ALL SELECT change_id, 'V2:category:length' FROM req WHERE length(category) > 50
+    UNION ALL SELECT change_id, 'V6:price:range' FROM req WHERE price <= 0
+    UNION ALL SELECT change_id, 'V6:stock_quantity:range' FROM req WHERE stock_quantity < 0)"""
+ORACLE["W1_inserted_products"] = with_store("""SELECT
+        (SELECT MAX(product_id) FROM st_product) + ROW_NUMBER() OVER (ORDER BY change_id) AS product_id,
+        product_name, category, price, TRUE AS is_valid, stock_quantity, CAST(NULL AS DATE) AS stock_arrival_date
+    FROM req WHERE change_id NOT IN (SELECT change_id FROM bad)""", _CREATES)
+ORACLE["W1_insert_rejects"] = with_store("SELECT change_id, reason FROM bad", _CREATES)
+
+_EMP_OFF = """eoff AS (SELECT CAST(n_nationkey AS BIGINT) AS change_id, CAST(n_nationkey AS BIGINT) AS employee_id
+    FROM nation WHERE n_nationkey % 5 = 0),
+eacc AS (SELECT o.employee_id FROM eoff o JOIN st_employee e ON o.employee_id = e.employee_id AND e.is_valid)"""
+ORACLE["W4_hourly_after_deactivation"] = with_store("""SELECT he.employee_id, he.hours_worked, he.hourly_wages,
+        he.is_valid AND he.employee_id NOT IN (SELECT employee_id FROM eacc) AS is_valid
+    FROM st_hourly_employee he""", _EMP_OFF)
+ORACLE["W4_employee_rejects"] = with_store("""SELECT o.change_id,
+        CASE WHEN e.employee_id IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason
+    FROM eoff o LEFT JOIN st_employee e ON o.employee_id = e.employee_id
+    WHERE e.employee_id IS NULL OR NOT e.is_valid""", _EMP_OFF)
+_PO_OFF = """poff AS (SELECT purchase_order_id AS change_id, purchase_order_id, is_valid,
+        lower(delivery_status) = 'pending' AS pending
+    FROM st_purchase_order WHERE purchase_order_id % 9 = 0)"""
+ORACLE["W4_purchase_lines_after"] = with_store("""SELECT pod.purchase_order_id, pod.product_id, pod.price, pod.quantity,
+        CASE WHEN pod.purchase_order_id IN (SELECT purchase_order_id FROM poff WHERE is_valid AND pending) THEN FALSE
+             ELSE pod.is_valid END AS is_valid
+    FROM st_purchase_order_details pod""", _PO_OFF)
+ORACLE["W4_purchase_order_rejects"] = with_store("""SELECT change_id, 'W4:state_guard' AS reason FROM poff
+    WHERE NOT (is_valid AND COALESCE(pending, FALSE))""", _PO_OFF)
+ORACLE["E_product_labels"] = with_store("""SELECT product_id,
+        CASE WHEN is_valid THEN 'Active' ELSE 'Inactive' END AS status_label,
+        printf('%.2f', CAST(price AS DOUBLE)) AS price_text,
+        format('{:,.2f}', CAST(price AS DOUBLE)) AS price_display,
+        strftime(stock_arrival_date, '%Y-%m-%d') AS arrival_text
+    FROM st_product""")
