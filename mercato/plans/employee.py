@@ -99,13 +99,14 @@ def avg_line_value(store: Store) -> DataFrame:
     return by_name.select("employee_name", average("v", "n").alias("avg_order_value")).orderBy("employee_name")
 
 
-def busiest_employees(store: Store) -> DataFrame:
+def busiest_employees(store: Store, ignore_unassigned: bool = False) -> DataFrame:
     """Employee name(s) with at least as many active orders as any employee id; the
-    threshold also counts the unassigned group (S20)."""
+    threshold also counts the unassigned group (S20) unless ``ignore_unassigned``."""
     per_id = active_orders(store, "employee_id").groupBy("employee_id").agg(F.count(F.lit(1)).alias("n"))
     e = store["employee"].select("employee_id", "employee_name")
     per_name = per_id.join(e, "employee_id").groupBy("employee_name").agg(F.sum("n").alias("order_count"))
-    return keep_at_least_max(per_name, "order_count", per_id.select("n"))
+    threshold = per_id.where(F.col("employee_id").isNotNull()) if ignore_unassigned else per_id
+    return keep_at_least_max(per_name, "order_count", threshold.select("n"))
 
 
 def employee_report(store: Store, employee_ids=None) -> dict[str, DataFrame]:

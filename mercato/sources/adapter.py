@@ -266,19 +266,22 @@ def adapted_store(spark: SparkSession, sf_dir: str) -> Store:
 _STAGED: dict[tuple[str, str], Store] = {}
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Names, sizes and modification times of the driver files (any Hadoop file system)."""
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """Names, sizes and modification times of the driver files (any Hadoop file system), and
+    the byte size of the line table (it sizes the buckets of the staged order tables)."""
     import hashlib
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = []
+    parts, line_bytes = [], 0
     for name in DRIVER_TABLES:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         if fs.exists(p):
             for st in fs.listStatus(p):
                 parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join([sf_dir] + parts).encode()).hexdigest()[:16]
+                if name == "lineitem":
+                    line_bytes += st.getLen()
+    return hashlib.sha1("|".join([sf_dir] + parts).encode()).hexdigest()[:16], line_bytes
 
 
 def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) -> Store:
@@ -290,15 +293,16 @@ def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) ->
     if not staged:
         return live
     from mercato.session import shared_dir
-    from mercato.sources.store import materialize, read_store
-    fp = _fingerprint(spark, sf_dir)
+    from mercato.sources.store import bucket_count, materialize, read_store
+    fp, line_bytes = _fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, fp)
     if key not in _STAGED:
-        root = f"{shared_dir(spark)}/mercato-store/b3-{fp}"
+        buckets = bucket_count(spark, line_bytes)
+        root = f"{shared_dir(spark)}/mercato-store/b4-{buckets}-{fp}"
         try:
             st = read_store(spark, root)
         except Exception:
-            st = materialize(live, root)
+            st = materialize(live, root, buckets)
         _STAGED[key] = st
     st = _STAGED[key]
     return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver)

@@ -85,10 +85,18 @@ def read_store(spark: SparkSession, root: str, version: str | None = None) -> St
     return Store(spark, makers)
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets per clustered table: the session's shuffle partition count (size it to about
-    one 128-256 MB file per bucket at the target scale)."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+BUCKET_BYTES = 128 * 1024 * 1024
+
+
+def bucket_count(spark: SparkSession, source_bytes: int | None = None) -> int:
+    """Buckets per clustered table: about one 128 MB file per bucket of source data, at least
+    one per core of the cluster (so a scan uses every core), at most the shuffle partition
+    count (so joins with shuffled sides line up)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source_bytes is None:
+        return shuffle
+    by_size = -(-int(source_bytes) // BUCKET_BYTES)
+    return max(1, min(shuffle, max(spark.sparkContext.defaultParallelism, by_size)))
 
 
 def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None) -> list | None:
@@ -139,10 +147,10 @@ def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], ba
     return version
 
 
-def materialize(store: Store, root: str) -> Store:
+def materialize(store: Store, root: str, buckets: int | None = None) -> Store:
     """Write every table of ``store`` as the first version under ``root`` and reopen it."""
     spark = store.spark
-    publish(spark, root, {}, base=store)
+    publish(spark, root, {}, base=store, buckets=buckets)
     return read_store(spark, root)
 
 

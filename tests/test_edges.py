@@ -89,6 +89,12 @@ def test_busiest_is_empty_when_unassigned_orders_lead(edge):
     assert E.busiest_employees(edge).count() == 0
 
 
+def test_busiest_can_ignore_unassigned(edge):
+    # without the unassigned group the threshold is 1 order per id; 'Sam' (two ids) has 2
+    rows = E.busiest_employees(edge, ignore_unassigned=True).collect()
+    assert [(r["employee_name"], r["order_count"]) for r in rows] == [("Sam", 2)]
+
+
 def test_namesakes_group_by_name(edge):
     # Two 'Sam' ids are one group in the per-name average
     names = {r["employee_name"] for r in E.avg_line_value(edge).collect()}
