@@ -4,12 +4,13 @@
 
 1. the micro-batch is written to an event log partitioned by ``batch_id`` with overwrite,
    so a replayed batch (after a failure) replaces itself instead of duplicating events;
-2. the customer buckets touched by the batch are re-folded from the whole log of those
-   buckets (duplicates by ``event_id`` removed), so late and out-of-order events land exactly
-   where the batch fold puts them - no counters are incremented and no watermark can drop an
-   event;
-3. the folded ``cart_lines`` and ``cart_orders`` of those buckets replace their partitions in
-   the state tables (dynamic partition overwrite).
+2. the customers of the batch are re-folded from their whole history in the log (duplicates by
+   ``event_id`` removed), so late and out-of-order events land exactly where the batch fold
+   puts them - no counters are incremented and no watermark can drop an event;
+3. their ``cart_lines`` and ``cart_orders``, plus the unchanged rows of the other customers in
+   the same buckets, replace those buckets' partitions in the state tables (dynamic partition
+   overwrite). Work per batch grows with the batch's customers and the touched buckets' state,
+   not with the whole history.
 
 Every path lives under one state folder on shared storage (the checkpoint folder of the
 session by default); no machine-local folder is used. The result equals the batch fold over
@@ -26,28 +27,46 @@ from mercato.operators.carts import cart_events, fold_carts
 from mercato.session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-BUCKETS = 64
+BUCKETS = 256
 
 
 def bucket_of(col: str = "customer_id", buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _refold(spark: SparkSession, batch: DataFrame, batch_id: int, products: DataFrame, state_dir: str,
             buckets: int) -> None:
-    batch = batch.withColumn("cust_bucket", bucket_of("customer_id", buckets))
-    batch.write.mode("overwrite").parquet(f"{state_dir}/log/batch_id={batch_id}")
+    log_path = f"{state_dir}/log"
+    batch.withColumn("cust_bucket", bucket_of("customer_id", buckets)) \
+        .write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+    written = spark.read.parquet(f"{log_path}/batch_id={batch_id}")
     # the set of touched buckets is bounded by ``buckets``; a literal filter prunes the log
-    touched = [r[0] for r in batch.select("cust_bucket").distinct().collect()]
-    if not touched:
+    touched_buckets = [r[0] for r in written.select("cust_bucket").distinct().collect()]
+    if not touched_buckets:
         return
-    log = spark.read.parquet(f"{state_dir}/log").where(F.col("cust_bucket").isin(touched))
-    events = log.drop("batch_id", "cust_bucket").dropDuplicates(["event_id"])
+    touched = written.select("customer_id").distinct()
+    in_buckets = F.col("cust_bucket").isin(touched_buckets)
+    # only the customers of this batch are folded again, from their whole history
+    history = spark.read.parquet(log_path).where(in_buckets).join(touched, "customer_id", "left_semi")
+    events = history.drop("batch_id", "cust_bucket").dropDuplicates(["event_id"])
     out = fold_carts(events, products)
+    ensure_checkpoint_dir(spark)
     for name in ("cart_lines", "cart_orders"):
-        (out[name].withColumn("cust_bucket", bucket_of("customer_id", buckets))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("cust_bucket").parquet(f"{state_dir}/{name}"))
+        path = f"{state_dir}/{name}"
+        fresh = out[name].withColumn("cust_bucket", bucket_of("customer_id", buckets))
+        if _exists(spark, path):
+            # the other customers of the touched buckets keep their rows; they are cut from the
+            # files about to be replaced by a reliable checkpoint
+            kept = spark.read.parquet(path).where(in_buckets).join(touched, "customer_id", "left_anti")
+            fresh = fresh.unionByName(kept.checkpoint(eager=True))
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("cust_bucket").parquet(path))
 
 
 def start_cart_stream(spark: SparkSession, source_dir: str, products: DataFrame, state_dir: str | None = None,
