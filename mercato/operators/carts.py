@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import ensure_checkpoint_dir
 from mercato.sources.schemas import LINE_MONEY
 
 ADD, REMOVE, CHECKOUT = "add", "remove", "checkout"
@@ -84,7 +85,10 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
     known = products.select("product_id", "price")
     events = events.where(F.col("action") != ADD).unionByName(
         events.where(is_add).join(known.select("product_id"), "product_id", "left_semi"))
-    ev = with_cart_numbers(events, chunk_seconds)
+    # the numbered events feed the line and the cart aggregates: computed once and cut from
+    # their lineage with a reliable checkpoint in the shared checkpoint folder
+    ensure_checkpoint_dir(events.sparkSession)
+    ev = with_cart_numbers(events, chunk_seconds).checkpoint(eager=True)
     line_keys = ["customer_id", "cart_no", "product_id"]
     # every line fact in one aggregate (partial before the shuffle): adds, first add, last
     # remove and the last add/remove action

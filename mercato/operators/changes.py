@@ -240,10 +240,14 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
         F.col(c) for c in o.columns])
     lines = od.join(hit, "order_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_hit").isNull()) \
         .select(*od.columns)
-    inv = next_ids(done, store["invoice"], "invoice_id")
+    # one position per checkout gives both new ids (invoice and payment)
+    top_invoice = store["invoice"].agg(F.coalesce(F.max("invoice_id"), F.lit(0))).scalar()
+    top_payment = store["payment"].agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
+    inv = positions(done, "change_id", "_pos") \
+        .withColumn("invoice_id", (top_invoice + F.col("_pos")).cast("long")) \
+        .withColumn("payment_id", (top_payment + F.col("_pos")).cast("long"))
     invoices = inv.select("invoice_id", "order_id", F.lit(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
-    pay = next_ids(inv.select("change_id", "invoice_id", "amount_paid", "payment_method"), store["payment"], "payment_id")
-    payments = pay.select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
+    payments = inv.select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
                           "payment_method", F.lit(True).alias("is_valid"))
     c = store["customer"]
     bumps = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))

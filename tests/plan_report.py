@@ -30,11 +30,11 @@ def plan_text(df) -> str:
 def summarize(text: str) -> dict:
     tree = text.split("\n\n")[0]
     return {
-        "shuffles": len(re.findall(r"\bExchange\b(?! SinglePartition)", tree)) - len(re.findall(r"BroadcastExchange", tree)),
-        "broadcasts": len(re.findall(r"BroadcastExchange", tree)),
+        "shuffles": len(re.findall(r"(?<![A-Za-z])Exchange \(\d+\)", tree)),
+        "broadcasts": len(re.findall(r"BroadcastExchange \(\d+\)", tree)),
         "smj": len(re.findall(r"SortMergeJoin", tree)),
         "bhj": len(re.findall(r"BroadcastHashJoin", tree)),
-        "windows": len(re.findall(r"\bWindow\b", tree)),
+        "windows": len(re.findall(r"(?<![A-Za-z])Window \(\d+\)", tree)),
         "bucketed_scans": len(re.findall(r"Bucketed: true", text)),
         "pushed_scans": len([m for m in re.findall(r"PushedFilters: \[(.*?)\]", text) if m.strip()]),
         "bad": bool(re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text)),
