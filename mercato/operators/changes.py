@@ -46,10 +46,6 @@ DEACTIVATE_NEEDS_ACTIVE = {"employee": True, "supplier": True, "product": True,
 REJECTS_SCHEMA = "change_id long, reason string"
 
 
-def _empty_rejects(spark) -> DataFrame:
-    return spark.createDataFrame([], REJECTS_SCHEMA)
-
-
 def _conform(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
     cols = []
     for f in SCHEMAS[table].fields:
