@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.operators.lazy import LazyFrames, once
 from mercato.session import ensure_checkpoint_dir
 from mercato.sources.schemas import LINE_MONEY
 
@@ -76,8 +77,9 @@ def with_cart_numbers(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
 
 
 def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool = False,
-               chunk_seconds: int = CHUNK_SECONDS) -> dict[str, DataFrame]:
-    """Batch fold of cart events. Returns ``cart_orders``, ``cart_lines`` and ``stock_moves``."""
+               chunk_seconds: int = CHUNK_SECONDS) -> LazyFrames:
+    """Batch fold of cart events. Returns ``cart_orders``, ``cart_lines`` and ``stock_moves``
+    (each built when read)."""
     seq = F.struct("ts", "event_id")
     is_add, is_remove = F.col("action") == ADD, F.col("action") == REMOVE
     # an add of an unknown product does nothing (the reference looks the product up; its flag
@@ -85,34 +87,52 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
     known = products.select("product_id", "price")
     events = events.where(F.col("action") != ADD).unionByName(
         events.where(is_add).join(known.select("product_id"), "product_id", "left_semi"))
-    # the numbered events feed the line and the cart aggregates: computed once and cut from
-    # their lineage with a reliable checkpoint in the shared checkpoint folder
-    ensure_checkpoint_dir(events.sparkSession)
-    ev = with_cart_numbers(events, chunk_seconds).checkpoint(eager=True)
     line_keys = ["customer_id", "cart_no", "product_id"]
-    # every line fact in one aggregate (partial before the shuffle): adds, first add, last
-    # remove and the last add/remove action
-    lines = ev.where(is_add | is_remove).groupBy(*line_keys).agg(
-        F.count_if(is_add).cast("int").alias("quantity"),
-        F.min(F.when(is_add, seq)).alias("_first_add"),
-        F.max(F.when(is_remove, seq)).alias("_last_remove"),
-        F.max_by(F.col("action"), seq).alias("_last_action")).where(F.col("quantity") > 0)
-    removed_after_add = F.coalesce(F.col("_last_remove") > F.col("_first_add"), F.lit(False))
-    line_on = (F.col("_last_action") == ADD) if reactivate_on_add else ~removed_after_add
-    carts = ev.groupBy("customer_id", "cart_no").agg(
-        F.min(F.when(is_add, F.col("ts"))).alias("opened_at"),
-        F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
-    carts = carts.where(F.col("opened_at").isNotNull())
-    carts = carts.withColumn("status", F.when(F.col("checked_out_at").isNotNull(), "confirmed").otherwise("cart"))
-    lines = lines.join(carts.select("customer_id", "cart_no", "status"), ["customer_id", "cart_no"]) \
-        .join(known, "product_id")
-    lines = lines.select(*line_keys, "quantity", "price",
-                         (line_on & (F.col("status") == "cart")).alias("is_valid"))
-    # each add of a known product takes one unit of stock; no cart numbers are needed for it
-    stock_moves = events.where(is_add).groupBy("product_id").agg(
-        (-F.count(F.lit(1))).cast("long").alias("stock_change"))
-    return {"cart_orders": carts.select("customer_id", "cart_no", "opened_at", "checked_out_at", "status"),
-            "cart_lines": lines, "stock_moves": stock_moves}
+
+    def numbered_shared() -> DataFrame:
+        # the numbered events feed both the line and the cart aggregates: computed once and cut
+        # from their lineage with a reliable checkpoint in the shared checkpoint folder
+        ensure_checkpoint_dir(events.sparkSession)
+        return with_cart_numbers(events, chunk_seconds).checkpoint(eager=True)
+
+    shared = once(numbered_shared)
+    state: dict[str, bool] = {}
+
+    def carts_of(ev: DataFrame) -> DataFrame:
+        carts = ev.groupBy("customer_id", "cart_no").agg(
+            F.min(F.when(is_add, F.col("ts"))).alias("opened_at"),
+            F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
+        carts = carts.where(F.col("opened_at").isNotNull())
+        return carts.withColumn("status", F.when(F.col("checked_out_at").isNotNull(), "confirmed").otherwise("cart"))
+
+    def cart_lines() -> DataFrame:
+        ev = shared()
+        state["shared"] = True
+        # every line fact in one aggregate (partial before the shuffle): adds, first add, last
+        # remove and the last add/remove action
+        lines = ev.where(is_add | is_remove).groupBy(*line_keys).agg(
+            F.count_if(is_add).cast("int").alias("quantity"),
+            F.min(F.when(is_add, seq)).alias("_first_add"),
+            F.max(F.when(is_remove, seq)).alias("_last_remove"),
+            F.max_by(F.col("action"), seq).alias("_last_action")).where(F.col("quantity") > 0)
+        removed_after_add = F.coalesce(F.col("_last_remove") > F.col("_first_add"), F.lit(False))
+        line_on = (F.col("_last_action") == ADD) if reactivate_on_add else ~removed_after_add
+        lines = lines.join(carts_of(ev).select("customer_id", "cart_no", "status"), ["customer_id", "cart_no"]) \
+            .join(known, "product_id")
+        return lines.select(*line_keys, "quantity", "price",
+                            (line_on & (F.col("status") == "cart")).alias("is_valid"))
+
+    def cart_orders() -> DataFrame:
+        # alone, the numbering is read once and needs no checkpoint; after the lines it is reused
+        ev = shared() if state.get("shared") else with_cart_numbers(events, chunk_seconds)
+        return carts_of(ev).select("customer_id", "cart_no", "opened_at", "checked_out_at", "status")
+
+    def stock_moves() -> DataFrame:
+        # each add of a known product takes one unit of stock; no cart numbers are needed
+        return events.where(is_add).groupBy("product_id").agg(
+            (-F.count(F.lit(1))).cast("long").alias("stock_change"))
+
+    return LazyFrames({"cart_orders": cart_orders, "cart_lines": cart_lines, "stock_moves": stock_moves})
 
 
 def cart_totals(cart_lines: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.expr import active, text_equals
+from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.quality import contact_rules, table_rules, validate
 from mercato.operators.ranking import positions
 from mercato.sources.schemas import LINE_MONEY, SCHEMAS
@@ -89,9 +90,9 @@ def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFram
     if table == "employee":
         rules += contact_rules(typed.columns)
     good, bad = validate(typed, rules)
-    added = next_ids(good, store[table], key)
-    new_table = store[table].unionByName(_conform(added, table))
-    return {table: new_table, "rejects": _reject_rows(bad), "inserted": _conform(added, table)}
+    added = once(lambda: _conform(next_ids(good, store[table], key), table))
+    return LazyFrames({table: lambda: store[table].unionByName(added()),
+                       "rejects": lambda: _reject_rows(bad), "inserted": added})
 
 
 # ---- W2 ---------------------------------------------------------------------------------------
@@ -236,24 +237,31 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
         F.col(c) for c in o.columns])
     lines = od.join(hit, "order_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_hit").isNull()) \
         .select(*od.columns)
-    # one position per checkout gives both new ids (invoice and payment)
-    top_invoice = store["invoice"].agg(F.coalesce(F.max("invoice_id"), F.lit(0))).scalar()
-    top_payment = store["payment"].agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
-    inv = positions(done, "change_id", "_pos") \
-        .withColumn("invoice_id", (top_invoice + F.col("_pos")).cast("long")) \
-        .withColumn("payment_id", (top_payment + F.col("_pos")).cast("long"))
-    invoices = inv.select("invoice_id", "order_id", F.lit(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
-    payments = inv.select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
-                          "payment_method", F.lit(True).alias("is_valid"))
+    def numbered() -> DataFrame:
+        # one position per checkout gives both new ids (invoice and payment)
+        top_invoice = store["invoice"].agg(F.coalesce(F.max("invoice_id"), F.lit(0))).scalar()
+        top_payment = store["payment"].agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
+        return positions(done, "change_id", "_pos") \
+            .withColumn("invoice_id", (top_invoice + F.col("_pos")).cast("long")) \
+            .withColumn("payment_id", (top_payment + F.col("_pos")).cast("long"))
+
+    inv = once(numbered)
+
+    def invoices() -> DataFrame:
+        new = inv().select("invoice_id", "order_id", F.lit(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
+        return store["invoice"].unionByName(_conform(new, "invoice"))
+
+    def payments() -> DataFrame:
+        new = inv().select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
+                           "payment_method", F.lit(True).alias("is_valid"))
+        return store["payment"].unionByName(_conform(new, "payment"))
     c = store["customer"]
     bumps = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
     customers = c.join(bumps, "customer_id", "left").withColumn(
         "order_count", (F.col("order_count") + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
-    return {"orders": orders, "order_details": lines,
-            "invoice": store["invoice"].unionByName(_conform(invoices, "invoice")),
-            "payment": store["payment"].unionByName(_conform(payments, "payment")),
-            "customer": customers,
-            "rejects": _reject_rows(bad).unionByName(no_cart).unionByName(later)}
+    return LazyFrames({"orders": lambda: orders, "order_details": lambda: lines, "invoice": invoices,
+                       "payment": payments, "customer": lambda: customers,
+                       "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(later)})
 
 
 # ---- W8 ---------------------------------------------------------------------------------------
@@ -302,20 +310,25 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
              ("W9:supplier_inactive", F.col("_supp_ok").isNull()),
              ("W9:inactive_product", F.coalesce("_bad_item", F.lit(False)))]
     good, bad = validate(r, rules)
-    hdr = next_ids(good.select("change_id", "supplier_id", "employee_id", "expected_received_date"),
-                   store["purchase_order"], "purchase_order_id")
-    headers = hdr.select("purchase_order_id", "employee_id", "supplier_id", F.lit(as_of).alias("order_date"),
-                         "expected_received_date", F.lit(None).cast("date").alias("actual_received_date"),
-                         F.lit("pending").alias("delivery_status"), F.lit(True).alias("is_valid"))
-    lines = items.join(hdr.select("change_id", "purchase_order_id"), "change_id").select(
-        "purchase_order_id", "product_id", "price", "quantity", F.lit(True).alias("is_valid"))
-    out = {"purchase_order": store["purchase_order"].unionByName(_conform(headers, "purchase_order")),
-           "purchase_order_details": store["purchase_order_details"].unionByName(_conform(lines, "purchase_order_details")),
-           "rejects": _reject_rows(bad)}
+    hdr = once(lambda: next_ids(good.select("change_id", "supplier_id", "employee_id", "expected_received_date"),
+                                store["purchase_order"], "purchase_order_id"))
+
+    def headers() -> DataFrame:
+        new = hdr().select("purchase_order_id", "employee_id", "supplier_id", F.lit(as_of).alias("order_date"),
+                           "expected_received_date", F.lit(None).cast("date").alias("actual_received_date"),
+                           F.lit("pending").alias("delivery_status"), F.lit(True).alias("is_valid"))
+        return store["purchase_order"].unionByName(_conform(new, "purchase_order"))
+
+    new_lines = once(lambda: items.join(hdr().select("change_id", "purchase_order_id"), "change_id").select(
+        "purchase_order_id", "product_id", "price", "quantity", F.lit(True).alias("is_valid")))
+    out = {"purchase_order": headers,
+           "purchase_order_details": lambda: store["purchase_order_details"].unionByName(
+               _conform(new_lines(), "purchase_order_details")),
+           "rejects": lambda: _reject_rows(bad)}
     if stock_on == "create":
-        out["product"] = apply_stock(store["product"], lines.groupBy("product_id").agg(
+        out["product"] = lambda: apply_stock(store["product"], new_lines().groupBy("product_id").agg(
             F.sum("quantity").cast("long").alias("stock_change")))
-    return out
+    return LazyFrames(out)
 
 
 def apply_stock(product: DataFrame, moves: DataFrame) -> DataFrame:
@@ -382,15 +395,22 @@ def change_employee_type(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
         .select(*ce.columns)
     new_he = last.where(F.col("_t") == "hourly").select("employee_id", "hours_worked", "hourly_wages",
                                                         F.lit(True).alias("is_valid"))
-    contracts = next_ids(last.where(F.col("_t") == "contract"), store["contract"], "contract_id")
-    new_c = contracts.select("contract_id", "contract_start_date", "contract_end_date", "salary",
-                             F.lit(True).alias("is_valid"))
-    new_ce = contracts.select("employee_id", "contract_id", F.lit(True).alias("is_valid"))
-    hourly = he_closed.join(new_he.select("employee_id"), "employee_id", "left_anti").unionByName(_conform(new_he, "hourly_employee"))
-    contract_emp = ce_closed.join(new_ce.select("employee_id"), "employee_id", "left_anti") \
-        .unionByName(_conform(new_ce, "contract_employee"))
-    return {"hourly_employee": hourly, "contract_employee": contract_emp,
-            "contract": store["contract"].unionByName(_conform(new_c, "contract")), "rejects": _reject_rows(bad)}
+    contracts = once(lambda: next_ids(last.where(F.col("_t") == "contract"), store["contract"], "contract_id"))
+
+    def contract_employees() -> DataFrame:
+        new_ce = contracts().select("employee_id", "contract_id", F.lit(True).alias("is_valid"))
+        return ce_closed.join(new_ce.select("employee_id"), "employee_id", "left_anti") \
+            .unionByName(_conform(new_ce, "contract_employee"))
+
+    def contract_rows() -> DataFrame:
+        new_c = contracts().select("contract_id", "contract_start_date", "contract_end_date", "salary",
+                                   F.lit(True).alias("is_valid"))
+        return store["contract"].unionByName(_conform(new_c, "contract"))
+
+    hourly = he_closed.join(new_he.select("employee_id"), "employee_id", "left_anti") \
+        .unionByName(_conform(new_he, "hourly_employee"))
+    return LazyFrames({"hourly_employee": lambda: hourly, "contract_employee": contract_employees,
+                       "contract": contract_rows, "rejects": lambda: _reject_rows(bad)})
 
 
 # ---- W12 --------------------------------------------------------------------------------------

@@ -168,7 +168,7 @@ def test_line_aggregate_reads_buckets_without_exchange(spark):
     assert "Exchange" not in text.split("\n\n")[0]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("R")))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_products(spark, name):
     text = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
