@@ -33,15 +33,19 @@ def top1_per_group(df: DataFrame, group_cols: list[str], value: str, tie: str,
 
 
 def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int | None = None,
-                    relative_error: float = 0.001, ascending: bool = False) -> DataFrame:
+                    relative_error: float = 0.001, ascending: bool = False,
+                    materialize: bool = True) -> DataFrame:
     """Add ``rank`` = 1 + number of distinct ``value``s greater than this row's value
-    (smaller, with ``ascending=True``)."""
+    (smaller, with ``ascending=True``). ``materialize=False`` skips the checkpoint of the
+    distinct values when ``df`` is already cheap to read (e.g. itself checkpointed)."""
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(spark)
-    # the distinct values are read twice (cut points, ranks): cut from the lineage once
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct() \
-        .withColumn("_v", F.col(value).cast("double")).checkpoint(eager=True)
+        .withColumn("_v", F.col(value).cast("double"))
+    if materialize:
+        # the distinct values are read twice (cut points, ranks): cut from the lineage once
+        ensure_checkpoint_dir(spark)
+        distinct = distinct.checkpoint(eager=True)
     cuts: list[float] = []
     if n > 1:
         probs = [i / n for i in range(1, n)]
@@ -53,7 +57,11 @@ def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int |
         b = F.col("_b").cast("int")
         ranged = ranged.withColumn("_range", b if ascending else F.lit(len(splits) - 2) - b).drop("_b")
     else:
-        ranged = distinct.withColumn("_range", F.lit(0))
+        # a single range (no rows, or one range asked for): no offsets to add
+        local = distinct.withColumn("_local", F.row_number().over(
+            Window.orderBy(F.col(value).asc() if ascending else F.col(value).desc())))
+        ranks = local.select(value, F.col("_local").cast("long").alias(rank))
+        return df.join(ranks, value, "left")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range (bounded by ``ranges``): prefix sums on a tiny frame
     offsets = sizes.select("_range", (F.sum("_n").over(

@@ -162,7 +162,7 @@ def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_s
     totals = store["customer"].select("customer_id").join(spend.select("customer_id", "total_spent"),
                                                           "customer_id", "left") \
         .select("customer_id", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)).alias("total_spent"))
-    ranks = dense_rank_desc(totals, "total_spent", "spend_rank").select("customer_id", "spend_rank")
+    ranks = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False).select("customer_id", "spend_rank")
     return out.join(ranks, "customer_id", "left").select(*PROFILE_COLUMNS)
 
 

@@ -172,3 +172,15 @@ def test_line_aggregate_reads_buckets_without_exchange(spark):
 def test_no_cartesian_products(spark, name):
     text = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_stock_equals_start_plus_moves(spark, small):
+    out = fold_carts(feeds.carts(small), small["product"])
+    after = W.apply_stock(small["product"], out["stock_moves"])
+    start = small["product"].select("product_id", F.col("stock_quantity").alias("start"))
+    j = after.join(start, "product_id").join(out["stock_moves"], "product_id", "left")
+    bad = j.where(F.col("stock_quantity") != F.col("start") + F.coalesce("stock_change", F.lit(0)))
+    assert bad.count() == 0
+    # stock moves are exactly the adds of the fold's lines
+    moved = out["cart_lines"].groupBy("product_id").agg((-F.sum("quantity")).alias("q"))
+    assert moved.join(out["stock_moves"], "product_id").where("q != stock_change").count() == 0
