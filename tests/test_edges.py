@@ -148,3 +148,13 @@ def test_search_wildcards_and_flags(edge):
     assert L.list_products(edge).count() == 3
     assert L.list_purchase_orders(edge, "delivery_status", "PENDING").count() == 3
     assert L.list_purchase_orders(edge, "is_valid", "maybe").count() == 3  # tri-state: no filter
+
+
+def test_profile_for_a_set_of_ids(spark, edge):
+    ids = spark.createDataFrame([(1,), (3,)], "customer_id long")
+    part = _by(C.customer_profile(edge, customer_ids=ids), "customer_id")
+    full = _by(C.customer_profile(edge), "customer_id")
+    assert sorted(part) == [1, 3]
+    assert all(part[i] == full[i] for i in (1, 3))   # the rank still counts every customer
+    lines = L.order_lines(edge, order_ids=spark.createDataFrame([(100,)], "order_id long")).collect()
+    assert [(r["product_id"], r["order_total"], r["line_count"]) for r in lines] == [(10, D("10.00"), 1)]
