@@ -281,6 +281,12 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
                 parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
                 if name == "lineitem":
                     line_bytes += st.getLen()
+    # the code that builds the snapshot is part of its identity: a changed mapping never
+    # reuses a snapshot staged by older code
+    import pathlib
+    here = pathlib.Path(__file__).resolve().parent
+    code = "".join((here / f).read_text() for f in ("adapter.py", "schemas.py", "store.py"))
+    parts.append(hashlib.sha1(code.encode()).hexdigest())
     return hashlib.sha1("|".join([sf_dir] + parts).encode()).hexdigest()[:16], line_bytes
 
 
