@@ -83,5 +83,8 @@ def keep_at_least_max(groups: DataFrame, value: str, reference: DataFrame) -> Da
 
 def positions(df: DataFrame, order_col: str, out: str = "position") -> DataFrame:
     """1-based position of each row by a unique ``order_col`` (ids for new rows: repeatable,
-    unlike ``monotonically_increasing_id``), computed without a one-partition window."""
-    return dense_rank_desc(df, order_col, out, ascending=True)
+    unlike ``monotonically_increasing_id``), computed without a one-partition window. The
+    rows are read for the cut points, the ranks and the join back, so they are computed once
+    (reliable checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return dense_rank_desc(df.checkpoint(eager=True), order_col, out, ascending=True, materialize=False)

@@ -120,8 +120,11 @@ def avg_order_value(store: Store, line_scope: str = "all", customer_ids=None) ->
 def spend_rank(store: Store, line_scope: str = "all", customer_ids=None) -> DataFrame:
     """1 + number of distinct customer totals above this customer's total (a dense rank;
     customers without orders have total 0 and rank after every positive total)."""
-    totals = total_spent(store, line_scope)
-    ranked = dense_rank_desc(totals, "total_spent", "spend_rank").select("customer_id", "spend_rank")
+    # totals are read for the cut points, the ranks and the join back: computed once
+    ensure_checkpoint_dir(store.spark)
+    totals = total_spent(store, line_scope).checkpoint(eager=True)
+    ranked = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False) \
+        .select("customer_id", "spend_rank")
     if customer_ids is not None:
         ranked = lookup(ranked, customer_ids, "customer_id")
     return ranked
