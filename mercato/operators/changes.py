@@ -48,10 +48,13 @@ REJECTS_SCHEMA = "change_id long, reason string"
 
 
 def _conform(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``table`` in order and type. Values are converted with ``try_cast``: a value
+    that does not parse becomes NULL and is then rejected by the required / NOT NULL rules,
+    instead of failing the whole job under ANSI mode (S10)."""
     cols = []
     for f in SCHEMAS[table].fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        cols.append(c.try_cast(f.dataType).alias(f.name))
     return df.select(*keep, *cols)
 
 
@@ -85,11 +88,18 @@ def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFram
     schema = SCHEMAS[table]
     rules = [(f"V10:{c}:required", _missing(c, schema[c].dataType)) for c in REQUIRED.get(table, []) if c in rows.columns]
     rules += [(f"V10:{c}:required", F.lit(True)) for c in REQUIRED.get(table, []) if c not in rows.columns]
-    typed = _conform(rows, table, keep=("change_id",)).drop(key)
+    # values supplied but not parseable as the column's type
+    rules += [(f"S10:{c}:unparsable", F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull())
+              for c in rows.columns if c in schema.fieldNames() and c != key]
+    raw = [F.col(c).cast("string").alias(f"_raw_{c}") for c in rows.columns if c in schema.fieldNames() and c != key]
+    typed = rows.select("*", *raw)
+    typed = _conform(typed, table, keep=("change_id", *[f"_raw_{c}" for c in rows.columns
+                                                       if c in schema.fieldNames() and c != key])).drop(key)
     rules += [r for r in table_rules(table, [c for c in typed.columns if c != "change_id"]) if not r[0].startswith("V2:" + key)]
     if table == "employee":
         rules += contact_rules(typed.columns)
     good, bad = validate(typed, rules)
+    good = good.drop(*[c for c in good.columns if c.startswith("_raw_")])
     added = once(lambda: _conform(next_ids(good, store[table], key), table))
     return LazyFrames({table: lambda: store[table].unionByName(added()),
                        "rejects": lambda: _reject_rows(bad), "inserted": added})

@@ -205,3 +205,13 @@ def test_stream_batch_replay_is_idempotent(spark):
         assert Counter(tuple(r) for r in after.collect()) == before[n], n
         expect = batch[n].select(*after.columns)
         assert after.exceptAll(expect).count() == 0 and expect.exceptAll(after).count() == 0, n
+
+
+def test_insert_quarantines_unparsable_values(spark, small):
+    feed = spark.createDataFrame([(1, "Bolt", "X", "abc", "3"), (2, "Nut", "Y", "2.50", "4")],
+                                 "change_id long, product_name string, category string, price string, "
+                                 "stock_quantity string")
+    out = W.insert_rows(small, "product", feed)
+    reasons = {(r["change_id"], r["reason"]) for r in out["rejects"].collect()}
+    assert (1, "S10:price:unparsable") in reasons and (1, "V10:price:required") in reasons
+    assert [(r["product_name"], str(r["price"])) for r in out["inserted"].collect()] == [("Nut", "2.50")]
