@@ -31,10 +31,10 @@ def raw_line_feed(store: Store) -> DataFrame:
 
 
 def product_patches(store: Store) -> DataFrame:
-    """W2 feed: products with key % 7 = 0 get a price patch (even keys) or a category set to
-    NULL (odd keys); key % 21 = 0 gets a second, later patch of name and price; key % 49 = 0
-    also sends a patch for an unknown key; key % 35 = 0 also sends an empty patch."""
-    p = store.driver["part"].where(F.col("p_partkey") % 7 == 0)
+    """W2 feed, three patches for every product: (1) even keys patch the price, odd keys set
+    the category to NULL; (2) a later patch of name and price (key % 3 = 0), an empty patch
+    (key % 3 = 1) or a price patch (key % 3 = 2); (3) a price patch for an unknown key."""
+    p = store.driver["part"]
     k = F.col("p_partkey")
     name = F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), F.col("p_size").cast("string"))
     price = F.col("p_retailprice").cast("decimal(10,2)")
@@ -43,40 +43,38 @@ def product_patches(store: Store) -> DataFrame:
                      F.when(k % 2 == 0, F.array(F.lit("price"))).otherwise(F.array(F.lit("category"))).alias("set_fields"),
                      F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
                      (price + F.lit(1)).cast("decimal(10,2)").alias("price"))
-    second = p.where(k % 21 == 0).select(
-        (k * 10 + 2).alias("change_id"), k.alias("product_id"), F.array(F.lit("product_name"), F.lit("price")).alias("set_fields"),
+    second = p.select(
+        (k * 10 + 2).alias("change_id"), k.alias("product_id"),
+        F.when(k % 3 == 0, F.array(F.lit("product_name"), F.lit("price")))
+         .when(k % 3 == 1, F.array().cast("array<string>"))
+         .otherwise(F.array(F.lit("price"))).alias("set_fields"),
         F.concat(name, F.lit(" v2")).alias("product_name"), F.lit(None).cast("string").alias("category"),
         (price + F.lit(2)).cast("decimal(10,2)").alias("price"))
-    unknown = p.where(k % 49 == 0).select(
+    unknown = p.select(
         (k * 10 + 3).alias("change_id"), (k + UNKNOWN_OFFSET).alias("product_id"), F.array(F.lit("price")).alias("set_fields"),
         F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
         price.alias("price"))
-    empty = p.where(k % 35 == 0).select(
-        (k * 10 + 4).alias("change_id"), k.alias("product_id"), F.array().cast("array<string>").alias("set_fields"),
-        F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
-        price.alias("price"))
-    return first.select(*cols).unionByName(second.select(*cols)).unionByName(unknown.select(*cols)) \
-        .unionByName(empty.select(*cols))
+    return first.select(*cols).unionByName(second.select(*cols)).unionByName(unknown.select(*cols))
 
 
 def product_flags(store: Store) -> DataFrame:
-    """W3 feed: key % 13 = 0 deactivate; key % 26 = 0 also reactivate later; key % 39 = 0 also
-    asks for an unknown key."""
-    p = store.driver["part"].where(F.col("p_partkey") % 13 == 0)
+    """W3 feed, for every product: a deactivation, then a later request that reactivates even
+    keys and deactivates odd keys again, and a deactivation of an unknown key."""
+    p = store.driver["part"]
     k = F.col("p_partkey")
     off = p.select((k * 10 + 1).alias("change_id"), k.alias("product_id"), F.lit(False).alias("flag"))
-    on = p.where(k % 26 == 0).select((k * 10 + 2).alias("change_id"), k.alias("product_id"), F.lit(True).alias("flag"))
-    unknown = p.where(k % 39 == 0).select((k * 10 + 3).alias("change_id"), (k + UNKNOWN_OFFSET).alias("product_id"),
-                                          F.lit(False).alias("flag"))
-    return off.unionByName(on).unionByName(unknown)
+    again = p.select((k * 10 + 2).alias("change_id"), k.alias("product_id"), (k % 2 == 0).alias("flag"))
+    unknown = p.select((k * 10 + 3).alias("change_id"), (k + UNKNOWN_OFFSET).alias("product_id"),
+                       F.lit(False).alias("flag"))
+    return off.unionByName(again).unionByName(unknown)
 
 
 def product_deletes(store: Store) -> DataFrame:
-    """W5 feed: key % 17 = 0, plus unknown ids for key % 34 = 0."""
-    p = store.driver["part"].where(F.col("p_partkey") % 17 == 0)
-    k = F.col("p_partkey")
-    return p.select(k.alias("product_id")).unionByName(
-        p.where(k % 34 == 0).select((k + UNKNOWN_OFFSET).alias("product_id")))
+    """W5 feed: archive every inactive product, and ask for an unknown id per product."""
+    p = store["product"]
+    k = F.col("product_id")
+    return p.where(~F.col("is_valid")).select(k.alias("product_id")).unionByName(
+        p.select((k + UNKNOWN_OFFSET).alias("product_id")))
 
 
 def carts(store: Store) -> DataFrame:
@@ -85,9 +83,9 @@ def carts(store: Store) -> DataFrame:
 
 
 def checkout_requests(store: Store) -> DataFrame:
-    """W7 feed: customers with even key ask to check out; key % 6 = 0 leaves the email out;
-    key % 4 = 0 pays by card, and key % 8 = 4 sends no card fields."""
-    c = store.driver["customer"].where(F.col("c_custkey") % 2 == 0)
+    """W7 feed: every customer asks to check out; key % 6 = 0 leaves the email out; key % 4 = 0
+    pays by card, and key % 8 = 4 sends no card fields."""
+    c = store.driver["customer"]
     k = F.col("c_custkey")
     return c.select(k.alias("change_id"), k.alias("customer_id"), F.col("c_name").alias("name"),
                     F.when(k % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@shop.test")))
@@ -97,9 +95,9 @@ def checkout_requests(store: Store) -> DataFrame:
 
 
 def order_status_updates(store: Store) -> DataFrame:
-    """W8 feed: orders with key % 30 = 1 are set to 'Completed' three days after the order
-    date by the owning employee (key % 60 = 31: by another employee)."""
-    o = store.driver["orders"].where(F.col("o_orderkey") % 30 == 1)
+    """W8 feed: every order is set to 'Completed' three days after its order date, by its own
+    employee (key % 60 = 31: by another employee)."""
+    o = store.driver["orders"]
     k = F.col("o_orderkey")
     owner = F.col("o_custkey") % 25
     return o.select(k.alias("change_id"), k.alias("order_id"),
@@ -109,9 +107,9 @@ def order_status_updates(store: Store) -> DataFrame:
 
 
 def purchase_requests(store: Store) -> tuple[DataFrame, DataFrame]:
-    """W9 feed: lineitem rows with l_orderkey % 100 = 3, one request per (order, supplier),
-    expected 30 days after the latest ship date; items are the request's parts."""
-    li = store.driver["lineitem"].where(F.col("l_orderkey") % 100 == 3)
+    """W9 feed: one request per (order, supplier) of the whole line table, expected 30 days
+    after the latest ship date; items are the request's parts."""
+    li = store.driver["lineitem"]
     cid = F.col("l_orderkey") * PO_KEY_STRIDE + F.col("l_suppkey")
     headers = li.groupBy("l_orderkey", "l_suppkey").agg(F.max(F.to_date("l_shipdate")).alias("_last")).select(
         cid.alias("change_id"), F.col("l_suppkey").alias("supplier_id"), (F.col("l_suppkey") % 25).alias("employee_id"),
@@ -124,9 +122,9 @@ def purchase_requests(store: Store) -> tuple[DataFrame, DataFrame]:
 
 
 def purchase_status_updates(store: Store) -> DataFrame:
-    """W10 feed: purchase orders with id % 7 = 0 are 'Received' 12 days after their order
-    date; id % 7 = 1 'Shipped'."""
-    po = store["purchase_order"].where(F.col("purchase_order_id") % 7 <= 1)
+    """W10 feed: every purchase order: id % 7 = 0 is 'Received' 12 days after its order date,
+    the others 'Shipped'."""
+    po = store["purchase_order"]
     k = F.col("purchase_order_id")
     return po.select(k.alias("change_id"), k.alias("purchase_order_id"),
                      F.when(k % 7 == 0, F.lit("Received")).otherwise(F.lit("Shipped")).alias("status"),
@@ -134,9 +132,10 @@ def purchase_status_updates(store: Store) -> DataFrame:
 
 
 def employee_type_changes(store: Store) -> DataFrame:
-    """W11 feed: every nation-employee with key % 4 = 1 changes type: odd keys / 4 to hourly,
-    even to contract; key 9 asks twice (the later wins)."""
-    n = store.driver["nation"].where(F.col("n_nationkey") % 4 == 1)
+    """W11 feed: every nation-employee asks twice: first hourly when (key / 4) is odd, else
+    contract; then the same again, except key % 9 = 0, which asks to become regular (the later
+    request wins)."""
+    n = store.driver["nation"]
     k = F.col("n_nationkey").cast("long")
     to_hourly = (F.col("n_nationkey") / 4).cast("int") % 2 == 1
     base = n.select((k * 10 + 1).alias("change_id"), k.alias("employee_id"),
@@ -146,16 +145,15 @@ def employee_type_changes(store: Store) -> DataFrame:
                     F.when(~to_hourly, F.lit(_dt.date(2024, 1, 1))).alias("contract_start_date"),
                     F.when(~to_hourly, F.lit(_dt.date(2024, 12, 31))).alias("contract_end_date"),
                     F.when(~to_hourly, F.lit(50000)).cast("decimal(10,2)").alias("salary"))
-    again = base.where(F.col("employee_id") == 9).withColumn("change_id", F.col("change_id") + 1) \
-        .withColumn("new_type", F.lit("regular"))
+    again = base.withColumn("change_id", F.col("change_id") + 1) \
+        .withColumn("new_type", F.when(F.col("employee_id") % 9 == 0, F.lit("regular")).otherwise(F.col("new_type")))
     return base.unionByName(again)
 
 
 def product_creates(store: Store) -> DataFrame:
-    """W1 feed: parts with key % 50 = 0 are offered as new products named '<name> new' at
-    950 below their retail price (some prices fall to zero or below); key % 100 = 0 comes
-    without a name."""
-    p = store.driver["part"].where(F.col("p_partkey") % 50 == 0)
+    """W1 feed: every part is offered as a new product named '<name> new' at 950 below its
+    retail price (some prices fall to zero or below); key % 100 = 0 comes without a name."""
+    p = store.driver["part"]
     k = F.col("p_partkey")
     return p.select(k.alias("change_id"),
                     F.when(k % 100 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(" new"))).alias("product_name"),
@@ -165,14 +163,14 @@ def product_creates(store: Store) -> DataFrame:
 
 
 def employee_deactivations(store: Store) -> DataFrame:
-    """W4 feed: nation-employees with key % 5 = 0 are deactivated."""
-    n = store.driver["nation"].where(F.col("n_nationkey") % 5 == 0)
+    """W4 feed: every nation-employee: key % 5 = 0 is deactivated, the others reactivated."""
+    n = store.driver["nation"]
     k = F.col("n_nationkey").cast("long")
-    return n.select(k.alias("change_id"), k.alias("employee_id"), F.lit(False).alias("flag"))
+    return n.select(k.alias("change_id"), k.alias("employee_id"), (k % 5 != 0).alias("flag"))
 
 
 def purchase_order_deactivations(store: Store) -> DataFrame:
-    """W4 feed: purchase orders with id % 9 = 0 are withdrawn."""
-    po = store["purchase_order"].where(F.col("purchase_order_id") % 9 == 0)
+    """W4 feed: every purchase order is withdrawn (only active, pending ones may be)."""
+    po = store["purchase_order"]
     k = F.col("purchase_order_id")
     return po.select(k.alias("change_id"), k.alias("purchase_order_id"), F.lit(False).alias("flag"))

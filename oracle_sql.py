@@ -482,18 +482,17 @@ _PATCHES = """patches AS (
         CASE WHEN p_partkey % 2 = 0 THEN ['price'] ELSE ['category'] END AS set_fields,
         CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS category,
         CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 1 AS DECIMAL(10,2)) AS price
-    FROM part WHERE p_partkey % 7 = 0
+    FROM part
     UNION ALL
-    SELECT p_partkey * 10 + 2, p_partkey, ['product_name', 'price'],
+    SELECT p_partkey * 10 + 2, p_partkey,
+        CASE WHEN p_partkey % 3 = 0 THEN ['product_name', 'price'] WHEN p_partkey % 3 = 1 THEN CAST([] AS VARCHAR[])
+             ELSE ['price'] END,
         p_name || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) || ' v2', CAST(NULL AS VARCHAR),
         CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 2 AS DECIMAL(10,2))
-    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 21 = 0
+    FROM part
     UNION ALL
     SELECT p_partkey * 10 + 3, p_partkey + 10000000, ['price'], NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
-    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 49 = 0
-    UNION ALL
-    SELECT p_partkey * 10 + 4, p_partkey, CAST([] AS VARCHAR[]), NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
-    FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 35 = 0),
+    FROM part),
 okp AS (SELECT pt.* FROM patches pt JOIN st_product s ON pt.product_id = s.product_id AND s.is_valid
         WHERE len(pt.set_fields) > 0),
 lp AS (SELECT product_id,
@@ -517,9 +516,9 @@ ORACLE["W2_patch_rejects"] = with_store("""SELECT change_id,
        OR NOT EXISTS (SELECT 1 FROM st_product s WHERE s.product_id = pt.product_id AND s.is_valid)""", _PATCHES)
 
 _FLAGS = """flags AS (
-    SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id, FALSE AS flag FROM part WHERE p_partkey % 13 = 0
-    UNION ALL SELECT p_partkey * 10 + 2, p_partkey, TRUE FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 26 = 0
-    UNION ALL SELECT p_partkey * 10 + 3, p_partkey + 10000000, FALSE FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 39 = 0),
+    SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id, FALSE AS flag FROM part
+    UNION ALL SELECT p_partkey * 10 + 2, p_partkey, p_partkey % 2 = 0 FROM part
+    UNION ALL SELECT p_partkey * 10 + 3, p_partkey + 10000000, FALSE FROM part),
 lastf AS (SELECT product_id, MAX(change_id) AS change_id, arg_max(flag, change_id) AS flag FROM flags GROUP BY product_id),
 reqf AS (SELECT l.*, s.is_valid AS old,
         COALESCE(CASE WHEN l.flag THEN s.is_valid IS NOT NULL ELSE s.is_valid = TRUE END, FALSE) AS ok
@@ -531,8 +530,8 @@ ORACLE["W3_flag_rejects"] = with_store("""SELECT change_id,
         CASE WHEN old IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason FROM reqf WHERE NOT ok
     UNION ALL SELECT change_id, 'W3:superseded' FROM flags WHERE change_id NOT IN (SELECT change_id FROM lastf)""", _FLAGS)
 
-_DELETES = """dels AS (SELECT p_partkey AS product_id FROM part WHERE p_partkey % 17 = 0
-    UNION SELECT p_partkey + 10000000 FROM part WHERE p_partkey % 17 = 0 AND p_partkey % 34 = 0)"""
+_DELETES = """dels AS (SELECT product_id FROM st_product WHERE NOT is_valid
+    UNION SELECT product_id + 10000000 FROM st_product)"""
 ORACLE["W5_product_archive"] = with_store("""SELECT product_id, product_name, category, price, stock_quantity, stock_arrival_date,
         TIMESTAMP '2024-02-01 12:00:00' AS archived_at
     FROM st_product WHERE product_id IN (SELECT product_id FROM dels)""", _DELETES)
@@ -570,7 +569,7 @@ ORACLE["W6_stock_moves"] = with_store("""SELECT product_id, CAST(-COUNT(*) AS BI
 _STATUS = """upd AS (SELECT o_orderkey AS change_id, o_orderkey AS order_id,
         CASE WHEN o_orderkey % 60 = 31 THEN (o_custkey % 25 + 1) % 25 ELSE o_custkey % 25 END AS employee_id,
         'Completed' AS status, CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) AS received_date
-    FROM orders WHERE o_orderkey % 30 = 1),
+    FROM orders),
 okst AS (SELECT u.* FROM upd u JOIN st_orders o ON o.order_id = u.order_id AND o.is_valid AND o.employee_id = u.employee_id),
 lastst AS (SELECT order_id, arg_max(status, change_id) AS status, arg_max(received_date, change_id) AS rd
     FROM okst GROUP BY order_id)"""
@@ -584,7 +583,7 @@ ORACLE["W8_status_changed_orders"] = with_store("""SELECT o.order_id, o.customer
 ORACLE["W8_status_rejects"] = with_store("""SELECT change_id, 'W8:not_found_or_not_owned' AS reason FROM upd
     WHERE change_id NOT IN (SELECT change_id FROM okst)""", _STATUS)
 
-_PURCHASE = """li AS (SELECT * FROM lineitem WHERE l_orderkey % 100 = 3),
+_PURCHASE = """li AS (SELECT * FROM lineitem),
 hdr AS (SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_suppkey AS supplier_id, l_suppkey % 25 AS employee_id,
         CAST(MAX(CAST(l_shipdate AS DATE)) + 30 AS DATE) AS expected_received_date
     FROM li GROUP BY l_orderkey, l_suppkey),
@@ -629,7 +628,7 @@ req AS (SELECT c_custkey AS change_id, c_custkey AS customer_id, c_name AS name,
         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@shop.test' END AS email,
         CASE WHEN c_custkey % 4 = 0 THEN 'card' ELSE 'cash' END AS payment_method,
         c_custkey % 8 <> 4 AS has_card_fields
-    FROM customer WHERE c_custkey % 2 = 0),
+    FROM customer),
 chk AS (SELECT r.*,
         (NULLIF(trim(name), '') IS NULL OR NULLIF(trim(email), '') IS NULL OR NULLIF(trim(payment_method), '') IS NULL)
             AS r_missing,
@@ -661,7 +660,7 @@ ORACLE["W10_received_products"] = with_store("""SELECT p.product_id, p.product_n
     """upd AS (SELECT purchase_order_id,
         CASE WHEN purchase_order_id % 7 = 0 THEN 'Received' ELSE 'Shipped' END AS status,
         CASE WHEN purchase_order_id % 7 = 0 THEN CAST(order_date + 12 AS DATE) END AS rd
-    FROM st_purchase_order WHERE purchase_order_id % 7 <= 1),
+    FROM st_purchase_order),
 rec AS (SELECT purchase_order_id, rd FROM upd WHERE lower(status) = 'received' AND rd IS NOT NULL),
 pp AS (SELECT pod.product_id, MAX(r.rd) AS arrival, SUM(pod.quantity) AS q
     FROM st_purchase_order_details pod JOIN rec r ON pod.purchase_order_id = r.purchase_order_id
@@ -670,8 +669,10 @@ pp AS (SELECT pod.product_id, MAX(r.rd) AS arrival, SUM(pod.quantity) AS q
 _TYPES = """chg AS (
     SELECT n * 10 + 1 AS change_id, n AS employee_id,
         CASE WHEN (n // 4) % 2 = 1 THEN 'hourly' ELSE 'contract' END AS new_type
-    FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey % 4 = 1) k
-    UNION ALL SELECT 92, 9, 'regular'),
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation) k
+    UNION ALL
+    SELECT n * 10 + 2, n, CASE WHEN n % 9 = 0 THEN 'regular' WHEN (n // 4) % 2 = 1 THEN 'hourly' ELSE 'contract' END
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation) k),
 okt AS (SELECT c.* FROM chg c JOIN st_employee e ON c.employee_id = e.employee_id AND e.is_valid),
 lastt AS (SELECT employee_id, MAX(change_id) AS change_id, arg_max(new_type, change_id) AS t FROM okt GROUP BY employee_id)"""
 ORACLE["W11_hourly_after"] = with_store("""SELECT he.employee_id, he.hours_worked, he.hourly_wages,
@@ -687,7 +688,7 @@ ORACLE["W11_contract_employee_after"] = with_store("""SELECT ce.employee_id, ce.
 _CREATES = """req AS (SELECT p_partkey AS change_id,
         CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_name || ' new' END AS product_name, p_type AS category,
         CAST(p_retailprice - 950 AS DECIMAL(10,2)) AS price, CAST(p_size AS INTEGER) AS stock_quantity
-    FROM part WHERE p_partkey % 50 = 0),
+    FROM part),
 bad AS (
     SELECT change_id, 'V10:product_name:required' AS reason FROM req WHERE NULLIF(trim(product_name), '') IS NULL
     UNION ALL SELECT change_id, 'V10:category:required' FROM req WHERE NULLIF(trim(category), '') IS NULL
@@ -706,19 +707,21 @@ ORACLE["W1_inserted_products"] = with_store("""SELECT
     FROM req WHERE change_id NOT IN (SELECT change_id FROM bad)""", _CREATES)
 ORACLE["W1_insert_rejects"] = with_store("SELECT change_id, reason FROM bad", _CREATES)
 
-_EMP_OFF = """eoff AS (SELECT CAST(n_nationkey AS BIGINT) AS change_id, CAST(n_nationkey AS BIGINT) AS employee_id
-    FROM nation WHERE n_nationkey % 5 = 0),
-eacc AS (SELECT o.employee_id FROM eoff o JOIN st_employee e ON o.employee_id = e.employee_id AND e.is_valid)"""
+_EMP_OFF = """eflags AS (SELECT CAST(n_nationkey AS BIGINT) AS change_id, CAST(n_nationkey AS BIGINT) AS employee_id,
+        n_nationkey % 5 <> 0 AS flag FROM nation),
+ereq AS (SELECT f.*, e.is_valid AS old,
+        COALESCE(CASE WHEN f.flag THEN e.is_valid IS NOT NULL ELSE e.is_valid = TRUE END, FALSE) AS ok
+    FROM eflags f LEFT JOIN st_employee e ON f.employee_id = e.employee_id),
+eacc AS (SELECT employee_id FROM ereq WHERE ok AND NOT flag)"""
 ORACLE["W4_hourly_after_deactivation"] = with_store("""SELECT he.employee_id, he.hours_worked, he.hourly_wages,
         he.is_valid AND he.employee_id NOT IN (SELECT employee_id FROM eacc) AS is_valid
     FROM st_hourly_employee he""", _EMP_OFF)
-ORACLE["W4_employee_rejects"] = with_store("""SELECT o.change_id,
-        CASE WHEN e.employee_id IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason
-    FROM eoff o LEFT JOIN st_employee e ON o.employee_id = e.employee_id
-    WHERE e.employee_id IS NULL OR NOT e.is_valid""", _EMP_OFF)
+ORACLE["W4_employee_rejects"] = with_store("""SELECT change_id,
+        CASE WHEN old IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason
+    FROM ereq WHERE NOT ok""", _EMP_OFF)
 _PO_OFF = """poff AS (SELECT purchase_order_id AS change_id, purchase_order_id, is_valid,
         lower(delivery_status) = 'pending' AS pending
-    FROM st_purchase_order WHERE purchase_order_id % 9 = 0)"""
+    FROM st_purchase_order)"""
 ORACLE["W4_purchase_lines_after"] = with_store("""SELECT pod.purchase_order_id, pod.product_id, pod.price, pod.quantity,
         CASE WHEN pod.purchase_order_id IN (SELECT purchase_order_id FROM poff WHERE is_valid AND pending) THEN FALSE
              ELSE pod.is_valid END AS is_valid
