@@ -125,12 +125,12 @@ def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], ba
     tables = dict(previous["tables"]) if previous else {}
     specs = dict(previous.get("buckets", {})) if previous else {}
     n = buckets or bucket_count(spark)
-    for t, df in changed.items():
+    for t in changed:
         if t not in SCHEMAS:
-            continue  # rejects and reports are not store tables
+            continue  # rejects and reports are not store tables (and are not built)
         path = f"{root}/{version}/{t}"
         specs.pop(t, None)
-        spec = write_table(df.select(*SCHEMAS[t].fieldNames()), path, t, n)
+        spec = write_table(changed[t].select(*SCHEMAS[t].fieldNames()), path, t, n)
         tables[t] = path
         if spec:
             specs[t] = spec
