@@ -261,16 +261,19 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
         new = inv().select("invoice_id", "order_id", F.lit(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
         return store["invoice"].unionByName(_conform(new, "invoice"))
 
-    def payments() -> DataFrame:
+    def new_payments() -> DataFrame:
         new = inv().select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
                            "payment_method", F.lit(True).alias("is_valid"))
-        return store["payment"].unionByName(_conform(new, "payment"))
+        return _conform(new, "payment")
+
+    def payments() -> DataFrame:
+        return store["payment"].unionByName(new_payments())
     c = store["customer"]
     bumps = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
     customers = c.join(bumps, "customer_id", "left").withColumn(
         "order_count", (F.col("order_count") + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
     return LazyFrames({"orders": lambda: orders, "order_details": lambda: lines, "invoice": invoices,
-                       "payment": payments, "customer": lambda: customers,
+                       "payment": payments, "new_payments": new_payments, "customer": lambda: customers,
                        "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(later)})
 
 
@@ -323,15 +326,18 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     hdr = once(lambda: next_ids(good.select("change_id", "supplier_id", "employee_id", "expected_received_date"),
                                 store["purchase_order"], "purchase_order_id"))
 
-    def headers() -> DataFrame:
+    def new_headers() -> DataFrame:
         new = hdr().select("purchase_order_id", "employee_id", "supplier_id", F.lit(as_of).alias("order_date"),
                            "expected_received_date", F.lit(None).cast("date").alias("actual_received_date"),
                            F.lit("pending").alias("delivery_status"), F.lit(True).alias("is_valid"))
-        return store["purchase_order"].unionByName(_conform(new, "purchase_order"))
+        return _conform(new, "purchase_order")
+
+    def headers() -> DataFrame:
+        return store["purchase_order"].unionByName(new_headers())
 
     new_lines = once(lambda: items.join(hdr().select("change_id", "purchase_order_id"), "change_id").select(
         "purchase_order_id", "product_id", "price", "quantity", F.lit(True).alias("is_valid")))
-    out = {"purchase_order": headers,
+    out = {"purchase_order": headers, "new_purchase_orders": new_headers,
            "purchase_order_details": lambda: store["purchase_order_details"].unionByName(
                _conform(new_lines(), "purchase_order_details")),
            "rejects": lambda: _reject_rows(bad)}

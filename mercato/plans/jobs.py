@@ -72,8 +72,7 @@ def _checkout(st: Store) -> dict[str, DataFrame]:
 
 
 def _new_payments(st: Store) -> DataFrame:
-    out = _checkout(st)["payment"]
-    return out.join(st["payment"].select("payment_id"), "payment_id", "left_anti")
+    return _checkout(st)["new_payments"]
 
 
 def _purchase(st: Store) -> dict[str, DataFrame]:
@@ -82,8 +81,7 @@ def _purchase(st: Store) -> dict[str, DataFrame]:
 
 
 def _new_purchase_orders(st: Store) -> DataFrame:
-    out = _purchase(st)["purchase_order"]
-    return out.join(st["purchase_order"].select("purchase_order_id"), "purchase_order_id", "left_anti")
+    return _purchase(st)["new_purchase_orders"]
 
 
 def _status_changed_orders(st: Store) -> DataFrame:
