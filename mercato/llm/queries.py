@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.llm.binary_ids import read_token_files, write_token_files
 from mercato.llm.common import table
+from mercato.llm.line_dedup import dedup_lines
 from mercato.llm.packing import pack_documents
 
 
@@ -17,13 +19,37 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, written, with_ids=False)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_chars=20, min_docs=3).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=4096, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_binary_ids": op7_binary_ids,
+    "op8_line_dedup": op8_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, n, line,
+                   translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+                  FROM documents)),
+        shared AS (
+            SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (last IS NOT NULL AND last <> doc_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n)
+                      FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+        FROM lines LEFT JOIN shared USING (key) GROUP BY doc_id""",
+}
