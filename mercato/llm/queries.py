@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from mercato.llm.binary_ids import read_token_files, write_token_files
 from mercato.llm.common import table
 from mercato.llm.line_dedup import dedup_lines
+from mercato.llm.minhash import near_duplicates
 from mercato.llm.packing import pack_documents
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_token_files(table(spark, sf_dir, "documents"), end_id=2)
     return read_token_files(spark, written, with_ids=False)
@@ -30,12 +35,41 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_binary_ids": op7_binary_ids,
     "op8_line_dedup": op8_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text,
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+                       ELSE array_to_string(w[i:i+2], ' ') END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i
+                  FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+                FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+                GROUP BY x.doc_id, y.doc_id) p
+            JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+            WHERE 100 * c >= 85 * (sa.n + sb.n - c)),
+        reach AS (
+            SELECT a AS doc_id, a AS r FROM links
+            UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.doc_id
+                  WHERE reach.r < l.a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
+               least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+        FROM documents d LEFT JOIN sizes USING (doc_id)
+        LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)""",
     "op8_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, n, line,
