@@ -13,6 +13,13 @@ from mercato.llm.common import table
 from mercato.llm.line_dedup import dedup_lines
 from mercato.llm.minhash import near_duplicates
 from mercato.llm.packing import pack_documents
+from mercato.llm.toxicity import score_toxicity
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_binary_ids": op7_binary_ids,
     "op8_line_dedup": op8_line_dedup,
