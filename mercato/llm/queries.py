@@ -12,8 +12,15 @@ from mercato.llm.binary_ids import read_token_files, write_token_files
 from mercato.llm.common import table
 from mercato.llm.line_dedup import dedup_lines
 from mercato.llm.minhash import near_duplicates
+from mercato.llm.mixing import mix_sources
 from mercato.llm.packing import pack_documents
 from mercato.llm.toxicity import score_toxicity
+from mercato.llm.url_filter import Rule, judge_urls
+
+# The contract's rules.
+URL_RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
+             Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"),
+             Rule("net", "/fr/", "block")]
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "text", "replica", "shuffle_key")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -37,19 +49,53 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=4096, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op5_source_mixing": op5_source_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_binary_ids": op7_binary_ids,
     "op8_line_dedup": op8_line_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_source_mixing": r"""
+        WITH RECURSIVE sizes AS (
+            SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
+        rates AS (
+            SELECT source, CASE WHEN size > 0 THEN pow(size, 0.5)
+                       / (SELECT sum(pow(size, 0.5)) FROM sizes)
+                       * (SELECT sum(size) FROM sizes) / size ELSE 1.0 END AS rate FROM sizes),
+        split AS (SELECT source, rate, greatest(1, ceil(rate / 16.0))::INT AS parts FROM rates),
+        terms AS (
+            SELECT source, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS cdf,
+                   rate / parts AS mean FROM split
+            UNION ALL SELECT source, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1), mean
+                      FROM terms WHERE k < 96),
+        draws AS (
+            SELECT doc_id, d.source, lang, text,
+                   (('0x' || substr(md5('17|' || doc_id || '|' || part), 1, 13))::BIGINT + 0.5)
+                       / 4503599627370496 AS u
+            FROM documents d JOIN split s ON d.source IS NOT DISTINCT FROM s.source,
+                 unnest(range(1, parts + 1)) AS t(part)),
+        counted AS (
+            SELECT doc_id, d.source, any_value(lang) AS lang, any_value(text) AS text,
+                   count(k) AS copies
+            FROM draws d LEFT JOIN terms c ON d.source IS NOT DISTINCT FROM c.source AND cdf < u
+            GROUP BY doc_id, d.source)
+        SELECT doc_id, source, lang, text, replica::INT AS replica,
+               substr(md5('order 17|' || doc_id || '|' || replica), 1, 16) AS shuffle_key
+        FROM counted, unnest(range(0, copies)) AS t(replica)""",
     "op6_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text,
