@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.llm.ann import nearest
 from mercato.llm.binary_ids import read_token_files, write_token_files
 from mercato.llm.common import table
 from mercato.llm.line_dedup import dedup_lines
@@ -23,6 +24,11 @@ URL_RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
              Rule("net", "/fr/", "block")]
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select(
@@ -59,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
@@ -68,7 +75,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+# Vectors that may be compared, for both vector operators.
+_USABLE = r"""
+        usable AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[],
+                      lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0)"""
+
 ORACLE: dict[str, str] = {
+    "op3_nearest_neighbours": "WITH" + _USABLE + r""",
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT
+                   AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5""",
     "op5_source_mixing": r"""
         WITH RECURSIVE sizes AS (
             SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
