@@ -14,6 +14,7 @@ from mercato.llm.common import table
 from mercato.llm.line_dedup import dedup_lines
 from mercato.llm.minhash import near_duplicates
 from mercato.llm.mixing import mix_sources
+from mercato.llm.multi_index import near_duplicate_vectors
 from mercato.llm.packing import pack_documents
 from mercato.llm.toxicity import score_toxicity
 from mercato.llm.url_filter import Rule, judge_urls
@@ -24,6 +25,10 @@ URL_RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
              Rule("net", "/fr/", "block")]
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -65,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
@@ -84,6 +90,21 @@ _USABLE = r"""
                   AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0)"""
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": "WITH RECURSIVE" + _USABLE + r""",
+        links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b
+            FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id
+                 AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+        reach AS (
+            SELECT a AS vec_id, a AS r FROM links
+            UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.vec_id
+                  WHERE reach.r < l.a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM (SELECT vec_id FROM embeddings)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+        LEFT JOIN (SELECT vec_id, min(r) AS m FROM reach GROUP BY vec_id) USING (vec_id)""",
     "op3_nearest_neighbours": "WITH" + _USABLE + r""",
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
