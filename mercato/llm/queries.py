@@ -16,6 +16,7 @@ from mercato.llm.minhash import near_duplicates
 from mercato.llm.mixing import mix_sources
 from mercato.llm.multi_index import near_duplicate_vectors
 from mercato.llm.packing import pack_documents
+from mercato.llm.pii import find_personal_data, span_text
 from mercato.llm.toxicity import score_toxicity
 from mercato.llm.url_filter import Rule, judge_urls
 
@@ -25,6 +26,19 @@ URL_RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
              Rule("net", "/fr/", "block")]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")],
+        F.sha2(span_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -70,6 +84,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
@@ -89,7 +104,66 @@ _USABLE = r"""
                       lambda x: x IS NULL OR NOT isfinite(x))) = 0
                   AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0)"""
 
+
+def _matches(kind: str, rank: int, pattern: str) -> str:
+    """SQL for the matches of a pattern with their places, from the pieces between them."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {rank} AS rank, m, gap, next_gap,
+               sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM (SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS gap,
+                     unnest(gs[2:len(ms) + 1]) AS next_gap,
+                     generate_subscripts(ms, 1) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms,
+                           string_split_regex(text, '{pattern}') AS gs
+                    FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)
+        WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_personal_data": "WITH proposed AS (" + " UNION ALL ".join([
+        _matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        _matches("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+        _matches("card", 2, r"[0-9](?:[\x20-]?[0-9])+"),
+        _matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]"),
+        _matches("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+        _matches("ssn", 5, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ]) + r"""),
+        measured AS (
+            SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+                   lower(right(gap, 48) || ' ' || left(next_gap, 48)) AS near,
+                   replace(m, ' ', '') AS compact FROM proposed),
+        spans AS (
+            SELECT doc_id, kind, rank, start::BIGINT AS start, (start + length(m))::BIGINT AS stop
+            FROM measured WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'),
+                                        lambda p: p::HUGEINT)) <= 255
+                WHEN 'card' THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(
+                    range(1, length(d) + 1), lambda i: CASE
+                        WHEN i % 2 = 1 THEN substr(d, (length(d) + 1 - i)::BIGINT, 1)::INT
+                        ELSE (2 * substr(d, (length(d) + 1 - i)::BIGINT, 1)::INT) // 10
+                           + (2 * substr(d, (length(d) + 1 - i)::BIGINT, 1)::INT) % 10 END)) % 10 = 0
+                WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+                WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(
+                    string_split(substr(compact, 5) || substr(compact, 1, 4), ''),
+                    lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+                    lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1
+                ELSE regexp_matches(near, 'ssn|social security|tax id|sozialversicherung'
+                                    || '|sécurité sociale|seguro social') END),
+        joined AS (
+            SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email,
+                   count(*) FILTER (kind = 'ip') AS n_ip,
+                   count(*) FILTER (kind = 'card') AS n_card,
+                   count(*) FILTER (kind = 'phone') AS n_phone,
+                   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)
+                       FILTER (rank < 4) AS base,
+                   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+            FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip,
+               coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN joined USING (doc_id)""",
     "op2_embedding_near_dedup": "WITH RECURSIVE" + _USABLE + r""",
         links AS (
             SELECT x.vec_id AS a, y.vec_id AS b
