@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import prepare
+from mercato.llm.common import prepare, stream_blocks
 from mercato.llm.vectors import cosine, matrix, unit, usable_vectors
 
 EXACT_DIMS = 1024       # products of so many int8 pairs add up exactly in float32
@@ -79,7 +79,10 @@ class Heaps:
             order = np.lexsort((found, -score))[:self.k]
             self.best[i], self.found[i] = score[order], found[order]
 
-    def rows(self) -> pd.DataFrame:
+    def ask(self, rows: pd.DataFrame) -> None:
+        self.offer(rows["vec_id"].to_numpy(), matrix(rows["embedding"]))
+
+    def results(self) -> pd.DataFrame:
         real = np.isfinite(self.best)
         return pd.DataFrame({"query_id": np.repeat(self.ids, self.k)[real.ravel()],
                              "vec_id": self.found[real], "score": self.best[real]})
@@ -99,48 +102,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block:
     shares = max(1, -(-tiles // n_blocks))
     q = (q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
          .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-         .withColumn("is_query", F.lit(1)))
+         .withColumn("asking", F.lit(0)))
     c = (c.withColumn("share", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares)).cast("int"))
          .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-         .withColumn("is_query", F.lit(0)))
-    columns = ["block", "share", "dims", "is_query", "vec_id", "embedding"]
+         .withColumn("asking", F.lit(1)))
+    columns = ["block", "share", "dims", "asking", "vec_id", "embedding"]
     tile = ["block", "share", "dims"]
     dealt = (q.select(columns).unionByName(c.select(columns)).repartition(n_blocks * shares, *tile)
-             .sortWithinPartitions(*tile, F.desc("is_query")))
+             .sortWithinPartitions(*tile, "asking"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, heaps, waiting = None, [], None, []
-
-        def compare(last: bool):
-            nonlocal heaps, waiting
-            if heaps is None and own:
-                rows = pd.concat(own)
-                heaps = Heaps(rows["vec_id"].to_numpy(), matrix(rows["embedding"]), k)
-            held = sum(map(len, waiting))
-            if heaps is not None and held and (last or held >= candidate_block):
-                rows = pd.concat(waiting)
-                for i in range(0, len(rows), candidate_block):
-                    part = rows.iloc[i:i + candidate_block]
-                    heaps.offer(part["vec_id"].to_numpy(), matrix(part["embedding"]))
-            if held >= candidate_block or last:
-                waiting = []
-
-        for batch in batches:
-            for new, rows in batch.groupby(tile, sort=True):
-                if new != key:
-                    compare(last=True)
-                    if heaps is not None:
-                        yield heaps.rows()
-                    key, own, heaps, waiting = new, [], None, []
-                asked = rows["is_query"] == 1
-                if asked.any():
-                    own.append(rows[asked])
-                if not asked.all():
-                    waiting.append(rows[~asked])
-                    compare(last=False)
-        compare(last=True)
-        if heaps is not None:
-            yield heaps.rows()
+        return stream_blocks(batches, tile, "asking", lambda rows: Heaps(
+            rows["vec_id"].to_numpy(), matrix(rows["embedding"]), k), candidate_block)
 
     found = dealt.mapInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,3 +103,39 @@ def by_bytes(texts: list, limit: int = 4_000_000) -> Iterator[slice]:
             start, total = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def stream_blocks(batches: Iterator[pd.DataFrame], key: list[str], asking: str,
+                  build: Callable, chunk: int) -> Iterator[pd.DataFrame]:
+    """Go through rows sorted by ``key`` and then by ``asking``: the rows of a key with asking 0
+    make up a block (``build(rows)``), which must fit in memory, and those with asking 1 are then
+    handed to ``block.ask(rows)`` at most ``chunk`` at a time, however many there are. Yields
+    every block's ``results()``."""
+    current, residents, visitors, block = None, [], [], None
+
+    def settle(last: bool):
+        nonlocal residents, visitors, block
+        if block is None and residents:
+            block, residents = build(pd.concat(residents)), []
+        if block is not None and visitors and (last or sum(map(len, visitors)) >= chunk):
+            rows = pd.concat(visitors)
+            for i in range(0, len(rows), chunk):
+                block.ask(rows.iloc[i:i + chunk])
+            visitors = []
+
+    for batch in batches:
+        for found, rows in batch.groupby(key, sort=True, dropna=False):
+            if found != current:
+                settle(last=True)
+                if block is not None:
+                    yield block.results()
+                current, residents, visitors, block = found, [], [], None
+            asks = rows[asking] == 1
+            if not asks.all():
+                residents.append(rows[~asks])
+            if asks.any():
+                visitors.append(rows[asks])
+                settle(last=False)
+    settle(last=True)
+    if block is not None:
+        yield block.results()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import materialise, prepare
+from mercato.llm.common import materialise, prepare, stream_blocks
 from mercato.llm.components import connected_components
 from mercato.llm.vectors import cosine, matrix, unit, usable_vectors
 
@@ -227,30 +227,7 @@ def near_duplicate_vectors(rows: DataFrame, *, threshold: float = 0.98, codes: i
                .repartition(*key).sortWithinPartitions(*key, "asking"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, waiting, held = None, [], None
-
-        def settle():
-            nonlocal held, waiting
-            if held is None and waiting:
-                held, waiting = _Block(pd.concat(waiting), threshold), []
-
-        for batch in batches:
-            for new, part in batch.groupby(key, sort=True):
-                if new != current:
-                    settle()
-                    if held is not None:
-                        yield held.results()
-                    current, waiting, held = new, [], None
-                asking = part["asking"] == 1
-                if not asking.all():
-                    waiting.append(part[~asking])
-                if asking.any():
-                    settle()
-                    for i in range(0, int(asking.sum()), 4096):
-                        held.ask(part[asking].iloc[i:i + 4096])
-        settle()
-        if held is not None:
-            yield held.results()
+        return stream_blocks(batches, key, "asking", lambda rows: _Block(rows, threshold), 4096)
 
     found = materialise(meeting.mapInPandas(verify, "vec_id long, n long, root long"), "links")
     by_class = found.groupBy(F.col("vec_id").alias("class_id")).agg(F.sum("n").alias("n"))

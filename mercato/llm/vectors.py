@@ -32,9 +32,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _tamed(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(axis=1, keepdims=True) if x.size else np.ones((len(x), 1))
+    wild = (top > 1e100) | (top < 1e-100)
+    return np.where(wild, x / top, x) if wild.any() else x
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each row of x with the same row of y in double precision, its sums taken in the
-    order of the components."""
+    order of the components. Rows whose squares would leave the range of doubles are scaled."""
+    x, y = _tamed(x), _tamed(y)
     dot, xx, yy = (np.zeros(len(x)) for _ in range(3))
     for j in range(x.shape[1]):
         dot += x[:, j] * y[:, j]
