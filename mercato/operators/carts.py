@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from mercato.operators.lazy import LazyFrames, once
 from mercato.session import ensure_checkpoint_dir
-from mercato.sources.schemas import LINE_MONEY
 
 ADD, REMOVE, CHECKOUT = "add", "remove", "checkout"
 # fixed action mapping of the driver's event types onto cart actions
@@ -34,15 +33,17 @@ EVENT_ACTIONS = {"click": ADD, "view": ADD, "error": REMOVE, "purchase": CHECKOU
 CHUNK_SECONDS = 3600
 
 
-def cart_events(events: DataFrame) -> DataFrame:
+def cart_events(events: DataFrame, products: DataFrame) -> DataFrame:
     """Driver events -> cart events (event_id, ts, customer_id, product_id, action). Sign-ups
-    carry no cart action and are dropped; product = event id modulo 4."""
+    carry no cart action and are dropped; product = event id modulo (largest product id + 1),
+    so events reach every product."""
+    key_range = products.agg(F.max("product_id") + 1).scalar()
     action = F.when(F.col("event_type").isin("click", "view"), ADD) \
         .when(F.col("event_type") == "error", REMOVE) \
         .when(F.col("event_type") == "purchase", CHECKOUT)
     return events.where(F.col("event_type") != "signup").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("customer_id"),
-        (F.col("event_id") % 4).alias("product_id"), action.alias("action"))
+        (F.col("event_id") % key_range).alias("product_id"), action.alias("action"))
 
 
 def _chunk(ts_col: str, seconds: int):
@@ -80,6 +81,8 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
                chunk_seconds: int = CHUNK_SECONDS) -> LazyFrames:
     """Batch fold of cart events. Returns ``cart_orders``, ``cart_lines`` and ``stock_moves``
     (each built when read)."""
+    # an event that arrives twice counts once
+    events = events.dropDuplicates(["event_id"])
     seq = F.struct("ts", "event_id")
     is_add, is_remove = F.col("action") == ADD, F.col("action") == REMOVE
     # an add of an unknown product does nothing (the reference looks the product up; its flag
@@ -134,10 +137,3 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
 
     return LazyFrames({"cart_orders": cart_orders, "cart_lines": cart_lines, "stock_moves": stock_moves})
 
-
-def cart_totals(cart_lines: DataFrame) -> DataFrame:
-    """Value and line count of active lines per cart."""
-    on = cart_lines.where("is_valid")
-    return on.groupBy("customer_id", "cart_no").agg(
-        F.sum((F.col("price") * F.col("quantity")).cast(LINE_MONEY)).cast("decimal(38,2)").alias("cart_total"),
-        F.count(F.lit(1)).alias("line_count"))

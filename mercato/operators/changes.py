@@ -5,10 +5,14 @@ Every job takes the store and a feed DataFrame and returns only the changed tabl
 MERGE/UPDATE): new table versions are joins and unions of the old ones, written to a new
 version directory by ``mercato.sources.store.publish``.
 
-Several changes to one key are collapsed by aggregates (``max_by`` over ``change_id``), which
-are partially computed before the shuffle, so a key with a very large share of the feed does
-not end up as one window partition. New ids are the table's largest id plus the position of
-the change id among accepted rows (repeatable; no ``monotonically_increasing_id``).
+Requests of a feed take effect in the order of ``change_id``, and each is judged on the state
+that the requests before it left. Where only the last value of a field counts this is one
+aggregate per field (``max_by`` over ``change_id``, partially computed before the shuffle);
+where a request depends on the one before, the previous value comes from
+``ranking.previous_value``, which never gathers a key's requests in one window. New ids are the
+table's largest id plus the position of the change id among accepted rows (repeatable; no
+``monotonically_increasing_id``); jobs that make new ids reject requests whose change id is
+missing or not unique.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 
 from mercato.functions.expr import active, text_equals
 from mercato.operators.lazy import LazyFrames, once
-from mercato.operators.quality import contact_rules, table_rules, validate
-from mercato.operators.ranking import positions
-from mercato.sources.schemas import LINE_MONEY, SCHEMAS
+from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag
+from mercato.operators.ranking import numbered_within, positions, previous_value
+from mercato.sources.schemas import DELIVERY_STATUSES, LINE_MONEY, SCHEMAS
 
 Store = Mapping[str, DataFrame]
 
@@ -77,12 +81,24 @@ def _reject_rows(quarantine: DataFrame) -> DataFrame:
     return quarantine.select("change_id", F.explode("reasons").alias("reason"))
 
 
+def identified(feed: DataFrame) -> tuple[DataFrame, list]:
+    """The feed with a duplicate flag, and the rules that a request which makes new ids must
+    pass: a change id, and one that no other request has."""
+    return with_duplicate_flag(feed, ["change_id"], "_copy"), [
+        ("W0:missing_change_id", F.col("change_id").isNull()),
+        ("W0:duplicate_change_id", F.col("_copy"))]
+
+
+def _blank(c: str) -> Column:
+    return F.nullif(F.trim(F.col(c)), F.lit("")).isNull()
+
+
 # ---- W1 ---------------------------------------------------------------------------------------
 def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFrame]:
     """Validate create requests (required fields, declared checks, contact patterns for
     employees), fill defaults, allocate ids and append."""
     key = KEYS[table]
-    rows = feed
+    rows, id_rules = identified(feed)
     for c, v in DEFAULTS.get(table, {}).items():
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(v))) if c in rows.columns else rows.withColumn(c, F.lit(v))
     schema = SCHEMAS[table]
@@ -93,13 +109,14 @@ def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFram
               for c in rows.columns if c in schema.fieldNames() and c != key]
     raw = [F.col(c).cast("string").alias(f"_raw_{c}") for c in rows.columns if c in schema.fieldNames() and c != key]
     typed = rows.select("*", *raw)
-    typed = _conform(typed, table, keep=("change_id", *[f"_raw_{c}" for c in rows.columns
+    typed = _conform(typed, table, keep=("change_id", "_copy", *[f"_raw_{c}" for c in rows.columns
                                                        if c in schema.fieldNames() and c != key])).drop(key)
     rules += [r for r in table_rules(table, [c for c in typed.columns if c != "change_id"]) if not r[0].startswith("V2:" + key)]
+    rules += id_rules
     if table == "employee":
         rules += contact_rules(typed.columns)
     good, bad = validate(typed, rules)
-    good = good.drop(*[c for c in good.columns if c.startswith("_raw_")])
+    good = good.drop("_copy", *[c for c in good.columns if c.startswith("_raw_")])
     added = once(lambda: _conform(next_ids(good, store[table], key), table))
     return LazyFrames({table: lambda: store[table].unionByName(added()),
                        "rejects": lambda: _reject_rows(bad), "inserted": added})
@@ -111,23 +128,29 @@ def patch_rows(store: Store, table: str, patches: DataFrame, ignore_blank: bool
     (array<string>) and value columns; a field listed in ``set_fields`` with a NULL value sets
     NULL. Several patches of one key apply in change order (the latest per field wins).
     Unknown keys are rejected (employees, suppliers, products must also be active); empty
-    patches are rejected. ``ignore_blank`` treats blank text as not supplied (self-service)."""
+    patches, and patches that set a value the table's declared checks refuse, are rejected. ``ignore_blank`` treats blank text as not supplied (self-service)."""
     key = KEYS[table]
     base = store[table]
     fields = [c for c in base.columns if c != key and c in patches.columns]
     must_be_active = DEACTIVATE_NEEDS_ACTIVE.get(table, False)
     targets = (active(base) if must_be_active else base).select(key, F.lit(True).alias("_found"))
     p = patches.join(targets, key, "left")
-    empty = F.coalesce(F.size("set_fields"), F.lit(0)) <= 0
-    rejects = p.where(F.col("_found").isNull() | empty).select(
-        "change_id", F.when(empty, F.lit("W2:empty_patch")).otherwise(F.lit("W2:unknown_key")).alias("reason"))
-    ok = p.where(F.col("_found").isNotNull() & ~empty)
 
     def supplied(c):
-        s = F.array_contains("set_fields", c)
+        given = F.array_contains("set_fields", c)
         if ignore_blank and dict(base.dtypes)[c] == "string":
-            s = s & F.nullif(F.trim(F.col(c)), F.lit("")).isNotNull()
-        return s
+            given = given & ~_blank(c)
+        return F.coalesce(given, F.lit(False))
+
+    # the declared checks hold for updates too, for the fields that a patch sets
+    checks = [(code, supplied(code.split(":")[1]) & F.coalesce(bad, F.lit(False)))
+              for code, bad in table_rules(table, fields)]
+    empty = ~F.greatest(*[supplied(c) for c in fields], F.lit(False))
+    unknown = F.col("_found").isNull()
+    rules = [("W2:empty_patch", empty), ("W2:unknown_key", ~empty & unknown)] + [
+        (code, ~empty & ~unknown & bad) for code, bad in checks]
+    ok, bad_patches = validate(p, rules)
+    rejects = _reject_rows(bad_patches)
 
     latest = ok.groupBy(key).agg(*[
         F.max_by(F.struct(F.col(c).cast(base.schema[c].dataType).alias("v")),
@@ -142,36 +165,33 @@ def patch_rows(store: Store, table: str, patches: DataFrame, ignore_blank: bool
 # ---- W3 / W4 ----------------------------------------------------------------------------------
 def set_active(store: Store, table: str, flags: DataFrame, reactivate_needs_inactive: bool = False
                ) -> dict[str, DataFrame]:
-    """Soft delete / reactivate by a feed (change_id, key, flag). The feed is collapsed to
-    the latest request per key; that request is checked against the snapshot: deactivation
-    needs an active row (customers: any row), reactivation needs an existing row (or an
-    inactive one). Superseded requests are reported as such."""
+    """Soft delete / reactivate by a feed (change_id, key, flag), request by request:
+    deactivation needs an active row (customers: any row), reactivation needs an existing row
+    (or an inactive one). Whether a request is accepted or not, the row's flag afterwards is
+    the request's, so the state a request finds is the flag of the key's request before it."""
     key = KEYS[table]
     base = store[table]
-    last = flags.groupBy(key).agg(F.max_by(F.struct("change_id", "flag"), F.col("change_id")).alias("_r"),
-                                  F.count(F.lit(1)).alias("_n"))
-    last = last.select(key, F.col("_r.change_id").alias("change_id"), F.col("_r.flag").alias("flag"))
     state = base.select(key, F.col("is_valid").alias("_old"))
-    req = last.join(state, key, "left")
+    asked = previous_value(flags.where(F.col("flag").isNotNull()), key, "flag", "change_id", "_before")
+    req = asked.join(state, key, "left").withColumn("_now", F.coalesce("_before", "_old"))
     exists = F.col("_old").isNotNull()
-    deact_ok = (F.col("_old") == True) if DEACTIVATE_NEEDS_ACTIVE.get(table, False) else exists  # noqa: E712
-    react_ok = (exists & ~F.col("_old")) if reactivate_needs_inactive else exists
-    ok = F.when(F.col("flag"), react_ok).otherwise(deact_ok)
-    req = req.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    accepted = req.where("_ok").select(key, F.col("flag").alias("_new"))
-    superseded = flags.join(last.select("change_id"), "change_id", "left_anti").select(
-        "change_id", F.lit("W3:superseded").alias("reason"))
+    deact_ok = F.col("_now") if DEACTIVATE_NEEDS_ACTIVE.get(table, False) else exists
+    react_ok = ~F.col("_now") if reactivate_needs_inactive else exists
+    req = req.withColumn("_ok", exists & F.when(F.col("flag"), react_ok).otherwise(deact_ok))
     rejects = req.where(~F.col("_ok")).select(
         "change_id", F.when(~exists, F.lit("W3:unknown_key")).otherwise(F.lit("W3:state_guard")).alias("reason")
-    ).unionByName(superseded)
-    new = base.join(accepted, key, "left").withColumn("is_valid", F.coalesce("_new", "is_valid")).drop("_new")
-    return {table: new.select(*base.columns), "rejects": rejects, "changed": accepted}
+    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W3:missing_flag").alias("reason")))
+    changed = req.where("_ok").groupBy(key).agg(F.max_by("flag", "change_id").alias("_new"),
+                                                F.bool_or(~F.col("flag")).alias("_was_off"))
+    new = base.join(changed, key, "left").withColumn("is_valid", F.coalesce("_new", "is_valid"))
+    return {table: new.select(*base.columns), "rejects": rejects, "changed": changed}
 
 
 def deactivate_employees(store: Store, flags: DataFrame) -> dict[str, DataFrame]:
-    """Employee flag together with the flags of its subtype rows."""
+    """Employee flag together with the flags of its subtype rows. A deactivation closes the
+    subtype rows; a later reactivation does not open them again."""
     out = set_active(store, "employee", flags)
-    off = out["changed"].where(~F.col("_new")).select("employee_id")
+    off = out["changed"].where("_was_off").select("employee_id")
     for child in ("hourly_employee", "contract_employee"):
         c = store[child]
         hit = c.join(off.withColumn("_off", F.lit(True)), "employee_id", "left")
@@ -180,22 +200,33 @@ def deactivate_employees(store: Store, flags: DataFrame) -> dict[str, DataFrame]
 
 
 def set_purchase_order_active(store: Store, flags: DataFrame) -> dict[str, DataFrame]:
-    """Purchase order flag with its lines. Deactivation needs an active, still pending
-    order (status compared case-insensitively); reactivation needs an inactive order."""
+    """Purchase order flag with its lines, request by request. Deactivation needs an
+    active, still pending order (status compared case-insensitively); reactivation needs an
+    inactive order.
+
+    A pending order's flag after a request is the request's. Another order cannot be
+    deactivated, so it is active once it was, or once any request asked for it."""
+    key = "purchase_order_id"
     po = store["purchase_order"]
-    last = flags.groupBy("purchase_order_id").agg(F.max_by(F.struct("change_id", "flag"), F.col("change_id")).alias("_r"))
-    last = last.select("purchase_order_id", F.col("_r.change_id").alias("change_id"), F.col("_r.flag").alias("flag"))
-    req = last.join(po.select("purchase_order_id", F.col("is_valid").alias("_old"),
-                              text_equals("delivery_status", "pending").alias("_pending")), "purchase_order_id", "left")
-    ok = F.when(F.col("flag"), F.col("_old") == False).otherwise((F.col("_old") == True) & F.col("_pending"))  # noqa: E712
-    req = req.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    accepted = req.where("_ok").select("purchase_order_id", F.col("flag").alias("_new"))
+    asked = flags.where(F.col("flag").isNotNull())
+    asked = previous_value(asked, key, "flag", "change_id", "_before")
+    first_on = asked.where("flag").groupBy(key).agg(F.min("change_id").alias("_first_on"))
+    req = asked.join(po.select(key, F.col("is_valid").alias("_old"),
+                               F.coalesce(text_equals("delivery_status", "pending"), F.lit(False)).alias("_pending")),
+                     key, "left").join(first_on, key, "left")
+    on_before = F.col("_old") | F.coalesce(F.col("_first_on") < F.col("change_id"), F.lit(False))
+    req = req.withColumn("_now", F.when(F.col("_pending"), F.coalesce("_before", "_old")).otherwise(on_before))
+    exists = F.col("_old").isNotNull()
+    ok = F.when(F.col("flag"), ~F.col("_now")).otherwise(F.col("_now") & F.col("_pending"))
+    req = req.withColumn("_ok", exists & F.coalesce(ok, F.lit(False)))
+    accepted = req.where("_ok").groupBy(key).agg(F.max_by("flag", "change_id").alias("_new"))
     rejects = req.where(~F.col("_ok")).select(
-        "change_id", F.when(F.col("_old").isNull(), F.lit("W4:unknown_key")).otherwise(F.lit("W4:state_guard")).alias("reason"))
+        "change_id", F.when(~exists, F.lit("W4:unknown_key")).otherwise(F.lit("W4:state_guard")).alias("reason")
+    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W4:missing_flag").alias("reason")))
     out = {"rejects": rejects}
     for t in ("purchase_order", "purchase_order_details"):
         d = store[t]
-        out[t] = (d.join(accepted, "purchase_order_id", "left")
+        out[t] = (d.join(accepted, key, "left")
                   .withColumn("is_valid", F.coalesce("_new", "is_valid")).select(*d.columns))
     return out
 
@@ -217,29 +248,33 @@ def archive_delete_products(store: Store, ids: DataFrame, as_of: _dt.datetime) -
 
 # ---- W7 ---------------------------------------------------------------------------------------
 def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[str, DataFrame]:
-    """Check out each customer's open cart (lowest order id in state 'cart'). The first
-    complete request per customer (by change id) checks out; a request without name, email or
-    payment method, a card payment without card fields, or a customer without cart is
-    rejected. Output: orders (confirmed, dated), lines flagged off, new invoice and payment of
-    the cart's active-line total, customer counter + 1."""
+    """Check out customers' open carts, request by request: a customer's n-th complete
+    request takes the n-th of the customer's orders in state 'cart' (by order id). A request
+    without name, email or payment method, a card payment without card fields, a request
+    beyond the customer's carts, or a cart whose total does not fit the payment is rejected.
+    Output: orders (confirmed, dated), lines flagged off, new invoice and payment of the cart's
+    active-line total, customer counter + 1."""
     o = store["orders"]
-    carts = o.where(text_equals("status", "cart")).groupBy("customer_id").agg(F.min("order_id").alias("order_id"))
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")).isNull()
-    rules = [("W7:missing_field", blank("name") | blank("email") | blank("payment_method")),
+    asked, id_rules = identified(requests)
+    rules = [("W7:missing_field", _blank("name") | _blank("email") | _blank("payment_method")),
              ("W7:card_fields", (F.lower("payment_method") == "card") & ~F.coalesce("has_card_fields", F.lit(False)))]
-    good, bad = validate(requests, rules)
-    first = good.groupBy("customer_id").agg(F.min_by(F.struct("change_id", "payment_method"), F.col("change_id")).alias("_r"))
-    first = first.select("customer_id", F.col("_r.change_id").alias("change_id"),
-                         F.col("_r.payment_method").alias("payment_method"))
-    matched = first.join(carts, "customer_id", "left")
+    good, bad = validate(asked, rules + id_rules)
+    good = numbered_within(good.select("change_id", "customer_id", "payment_method"),
+                           "customer_id", "change_id", "_nth")
+    carts = o.where(text_equals("status", "cart")).select("customer_id", "order_id") \
+        .join(good.select("customer_id").distinct(), "customer_id", "left_semi")
+    carts = numbered_within(carts, "customer_id", "order_id", "_nth")
+    matched = good.join(carts, ["customer_id", "_nth"], "left")
     no_cart = matched.where(F.col("order_id").isNull()).select("change_id", F.lit("W7:no_cart").alias("reason"))
-    later = good.join(first.select("change_id"), "change_id", "left_anti").select(
-        "change_id", F.lit("W7:no_cart").alias("reason"))
     done = matched.where(F.col("order_id").isNotNull())
     od = store["order_details"]
     totals = active(od).join(done.select("order_id"), "order_id", "left_semi").groupBy("order_id").agg(
         F.sum((F.col("price") * F.col("quantity")).cast(LINE_MONEY)).alias("_total"))
-    done = done.join(totals, "order_id", "left").withColumn("amount_paid", F.coalesce("_total", F.lit(0)).cast("decimal(10,2)"))
+    done = done.join(totals, "order_id", "left").withColumn(
+        "amount_paid", F.coalesce("_total", F.lit(0)).try_cast("decimal(10,2)"))
+    too_large = done.where(F.col("amount_paid").isNull()).select(
+        "change_id", F.lit("W7:amount_out_of_range").alias("reason"))
+    done = done.where(F.col("amount_paid").isNotNull())
     hit = done.select("order_id", F.lit(True).alias("_hit"))
     orders = o.join(hit, "order_id", "left").select(*[
         F.when(F.col("_hit"), F.lit("confirmed")).otherwise(F.col("status")).alias("status") if c == "status" else
@@ -271,31 +306,33 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
     c = store["customer"]
     bumps = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
     customers = c.join(bumps, "customer_id", "left").withColumn(
-        "order_count", (F.col("order_count") + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
+        "order_count", (F.coalesce("order_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
     return LazyFrames({"orders": lambda: orders, "order_details": lambda: lines, "invoice": invoices,
                        "payment": payments, "new_payments": new_payments, "customer": lambda: customers,
-                       "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(later)})
+                       "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(too_large)})
 
 
 # ---- W8 ---------------------------------------------------------------------------------------
 def set_order_status(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
     """Employee status updates (change_id, employee_id, order_id, status, received_date).
-    The order must be active and belong to the employee; the received date is set only with
-    status 'completed' (any case) and a supplied date. Latest request per order wins."""
+    The status must be given and the order must be active and belong to the employee. Requests
+    apply in order: the status is the last one's, the received date that of the last request
+    with status 'completed' (any case) and a date."""
     o = store["orders"]
     owned = active(o).select("order_id", F.col("employee_id").alias("_owner"))
     req = feed.join(owned, "order_id", "left")
-    ok = F.coalesce(F.col("_owner") == F.col("employee_id"), F.lit(False))
-    rejects = req.where(~ok).select("change_id", F.lit("W8:not_found_or_not_owned").alias("reason"))
-    last = req.where(ok).groupBy("order_id").agg(
-        F.max_by(F.struct("status", "received_date"), F.col("change_id")).alias("_r"))
-    completed = text_equals("_r.status", "completed") & F.col("_r.received_date").isNotNull()
-    j = o.join(last, "order_id", "left")
-    out = j.select(*[
-        F.coalesce(F.col("_r.status"), F.col("status")).alias("status") if c == "status" else
-        F.when(completed, F.col("_r.received_date")).otherwise(F.col(c)).alias(c) if c == "actual_received_date" else
-        F.col(c) for c in o.columns])
-    return {"orders": out, "rejects": rejects}
+    good, bad = validate(req, [
+        ("W8:missing_status", _blank("status")),
+        ("W8:not_found_or_not_owned", ~_blank("status")
+         & ~F.coalesce(F.col("_owner") == F.col("employee_id"), F.lit(False)))])
+    dated = text_equals("status", "completed") & F.col("received_date").isNotNull()
+    last = good.groupBy("order_id").agg(
+        F.max_by("status", "change_id").alias("_status"),
+        F.max_by("received_date", F.when(dated, F.col("change_id"))).alias("_date"))
+    out = o.join(last, "order_id", "left") \
+        .withColumn("status", F.coalesce("_status", "status")) \
+        .withColumn("actual_received_date", F.coalesce("_date", "actual_received_date"))
+    return {"orders": out.select(*o.columns), "rejects": _reject_rows(bad)}
 
 
 # ---- W9 ---------------------------------------------------------------------------------------
@@ -305,23 +342,30 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     ``items`` (change_id, product_id, price, quantity) as a separate frame, so an order with
     very many items is never gathered into one row. A request is rejected as a whole when a
     field is missing or it has no item, the expected date is not after ``as_of``, the supplier
-    is not active, or any item's product is not active. Accepted: header ('pending', dated
+    is not active, or any item's product is not active, repeated, or has no positive price and
+    quantity. Accepted: header ('pending', dated
     ``as_of``), lines, and stock up (``stock_on='create'``; with 'receive' stock moves at W10
     instead, S15)."""
     supp = active(store["supplier"]).select("supplier_id", F.lit(True).alias("_supp_ok"))
-    r = requests.join(supp, "supplier_id", "left")
+    asked, id_rules = identified(requests)
+    r = asked.join(supp, "supplier_id", "left")
     has_items = items.select("change_id").distinct().withColumn("_has_items", F.lit(True))
     r = r.join(has_items, "change_id", "left")
     live = active(store["product"]).select("product_id", F.lit(True).alias("_ok"))
-    bad_items = items.join(live, "product_id", "left").where(
-        F.col("_ok").isNull() | (F.col("price") <= 0) | (F.col("quantity") <= 0)) \
-        .select("change_id").distinct().withColumn("_bad_item", F.lit(True))
-    r = r.join(bad_items, "change_id", "left")
+    flagged = with_duplicate_flag(items, ["change_id", "product_id"], "_again") \
+        .join(live, "product_id", "left").groupBy("change_id").agg(
+        F.bool_or(F.col("_ok").isNull()).alias("_inactive"),
+        F.bool_or(F.col("price").isNull() | (F.col("price") <= 0) | F.col("quantity").isNull()
+                  | (F.col("quantity") <= 0)).alias("_bad_value"),
+        F.bool_or("_again").alias("_again"))
+    r = r.join(flagged, "change_id", "left")
     rules = [("W9:missing_field", F.col("supplier_id").isNull() | F.col("employee_id").isNull()
               | F.col("expected_received_date").isNull() | F.col("_has_items").isNull()),
              ("V9:expected_date_not_after_as_of", F.col("expected_received_date") <= F.lit(as_of)),
              ("W9:supplier_inactive", F.col("_supp_ok").isNull()),
-             ("W9:inactive_product", F.coalesce("_bad_item", F.lit(False)))]
+             ("W9:inactive_product", F.coalesce("_inactive", F.lit(False))),
+             ("W9:bad_price_or_quantity", F.coalesce("_bad_value", F.lit(False))),
+             ("W9:repeated_product", F.coalesce("_again", F.lit(False)))] + id_rules
     good, bad = validate(r, rules)
     hdr = once(lambda: next_ids(good.select("change_id", "supplier_id", "employee_id", "expected_received_date"),
                                 store["purchase_order"], "purchase_order_id"))
@@ -356,32 +400,37 @@ def apply_stock(product: DataFrame, moves: DataFrame) -> DataFrame:
 
 # ---- W10 --------------------------------------------------------------------------------------
 def set_purchase_status(store: Store, feed: DataFrame, stock_on: str = "create") -> dict[str, DataFrame]:
-    """(change_id, purchase_order_id, status, received_date). 'Received' with a date also
-    sets the received date and the products' arrival date; with ``stock_on='receive'`` the
-    stock moves here (once), never on both paths."""
+    """(change_id, purchase_order_id, status, received_date), for active purchase orders.
+    Requests apply in order: the status is the last one's; 'Received' with a date also sets the
+    received date (the last such request's) and the products' arrival date. With
+    ``stock_on='receive'`` the stock moves here, once per purchase order, never on both paths."""
     po = store["purchase_order"]
-    known = po.select("purchase_order_id", F.lit(True).alias("_k"))
+    known = active(po).select("purchase_order_id", F.lit(True).alias("_k"))
     req = feed.join(known, "purchase_order_id", "left")
-    rejects = req.where(F.col("_k").isNull()).select("change_id", F.lit("W10:unknown_key").alias("reason"))
-    last = req.where(F.col("_k")).groupBy("purchase_order_id").agg(
-        F.max_by(F.struct("status", "received_date"), F.col("change_id")).alias("_r"))
-    received = text_equals("_r.status", "received") & F.col("_r.received_date").isNotNull()
+    good, bad = validate(req, [
+        ("W10:missing_status", _blank("status")),
+        ("W10:not_found_or_inactive", ~_blank("status") & F.col("_k").isNull()),
+        ("V7:delivery_status:domain", ~_blank("status") & F.col("_k").isNotNull()
+         & ~F.lower("status").isin([s.lower() for s in DELIVERY_STATUSES]))])
+    received = (F.col("status") == "Received") & F.col("received_date").isNotNull()
+    last = good.groupBy("purchase_order_id").agg(
+        F.max_by("status", "change_id").alias("_status"),
+        F.max_by(F.struct("change_id", "received_date"), F.when(received, F.col("change_id"))).alias("_in"))
     j = po.join(last, "purchase_order_id", "left")
-    new_po = j.select(*[
-        F.coalesce(F.col("_r.status"), F.col(c)).alias(c) if c == "delivery_status" else
-        F.when(received, F.col("_r.received_date")).otherwise(F.col(c)).alias(c) if c == "actual_received_date" else
-        F.col(c) for c in po.columns])
-    arrivals = j.where(received).select("purchase_order_id", F.col("_r.received_date").alias("_arrival"))
-    pod = active(store["purchase_order_details"]).join(arrivals, "purchase_order_id")
-    per_product = pod.groupBy("product_id").agg(F.max("_arrival").alias("_arrival"),
-                                                F.sum("quantity").cast("long").alias("stock_change"))
+    new_po = j.withColumn("delivery_status", F.coalesce("_status", "delivery_status")) \
+        .withColumn("actual_received_date", F.coalesce("_in.received_date", "actual_received_date")) \
+        .select(*po.columns)
+    arrivals = last.where(F.col("_in").isNotNull()).select("purchase_order_id", "_in")
+    per_product = active(store["purchase_order_details"]).join(arrivals, "purchase_order_id") \
+        .groupBy("product_id").agg(F.max_by("_in.received_date", "_in.change_id").alias("_arrival"),
+                                   F.sum("quantity").cast("long").alias("stock_change"))
     p = store["product"]
-    pj = p.join(per_product, "product_id", "left")
-    products = pj.withColumn("stock_arrival_date", F.coalesce("_arrival", "stock_arrival_date"))
+    products = p.join(per_product, "product_id", "left") \
+        .withColumn("stock_arrival_date", F.coalesce("_arrival", "stock_arrival_date"))
     if stock_on == "receive":
         products = products.withColumn("stock_quantity",
                                        (F.col("stock_quantity") + F.coalesce("stock_change", F.lit(0))).cast("int"))
-    return {"purchase_order": new_po, "product": products.select(*p.columns), "rejects": rejects}
+    return {"purchase_order": new_po, "product": products.select(*p.columns), "rejects": _reject_rows(bad)}
 
 
 # ---- W11 --------------------------------------------------------------------------------------
@@ -391,10 +440,11 @@ def change_employee_type(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
     closed and the new subtype row is upserted (the subtype tables are keyed by employee);
     a contract type also gets a new contract row."""
     e = active(store["employee"]).select("employee_id", F.lit(True).alias("_e"))
-    req = feed.join(e, "employee_id", "left")
+    asked, id_rules = identified(feed)
+    req = asked.join(e, "employee_id", "left")
     t = F.lower("new_type")
-    rules = [("W11:unknown_employee", F.col("_e").isNull()),
-             ("W11:bad_type", ~t.isin("hourly", "contract", "regular")),
+    rules = id_rules + [("W11:unknown_employee", F.col("_e").isNull()),
+             ("W11:bad_type", F.coalesce(~t.isin("hourly", "contract", "regular"), F.lit(True))),
              ("W11:missing_field", ((t == "hourly") & (F.col("hours_worked").isNull() | F.col("hourly_wages").isNull()))
               | ((t == "contract") & (F.col("salary").isNull() | F.col("contract_start_date").isNull()
                                       | F.col("contract_end_date").isNull()))),
@@ -430,14 +480,18 @@ def change_employee_type(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
 
 
 # ---- W12 --------------------------------------------------------------------------------------
-def stock_ledger(store: Store) -> DataFrame:
-    """Net stock movement per product from active sale lines (out) and lines of received
-    purchase orders (in), next to the stored stock; ``negative`` marks products whose stored
-    stock would not cover the movement."""
-    sold = active(store["order_details"]).select("product_id", (-F.col("quantity").cast("long")).alias("q"))
-    received_po = store["purchase_order"].where(text_equals("delivery_status", "received")).select("purchase_order_id")
-    got = active(store["purchase_order_details"]).join(received_po, "purchase_order_id", "left_semi") \
-        .select("product_id", F.col("quantity").cast("long").alias("q"))
+def stock_ledger(store: Store, stock_on: str = "create") -> DataFrame:
+    """Net stock movement per product, next to the stored stock; ``negative`` marks products
+    whose stored stock would not cover the movement. Out: every sale line, whatever its flag
+    (checkout flags sold lines off, and a removal gives no stock back). In: purchase lines where
+    W9 or W10 move stock, by the same ``stock_on``: lines of every purchase order ('create', the
+    default) or active lines of received ones ('receive')."""
+    sold = store["order_details"].select("product_id", (-F.col("quantity").cast("long")).alias("q"))
+    got = store["purchase_order_details"]
+    if stock_on == "receive":
+        received_po = store["purchase_order"].where(text_equals("delivery_status", "received"))
+        got = active(got).join(received_po.select("purchase_order_id"), "purchase_order_id", "left_semi")
+    got = got.select("product_id", F.col("quantity").cast("long").alias("q"))
     moves = sold.unionByName(got).groupBy("product_id").agg(
         F.sum(F.when(F.col("q") < 0, -F.col("q")).otherwise(0)).alias("sold"),
         F.sum(F.when(F.col("q") > 0, F.col("q")).otherwise(0)).alias("received"),

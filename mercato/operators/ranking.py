@@ -33,35 +33,28 @@ def top1_per_group(df: DataFrame, group_cols: list[str], value: str, tie: str,
 
 
 def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int | None = None,
-                    relative_error: float = 0.001, ascending: bool = False,
-                    materialize: bool = True) -> DataFrame:
+                    ascending: bool = False, materialize: bool = True, hot=None) -> DataFrame:
     """Add ``rank`` = 1 + number of distinct ``value``s greater than this row's value
     (smaller, with ``ascending=True``). ``materialize=False`` skips the checkpoint of the
-    distinct values when ``df`` is already cheap to read (e.g. itself checkpointed)."""
+    distinct values when ``df`` is already cheap to read (e.g. itself checkpointed). Rows whose
+    value is ``hot`` (a literal that very many rows share) get its rank from one scalar and
+    never meet on it in a join."""
     spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct() \
         .withColumn("_v", F.col(value).cast("double"))
     if materialize:
         # the distinct values are read twice (cut points, ranks): cut from the lineage once
         ensure_checkpoint_dir(spark)
         distinct = distinct.checkpoint(eager=True)
+    n = ranges or _ranges(spark, distinct.count())
     cuts: list[float] = []
     if n > 1:
-        probs = [i / n for i in range(1, n)]
-        cuts = sorted(set(distinct.approxQuantile("_v", probs, relative_error)))
-    if cuts:
-        # range of a value by binary search over the cut points (JVM-side)
-        splits = [-math.inf] + cuts + [math.inf]
-        ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(distinct)
-        b = F.col("_b").cast("int")
-        ranged = ranged.withColumn("_range", b if ascending else F.lit(len(splits) - 2) - b).drop("_b")
-    else:
-        # a single range (no rows, or one range asked for): no offsets to add
-        local = distinct.withColumn("_local", F.row_number().over(
-            Window.orderBy(F.col(value).asc() if ascending else F.col(value).desc())))
-        ranks = local.select(value, F.col("_local").cast("long").alias(rank))
-        return df.join(ranks, value, "left")
+        cuts = sorted(set(distinct.approxQuantile("_v", [i / n for i in range(1, n)], 1 / (4 * n))))
+    # range of a value by binary search over the cut points (JVM-side)
+    splits = [-math.inf] + (cuts or [0.0]) + [math.inf]
+    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(distinct)
+    b = F.col("_b").cast("int")
+    ranged = ranged.withColumn("_range", b if ascending else F.lit(len(splits) - 2) - b).drop("_b")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range (bounded by ``ranges``): prefix sums on a tiny frame
     offsets = sizes.select("_range", (F.sum("_n").over(
@@ -70,7 +63,11 @@ def dense_rank_desc(df: DataFrame, value: str, rank: str = "rank", ranges: int |
         Window.partitionBy("_range").orderBy(F.col(value).asc() if ascending else F.col(value).desc())))
     ranks = local.join(F.broadcast(offsets), "_range").select(
         value, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long").alias(rank))
-    return df.join(ranks, value, "left")
+    if hot is None:
+        return df.join(ranks, value, "left")
+    of_hot = ranks.where(F.col(value) == hot).agg(F.max(rank)).scalar()
+    others = df.where(F.col(value).isNull() | (F.col(value) != hot)).join(ranks, value, "left")
+    return others.unionByName(df.where(F.col(value) == hot).withColumn(rank, of_hot).select(*others.columns))
 
 
 def keep_at_least_max(groups: DataFrame, value: str, reference: DataFrame) -> DataFrame:
@@ -81,10 +78,67 @@ def keep_at_least_max(groups: DataFrame, value: str, reference: DataFrame) -> Da
     return groups.where(F.col(value) >= ref_max)
 
 
+ROWS_PER_RANGE = 1_000_000
+
+
+def _ranges(spark, rows: int) -> int:
+    """Value ranges for so many rows: one per shuffle partition, more if a range would grow
+    beyond ``ROWS_PER_RANGE``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
+
+
 def positions(df: DataFrame, order_col: str, out: str = "position") -> DataFrame:
-    """1-based position of each row by a unique ``order_col`` (ids for new rows: repeatable,
-    unlike ``monotonically_increasing_id``), computed without a one-partition window. The
-    rows are read for the cut points, the ranks and the join back, so they are computed once
-    (reliable checkpoint)."""
+    """1-based position of each row by ``order_col`` (ids for new rows: repeatable, unlike
+    ``monotonically_increasing_id``), computed without a one-partition window. Rows are numbered
+    themselves within value ranges and shifted by the sizes of the ranges before, so rows with
+    equal values still get positions of their own. ``order_col`` must not be null. The rows are
+    read for the cut points, the sizes and the numbers, so they are computed once (reliable
+    checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return dense_rank_desc(df.checkpoint(eager=True), order_col, out, ascending=True, materialize=False)
+    rows = df.checkpoint(eager=True).withColumn("_v", F.col(order_col).cast("double"))
+    n = _ranges(df.sparkSession, rows.count())
+    cuts = sorted(set(rows.approxQuantile("_v", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    splits = [-math.inf] + (cuts or [0.0]) + [math.inf]
+    rows = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(rows) \
+        .withColumn("_range", F.col("_b").cast("int")).drop("_b")
+    # one row per range: prefix sums on a frame of at most ``n`` rows
+    before = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(order_col))
+    return rows.withColumn("_local", local).join(F.broadcast(before), "_range") \
+        .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")) \
+        .drop("_v", "_range", "_local", "_off")
+
+
+# Requests are ordered by unique whole numbers, so a chunk of this many holds at most as many
+# requests of one key.
+ORDER_CHUNK = 65_536
+
+
+def _chunked(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_chunk", F.floor(F.col(order) / ORDER_CHUNK))
+
+
+def previous_value(df: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
+    """Add ``out``: ``value`` (not null) of the key's row before this one by ``order`` (a unique
+    whole number), null for its first. A window runs within chunks of the order only; the last
+    values of earlier chunks are carried over, so a hot key never fills one window."""
+    rows = _chunked(df, order)
+    within = Window.partitionBy(key, "_chunk").orderBy(order)
+    carried = rows.groupBy(key, "_chunk").agg(F.max_by(value, order).alias("_last")).select(
+        key, "_chunk", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_carry"))
+    return (rows.withColumn("_local", F.lag(value).over(within)).join(carried, [key, "_chunk"])
+            .withColumn(out, F.coalesce("_local", "_carry")).drop("_local", "_carry", "_chunk"))
+
+
+def numbered_within(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """Add ``out``: the row's place (from 1) among its key's rows by ``order`` (a unique whole
+    number), with the same two levels as ``previous_value``."""
+    rows = _chunked(df, order)
+    sizes = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order))
+    return (rows.withColumn("_local", local).join(offsets, [key, "_chunk"])
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_local", "_off", "_chunk"))

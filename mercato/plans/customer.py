@@ -7,7 +7,6 @@ by removal from the cart (``line_scope='all'``, S2). Empty sums become 0 and mis
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +122,7 @@ def spend_rank(store: Store, line_scope: str = "all", customer_ids=None) -> Data
     # totals are read for the cut points, the ranks and the join back: computed once
     ensure_checkpoint_dir(store.spark)
     totals = total_spent(store, line_scope).checkpoint(eager=True)
-    ranked = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False) \
+    ranked = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False, hot=0) \
         .select("customer_id", "spend_rank")
     if customer_ids is not None:
         ranked = lookup(ranked, customer_ids, "customer_id")
@@ -138,10 +137,12 @@ PROFILE_COLUMNS = ["customer_id", "customer_name", "phone_number", "email_addres
 
 def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_scope: str = "all") -> DataFrame:
     """The full profile, one row per customer (or per requested id)."""
-    cp = customer_product_lines(store, line_scope)
+    # three parts of the profile read the (customer, product) table, the largest intermediate:
+    # it is computed once
+    ensure_checkpoint_dir(store.spark)
+    cp = customer_product_lines(store, line_scope).checkpoint(eager=True)
     # one row per customer, needed three times (profile, rank cut points, rank): computed once
     # and cut from its lineage with a reliable checkpoint in the shared checkpoint folder
-    ensure_checkpoint_dir(store.spark)
     spend = _spend_stats(store, line_scope).checkpoint(eager=True)
     stats = _order_stats(store)
     products = cp.groupBy("customer_id").agg(F.count(F.lit(1)).alias("distinct_products"))
@@ -165,9 +166,6 @@ def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_s
     totals = store["customer"].select("customer_id").join(spend.select("customer_id", "total_spent"),
                                                           "customer_id", "left") \
         .select("customer_id", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)).alias("total_spent"))
-    ranks = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False).select("customer_id", "spend_rank")
+    ranks = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False, hot=0).select("customer_id", "spend_rank")
     return out.join(ranks, "customer_id", "left").select(*PROFILE_COLUMNS)
 
-
-def profile_parts() -> Iterable[str]:
-    return PROFILE_COLUMNS

@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.carts import cart_events
-from mercato.sources.adapter import PO_KEY_STRIDE, Store
+from mercato.sources.adapter import Store, purchase_order_id
 
 # ---- fixed feed parameters --------------------------------------------------------------------
-UNKNOWN_OFFSET = 10_000_000          # added to a key to make an id that does not exist
 AS_OF_PURCHASES = _dt.date(1995, 6, 1)
 AS_OF_CHECKOUT = _dt.date(2024, 2, 1)
 AS_OF_ARCHIVE = _dt.datetime(2024, 2, 1, 12, 0, 0)
 
 
+def _unknown(key):
+    """An id that does not exist: keys are never negative."""
+    return -key - 1
+
+
 def raw_line_feed(store: Store) -> DataFrame:
     """Order lines as they arrive, one per lineitem row, before repeated products are merged."""
     li = store.driver["lineitem"]
@@ -31,9 +35,10 @@ def raw_line_feed(store: Store) -> DataFrame:
 
 
 def product_patches(store: Store) -> DataFrame:
-    """W2 feed, three patches for every product: (1) even keys patch the price, odd keys set
+    """W2 feed, four patches for every product: (1) even keys patch the price, odd keys set
     the category to NULL; (2) a later patch of name and price (key % 3 = 0), an empty patch
-    (key % 3 = 1) or a price patch (key % 3 = 2); (3) a price patch for an unknown key."""
+    (key % 3 = 1) or a price patch (key % 3 = 2); (3) a price patch for an unknown key; (4) a
+    patch that sets the price below 0 (even keys) or the name to NULL (odd keys)."""
     p = store.driver["part"]
     k = F.col("p_partkey")
     name = F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), F.col("p_size").cast("string"))
@@ -51,22 +56,31 @@ def product_patches(store: Store) -> DataFrame:
         F.concat(name, F.lit(" v2")).alias("product_name"), F.lit(None).cast("string").alias("category"),
         (price + F.lit(2)).cast("decimal(10,2)").alias("price"))
     unknown = p.select(
-        (k * 10 + 3).alias("change_id"), (k + UNKNOWN_OFFSET).alias("product_id"), F.array(F.lit("price")).alias("set_fields"),
+        (k * 10 + 3).alias("change_id"), _unknown(k).alias("product_id"), F.array(F.lit("price")).alias("set_fields"),
         F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
         price.alias("price"))
-    return first.select(*cols).unionByName(second.select(*cols)).unionByName(unknown.select(*cols))
+    refused = p.select(
+        (k * 10 + 4).alias("change_id"), k.alias("product_id"),
+        F.when(k % 2 == 0, F.array(F.lit("price"))).otherwise(F.array(F.lit("product_name"))).alias("set_fields"),
+        F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
+        F.lit(-5).cast("decimal(10,2)").alias("price"))
+    return first.select(*cols).unionByName(second.select(*cols)).unionByName(unknown.select(*cols)) \
+        .unionByName(refused.select(*cols))
 
 
 def product_flags(store: Store) -> DataFrame:
     """W3 feed, for every product: a deactivation, then a later request that reactivates even
-    keys and deactivates odd keys again, and a deactivation of an unknown key."""
+    keys and deactivates odd keys again, a deactivation of an unknown key, and for key % 3 = 0
+    one more deactivation."""
     p = store.driver["part"]
     k = F.col("p_partkey")
     off = p.select((k * 10 + 1).alias("change_id"), k.alias("product_id"), F.lit(False).alias("flag"))
     again = p.select((k * 10 + 2).alias("change_id"), k.alias("product_id"), (k % 2 == 0).alias("flag"))
-    unknown = p.select((k * 10 + 3).alias("change_id"), (k + UNKNOWN_OFFSET).alias("product_id"),
+    unknown = p.select((k * 10 + 3).alias("change_id"), _unknown(k).alias("product_id"),
                        F.lit(False).alias("flag"))
-    return off.unionByName(again).unionByName(unknown)
+    last = p.where(k % 3 == 0).select((k * 10 + 4).alias("change_id"), k.alias("product_id"),
+                                      F.lit(False).alias("flag"))
+    return off.unionByName(again).unionByName(unknown).unionByName(last)
 
 
 def product_deletes(store: Store) -> DataFrame:
@@ -74,43 +88,56 @@ def product_deletes(store: Store) -> DataFrame:
     p = store["product"]
     k = F.col("product_id")
     return p.where(~F.col("is_valid")).select(k.alias("product_id")).unionByName(
-        p.select((k + UNKNOWN_OFFSET).alias("product_id")))
+        p.select(_unknown(k).alias("product_id")))
 
 
 def carts(store: Store) -> DataFrame:
     """W6 feed: the driver's events as cart events."""
-    return cart_events(store.driver["events"])
+    return cart_events(store.driver["events"], store["product"])
 
 
 def checkout_requests(store: Store) -> DataFrame:
     """W7 feed: every customer asks to check out; key % 6 = 0 leaves the email out; key % 4 = 0
-    pays by card, and key % 8 = 4 sends no card fields."""
+    pays by card, and key % 8 = 4 sends no card fields. Even keys ask a second time, complete
+    and in cash."""
     c = store.driver["customer"]
     k = F.col("c_custkey")
-    return c.select(k.alias("change_id"), k.alias("customer_id"), F.col("c_name").alias("name"),
-                    F.when(k % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@shop.test")))
-                    .alias("email"),
-                    F.when(k % 4 == 0, F.lit("card")).otherwise(F.lit("cash")).alias("payment_method"),
-                    (k % 8 != 4).alias("has_card_fields"))
+    mail = F.concat(F.lit("c"), k.cast("string"), F.lit("@shop.test"))
+    first = c.select((k * 10 + 1).alias("change_id"), k.alias("customer_id"), F.col("c_name").alias("name"),
+                     F.when(k % 6 == 0, F.lit(None)).otherwise(mail).alias("email"),
+                     F.when(k % 4 == 0, F.lit("card")).otherwise(F.lit("cash")).alias("payment_method"),
+                     (k % 8 != 4).alias("has_card_fields"))
+    second = c.where(k % 2 == 0).select(
+        (k * 10 + 2).alias("change_id"), k.alias("customer_id"), F.col("c_name").alias("name"), mail.alias("email"),
+        F.lit("cash").alias("payment_method"), F.lit(False).alias("has_card_fields"))
+    return first.unionByName(second)
 
 
 def order_status_updates(store: Store) -> DataFrame:
-    """W8 feed: every order is set to 'Completed' three days after its order date, by its own
-    employee (key % 60 = 31: by another employee)."""
+    """W8 feed, up to four requests per order, by its own employee (key % 60 = 31: by another
+    employee): 'Completed' three days after the order date; for key % 3 = 0 'archived' without
+    a date; for key % 5 = 0 'completed' a day later without its date; for key % 7 = 0 a blank
+    status."""
     o = store.driver["orders"]
     k = F.col("o_orderkey")
     owner = F.col("o_custkey") % 25
-    return o.select(k.alias("change_id"), k.alias("order_id"),
-                    F.when(k % 60 == 31, (owner + 1) % 25).otherwise(owner).alias("employee_id"),
-                    F.lit("Completed").alias("status"),
-                    F.date_add(F.to_date("o_orderdate"), 3).alias("received_date"))
+    asker = F.when(k % 60 == 31, (owner + 1) % 25).otherwise(owner)
+
+    def ask(number: int, rows: DataFrame, status: str, date=F.lit(None).cast("date")) -> DataFrame:
+        return rows.select((k * 10 + number).alias("change_id"), k.alias("order_id"), asker.alias("employee_id"),
+                           F.lit(status).alias("status"), date.alias("received_date"))
+
+    return ask(1, o, "Completed", F.date_add(F.to_date("o_orderdate"), 3)) \
+        .unionByName(ask(2, o.where(k % 3 == 0), "archived")) \
+        .unionByName(ask(3, o.where(k % 5 == 0), "completed")) \
+        .unionByName(ask(4, o.where(k % 7 == 0), " "))
 
 
 def purchase_requests(store: Store) -> tuple[DataFrame, DataFrame]:
     """W9 feed: one request per (order, supplier) of the whole line table, expected 30 days
     after the latest ship date; items are the request's parts."""
     li = store.driver["lineitem"]
-    cid = F.col("l_orderkey") * PO_KEY_STRIDE + F.col("l_suppkey")
+    cid = purchase_order_id(store.driver)
     headers = li.groupBy("l_orderkey", "l_suppkey").agg(F.max(F.to_date("l_shipdate")).alias("_last")).select(
         cid.alias("change_id"), F.col("l_suppkey").alias("supplier_id"), (F.col("l_suppkey") % 25).alias("employee_id"),
         F.date_add("_last", 30).alias("expected_received_date"))
@@ -122,13 +149,20 @@ def purchase_requests(store: Store) -> tuple[DataFrame, DataFrame]:
 
 
 def purchase_status_updates(store: Store) -> DataFrame:
-    """W10 feed: every purchase order: id % 7 = 0 is 'Received' 12 days after its order date,
-    the others 'Shipped'."""
+    """W10 feed, up to four requests per purchase order, active or not: 'Shipped'; for id % 7 = 0
+    'Received' 12 days after the order date; for id % 14 = 0 'Shipped' again; for id % 11 = 0 no
+    status, and for id % 13 = 0 a status that does not exist."""
     po = store["purchase_order"]
     k = F.col("purchase_order_id")
-    return po.select(k.alias("change_id"), k.alias("purchase_order_id"),
-                     F.when(k % 7 == 0, F.lit("Received")).otherwise(F.lit("Shipped")).alias("status"),
-                     F.when(k % 7 == 0, F.date_add("order_date", 12)).alias("received_date"))
+
+    def ask(number: int, rows: DataFrame, status, date=F.lit(None).cast("date")) -> DataFrame:
+        return rows.select((k * 10 + number).alias("change_id"), k.alias("purchase_order_id"),
+                           F.lit(status).cast("string").alias("status"), date.alias("received_date"))
+
+    return ask(1, po, "Shipped").unionByName(ask(2, po.where(k % 7 == 0), "Received", F.date_add("order_date", 12))) \
+        .unionByName(ask(3, po.where(k % 14 == 0), "Shipped")) \
+        .unionByName(ask(4, po.where(k % 11 == 0), None)) \
+        .unionByName(ask(5, po.where(k % 13 == 0), "Lost"))
 
 
 def employee_type_changes(store: Store) -> DataFrame:
@@ -152,14 +186,21 @@ def employee_type_changes(store: Store) -> DataFrame:
 
 def product_creates(store: Store) -> DataFrame:
     """W1 feed: every part is offered as a new product named '<name> new' at 950 below its
-    retail price (some prices fall to zero or below); key % 100 = 0 comes without a name."""
+    retail price (some prices fall to zero or below); key % 100 = 0 comes without a name,
+    key % 50 = 7 comes twice with one change id, and key % 70 = 3 comes again without one."""
     p = store.driver["part"]
     k = F.col("p_partkey")
-    return p.select(k.alias("change_id"),
-                    F.when(k % 100 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(" new"))).alias("product_name"),
-                    F.col("p_type").alias("category"),
-                    (F.col("p_retailprice") - 950).cast("decimal(10,2)").alias("price"),
-                    F.col("p_size").alias("stock_quantity"))
+
+    def offer(rows: DataFrame, change_id) -> DataFrame:
+        return rows.select(
+            change_id.cast("long").alias("change_id"),
+            F.when(k % 100 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(" new"))).alias("product_name"),
+            F.col("p_type").alias("category"),
+            (F.col("p_retailprice") - 950).cast("decimal(10,2)").alias("price"),
+            F.col("p_size").alias("stock_quantity"))
+
+    return offer(p, k).unionByName(offer(p.where(k % 50 == 7), k)).unionByName(
+        offer(p.where(k % 70 == 3), F.lit(None)))
 
 
 def employee_deactivations(store: Store) -> DataFrame:
@@ -170,7 +211,16 @@ def employee_deactivations(store: Store) -> DataFrame:
 
 
 def purchase_order_deactivations(store: Store) -> DataFrame:
-    """W4 feed: every purchase order is withdrawn (only active, pending ones may be)."""
+    """W4 feed, up to three requests per purchase order: a withdrawal (only active, pending ones
+    may be), for even ids a reactivation, and for id % 4 = 0 another withdrawal; and for
+    id % 9 = 0 a withdrawal of an unknown order."""
     po = store["purchase_order"]
     k = F.col("purchase_order_id")
-    return po.select(k.alias("change_id"), k.alias("purchase_order_id"), F.lit(False).alias("flag"))
+
+    def ask(number: int, rows: DataFrame, flag: bool, key=k) -> DataFrame:
+        return rows.select((k * 10 + number).alias("change_id"), key.alias("purchase_order_id"),
+                           F.lit(flag).alias("flag"))
+
+    return ask(1, po, False).unionByName(ask(2, po.where(k % 2 == 0), True)) \
+        .unionByName(ask(3, po.where(k % 4 == 0), False)) \
+        .unionByName(ask(4, po.where(k % 9 == 0), False, _unknown(k)))

@@ -85,12 +85,15 @@ def _new_purchase_orders(st: Store) -> DataFrame:
 
 
 def _status_changed_orders(st: Store) -> DataFrame:
-    out = W.set_order_status(st, feeds.order_status_updates(st))["orders"]
-    return out.join(feeds.order_status_updates(st).select("order_id"), "order_id", "left_semi")
+    return W.set_order_status(st, feeds.order_status_updates(st))["orders"]
 
 
-def _received_products(st: Store) -> DataFrame:
-    return W.set_purchase_status(st, feeds.purchase_status_updates(st), stock_on="receive")["product"]
+def _purchase_status(st: Store) -> dict[str, DataFrame]:
+    return W.set_purchase_status(st, feeds.purchase_status_updates(st), stock_on="receive")
+
+
+def _purchase_flags(st: Store) -> dict[str, DataFrame]:
+    return W.set_purchase_order_active(st, feeds.purchase_order_deactivations(st))
 
 
 def _type_changes(st: Store) -> dict[str, DataFrame]:
@@ -107,10 +110,9 @@ JOB_QUERIES = {
     "W4_hourly_after_deactivation": _s(
         lambda st: W.deactivate_employees(st, feeds.employee_deactivations(st))["hourly_employee"]),
     "W4_employee_rejects": _s(lambda st: W.deactivate_employees(st, feeds.employee_deactivations(st))["rejects"]),
-    "W4_purchase_lines_after": _s(
-        lambda st: W.set_purchase_order_active(st, feeds.purchase_order_deactivations(st))["purchase_order_details"]),
-    "W4_purchase_order_rejects": _s(
-        lambda st: W.set_purchase_order_active(st, feeds.purchase_order_deactivations(st))["rejects"]),
+    "W4_purchase_lines_after": _s(lambda st: _purchase_flags(st)["purchase_order_details"]),
+    "W4_purchase_orders_after": _s(lambda st: _purchase_flags(st)["purchase_order"]),
+    "W4_purchase_order_rejects": _s(lambda st: _purchase_flags(st)["rejects"]),
     "V1_duplicate_line_keys": _s(duplicate_line_keys),
     "V_line_feed_violations": _s(line_feed_violations),
     "V_employee_violations": _s(_table_violations("employee", contact=True)),
@@ -131,13 +133,18 @@ JOB_QUERIES = {
     "W6_cart_orders": _s(lambda st: _cart_fold(st)["cart_orders"]),
     "W6_stock_moves": _s(lambda st: _cart_fold(st)["stock_moves"]),
     "W7_checkout_payments": _s(_new_payments),
+    "W7_checkout_orders": _s(lambda st: _checkout(st)["orders"]),
+    "W7_checkout_customers": _s(lambda st: _checkout(st)["customer"].select("customer_id", "order_count")),
     "W7_checkout_rejects": _s(lambda st: _checkout(st)["rejects"]),
     "W8_status_changed_orders": _s(_status_changed_orders),
     "W8_status_rejects": _s(lambda st: W.set_order_status(st, feeds.order_status_updates(st))["rejects"]),
     "W9_new_purchase_orders": _s(_new_purchase_orders),
     "W9_purchase_rejects": _s(lambda st: _purchase(st)["rejects"]),
-    "W10_received_products": _s(_received_products),
+    "W10_received_products": _s(lambda st: _purchase_status(st)["product"]),
+    "W10_purchase_orders": _s(lambda st: _purchase_status(st)["purchase_order"]),
+    "W10_purchase_rejects": _s(lambda st: _purchase_status(st)["rejects"]),
     "W11_hourly_after": _s(lambda st: _type_changes(st)["hourly_employee"]),
     "W11_contract_employee_after": _s(lambda st: _type_changes(st)["contract_employee"]),
     "W12_stock_ledger": _s(W.stock_ledger),
+    "W12_stock_ledger_on_receive": _s(lambda st: W.stock_ledger(st, stock_on="receive")),
 }

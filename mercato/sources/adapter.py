@@ -30,8 +30,7 @@ MANAGER_BOUNDS = [(5, None), (13, 0), (19, 1), (23, 2), (24, 3)]
 MANAGER_ELSE = 4
 # order status letter -> store status
 ORDER_STATUS = {"P": "cart", "O": "confirmed", "F": "completed"}
-# purchase order id = l_orderkey * PO_KEY_STRIDE + l_suppkey
-PO_KEY_STRIDE = 1000
+# purchase order id = l_orderkey * (largest supplier key + 1) + l_suppkey, see purchase_order_id
 CONTRACT_START = _dt.date(2023, 1, 1)
 CONTRACT_END_BASE = _dt.date(2023, 12, 31)
 STOCK_ARRIVAL_BASE = _dt.date(2024, 1, 1)
@@ -77,7 +76,7 @@ def _customer(d: DriverTables) -> DataFrame:
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
         _null("customer", "phone_number"), _null("customer", "email_address"),
         F.col("n_name").alias("city"), F.col("c_mktsegment").alias("shipping_address"),
-        _null("customer", "order_count"), (F.col("c_acctbal") >= 0).alias("is_valid")), "customer")
+        F.lit(0).alias("order_count"), (F.col("c_acctbal") >= 0).alias("is_valid")), "customer")
 
 
 def _employee(d: DriverTables) -> DataFrame:
@@ -168,8 +167,11 @@ def _supplier(d: DriverTables) -> DataFrame:
         (F.col("s_acctbal") >= 0).alias("is_valid")), "supplier")
 
 
-def _po_id() -> Column:
-    return F.col("l_orderkey") * PO_KEY_STRIDE + F.col("l_suppkey")
+def purchase_order_id(d: DriverTables) -> Column:
+    """Id of the purchase order of an (order, supplier) pair of the line table. The stride is the
+    largest supplier key + 1, read from the supplier table, so no two pairs share an id."""
+    stride = d["supplier"].agg(F.max("s_suppkey") + 1).scalar()
+    return F.col("l_orderkey") * stride + F.col("l_suppkey")
 
 
 def _purchase_order(d: DriverTables) -> DataFrame:
@@ -179,19 +181,19 @@ def _purchase_order(d: DriverTables) -> DataFrame:
     received = F.col("_ls") == "F"
     status = F.when(received, "Received").when(F.col("_rf") == "R", "Shipped") \
         .when(F.col("l_orderkey") % 2 == 0, "pending").otherwise("Pending")
-    return _conform(g.select(
-        _po_id().alias("purchase_order_id"), (F.col("l_suppkey") % 25).alias("employee_id"),
+    return _conform(g.withColumn("_id", purchase_order_id(d)).select(
+        F.col("_id").alias("purchase_order_id"), (F.col("l_suppkey") % 25).alias("employee_id"),
         F.col("l_suppkey").alias("supplier_id"), "order_date",
         F.date_add("order_date", 10).alias("expected_received_date"),
         F.when(received, F.date_add("order_date", (F.col("l_orderkey") % 15).cast("int"))).alias("actual_received_date"),
-        status.alias("delivery_status"), (_po_id() % 20 != 0).alias("is_valid")), "purchase_order")
+        status.alias("delivery_status"), (F.col("_id") % 20 != 0).alias("is_valid")), "purchase_order")
 
 
 def _purchase_order_details(d: DriverTables) -> DataFrame:
     g = d["lineitem"].groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
         _line_money().alias("price"), _line_qty().alias("quantity"))
     return _conform(g.select(
-        _po_id().alias("purchase_order_id"), F.col("l_partkey").alias("product_id"), "price", "quantity",
+        purchase_order_id(d).alias("purchase_order_id"), F.col("l_partkey").alias("product_id"), "price", "quantity",
         F.lit(True).alias("is_valid")), "purchase_order_details")
 
 
@@ -299,16 +301,13 @@ def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) ->
     if not staged:
         return live
     from mercato.session import shared_dir
-    from mercato.sources.store import bucket_count, materialize, read_store
+    from mercato.sources.store import bucket_count, is_published, materialize, read_store
     fp, line_bytes = _fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, fp)
     if key not in _STAGED:
         buckets = bucket_count(spark, line_bytes)
         root = f"{shared_dir(spark)}/mercato-store/b4-{buckets}-{fp}"
-        try:
-            st = read_store(spark, root)
-        except Exception:
-            st = materialize(live, root, buckets)
+        st = read_store(spark, root) if is_published(spark, root) else materialize(live, root, buckets)
         _STAGED[key] = st
     st = _STAGED[key]
     return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver)

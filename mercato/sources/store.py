@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,36 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write under a temporary name and rename, so a reader sees the old file or the whole new
+    one, never a part."""
     fs, p = _hadoop_fs(spark, path)
-    out = fs.create(p, True)
+    _, draft = _hadoop_fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(draft, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
+    if not fs.rename(draft, p):      # some file systems do not rename over an existing file
+        fs.delete(p, False)
+        if not fs.rename(draft, p):
+            raise OSError(f"cannot publish {path}")
+
+
+def _claim(spark: SparkSession, root: str, number: int) -> str:
+    """Take the next free version number: its marker is created only if nobody else did."""
+    while True:
+        version = f"v{number:06d}"
+        fs, marker = _hadoop_fs(spark, f"{root}/{version}/_claimed")
+        try:
+            if not fs.exists(marker):
+                fs.create(marker, False).close()
+                return version
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+        number += 1
+
+
+def is_published(spark: SparkSession, root: str) -> bool:
+    return bool((_read_text(spark, f"{root.rstrip('/')}/CURRENT") or "").strip())
 
 
 def _catalog_name(path: str) -> str:
@@ -90,13 +118,13 @@ BUCKET_BYTES = 128 * 1024 * 1024
 
 def bucket_count(spark: SparkSession, source_bytes: int | None = None) -> int:
     """Buckets per clustered table: about one 128 MB file per bucket of source data, at least
-    one per core of the cluster (so a scan uses every core), at most the shuffle partition
-    count (so joins with shuffled sides line up)."""
+    one per core of the cluster or shuffle partition, whichever is fewer (so a scan uses every
+    core). The number grows with the data alone, so no bucket outgrows a task."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if source_bytes is None:
         return shuffle
     by_size = -(-int(source_bytes) // BUCKET_BYTES)
-    return max(1, min(shuffle, max(spark.sparkContext.defaultParallelism, by_size)))
+    return max(1, by_size, min(shuffle, spark.sparkContext.defaultParallelism))
 
 
 def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None) -> list | None:
@@ -121,7 +149,7 @@ def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], ba
     current = (_read_text(spark, f"{root}/CURRENT") or "").strip()
     previous = json.loads(_read_text(spark, f"{root}/{current}/manifest.json")) if current else {}
     number = int(current[1:]) + 1 if current else 1
-    version = f"v{number:06d}"
+    version = _claim(spark, root, number)
     tables = dict(previous["tables"]) if previous else {}
     specs = dict(previous.get("buckets", {})) if previous else {}
     n = buckets or bucket_count(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mercato.operators.carts import cart_events, fold_carts
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import ensure_checkpoint_dir, shared_dir
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 BUCKETS = 256
@@ -43,10 +43,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _refold(spark: SparkSession, batch: DataFrame, batch_id: int, products: DataFrame, state_dir: str,
             buckets: int) -> None:
     log_path = f"{state_dir}/log"
-    batch.withColumn("cust_bucket", bucket_of("customer_id", buckets)) \
-        .write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-    written = spark.read.parquet(f"{log_path}/batch_id={batch_id}")
-    # the set of touched buckets is bounded by ``buckets``; a literal filter prunes the log
+    # the log is laid out by bucket and then batch: a replayed batch replaces its own files, and a
+    # filter on the buckets prunes the log to the files of the batch's customers
+    (batch.withColumn("cust_bucket", bucket_of("customer_id", buckets)).withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("cust_bucket", "batch_id").parquet(log_path))
+    written = spark.read.parquet(log_path).where(F.col("batch_id") == batch_id)
+    # the set of touched buckets is bounded by ``buckets``
     touched_buckets = [r[0] for r in written.select("cust_bucket").distinct().collect()]
     if not touched_buckets:
         return
@@ -75,12 +78,12 @@ def start_cart_stream(spark: SparkSession, source_dir: str, products: DataFrame,
                       ) -> tuple[StreamingQuery, str]:
     """Start the stream over event parquet files in ``source_dir``. Returns the query and the
     state folder (``cart_lines``, ``cart_orders``, ``log``, ``_checkpoint`` inside)."""
-    state_dir = state_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/cart_state"
+    state_dir = state_dir or f"{shared_dir(spark)}/cart_state"
     reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    events = cart_events(stream)
+    events = cart_events(stream, products)
     writer = (events.writeStream
               .foreachBatch(lambda df, bid: _refold(spark, df, bid, products, state_dir, buckets))
               .option("checkpointLocation", f"{state_dir}/_checkpoint"))

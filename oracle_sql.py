@@ -10,7 +10,7 @@ from __future__ import annotations
 ADAPTER = {
     "st_customer": """SELECT c.c_custkey AS customer_id, c.c_name AS customer_name,
         CAST(NULL AS VARCHAR) AS phone_number, CAST(NULL AS VARCHAR) AS email_address, n.n_name AS city,
-        c.c_mktsegment AS shipping_address, CAST(NULL AS INTEGER) AS order_count, c.c_acctbal >= 0 AS is_valid
+        c.c_mktsegment AS shipping_address, CAST(0 AS INTEGER) AS order_count, c.c_acctbal >= 0 AS is_valid
         FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "st_employee": """SELECT CAST(n_nationkey AS BIGINT) AS employee_id, n_name AS employee_name,
         CASE WHEN n_nationkey < 2 THEN 'Manager' WHEN n_nationkey < 5 THEN 'Assistant Manager'
@@ -45,16 +45,16 @@ ADAPTER = {
         FROM lineitem GROUP BY l_orderkey, l_partkey""",
     "st_supplier": """SELECT s_suppkey AS supplier_id, s_name AS supplier_name, CAST(NULL AS VARCHAR) AS email_address,
         CAST(NULL AS VARCHAR) AS phone_number, s_acctbal >= 0 AS is_valid FROM supplier""",
-    "st_purchase_order": """SELECT l_orderkey * 1000 + l_suppkey AS purchase_order_id, l_suppkey % 25 AS employee_id,
+    "st_purchase_order": """SELECT l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey AS purchase_order_id, l_suppkey % 25 AS employee_id,
         l_suppkey AS supplier_id, MIN(CAST(l_shipdate AS DATE)) AS order_date,
         CAST(MIN(CAST(l_shipdate AS DATE)) + 10 AS DATE) AS expected_received_date,
         CASE WHEN MAX(l_linestatus) = 'F'
              THEN CAST(MIN(CAST(l_shipdate AS DATE)) + CAST(l_orderkey % 15 AS INTEGER) AS DATE) END AS actual_received_date,
         CASE WHEN MAX(l_linestatus) = 'F' THEN 'Received' WHEN MAX(l_returnflag) = 'R' THEN 'Shipped'
              WHEN l_orderkey % 2 = 0 THEN 'pending' ELSE 'Pending' END AS delivery_status,
-        (l_orderkey * 1000 + l_suppkey) % 20 <> 0 AS is_valid
+        (l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey) % 20 <> 0 AS is_valid
         FROM lineitem GROUP BY l_orderkey, l_suppkey""",
-    "st_purchase_order_details": """SELECT l_orderkey * 1000 + l_suppkey AS purchase_order_id, l_partkey AS product_id,
+    "st_purchase_order_details": """SELECT l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey AS purchase_order_id, l_partkey AS product_id,
         MAX(CAST(l_extendedprice AS DECIMAL(10,2))) AS price, CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity,
         TRUE AS is_valid FROM lineitem GROUP BY l_orderkey, l_suppkey, l_partkey""",
     "st_invoice": """SELECT o_orderkey AS invoice_id, o_orderkey AS order_id,
@@ -66,11 +66,11 @@ ADAPTER = {
 }
 
 
-def with_store(body: str, extra: str = "") -> str:
+def with_store(body: str, extra: str = "", recursive: bool = False) -> str:
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in ADAPTER.items())
     if extra:
         ctes += ",\n" + extra
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 LV = "CAST(od.price * od.quantity AS DECIMAL(18,2))"
@@ -491,10 +491,17 @@ _PATCHES = """patches AS (
         CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 2 AS DECIMAL(10,2))
     FROM part
     UNION ALL
-    SELECT p_partkey * 10 + 3, p_partkey + 10000000, ['price'], NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
-    FROM part),
-okp AS (SELECT pt.* FROM patches pt JOIN st_product s ON pt.product_id = s.product_id AND s.is_valid
-        WHERE len(pt.set_fields) > 0),
+    SELECT p_partkey * 10 + 3, -p_partkey - 1, ['price'], NULL, NULL, CAST(p_retailprice AS DECIMAL(10,2))
+    FROM part
+    UNION ALL
+    SELECT p_partkey * 10 + 4, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['price'] ELSE ['product_name'] END, NULL, NULL,
+        CAST(-5 AS DECIMAL(10,2)) FROM part),
+judged AS (SELECT pt.*, CASE WHEN len(set_fields) = 0 THEN 'W2:empty_patch'
+            WHEN s.product_id IS NULL THEN 'W2:unknown_key'
+            WHEN list_contains(set_fields, 'price') AND pt.price <= 0 THEN 'V6:price:range'
+            WHEN list_contains(set_fields, 'product_name') AND pt.product_name IS NULL THEN 'V2:product_name:null' END AS why
+        FROM patches pt LEFT JOIN (SELECT product_id FROM st_product WHERE is_valid) s ON pt.product_id = s.product_id),
+okp AS (SELECT * FROM judged WHERE why IS NULL),
 lp AS (SELECT product_id,
         bool_or(list_contains(set_fields, 'product_name')) AS has_name,
         arg_max_null(product_name, change_id) FILTER (WHERE list_contains(set_fields, 'product_name')) AS product_name,
@@ -509,36 +516,37 @@ ORACLE["W2_patched_products"] = with_store("""SELECT s.product_id,
         CASE WHEN lp.has_price THEN lp.price ELSE s.price END AS price,
         s.is_valid, s.stock_quantity, s.stock_arrival_date
     FROM st_product s LEFT JOIN lp ON s.product_id = lp.product_id""", _PATCHES)
-ORACLE["W2_patch_rejects"] = with_store("""SELECT change_id,
-        CASE WHEN len(set_fields) = 0 THEN 'W2:empty_patch' ELSE 'W2:unknown_key' END AS reason
-    FROM patches pt
-    WHERE len(set_fields) = 0
-       OR NOT EXISTS (SELECT 1 FROM st_product s WHERE s.product_id = pt.product_id AND s.is_valid)""", _PATCHES)
+ORACLE["W2_patch_rejects"] = with_store("SELECT change_id, why AS reason FROM judged WHERE why IS NOT NULL", _PATCHES)
 
 _FLAGS = """flags AS (
     SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id, FALSE AS flag FROM part
     UNION ALL SELECT p_partkey * 10 + 2, p_partkey, p_partkey % 2 = 0 FROM part
-    UNION ALL SELECT p_partkey * 10 + 3, p_partkey + 10000000, FALSE FROM part),
-lastf AS (SELECT product_id, MAX(change_id) AS change_id, arg_max(flag, change_id) AS flag FROM flags GROUP BY product_id),
-reqf AS (SELECT l.*, s.is_valid AS old,
-        COALESCE(CASE WHEN l.flag THEN s.is_valid IS NOT NULL ELSE s.is_valid = TRUE END, FALSE) AS ok
-    FROM lastf l LEFT JOIN st_product s ON l.product_id = s.product_id)"""
+    UNION ALL SELECT p_partkey * 10 + 3, -p_partkey - 1, FALSE FROM part
+    UNION ALL SELECT p_partkey * 10 + 4, p_partkey, FALSE FROM part WHERE p_partkey % 3 = 0),
+asked AS (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY change_id) AS n FROM flags f),
+replay AS (
+    SELECT product_id, is_valid AS state, 0::BIGINT AS n, NULL::BIGINT AS change_id, TRUE AS ok FROM st_product
+    UNION ALL
+    SELECT r.product_id, CASE WHEN a.flag THEN TRUE WHEN r.state THEN FALSE ELSE r.state END, a.n, a.change_id,
+        a.flag OR r.state
+    FROM replay r JOIN asked a ON a.product_id = r.product_id AND a.n = r.n + 1)"""
 ORACLE["W3_flagged_products"] = with_store("""SELECT s.product_id, s.product_name, s.category, s.price,
-        COALESCE(r.flag, s.is_valid) AS is_valid, s.stock_quantity, s.stock_arrival_date
-    FROM st_product s LEFT JOIN (SELECT product_id, flag FROM reqf WHERE ok) r ON s.product_id = r.product_id""", _FLAGS)
-ORACLE["W3_flag_rejects"] = with_store("""SELECT change_id,
-        CASE WHEN old IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason FROM reqf WHERE NOT ok
-    UNION ALL SELECT change_id, 'W3:superseded' FROM flags WHERE change_id NOT IN (SELECT change_id FROM lastf)""", _FLAGS)
+        r.state AS is_valid, s.stock_quantity, s.stock_arrival_date
+    FROM st_product s JOIN (SELECT product_id, arg_max(state, n) AS state FROM replay GROUP BY product_id) r
+      ON s.product_id = r.product_id""", _FLAGS, recursive=True)
+ORACLE["W3_flag_rejects"] = with_store("""SELECT change_id, 'W3:state_guard' AS reason FROM replay WHERE NOT ok
+    UNION ALL SELECT change_id, 'W3:unknown_key' FROM flags
+        WHERE product_id NOT IN (SELECT product_id FROM st_product)""", _FLAGS, recursive=True)
 
 _DELETES = """dels AS (SELECT product_id FROM st_product WHERE NOT is_valid
-    UNION SELECT product_id + 10000000 FROM st_product)"""
+    UNION SELECT -product_id - 1 FROM st_product)"""
 ORACLE["W5_product_archive"] = with_store("""SELECT product_id, product_name, category, price, stock_quantity, stock_arrival_date,
         TIMESTAMP '2024-02-01 12:00:00' AS archived_at
     FROM st_product WHERE product_id IN (SELECT product_id FROM dels)""", _DELETES)
 ORACLE["W5_lines_after_delete"] = with_store(
     "SELECT * FROM st_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)", _DELETES)
 
-_CART = """ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS customer_id, event_id % 4 AS product_id,
+_CART = """ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS customer_id, event_id % (SELECT max(p_partkey) + 1 FROM part) AS product_id,
         CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type = 'error' THEN 'remove'
              WHEN event_type = 'purchase' THEN 'checkout' END AS action
     FROM events WHERE event_type <> 'signup'),
@@ -566,28 +574,34 @@ ORACLE["W6_cart_orders"] = with_store("""SELECT customer_id, cart_no, opened_at,
 ORACLE["W6_stock_moves"] = with_store("""SELECT product_id, CAST(-COUNT(*) AS BIGINT) AS stock_change
     FROM ev5 WHERE action = 'add' GROUP BY product_id""", _CART)
 
-_STATUS = """upd AS (SELECT o_orderkey AS change_id, o_orderkey AS order_id,
-        CASE WHEN o_orderkey % 60 = 31 THEN (o_custkey % 25 + 1) % 25 ELSE o_custkey % 25 END AS employee_id,
-        'Completed' AS status, CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) AS received_date
-    FROM orders),
-okst AS (SELECT u.* FROM upd u JOIN st_orders o ON o.order_id = u.order_id AND o.is_valid AND o.employee_id = u.employee_id),
-lastst AS (SELECT order_id, arg_max(status, change_id) AS status, arg_max(received_date, change_id) AS rd
-    FROM okst GROUP BY order_id)"""
+_STATUS = """base AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
+        CASE WHEN o_orderkey % 60 = 31 THEN (o_custkey % 25 + 1) % 25 ELSE o_custkey % 25 END AS employee_id FROM orders),
+upd AS (
+    SELECT k * 10 + 1 AS change_id, k AS order_id, employee_id, 'Completed' AS status, CAST(d + 3 AS DATE) AS rd FROM base
+    UNION ALL SELECT k * 10 + 2, k, employee_id, 'archived', NULL FROM base WHERE k % 3 = 0
+    UNION ALL SELECT k * 10 + 3, k, employee_id, 'completed', NULL FROM base WHERE k % 5 = 0
+    UNION ALL SELECT k * 10 + 4, k, employee_id, ' ', NULL FROM base WHERE k % 7 = 0),
+judged AS (SELECT u.*, CASE WHEN trim(u.status) = '' THEN 'W8:missing_status'
+        WHEN o.order_id IS NULL THEN 'W8:not_found_or_not_owned' END AS why
+    FROM upd u LEFT JOIN st_orders o ON o.order_id = u.order_id AND o.is_valid AND o.employee_id = u.employee_id),
+asked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY change_id) AS n FROM judged WHERE why IS NULL),
+replay AS (
+    SELECT order_id, status, actual_received_date AS rd, 0::BIGINT AS n FROM st_orders
+    UNION ALL
+    SELECT r.order_id, a.status, CASE WHEN lower(a.status) = 'completed' AND a.rd IS NOT NULL THEN a.rd ELSE r.rd END, a.n
+    FROM replay r JOIN asked a ON a.order_id = r.order_id AND a.n = r.n + 1)"""
 ORACLE["W8_status_changed_orders"] = with_store("""SELECT o.order_id, o.customer_id, o.employee_id, o.order_date,
-        o.expected_received_date,
-        CASE WHEN lower(l.status) = 'completed' AND l.rd IS NOT NULL THEN l.rd ELSE o.actual_received_date END
-            AS actual_received_date,
-        COALESCE(l.status, o.status) AS status, o.is_valid
-    FROM st_orders o LEFT JOIN lastst l ON o.order_id = l.order_id
-    WHERE o.order_id IN (SELECT order_id FROM upd)""", _STATUS)
-ORACLE["W8_status_rejects"] = with_store("""SELECT change_id, 'W8:not_found_or_not_owned' AS reason FROM upd
-    WHERE change_id NOT IN (SELECT change_id FROM okst)""", _STATUS)
+        o.expected_received_date, r.rd AS actual_received_date, r.status, o.is_valid
+    FROM st_orders o JOIN replay r ON o.order_id = r.order_id
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY o.order_id ORDER BY r.n DESC) = 1""", _STATUS, recursive=True)
+ORACLE["W8_status_rejects"] = with_store("SELECT change_id, why AS reason FROM judged WHERE why IS NOT NULL", _STATUS,
+                                         recursive=True)
 
 _PURCHASE = """li AS (SELECT * FROM lineitem),
-hdr AS (SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_suppkey AS supplier_id, l_suppkey % 25 AS employee_id,
+hdr AS (SELECT l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey AS change_id, l_suppkey AS supplier_id, l_suppkey % 25 AS employee_id,
         CAST(MAX(CAST(l_shipdate AS DATE)) + 30 AS DATE) AS expected_received_date
     FROM li GROUP BY l_orderkey, l_suppkey),
-itm AS (SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_partkey AS product_id,
+itm AS (SELECT l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey AS change_id, l_partkey AS product_id,
         MAX(CAST(l_extendedprice AS DECIMAL(10,2))) AS price, CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity
     FROM li GROUP BY l_orderkey, l_suppkey, l_partkey),
 badi AS (SELECT DISTINCT i.change_id FROM itm i LEFT JOIN st_product p ON i.product_id = p.product_id AND p.is_valid
@@ -610,61 +624,99 @@ ORACLE["W9_new_purchase_orders"] = with_store("""SELECT
         CAST(NULL AS DATE) AS actual_received_date, 'pending' AS delivery_status, TRUE AS is_valid
     FROM chk WHERE NOT (r_missing OR r_date OR r_supp OR r_item)""", _PURCHASE)
 
-ORACLE["W12_stock_ledger"] = with_store("""SELECT p.product_id, p.stock_quantity,
+def _ledger(received: str) -> str:
+    return with_store(f"""SELECT p.product_id, p.stock_quantity,
         CAST(COALESCE(s.sold, 0) AS BIGINT) AS sold, CAST(COALESCE(r.received, 0) AS BIGINT) AS received,
         CAST(COALESCE(r.received, 0) - COALESCE(s.sold, 0) AS BIGINT) AS net_movement,
         p.stock_quantity + (COALESCE(r.received, 0) - COALESCE(s.sold, 0)) < 0 AS negative
     FROM st_product p
-    LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM st_order_details WHERE is_valid GROUP BY 1) s
+    LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM st_order_details GROUP BY 1) s
       ON p.product_id = s.product_id
-    LEFT JOIN (SELECT pod.product_id, SUM(pod.quantity) AS received
-               FROM st_purchase_order_details pod JOIN st_purchase_order po ON pod.purchase_order_id = po.purchase_order_id
-               WHERE pod.is_valid AND lower(po.delivery_status) = 'received' GROUP BY 1) r
-      ON p.product_id = r.product_id""")
-
-_CHECKOUT = """carts AS (SELECT customer_id, MIN(order_id) AS order_id FROM st_orders WHERE lower(status) = 'cart'
-    GROUP BY customer_id),
-req AS (SELECT c_custkey AS change_id, c_custkey AS customer_id, c_name AS name,
+    LEFT JOIN ({received}) r ON p.product_id = r.product_id""")
+
+
+ORACLE["W12_stock_ledger"] = _ledger(
+    "SELECT product_id, SUM(quantity) AS received FROM st_purchase_order_details GROUP BY 1")
+ORACLE["W12_stock_ledger_on_receive"] = _ledger("""SELECT pod.product_id, SUM(pod.quantity) AS received
+    FROM st_purchase_order_details pod JOIN st_purchase_order po ON pod.purchase_order_id = po.purchase_order_id
+    WHERE pod.is_valid AND lower(po.delivery_status) = 'received' GROUP BY 1""")
+
+_CHECKOUT = """carts AS (SELECT customer_id, order_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY order_id) AS nth
+    FROM st_orders WHERE lower(status) = 'cart'),
+req AS (SELECT c_custkey * 10 + 1 AS change_id, c_custkey AS customer_id, c_name AS name,
         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@shop.test' END AS email,
         CASE WHEN c_custkey % 4 = 0 THEN 'card' ELSE 'cash' END AS payment_method,
         c_custkey % 8 <> 4 AS has_card_fields
-    FROM customer),
+    FROM customer
+    UNION ALL SELECT c_custkey * 10 + 2, c_custkey, c_name, 'x', 'cash', FALSE FROM customer WHERE c_custkey % 2 = 0),
 chk AS (SELECT r.*,
         (NULLIF(trim(name), '') IS NULL OR NULLIF(trim(email), '') IS NULL OR NULLIF(trim(payment_method), '') IS NULL)
             AS r_missing,
         (lower(payment_method) = 'card' AND NOT COALESCE(has_card_fields, FALSE)) AS r_card
     FROM req r),
-good AS (SELECT * FROM chk WHERE NOT r_missing AND NOT r_card),
-firstreq AS (SELECT customer_id, MIN(change_id) AS change_id FROM good GROUP BY customer_id),
-done AS (SELECT f.change_id, f.customer_id, g.payment_method, c.order_id,
+good AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY change_id) AS nth
+    FROM chk WHERE NOT r_missing AND NOT r_card),
+done AS (SELECT g.change_id, g.customer_id, g.payment_method, c.order_id,
         CAST(COALESCE((SELECT SUM(CAST(od.price * od.quantity AS DECIMAL(18,2))) FROM st_order_details od
                        WHERE od.order_id = c.order_id AND od.is_valid), 0) AS DECIMAL(10,2)) AS amount_paid
-    FROM firstreq f JOIN good g ON f.change_id = g.change_id JOIN carts c ON f.customer_id = c.customer_id),
+    FROM good g JOIN carts c ON g.customer_id = c.customer_id AND g.nth = c.nth),
 inv AS (SELECT d.*, (SELECT MAX(invoice_id) FROM st_invoice) + ROW_NUMBER() OVER (ORDER BY change_id) AS invoice_id
     FROM done d)"""
 ORACLE["W7_checkout_payments"] = with_store("""SELECT
         (SELECT MAX(payment_id) FROM st_payment) + ROW_NUMBER() OVER (ORDER BY change_id) AS payment_id,
         invoice_id, DATE '2024-02-01' AS payment_date, amount_paid, payment_method, TRUE AS is_valid
     FROM inv""", _CHECKOUT)
+ORACLE["W7_checkout_orders"] = with_store("""SELECT o.order_id, o.customer_id, o.employee_id,
+        CASE WHEN d.order_id IS NULL THEN o.order_date ELSE DATE '2024-02-01' END AS order_date,
+        o.expected_received_date, o.actual_received_date,
+        CASE WHEN d.order_id IS NULL THEN o.status ELSE 'confirmed' END AS status, o.is_valid
+    FROM st_orders o LEFT JOIN done d ON o.order_id = d.order_id""", _CHECKOUT)
+ORACLE["W7_checkout_customers"] = with_store("""SELECT c.customer_id, CAST(c.order_count + COALESCE(n, 0) AS INTEGER) AS order_count
+    FROM st_customer c LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM done GROUP BY 1) d ON c.customer_id = d.customer_id""",
+    _CHECKOUT)
 ORACLE["W7_checkout_rejects"] = with_store("""
     SELECT change_id, 'W7:missing_field' AS reason FROM chk WHERE r_missing
     UNION ALL SELECT change_id, 'W7:card_fields' FROM chk WHERE r_card
-    UNION ALL SELECT f.change_id, 'W7:no_cart' FROM firstreq f WHERE f.customer_id NOT IN (SELECT customer_id FROM carts)
-    UNION ALL SELECT change_id, 'W7:no_cart' FROM good WHERE change_id NOT IN (SELECT change_id FROM firstreq)""",
-    _CHECKOUT)
-
+    UNION ALL SELECT change_id, 'W7:no_cart' FROM good WHERE change_id NOT IN (SELECT change_id FROM done)""", _CHECKOUT)
+
+_PO_STATUS = """upd AS (
+    SELECT purchase_order_id * 10 + 1 AS change_id, purchase_order_id, 'Shipped' AS status, NULL::DATE AS rd
+    FROM st_purchase_order
+    UNION ALL SELECT purchase_order_id * 10 + 2, purchase_order_id, 'Received', CAST(order_date + 12 AS DATE)
+        FROM st_purchase_order WHERE purchase_order_id % 7 = 0
+    UNION ALL SELECT purchase_order_id * 10 + 3, purchase_order_id, 'Shipped', NULL
+        FROM st_purchase_order WHERE purchase_order_id % 14 = 0
+    UNION ALL SELECT purchase_order_id * 10 + 4, purchase_order_id, NULL, NULL
+        FROM st_purchase_order WHERE purchase_order_id % 11 = 0
+    UNION ALL SELECT purchase_order_id * 10 + 5, purchase_order_id, 'Lost', NULL
+        FROM st_purchase_order WHERE purchase_order_id % 13 = 0),
+judged AS (SELECT u.*, CASE WHEN u.status IS NULL OR trim(u.status) = '' THEN 'W10:missing_status'
+        WHEN NOT p.is_valid THEN 'W10:not_found_or_inactive'
+        WHEN lower(u.status) NOT IN ('pending', 'shipped', 'received') THEN 'V7:delivery_status:domain' END AS why
+    FROM upd u JOIN st_purchase_order p USING (purchase_order_id)),
+asked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY purchase_order_id ORDER BY change_id) AS n FROM judged WHERE why IS NULL),
+replay AS (
+    SELECT purchase_order_id, delivery_status AS status, actual_received_date AS rd, 0::BIGINT AS n,
+        NULL::BIGINT AS change_id, FALSE AS arrived FROM st_purchase_order
+    UNION ALL
+    SELECT r.purchase_order_id, a.status, CASE WHEN a.status = 'Received' AND a.rd IS NOT NULL THEN a.rd ELSE r.rd END,
+        a.n, a.change_id, a.status = 'Received' AND a.rd IS NOT NULL
+    FROM replay r JOIN asked a ON a.purchase_order_id = r.purchase_order_id AND a.n = r.n + 1),
+moves AS (SELECT pod.product_id, r.purchase_order_id, r.change_id, r.rd, pod.quantity
+    FROM replay r JOIN st_purchase_order_details pod ON pod.purchase_order_id = r.purchase_order_id AND pod.is_valid
+    WHERE r.arrived
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY r.purchase_order_id, pod.product_id ORDER BY r.change_id DESC) = 1),
+pp AS (SELECT product_id, arg_max(rd, change_id) AS arrival, SUM(quantity) AS q FROM moves GROUP BY product_id)"""
 ORACLE["W10_received_products"] = with_store("""SELECT p.product_id, p.product_name, p.category, p.price, p.is_valid,
         CAST(p.stock_quantity + COALESCE(pp.q, 0) AS INTEGER) AS stock_quantity,
         COALESCE(pp.arrival, p.stock_arrival_date) AS stock_arrival_date
-    FROM st_product p LEFT JOIN pp ON p.product_id = pp.product_id""",
-    """upd AS (SELECT purchase_order_id,
-        CASE WHEN purchase_order_id % 7 = 0 THEN 'Received' ELSE 'Shipped' END AS status,
-        CASE WHEN purchase_order_id % 7 = 0 THEN CAST(order_date + 12 AS DATE) END AS rd
-    FROM st_purchase_order),
-rec AS (SELECT purchase_order_id, rd FROM upd WHERE lower(status) = 'received' AND rd IS NOT NULL),
-pp AS (SELECT pod.product_id, MAX(r.rd) AS arrival, SUM(pod.quantity) AS q
-    FROM st_purchase_order_details pod JOIN rec r ON pod.purchase_order_id = r.purchase_order_id
-    WHERE pod.is_valid GROUP BY pod.product_id)""")
+    FROM st_product p LEFT JOIN pp ON p.product_id = pp.product_id""", _PO_STATUS, recursive=True)
+ORACLE["W10_purchase_orders"] = with_store("""SELECT p.* REPLACE (r.status AS delivery_status, r.rd AS actual_received_date)
+    FROM st_purchase_order p JOIN (
+        SELECT * FROM replay QUALIFY ROW_NUMBER() OVER (PARTITION BY purchase_order_id ORDER BY n DESC) = 1) r
+      ON p.purchase_order_id = r.purchase_order_id""", _PO_STATUS, recursive=True)
+ORACLE["W10_purchase_rejects"] = with_store("SELECT change_id, why AS reason FROM judged WHERE why IS NOT NULL", _PO_STATUS,
+                                            recursive=True)
 
 _TYPES = """chg AS (
     SELECT n * 10 + 1 AS change_id, n AS employee_id,
@@ -685,10 +737,12 @@ ORACLE["W11_contract_employee_after"] = with_store("""SELECT ce.employee_id, ce.
     UNION ALL SELECT employee_id, (SELECT MAX(contract_id) FROM st_contract) + ROW_NUMBER() OVER (ORDER BY change_id),
         TRUE FROM lastt WHERE t = 'contract'""", _TYPES)
 
-_CREATES = """req AS (SELECT p_partkey AS change_id,
+_CREATES = """req AS (SELECT cid AS change_id,
         CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_name || ' new' END AS product_name, p_type AS category,
         CAST(p_retailprice - 950 AS DECIMAL(10,2)) AS price, CAST(p_size AS INTEGER) AS stock_quantity
-    FROM part),
+    FROM (SELECT p_partkey, p_partkey AS cid, * EXCLUDE (p_partkey) FROM part
+          UNION ALL SELECT p_partkey, p_partkey, * EXCLUDE (p_partkey) FROM part WHERE p_partkey % 50 = 7
+          UNION ALL SELECT p_partkey, NULL, * EXCLUDE (p_partkey) FROM part WHERE p_partkey % 70 = 3)),
 bad AS (
     SELECT change_id, 'V10:product_name:required' AS reason FROM req WHERE NULLIF(trim(product_name), '') IS NULL
     UNION ALL SELECT change_id, 'V10:category:required' FROM req WHERE NULLIF(trim(category), '') IS NULL
@@ -700,11 +754,14 @@ bad AS (
     UNION ALL SELECT change_id, 'V2:product_name:length' FROM req WHERE length(product_name) > 100
     UNION ALL SELECT change_id, 'V2:category:length' FROM req WHERE length(category) > 50
     UNION ALL SELECT change_id, 'V6:price:range' FROM req WHERE price <= 0
-    UNION ALL SELECT change_id, 'V6:stock_quantity:range' FROM req WHERE stock_quantity < 0)"""
+    UNION ALL SELECT change_id, 'V6:stock_quantity:range' FROM req WHERE stock_quantity < 0
+    UNION ALL SELECT change_id, 'W0:missing_change_id' FROM req WHERE change_id IS NULL
+    UNION ALL SELECT change_id, 'W0:duplicate_change_id' FROM req
+        WHERE change_id IN (SELECT change_id FROM req GROUP BY 1 HAVING COUNT(*) > 1))"""
 ORACLE["W1_inserted_products"] = with_store("""SELECT
         (SELECT MAX(product_id) FROM st_product) + ROW_NUMBER() OVER (ORDER BY change_id) AS product_id,
         product_name, category, price, TRUE AS is_valid, stock_quantity, CAST(NULL AS DATE) AS stock_arrival_date
-    FROM req WHERE change_id NOT IN (SELECT change_id FROM bad)""", _CREATES)
+    FROM req WHERE change_id NOT IN (SELECT change_id FROM bad WHERE change_id IS NOT NULL)""", _CREATES)
 ORACLE["W1_insert_rejects"] = with_store("SELECT change_id, reason FROM bad", _CREATES)
 
 _EMP_OFF = """eflags AS (SELECT CAST(n_nationkey AS BIGINT) AS change_id, CAST(n_nationkey AS BIGINT) AS employee_id,
@@ -719,15 +776,30 @@ ORACLE["W4_hourly_after_deactivation"] = with_store("""SELECT he.employee_id, he
 ORACLE["W4_employee_rejects"] = with_store("""SELECT change_id,
         CASE WHEN old IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END AS reason
     FROM ereq WHERE NOT ok""", _EMP_OFF)
-_PO_OFF = """poff AS (SELECT purchase_order_id AS change_id, purchase_order_id, is_valid,
-        lower(delivery_status) = 'pending' AS pending
-    FROM st_purchase_order)"""
-ORACLE["W4_purchase_lines_after"] = with_store("""SELECT pod.purchase_order_id, pod.product_id, pod.price, pod.quantity,
-        CASE WHEN pod.purchase_order_id IN (SELECT purchase_order_id FROM poff WHERE is_valid AND pending) THEN FALSE
-             ELSE pod.is_valid END AS is_valid
-    FROM st_purchase_order_details pod""", _PO_OFF)
-ORACLE["W4_purchase_order_rejects"] = with_store("""SELECT change_id, 'W4:state_guard' AS reason FROM poff
-    WHERE NOT (is_valid AND COALESCE(pending, FALSE))""", _PO_OFF)
+_PO_OFF = """poff AS (
+    SELECT purchase_order_id * 10 + 1 AS change_id, purchase_order_id, FALSE AS flag FROM st_purchase_order
+    UNION ALL SELECT purchase_order_id * 10 + 2, purchase_order_id, TRUE FROM st_purchase_order WHERE purchase_order_id % 2 = 0
+    UNION ALL SELECT purchase_order_id * 10 + 3, purchase_order_id, FALSE FROM st_purchase_order WHERE purchase_order_id % 4 = 0
+    UNION ALL SELECT purchase_order_id * 10 + 4, -purchase_order_id - 1, FALSE FROM st_purchase_order
+        WHERE purchase_order_id % 9 = 0),
+asked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY purchase_order_id ORDER BY change_id) AS n FROM poff),
+replay AS (
+    SELECT purchase_order_id, is_valid AS state, lower(delivery_status) = 'pending' AS pending, 0::BIGINT AS n,
+        NULL::BIGINT AS change_id, NULL::BOOLEAN AS ok FROM st_purchase_order
+    UNION ALL
+    SELECT r.purchase_order_id, CASE WHEN a.flag AND NOT r.state THEN TRUE WHEN NOT a.flag AND r.state AND r.pending THEN FALSE
+            ELSE r.state END, r.pending, a.n, a.change_id,
+        CASE WHEN a.flag THEN NOT r.state ELSE r.state AND r.pending END
+    FROM replay r JOIN asked a ON a.purchase_order_id = r.purchase_order_id AND a.n = r.n + 1),
+ended AS (SELECT purchase_order_id, arg_max(state, n) AS state, bool_or(COALESCE(ok, FALSE)) AS touched
+    FROM replay GROUP BY purchase_order_id)"""
+ORACLE["W4_purchase_lines_after"] = with_store("""SELECT pod.* REPLACE (
+        CASE WHEN e.touched THEN e.state ELSE pod.is_valid END AS is_valid)
+    FROM st_purchase_order_details pod JOIN ended e ON pod.purchase_order_id = e.purchase_order_id""", _PO_OFF, recursive=True)
+ORACLE["W4_purchase_orders_after"] = with_store("""SELECT p.* REPLACE (e.state AS is_valid)
+    FROM st_purchase_order p JOIN ended e ON p.purchase_order_id = e.purchase_order_id""", _PO_OFF, recursive=True)
+ORACLE["W4_purchase_order_rejects"] = with_store("""SELECT change_id, 'W4:state_guard' AS reason FROM replay WHERE NOT ok
+    UNION ALL SELECT change_id, 'W4:unknown_key' FROM poff WHERE purchase_order_id < 0""", _PO_OFF, recursive=True)
 ORACLE["E_product_labels"] = with_store("""SELECT product_id,
         CASE WHEN is_valid THEN 'Active' ELSE 'Inactive' END AS status_label,
         printf('%.2f', CAST(price AS DOUBLE)) AS price_text,
