@@ -7,12 +7,15 @@
    all pairs ordered by how many classes hold them, rarest first, they share one of their first
    k - t + 1 (prefix merging). Pairs that one class alone holds are never posted, and common
    ones (a passage in many texts) fall out of the prefixes.
-3. Within a posting list, classes are first compared to the list's smallest member only. Links
-   are confirmed on the full sets and joined to components. Lists that still hold several
-   components are then compared across components (skip merging: members of one component are
-   never compared again), in blocks of bounded size.
-4. Every candidate agrees on ``t`` coordinates; it becomes a link only when the full shingle
-   sets, taken from the whole texts, pass the exact test.
+3. Within a posting list, classes are first compared to the list's smallest member only. Pairs
+   that agree on ``t`` coordinates are confirmed on the full sets and joined to components. Lists
+   whose members are still apart are then compared across (skip merging: what is joined already
+   is never compared again), in blocks of bounded size; of each list only a spanning forest of
+   the agreeing pairs goes on, so no pairs of a group are ever listed.
+4. Classes that agreement connects form a cluster. The texts of a cluster that holds several
+   components meet in blocks of bounded size: those outside the largest component are compared
+   with all others on signatures and then on full shingle sets of the whole texts. Links that
+   join components complete them.
 
 Rows: null, empty or word-less texts have no shingles and link with nothing. Rows that repeat a
 ``doc_id`` are one node: they share its component. Rows with a null ``doc_id`` link with nothing
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_bytes, materialise, prepare
+from mercato.llm.common import by_bytes, materialise, prepare, stream_blocks
 from mercato.llm.components import connected_components
 from mercato.llm.shingles import fingerprints, shingle_sets, signatures
 
@@ -110,76 +113,193 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def cross_component_pairs(members: DataFrame, t: int, percent: int, block: int) -> DataFrame:
-    """Pairs (a < b) of one posting list, from different components, that agree on ``t``
-    coordinates. ``members``: token, cls, df, comp, n_shingles, sig.
-
-    Long lists are cut into blocks and every two blocks meet in a group of their own; the groups
-    are sorted runs that a task streams through."""
-    blocks = F.ceil(F.col("df") / block).cast("int")
-    own = (members.withColumn("blocks", blocks)
-           .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-           .select("token", "i", "j", "mine", "cls", "comp", "n_shingles", "sig"))
-    runs = own.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-
-    def compare(rows: pd.DataFrame) -> np.ndarray:
-        """Pairs within the runs of ``rows``, which are whole and next to each other."""
-        comp, cls = rows["comp"].to_numpy(), rows["cls"].to_numpy()
-        n, mine = rows["n_shingles"].to_numpy(), rows["mine"].to_numpy()
-        crossing = (rows["i"] != rows["j"]).to_numpy()
-        sig = np.stack(rows["sig"].to_numpy())
-        key = rows[["token", "i", "j"]].to_numpy()
-        start = np.ones(len(rows), dtype=bool)
-        start[1:] = (key[1:] != key[:-1]).any(axis=1)
-        run = np.cumsum(start) - 1
-        length = np.bincount(run)
-        found = [np.empty((0, 2), dtype=np.int64)]
-
-        def test(x: np.ndarray, y: np.ndarray) -> None:
-            ok = (comp[x] != comp[y]) & (~crossing[x] | (mine[x] != mine[y])) & (
-                100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            ok = (sig[x] == sig[y]).sum(axis=1) >= t
-            x, y = x[ok], y[ok]
-            found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
-
-        short = length <= 32
-        for d in range(1, int(length[short].max(initial=1))):    # short runs, all at once
-            x = np.flatnonzero((run[d:] == run[:-d]) & short[run[d:]])
-            test(x, x + d)
-        for r in np.flatnonzero(~short):
-            at = np.flatnonzero(run == r)
-            _, inverse, counts = np.unique(comp[at], return_inverse=True, return_counts=True)
-            for x in at[inverse != counts.argmax()]:     # the largest is only ever the other side
-                test(np.full(len(at), x), at)
-        return np.unique(np.concatenate(found), axis=0)
+class _Forest:
+    """Union-find that records the joins it made."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.joins: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int, a: int, b: int) -> None:
+        """Join the trees of x and y for the sake of the link (a, b)."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.joins.append((a, b))
+
+
+class _Members:
+    """Rows of one list or cluster: class, component, set size and signature of each, and the
+    full sets where they are at hand."""
+
+    def __init__(self, rows: pd.DataFrame, sig: np.ndarray, sets=None):
+        self.cls, self.comp = rows["cls"].to_numpy(), rows["comp"].to_numpy()
+        self.n = sets.sizes if sets is not None else rows["n_shingles"].to_numpy()
+        self.sig, self.sets = sig, sets
+
+    def agreeing(self, x: int, other: _Members, t: int, percent: int) -> np.ndarray:
+        """Rows of ``other`` from other components that agree with row x on t coordinates."""
+        ok = (other.comp != self.comp[x]) & (
+            100 * np.minimum(other.n, self.n[x]) >= percent * np.maximum(other.n, self.n[x]))
+        y = np.flatnonzero(ok)
+        return y[(other.sig[y] == self.sig[x]).sum(axis=1) >= t]
+
+
+def _apart(comp: np.ndarray) -> np.ndarray:
+    """Rows outside the largest component."""
+    _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != counts.argmax())
+
+
+class _List:
+    """A block of a posting list; gathers a spanning forest of the agreeing pairs."""
+
+    def __init__(self, rows: pd.DataFrame, t: int, percent: int):
+        self.t, self.percent, self.forest = t, percent, _Forest()
+        self.own = _Members(rows, np.stack(rows["sig"].to_numpy()))
+        for x in _apart(self.own.comp):
+            self._join(self.own, x)
+
+    def _join(self, members: _Members, x: int) -> None:
+        for y in members.agreeing(x, self.own, self.t, self.percent):
+            self.forest.join(int(members.comp[x]), int(self.own.comp[y]),
+                             int(members.cls[x]), int(self.own.cls[y]))
+
+    def ask(self, rows: pd.DataFrame) -> None:
+        members = _Members(rows, np.stack(rows["sig"].to_numpy()))
+        for x in range(len(rows)):
+            self._join(members, x)
+
+    def results(self) -> pd.DataFrame:
+        return pd.DataFrame(self.forest.joins, columns=["a", "b"], dtype="int64")
+
+
+def list_forest(members: DataFrame, t: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that connect whatever agreement on ``t`` coordinates connects within each
+    posting list. ``members``: token, cls, df, comp, n_shingles, sig."""
+    key = ["token", "block"]
+    columns = [*key, "asking", "cls", "comp", "n_shingles", "sig"]
+    own = (members.withColumn("blocks", F.ceil(F.col("df") / block))
+           .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+           .withColumn("asking", F.lit(0)))
+    later = (own.filter("block + 1 < blocks").withColumn("asking", F.lit(1))
+             .withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1))))
+    # two thirds of all lists have two members; these need no block
+    pairs = members.groupBy("token").agg(
+        F.count("*").alias("n"), F.min_by(F.struct("cls", "comp", "n_shingles", "sig"), "cls").alias("x"),
+        F.max_by(F.struct("cls", "comp", "n_shingles", "sig"), "cls").alias("y")).filter("n = 2")
+    pairs = (pairs.filter("x.comp <> y.comp")
+             .filter(100 * F.least("x.n_shingles", "y.n_shingles")
+                     >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
+             .filter(_agreeing("x.sig", "y.sig") >= t)
+             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    dealt = (own.filter("df > 2").select(columns).unionByName(later.select(columns))
+             .repartition(*key).sortWithinPartitions(*key, "asking"))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            pairs = compare(rows) if len(rows) else np.empty((0, 2), dtype=np.int64)
-            return pd.DataFrame(pairs, columns=["a", "b"])
+        return stream_blocks(batches, key, "asking", lambda rows: _List(rows, t, percent), 1024)
+
+    return dealt.mapInPandas(stream, "a long, b long").unionByName(pairs).distinct()
+
+
+def _common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all sets of ``two``."""
+    values, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    sizes = [len(s) for s in [*one, *two]]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = row < len(one)
+    # only values on both sides count; columns are taken in slices of bounded size
+    both = (np.bincount(place[left], minlength=len(values)) > 0) \
+        & (np.bincount(place[~left], minlength=len(values)) > 0)
+    column = (np.cumsum(both) - 1)[place]
+    use = both[place]
+    row, column = row[use], column[use]
+    out = np.zeros((len(one), len(two)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(both.sum()), 16_384):
+        part = slice(*np.searchsorted(column, [start, start + 16_384]))
+        table = np.zeros((len(sizes), 16_384), dtype=np.float32)
+        table[row[part], column[part] - start] = 1
+        out += table[:len(one)] @ table[len(one):].T
+    return out
+
+
+class _Cluster:
+    """A block of a cluster's texts; gathers confirmed links that join components."""
+
+    def __init__(self, rows: pd.DataFrame, options: tuple):
+        self.t, self.percent, self.width, self.k = options
+        self.forest = _Forest()
+        self.own = self._members(rows)
+        self._link(self.own, _apart(self.own.comp))
+
+    def _members(self, rows: pd.DataFrame) -> _Members:
+        sets = shingle_sets([x.encode("utf-8", "surrogatepass") for x in rows["text"]], self.width)
+        return _Members(rows, signatures(sets, self.k), sets)
+
+    def _link(self, members: _Members, rows: np.ndarray) -> None:
+        near = {int(x): y for x in rows
+                if len(y := members.agreeing(x, self.own, self.t, self.percent))}
+        if not near:
+            return
+        columns = np.unique(np.concatenate(list(near.values())))
+        common = _common_counts([members.sets.of(x) for x in near],
+                                [self.own.sets.of(y) for y in columns])
+        for i, (x, ys) in enumerate(near.items()):
+            same = common[i, np.searchsorted(columns, ys)]
+            union = members.n[x] + self.own.n[ys] - same
+            for y in ys[100 * same >= self.percent * union]:
+                self.forest.join(int(members.comp[x]), int(self.own.comp[y]),
+                                 int(members.cls[x]), int(self.own.cls[y]))
+
+    def ask(self, rows: pd.DataFrame) -> None:
+        self._link(self._members(rows), np.arange(len(rows)))
+
+    def results(self) -> pd.DataFrame:
+        return pd.DataFrame(self.forest.joins, columns=["a", "b"], dtype="int64")
+
+
+def cluster_links(clusters: DataFrame, sized: DataFrame, docs: DataFrame, *, width: int,
+                  percent: int, k: int, t: int, block: int, block_shingles: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of each cluster. ``clusters``: cls, cluster,
+    comp; blocks hold about ``block`` texts and ``block_shingles`` shingles."""
+    members = clusters.join(sized.select("cls", "n_shingles"), "cls")
+    shares = members.groupBy("cluster", "comp").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    whole = shares.groupBy("cluster").agg(
+        F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"),
+        F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("size") / block_shingles)).alias("blocks")
+    ).filter("comps > 1").drop("comps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("cls"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = (clusters.join(whole, "cluster").join(texts, "cls")
+           .withColumn("home", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks"))))
+    # a text outside the largest component meets every block, the others only their own
+    visits = F.when(F.col("comp") != F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)) \
+        .otherwise(F.array("home"))
+    dealt = (own.withColumn("block", F.explode(visits))
+             .withColumn("asking", (F.col("block") != F.col("home")).cast("int"))
+             .select("cluster", "block", "asking", "cls", "comp", "text")
+             .repartition("cluster", "block").sortWithinPartitions("cluster", "block", "asking"))
+    options = (t, percent, width, k)
 
-        for batch in batches:
-            held.append(batch)
-            if len(batch) == 0:
-                continue
-            rows = pd.concat(held)
-            key = rows[["token", "i", "j"]].to_numpy()
-            open_run = (key == key[-1]).all(axis=1)      # the last run may go on in the next batch
-            yield done(rows[~open_run])
-            held = [rows[open_run]]
-        if held:
-            yield done(pd.concat(held))
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return stream_blocks(batches, ["cluster", "block"], "asking",
+                             lambda rows: _Cluster(rows, options), block)
 
-    return runs.mapInPandas(stream, "a long, b long").distinct()
+    return dealt.mapInPandas(stream, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 64,
-                    miss: float = 1e-7, block: int = 512) -> DataFrame:
+                    miss: float = 1e-7, block: int = 512,
+                    block_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id =
     component_id) for every row; texts are linked when 100 * intersection >= percent * union of
     their ``width``-word shingle sets."""
@@ -212,14 +332,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     same = same.filter("doc_id <> cls").select(F.col("cls").alias("a"), F.col("doc_id").alias("b"))
     parts = materialise(connected_components(first), "components")
 
-    comp = (postings.join(parts, F.col("cls") == F.col("node"), "left")
-            .select("token", "cls", "df", F.coalesce("component", "cls").alias("comp")))
-    mixed = comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
+    # clusters: what agreement on t coordinates connects
+    near = materialise(connected_components(star), "near")
+    placed = (postings.join(near, F.col("cls") == F.col("node"), "left")
+              .select("token", "cls", "df", F.coalesce("component", "cls").alias("comp")))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
         .filter("x <> y").select("token")
-    members = comp.join(mixed, "token").join(sized, "cls")
-    rest = (cross_component_pairs(members, t, percent, block)
-            .join(star, ["a", "b"], "left_anti"))
-    second = confirmed(materialise(rest, "pairs"), docs, width, percent)
+    members = placed.join(mixed, "token").join(sized, "cls")
+    more = list_forest(members, t, percent, block)
+    cluster = connected_components(more.unionByName(
+        near.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    clusters = materialise(
+        cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+        .join(parts, F.col("cls") == F.col("node"), "left")
+        .select("cls", "cluster", F.coalesce("component", "cls").alias("comp")), "clusters")
+    second = cluster_links(clusters, sized, docs, width=width, percent=percent, k=k, t=t,
+                           block=block, block_shingles=block_shingles)
     links = (second.unionByName(same)
              .unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     final = connected_components(links)
