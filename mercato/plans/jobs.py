@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mercato.operators import changes as W
 from mercato.operators import quality as V
 from mercato.operators.carts import fold_carts
-from mercato.plans import feeds
+from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
 from mercato.sources.adapter import Store
 
@@ -38,6 +38,11 @@ def _table_violations(table: str, contact: bool = False):
     return lambda st: V.table_violations(st, table, contact)
 
 
+def _dirty_violations(table: str, rows, contact: bool = False):
+    """The table's violations with its rows replaced by ones that break every rule."""
+    return lambda st: V.table_violations(st.replace(**{table: rows(st)}), table, contact)
+
+
 # ---- change jobs ------------------------------------------------------------------------------
 def _products_patched(st: Store) -> DataFrame:
     return W.patch_rows(st, "product", feeds.product_patches(st))["product"]
@@ -120,6 +125,11 @@ JOB_QUERIES = {
     "V_product_violations": _s(_table_violations("product")),
     "V_contract_violations": _s(_table_violations("contract")),
     "V_order_details_violations": _s(_table_violations("order_details")),
+    "V_dirty_employee_violations": _s(_dirty_violations("employee", dirty.employees, contact=True)),
+    "V_dirty_product_violations": _s(_dirty_violations("product", dirty.products)),
+    "V_dirty_contract_violations": _s(_dirty_violations("contract", dirty.contracts)),
+    "V_dirty_purchase_order_violations": _s(_dirty_violations("purchase_order", dirty.purchase_orders)),
+    "V_dirty_order_details_violations": _s(_dirty_violations("order_details", dirty.order_details)),
     "V11_payment_mismatch": _s(V.payment_mismatch),
     "V11_line_price_drift": _s(V.line_price_drift),
     "V11_order_count_drift": _s(V.order_count_drift),

@@ -476,6 +476,71 @@ ORACLE["V11_order_count_drift"] = with_store("""SELECT c.customer_id, c.order_co
       ON c.customer_id = n.customer_id
     WHERE c.order_count IS DISTINCT FROM COALESCE(n.n, 0)""")
 
+# ---- tables with planted violations ------------------------------------------------------------
+def _dirty(name: str, rows: str, keys: str, rules: dict[str, str]) -> None:
+    body = " UNION ALL ".join(f"SELECT {keys}, '{code}' AS reason FROM d WHERE {bad}" for code, bad in rules.items())
+    ORACLE[name] = with_store(body, f"d AS ({rows})")
+
+
+_dirty("V_dirty_employee_violations", """
+    SELECT CASE WHEN c_custkey % 97 = 5 THEN c_custkey - 1 ELSE c_custkey END AS employee_id,
+        CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN repeat('x', 101) ELSE c_name END AS name,
+        CASE WHEN c_custkey % 7 = 0 THEN 'Astronaut' ELSE 'manager' END AS role,
+        CASE c_custkey % 5 WHEN 0 THEN '12345' WHEN 1 THEN NULL ELSE lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS phone,
+        CASE WHEN c_custkey % 6 = 0 THEN 'no mail' ELSE 'e' || c_custkey || '@shop.test' END AS email,
+        CASE c_custkey % 13 WHEN 0 THEN -1 WHEN 1 THEN -c_custkey - 2 WHEN 2 THEN NULL
+            ELSE CASE WHEN c_custkey % 97 = 5 THEN c_custkey - 1 ELSE c_custkey END END AS manager_id,
+        CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE TRUE END AS is_valid FROM customer""", "employee_id", {
+    "V2:employee_name:null": "name IS NULL", "V2:is_valid:null": "is_valid IS NULL",
+    "V2:employee_name:length": "length(name) > 100", "V7:emp_role:domain": "role = 'Astronaut'",
+    "V4:email_address:pattern": "email NOT LIKE '%@%'", "V5:phone_number:pattern": "length(phone) <> 10",
+    "V1:primary_key:duplicate": "employee_id IN (SELECT employee_id FROM d GROUP BY 1 HAVING COUNT(*) > 1)",
+    "V3:manager_id:orphan": "manager_id NOT IN (SELECT employee_id FROM d)", "V3:manager_id:default": "manager_id = -1"})
+_dirty("V_dirty_product_violations", """
+    SELECT CASE WHEN product_id % 50 = 0 THEN NULL ELSE product_id END AS product_id,
+        CASE product_id % 11 WHEN 0 THEN NULL WHEN 1 THEN repeat('x', 101) ELSE product_name END AS name,
+        CASE WHEN product_id % 10 = 3 THEN repeat('y', 51) ELSE category END AS category,
+        CASE product_id % 9 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE price END AS price,
+        CASE WHEN product_id % 8 = 0 THEN -3 ELSE stock_quantity END AS stock FROM st_product
+    UNION ALL SELECT product_id, product_name, category, price, stock_quantity FROM st_product WHERE product_id % 31 = 0""",
+    "product_id", {
+    "V2:product_id:null": "product_id IS NULL", "V2:product_name:null": "name IS NULL", "V2:price:null": "price IS NULL",
+    "V2:product_name:length": "length(name) > 100", "V2:category:length": "length(category) > 50",
+    "V6:price:range": "price <= 0", "V6:stock_quantity:range": "stock < 0",
+    "V1:primary_key:duplicate": "product_id IN (SELECT product_id FROM d GROUP BY 1 HAVING COUNT(*) > 1)"})
+_dirty("V_dirty_contract_violations", """
+    SELECT CASE WHEN s_suppkey % 10 = 7 THEN s_suppkey - 1 ELSE s_suppkey END AS contract_id,
+        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE DATE '2023-01-01' END AS a,
+        CASE s_suppkey % 4 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' ELSE DATE '2023-12-31' END AS b,
+        CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 40000 END AS salary FROM supplier""", "contract_id", {
+    "V2:contract_start_date:null": "a IS NULL", "V6:salary:range": "salary <= 0", "V8:contract:dates": "a >= b",
+    "V1:primary_key:duplicate": "contract_id IN (SELECT contract_id FROM d GROUP BY 1 HAVING COUNT(*) > 1)"})
+_dirty("V_dirty_purchase_order_violations", """
+    SELECT purchase_order_id, CASE WHEN purchase_order_id % 19 = 0 THEN 999 ELSE employee_id END AS e,
+        CASE WHEN purchase_order_id % 23 = 0 THEN -1 ELSE supplier_id END AS s,
+        CASE WHEN purchase_order_id % 29 = 0 THEN NULL ELSE order_date END AS o,
+        CASE purchase_order_id % 17 WHEN 0 THEN 'Lost' WHEN 1 THEN NULL WHEN 2 THEN repeat('z', 51)
+            ELSE delivery_status END AS status FROM st_purchase_order
+    UNION ALL SELECT purchase_order_id, employee_id, supplier_id, order_date, delivery_status FROM st_purchase_order
+        WHERE purchase_order_id % 31 = 0""", "purchase_order_id", {
+    "V2:order_date:null": "o IS NULL", "V2:delivery_status:length": "length(status) > 50",
+    "V7:delivery_status:domain": "lower(status) NOT IN ('pending', 'shipped', 'received')",
+    "V1:primary_key:duplicate": "purchase_order_id IN (SELECT purchase_order_id FROM d GROUP BY 1 HAVING COUNT(*) > 1)",
+    "V3:employee_id:orphan": "e NOT IN (SELECT employee_id FROM st_employee)",
+    "V3:supplier_id:orphan": "s NOT IN (SELECT supplier_id FROM st_supplier)"})
+_dirty("V_dirty_order_details_violations", """
+    SELECT CASE WHEN (order_id + product_id) % 11 = 0 THEN -order_id - 1 ELSE order_id END AS order_id,
+        CASE WHEN (order_id + product_id) % 13 = 0 THEN -product_id - 1 ELSE product_id END AS product_id,
+        CASE (order_id + product_id) % 9 WHEN 0 THEN -1 WHEN 1 THEN NULL ELSE price END AS price,
+        CASE WHEN (order_id + product_id) % 8 = 0 THEN 0 ELSE quantity END AS quantity FROM st_order_details
+    UNION ALL SELECT order_id, product_id, price, quantity FROM st_order_details
+        WHERE (order_id + product_id) % 37 = 0""", "order_id, product_id", {
+    "V2:price:null": "price IS NULL", "V6:price:range": "price <= 0", "V6:quantity:range": "quantity <= 0",
+    "V1:primary_key:duplicate": "(order_id, product_id) IN (SELECT (order_id, product_id) FROM d "
+                                "GROUP BY order_id, product_id HAVING COUNT(*) > 1)",
+    "V3:order_id:orphan": "order_id NOT IN (SELECT order_id FROM st_orders)",
+    "V3:product_id:orphan": "product_id NOT IN (SELECT product_id FROM st_product)"})
+
 # ---- change jobs ------------------------------------------------------------------------------
 _PATCHES = """patches AS (
     SELECT p_partkey * 10 + 1 AS change_id, p_partkey AS product_id,
