@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.expr import active, text_equals
+from mercato.functions.expr import active, as_of_date, blank_to_null, text_equals
 from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag
 from mercato.operators.ranking import numbered_within, positions, previous_value
@@ -64,9 +64,7 @@ def _conform(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame
 
 def _missing(c: str, dtype) -> Column:
     """A required field is missing when NULL or, for text, blank. 0 is a legal value."""
-    if dtype.simpleString() == "string":
-        return F.nullif(F.trim(F.col(c)), F.lit("")).isNull()
-    return F.col(c).isNull()
+    return _blank(c) if dtype.simpleString() == "string" else F.col(c).isNull()
 
 
 def next_ids(df: DataFrame, existing: DataFrame, key: str, order_col: str = "change_id") -> DataFrame:
@@ -90,7 +88,7 @@ def identified(feed: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _blank(c: str) -> Column:
-    return F.nullif(F.trim(F.col(c)), F.lit("")).isNull()
+    return blank_to_null(c).isNull()
 
 
 # ---- W1 ---------------------------------------------------------------------------------------
@@ -247,7 +245,7 @@ def archive_delete_products(store: Store, ids: DataFrame, as_of: _dt.datetime) -
 
 
 # ---- W7 ---------------------------------------------------------------------------------------
-def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[str, DataFrame]:
+def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = None) -> dict[str, DataFrame]:
     """Check out customers' open carts, request by request: a customer's n-th complete
     request takes the n-th of the customer's orders in state 'cart' (by order id). A request
     without name, email or payment method, a card payment without card fields, a request
@@ -278,7 +276,7 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
     hit = done.select("order_id", F.lit(True).alias("_hit"))
     orders = o.join(hit, "order_id", "left").select(*[
         F.when(F.col("_hit"), F.lit("confirmed")).otherwise(F.col("status")).alias("status") if c == "status" else
-        F.when(F.col("_hit"), F.lit(as_of)).otherwise(F.col("order_date")).alias("order_date") if c == "order_date" else
+        F.when(F.col("_hit"), as_of_date(as_of)).otherwise(F.col("order_date")).alias("order_date") if c == "order_date" else
         F.col(c) for c in o.columns])
     lines = od.join(hit, "order_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_hit").isNull()) \
         .select(*od.columns)
@@ -293,11 +291,11 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date) -> dict[s
     inv = once(numbered)
 
     def invoices() -> DataFrame:
-        new = inv().select("invoice_id", "order_id", F.lit(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
+        new = inv().select("invoice_id", "order_id", as_of_date(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
         return store["invoice"].unionByName(_conform(new, "invoice"))
 
     def new_payments() -> DataFrame:
-        new = inv().select("payment_id", "invoice_id", F.lit(as_of).alias("payment_date"), "amount_paid",
+        new = inv().select("payment_id", "invoice_id", as_of_date(as_of).alias("payment_date"), "amount_paid",
                            "payment_method", F.lit(True).alias("is_valid"))
         return _conform(new, "payment")
 
@@ -336,7 +334,7 @@ def set_order_status(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
 
 
 # ---- W9 ---------------------------------------------------------------------------------------
-def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame, as_of: _dt.date,
+def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame, as_of: _dt.date | None = None,
                            stock_on: str = "create") -> dict[str, DataFrame]:
     """``requests`` (change_id, supplier_id, employee_id, expected_received_date) with their
     ``items`` (change_id, product_id, price, quantity) as a separate frame, so an order with
@@ -361,7 +359,7 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     r = r.join(flagged, "change_id", "left")
     rules = [("W9:missing_field", F.col("supplier_id").isNull() | F.col("employee_id").isNull()
               | F.col("expected_received_date").isNull() | F.col("_has_items").isNull()),
-             ("V9:expected_date_not_after_as_of", F.col("expected_received_date") <= F.lit(as_of)),
+             ("V9:expected_date_not_after_as_of", F.col("expected_received_date") <= as_of_date(as_of)),
              ("W9:supplier_inactive", F.col("_supp_ok").isNull()),
              ("W9:inactive_product", F.coalesce("_inactive", F.lit(False))),
              ("W9:bad_price_or_quantity", F.coalesce("_bad_value", F.lit(False))),
@@ -371,7 +369,7 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
                                 store["purchase_order"], "purchase_order_id"))
 
     def new_headers() -> DataFrame:
-        new = hdr().select("purchase_order_id", "employee_id", "supplier_id", F.lit(as_of).alias("order_date"),
+        new = hdr().select("purchase_order_id", "employee_id", "supplier_id", as_of_date(as_of).alias("order_date"),
                            "expected_received_date", F.lit(None).cast("date").alias("actual_received_date"),
                            F.lit("pending").alias("delivery_status"), F.lit(True).alias("is_valid"))
         return _conform(new, "purchase_order")

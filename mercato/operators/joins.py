@@ -28,9 +28,3 @@ def left_join_filtered(df: DataFrame, right: DataFrame, on, right_filter=None) -
     of ``df`` without a match survive."""
     r = right.where(right_filter) if right_filter is not None else right
     return df.join(r, on, "left")
-
-
-def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Child rows whose non-null foreign key has no parent row (V3)."""
-    keys = parent.select(F.col(parent_column).alias(column))
-    return child.where(F.col(column).isNotNull()).join(keys, column, "left_anti")

@@ -73,8 +73,9 @@ def items_ordered(store: Store, line_scope: str = "all", customer_ids=None) -> D
 
 def _favourite_category(store: Store, cp: DataFrame) -> DataFrame:
     product = store["product"].select("product_id", "category")
-    per_cat = cp.join(product, "product_id").groupBy("customer_id", "category").agg(
-        F.sum("n_lines").alias("freq"))
+    # text keys group whatever their case (S1) and show their least spelling
+    per_cat = cp.join(product, "product_id").groupBy("customer_id", F.lower("category").alias("_key")).agg(
+        F.min("category").alias("category"), F.sum("n_lines").alias("freq"))
     return top1_per_group(per_cat, ["customer_id"], "freq", "category", "favourite_category") \
         .select("customer_id", "favourite_category")
 
@@ -94,8 +95,8 @@ def distinct_products(store: Store, line_scope: str = "all", customer_ids=None)
 
 def _top_product(store: Store, cp: DataFrame) -> DataFrame:
     product = store["product"].select("product_id", "product_name")
-    per_name = cp.join(product, "product_id").groupBy("customer_id", "product_name").agg(
-        F.sum("qty").alias("total"))
+    per_name = cp.join(product, "product_id").groupBy("customer_id", F.lower("product_name").alias("_key")).agg(
+        F.min("product_name").alias("product_name"), F.sum("qty").alias("total"))
     return top1_per_group(per_name, ["customer_id"], "total", "product_name", "top_product") \
         .select("customer_id", "top_product")
 

@@ -95,7 +95,8 @@ def avg_line_value(store: Store) -> DataFrame:
     per_order = order_totals(store, "active").join(active_orders(store, "order_id", "employee_id"), "order_id")
     per_emp = per_order.groupBy("employee_id").agg(F.sum("order_value").alias("v"), F.sum("order_lines").alias("n"))
     e = store["employee"].select("employee_id", "employee_name")
-    by_name = per_emp.join(e, "employee_id").groupBy("employee_name").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    by_name = per_emp.join(e, "employee_id").groupBy(F.lower("employee_name").alias("_key")).agg(
+        F.min("employee_name").alias("employee_name"), F.sum("v").alias("v"), F.sum("n").alias("n"))
     return by_name.select("employee_name", average("v", "n").alias("avg_order_value")).orderBy("employee_name")
 
 
@@ -104,7 +105,8 @@ def busiest_employees(store: Store, ignore_unassigned: bool = False) -> DataFram
     threshold also counts the unassigned group (S20) unless ``ignore_unassigned``."""
     per_id = active_orders(store, "employee_id").groupBy("employee_id").agg(F.count(F.lit(1)).alias("n"))
     e = store["employee"].select("employee_id", "employee_name")
-    per_name = per_id.join(e, "employee_id").groupBy("employee_name").agg(F.sum("n").alias("order_count"))
+    per_name = per_id.join(e, "employee_id").groupBy(F.lower("employee_name").alias("_key")).agg(
+        F.min("employee_name").alias("employee_name"), F.sum("n").alias("order_count")).drop("_key")
     threshold = per_id.where(F.col("employee_id").isNotNull()) if ignore_unassigned else per_id
     return keep_at_least_max(per_name, "order_count", threshold.select("n"))
 

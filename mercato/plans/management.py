@@ -91,7 +91,10 @@ def pay_summary(store: Store) -> DataFrame:
     contract = ce.join(c, "contract_id").join(e, "employee_id").select(
         "employee_name", F.lit("Contract").alias("type"), dollars("salary").alias("salary_or_wage"),
         F.lit(None).cast("string").alias("total_wage"))
-    return hourly.unionByName(contract).distinct()
+    # duplicates differ at most in the case of the name (S1); the least spelling is shown
+    rest = ["type", "salary_or_wage", "total_wage"]
+    return (hourly.unionByName(contract).groupBy(F.lower("employee_name").alias("_key"), *rest)
+            .agg(F.min("employee_name").alias("employee_name")).select("employee_name", *rest))
 
 
 def first_manager(store: Store) -> DataFrame:
@@ -105,8 +108,10 @@ def best_sellers(store: Store) -> DataFrame:
     li = lines(store, "active").select("product_id", "quantity")
     per_id = li.groupBy("product_id").agg(F.sum("quantity").alias("q"))
     p = active(store["product"]).select("product_id", "product_name")
-    per_name = (per_id.join(p, "product_id").groupBy("product_name")
-                .agg(F.sum("q").cast("long").alias("total_quantity_sold")))
+    # names group whatever their case (S1) and show their least spelling
+    per_name = (per_id.join(p, "product_id").groupBy(F.lower("product_name").alias("_key"))
+                .agg(F.min("product_name").alias("product_name"),
+                     F.sum("q").cast("long").alias("total_quantity_sold")).drop("_key"))
     return keep_at_least_max(per_name, "total_quantity_sold", per_id.select("q"))
 
 
