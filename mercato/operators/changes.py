@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from mercato.functions.expr import active, as_of_date, blank_to_null, text_equals
 from mercato.operators.lazy import LazyFrames, once
-from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag
+from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag, \
+    with_parent_flag
 from mercato.operators.ranking import numbered_within, positions, previous_value
 from mercato.sources.schemas import DELIVERY_STATUSES, LINE_MONEY, SCHEMAS
 
@@ -120,6 +121,49 @@ def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFram
                        "rejects": lambda: _reject_rows(bad), "inserted": added})
 
 
+def create_employees(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
+    """W1 for employees, with the rows of their type. ``feed``: change_id, the employee's fields,
+    employee_type (required), hours_worked and hourly_wages (type 'hourly'), contract_id,
+    contract dates and salary (type 'contract'); any other type has no subtype row. A request
+    that breaks a rule of the employee or of its subtype is rejected as a whole."""
+    rows, id_rules = identified(feed)
+    rows = rows.withColumn("_type", F.lower(F.trim("employee_type")))
+    hourly, contract = F.col("_type") == "hourly", F.col("_type") == "contract"
+    rows = with_parent_flag(rows, "manager_id", store["employee"], "employee_id", "_no_manager")
+    own = F.when(contract, F.col("contract_id"))
+    rows = with_duplicate_flag(rows.withColumn("_contract", own), ["_contract"], "_twice")
+    taken = store["contract"].select(F.col("contract_id").alias("_contract"), F.lit(True).alias("_taken"))
+    rows = rows.join(taken, "_contract", "left")
+    schema = SCHEMAS["employee"]
+    rules = [(f"V10:{c}:required", _missing(c, schema[c].dataType)) for c in REQUIRED["employee"]]
+    rules += [("V10:employee_type:required", _blank("employee_type"))]
+    rules += [r for r in table_rules("employee", [c for c in schema.fieldNames() if c in feed.columns])
+              if not r[0].endswith(":null")] + contact_rules(feed.columns)
+    rules += [
+        ("V3:manager_id:orphan", F.col("_no_manager")),
+        ("W1:hourly_fields", hourly & (F.col("hours_worked").isNull() | F.col("hourly_wages").isNull())),
+        ("V6:hours_worked:range", hourly & (F.col("hours_worked") < 0)),
+        ("V6:hourly_wages:range", hourly & (F.col("hourly_wages") <= 0)),
+        ("W1:contract_fields", contract & (F.col("contract_id").isNull() | F.col("contract_start_date").isNull()
+                                           | F.col("contract_end_date").isNull() | F.col("salary").isNull())),
+        ("V8:contract:dates", contract & (F.col("contract_start_date") >= F.col("contract_end_date"))),
+        ("V6:salary:range", contract & (F.col("salary") <= 0)),
+        ("V1:contract_id:duplicate", contract & (F.col("_twice") | F.col("_taken").isNotNull()))]
+    good, bad = validate(rows, rules + id_rules)
+    added = once(lambda: next_ids(good.withColumn("is_valid", F.lit(True)), store["employee"], "employee_id"))
+
+    def appended(table: str, kind: str | None = None):
+        def build() -> DataFrame:
+            new = added() if kind is None else added().where(F.col("_type") == kind)
+            return store[table].unionByName(_conform(new, table))
+        return build
+
+    return LazyFrames({
+        "employee": appended("employee"), "hourly_employee": appended("hourly_employee", "hourly"),
+        "contract": appended("contract", "contract"), "contract_employee": appended("contract_employee", "contract"),
+        "inserted": lambda: _conform(added(), "employee"), "rejects": lambda: _reject_rows(bad)})
+
+
 # ---- W2 ---------------------------------------------------------------------------------------
 def patch_rows(store: Store, table: str, patches: DataFrame, ignore_blank: bool = False) -> dict[str, DataFrame]:
     """Set only the supplied fields. ``patches`` has change_id, the key, ``set_fields``

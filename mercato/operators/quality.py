@@ -101,7 +101,8 @@ def contact_rules(columns: list[str]) -> list[Rule]:
     if "email_address" in columns:
         out.append(("V4:email_address:pattern", ~F.col("email_address").rlike(EMAIL_PATTERN)))
     if "phone_number" in columns:
-        out.append(("V5:phone_number:pattern", ~F.col("phone_number").rlike(PHONE_PATTERN)))
+        out.append(("V5:phone_number:pattern", (F.trim("phone_number") != "")
+                    & ~F.col("phone_number").rlike(PHONE_PATTERN)))
     return out
 
 

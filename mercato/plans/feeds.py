@@ -203,6 +203,67 @@ def product_creates(store: Store) -> DataFrame:
         offer(p.where(k % 70 == 3), F.lit(None)))
 
 
+def employee_creates(store: Store) -> DataFrame:
+    """W1 feed for employees, one request per customer row; which fields are missing or wrong
+    follows from the key."""
+    c = store.driver["customer"]
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    day = lambda y, m, d: F.lit(_dt.date(y, m, d))
+    return c.select(
+        k.alias("change_id"),
+        F.when(k % 20 == 0, "").otherwise(F.col("c_name")).alias("employee_name"),
+        F.when(k % 15 == 0, "Astronaut").otherwise("manager").alias("emp_role"),
+        F.when(k % 9 == 0, "123").when(k % 9 == 1, "").otherwise(F.lpad(text, 10, "0")).alias("phone_number"),
+        F.when(k % 12 == 0, "no mail").otherwise(F.concat(F.lit("e"), text, F.lit("@shop.test"))).alias("email_address"),
+        day(2024, 1, 1).alias("hire_date"),
+        F.when(k % 14 == 0, F.lit(99)).otherwise(k % 25).cast("long").alias("manager_id"),
+        F.when(k % 4 == 0, "Hourly").when(k % 4 == 1, "contract").when(k % 4 == 2, "regular")
+         .when(k % 8 == 3, F.lit(None)).otherwise("HOURLY").alias("employee_type"),
+        F.when(k % 16 != 0, F.lit(40)).cast("int").alias("hours_worked"),
+        F.when(k % 24 == 4, F.lit(0)).otherwise(F.lit(15)).cast("decimal(10,2)").alias("hourly_wages"),
+        F.when(k % 40 == 1, F.lit(1)).when(k % 40 == 13, k + 1004).otherwise(k + 1000).cast("long").alias("contract_id"),
+        day(2024, 1, 1).alias("contract_start_date"),
+        F.when(k % 20 == 5, day(2023, 1, 1)).otherwise(day(2024, 12, 31)).alias("contract_end_date"),
+        F.when(k % 28 == 1, F.lit(0)).otherwise(F.lit(50000)).cast("decimal(10,2)").alias("salary"))
+
+
+def customer_creates(store: Store) -> DataFrame:
+    """W1 feed for customers, one request per order: named after the order's key; key % 10 = 0
+    has a blank name, key % 9 = 0 no address."""
+    o = store.driver["orders"]
+    k = F.col("o_orderkey")
+    return o.select(k.alias("change_id"),
+                    F.when(k % 10 == 0, " ").otherwise(F.concat(F.lit("Buyer "), k.cast("string"))).alias("customer_name"),
+                    F.when(k % 9 != 0, F.col("o_orderpriority")).alias("shipping_address"))
+
+
+def supplier_patches(store: Store) -> DataFrame:
+    """W2 feed for suppliers: even keys get an email, odd keys lose their name (refused), and
+    key % 5 = 0 sends a later empty patch."""
+    s = store.driver["supplier"]
+    k = F.col("s_suppkey")
+    cols = [F.lit(None).cast("string").alias("supplier_name"),
+            F.concat(F.lit("s"), k.cast("string"), F.lit("@shop.test")).alias("email_address")]
+    first = s.select((k * 10 + 1).alias("change_id"), k.alias("supplier_id"),
+                     F.array(F.when(k % 2 == 0, "email_address").otherwise("supplier_name")).alias("set_fields"), *cols)
+    return first.unionByName(s.where(k % 5 == 0).select(
+        (k * 10 + 2).alias("change_id"), k.alias("supplier_id"), F.array().cast("array<string>").alias("set_fields"), *cols))
+
+
+def customer_flags(store: Store) -> DataFrame:
+    """W3 feed for customers, up to four requests each: off, off again (customers need only
+    exist), for key % 3 = 0 on, and for key % 5 = 0 off for an unknown customer."""
+    c = store.driver["customer"]
+    k = F.col("c_custkey")
+
+    def ask(number: int, rows: DataFrame, flag: bool, key=k) -> DataFrame:
+        return rows.select((k * 10 + number).alias("change_id"), key.alias("customer_id"), F.lit(flag).alias("flag"))
+
+    return ask(1, c, False).unionByName(ask(2, c, False)).unionByName(ask(3, c.where(k % 3 == 0), True)) \
+        .unionByName(ask(4, c.where(k % 5 == 0), False, _unknown(k)))
+
+
 def employee_deactivations(store: Store) -> DataFrame:
     """W4 feed: every nation-employee: key % 5 = 0 is deactivated, the others reactivated."""
     n = store.driver["nation"]

@@ -109,7 +109,25 @@ def _inserted(st: Store) -> dict[str, DataFrame]:
     return W.insert_rows(st, "product", feeds.product_creates(st))
 
 
+def _employees(st: Store) -> dict[str, DataFrame]:
+    return W.create_employees(st, feeds.employee_creates(st))
+
+
+def _customer_flags(st: Store) -> dict[str, DataFrame]:
+    return W.set_active(st, "customer", feeds.customer_flags(st))
+
+
 JOB_QUERIES = {
+    "W1_inserted_employees": _s(lambda st: _employees(st)["inserted"]),
+    "W1_hourly_employees": _s(lambda st: _employees(st)["hourly_employee"]),
+    "W1_contract_employees": _s(lambda st: _employees(st)["contract_employee"]),
+    "W1_employee_rejects": _s(lambda st: _employees(st)["rejects"]),
+    "W1_inserted_customers": _s(lambda st: W.insert_rows(st, "customer", feeds.customer_creates(st))["inserted"]),
+    "W1_customer_rejects": _s(lambda st: W.insert_rows(st, "customer", feeds.customer_creates(st))["rejects"]),
+    "W2_patched_suppliers": _s(lambda st: W.patch_rows(st, "supplier", feeds.supplier_patches(st))["supplier"]),
+    "W2_supplier_rejects": _s(lambda st: W.patch_rows(st, "supplier", feeds.supplier_patches(st))["rejects"]),
+    "W3_flagged_customers": _s(lambda st: _customer_flags(st)["customer"]),
+    "W3_customer_rejects": _s(lambda st: _customer_flags(st)["rejects"]),
     "W1_inserted_products": _s(lambda st: _inserted(st)["inserted"]),
     "W1_insert_rejects": _s(lambda st: _inserted(st)["rejects"]),
     "W4_hourly_after_deactivation": _s(

@@ -871,3 +871,61 @@ ORACLE["E_product_labels"] = with_store("""SELECT product_id,
         format('{:,.2f}', CAST(price AS DOUBLE)) AS price_display,
         strftime(stock_arrival_date, '%Y-%m-%d') AS arrival_text
     FROM st_product""")
+
+_EMPLOYEES = """req AS (SELECT c_custkey AS change_id, c_custkey AS k,
+        CASE WHEN c_custkey % 20 = 0 THEN '' ELSE c_name END AS employee_name,
+        CASE WHEN c_custkey % 15 = 0 THEN 'Astronaut' ELSE 'manager' END AS emp_role,
+        CASE c_custkey % 9 WHEN 0 THEN '123' WHEN 1 THEN '' ELSE lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS phone_number,
+        CASE WHEN c_custkey % 12 = 0 THEN 'no mail' ELSE 'e' || c_custkey || '@shop.test' END AS email_address,
+        CASE WHEN c_custkey % 14 = 0 THEN 99 ELSE c_custkey % 25 END AS manager_id,
+        CASE c_custkey % 4 WHEN 0 THEN 'hourly' WHEN 1 THEN 'contract' WHEN 2 THEN 'regular'
+            ELSE CASE WHEN c_custkey % 8 = 3 THEN NULL ELSE 'hourly' END END AS t,
+        CASE WHEN c_custkey % 16 <> 0 THEN 40 END AS hours_worked,
+        CASE WHEN c_custkey % 24 = 4 THEN 0 ELSE 15 END AS wages,
+        CASE c_custkey % 40 WHEN 1 THEN 1 WHEN 13 THEN c_custkey + 1004 ELSE c_custkey + 1000 END AS contract_id,
+        c_custkey % 20 = 5 AS wrong_dates, c_custkey % 28 = 1 AS no_salary
+    FROM customer),
+bad AS (
+    SELECT change_id, 'V10:employee_name:required' AS reason FROM req WHERE employee_name = ''
+    UNION ALL SELECT change_id, 'V10:employee_type:required' FROM req WHERE t IS NULL
+    UNION ALL SELECT change_id, 'V7:emp_role:domain' FROM req WHERE emp_role = 'Astronaut'
+    UNION ALL SELECT change_id, 'V4:email_address:pattern' FROM req WHERE email_address NOT LIKE '%@%'
+    UNION ALL SELECT change_id, 'V5:phone_number:pattern' FROM req WHERE phone_number = '123'
+    UNION ALL SELECT change_id, 'V3:manager_id:orphan' FROM req WHERE manager_id = 99
+    UNION ALL SELECT change_id, 'W1:hourly_fields' FROM req WHERE t = 'hourly' AND hours_worked IS NULL
+    UNION ALL SELECT change_id, 'V6:hourly_wages:range' FROM req WHERE t = 'hourly' AND wages <= 0
+    UNION ALL SELECT change_id, 'V8:contract:dates' FROM req WHERE t = 'contract' AND wrong_dates
+    UNION ALL SELECT change_id, 'V6:salary:range' FROM req WHERE t = 'contract' AND no_salary
+    UNION ALL SELECT change_id, 'V1:contract_id:duplicate' FROM req WHERE t = 'contract' AND (
+        contract_id IN (SELECT contract_id FROM st_contract)
+        OR contract_id IN (SELECT contract_id FROM req WHERE t = 'contract' GROUP BY 1 HAVING COUNT(*) > 1))),
+good AS (SELECT *, (SELECT MAX(employee_id) FROM st_employee) + ROW_NUMBER() OVER (ORDER BY change_id) AS employee_id
+    FROM req WHERE change_id NOT IN (SELECT change_id FROM bad))"""
+ORACLE["W1_inserted_employees"] = with_store("""SELECT employee_id, employee_name, emp_role, phone_number, email_address,
+        DATE '2024-01-01' AS hire_date, manager_id, TRUE AS is_valid FROM good""", _EMPLOYEES)
+ORACLE["W1_hourly_employees"] = with_store("""SELECT * FROM st_hourly_employee
+    UNION ALL SELECT employee_id, hours_worked, CAST(wages AS DECIMAL(10,2)), TRUE FROM good WHERE t = 'hourly'""", _EMPLOYEES)
+ORACLE["W1_contract_employees"] = with_store("""SELECT * FROM st_contract_employee
+    UNION ALL SELECT employee_id, contract_id, TRUE FROM good WHERE t = 'contract'""", _EMPLOYEES)
+ORACLE["W1_employee_rejects"] = with_store("SELECT change_id, reason FROM bad", _EMPLOYEES)
+
+_BUYERS = """req AS (SELECT o_orderkey AS change_id, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE 'Buyer ' || o_orderkey END AS name,
+        CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS address FROM orders)"""
+ORACLE["W1_inserted_customers"] = with_store("""SELECT
+        (SELECT MAX(customer_id) FROM st_customer) + ROW_NUMBER() OVER (ORDER BY change_id) AS customer_id,
+        name AS customer_name, CAST(NULL AS VARCHAR) AS phone_number, CAST(NULL AS VARCHAR) AS email_address,
+        CAST(NULL AS VARCHAR) AS city, address AS shipping_address, 0 AS order_count, TRUE AS is_valid
+    FROM req WHERE trim(name) <> '' AND address IS NOT NULL""", _BUYERS)
+ORACLE["W1_customer_rejects"] = with_store("""SELECT change_id, 'V10:customer_name:required' AS reason FROM req WHERE trim(name) = ''
+    UNION ALL SELECT change_id, 'V2:shipping_address:null' FROM req WHERE address IS NULL""", _BUYERS)
+ORACLE["W2_patched_suppliers"] = with_store("""SELECT supplier_id, supplier_name,
+        CASE WHEN supplier_id % 2 = 0 AND is_valid THEN 's' || supplier_id || '@shop.test' ELSE email_address END AS email_address,
+        phone_number, is_valid FROM st_supplier""")
+ORACLE["W2_supplier_rejects"] = with_store("""SELECT supplier_id * 10 + 2 AS change_id, 'W2:empty_patch' AS reason
+        FROM st_supplier WHERE supplier_id % 5 = 0
+    UNION ALL SELECT supplier_id * 10 + 1, 'W2:unknown_key' FROM st_supplier WHERE NOT is_valid
+    UNION ALL SELECT supplier_id * 10 + 1, 'V2:supplier_name:null' FROM st_supplier WHERE is_valid AND supplier_id % 2 = 1""")
+ORACLE["W3_flagged_customers"] = with_store(
+    "SELECT * REPLACE (customer_id % 3 = 0 AS is_valid) FROM st_customer")
+ORACLE["W3_customer_rejects"] = with_store("""SELECT customer_id * 10 + 4 AS change_id, 'W3:unknown_key' AS reason
+    FROM st_customer WHERE customer_id % 5 = 0""")
