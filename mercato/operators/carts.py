@@ -21,10 +21,14 @@ events is therefore spread over many chunks and tasks.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.expr import text_equals
 from mercato.operators.lazy import LazyFrames, once
+from mercato.operators.ranking import numbered_within, positions
 from mercato.session import ensure_checkpoint_dir
 
 ADD, REMOVE, CHECKOUT = "add", "remove", "checkout"
@@ -50,9 +54,12 @@ def _chunk(ts_col: str, seconds: int):
     return F.floor(F.unix_micros(F.col(ts_col)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def with_cart_numbers(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def with_cart_numbers(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS,
+                      open_carts: DataFrame | None = None) -> DataFrame:
     """Add ``ok_checkout`` (the checkout found an open cart) and ``cart_no`` (successful
-    checkouts strictly before the event) to cart events of one or many customers."""
+    checkouts strictly before the event) to cart events of one or many customers.
+    ``open_carts`` (customer_id, n_open): carts that were open before the first event; a
+    customer's first ``n_open`` checkouts find one of them, whatever was added."""
     ev = events.withColumn("_chunk", _chunk("ts", chunk_seconds)) \
         .withColumn("_seq", F.struct("ts", "event_id"))
     # previous add/checkout of the customer: local part inside the chunk ...
@@ -65,8 +72,18 @@ def with_cart_numbers(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
     w_chunks = Window.partitionBy("customer_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_carry_act", F.last("_last_act", True).over(w_chunks))
     ev = ev.join(chunks.select("customer_id", "_chunk", "_carry_act"), ["customer_id", "_chunk"])
-    ev = ev.withColumn("ok_checkout", (F.col("action") == CHECKOUT)
-                       & (F.coalesce(F.col("_prev_local"), F.col("_carry_act")) == ADD))
+    found = F.coalesce(F.coalesce(F.col("_prev_local"), F.col("_carry_act")) == ADD, F.lit(False))
+    is_checkout = F.col("action") == CHECKOUT
+    if open_carts is not None:
+        # the checkout's place among the customer's checkouts, with the same two levels
+        counts = ev.groupBy("customer_id", "_chunk").agg(F.count_if(is_checkout).alias("_n"))
+        counts = counts.select("customer_id", "_chunk", F.coalesce(F.sum("_n").over(w_chunks), F.lit(0)).alias("_off"))
+        ev = ev.withColumn("_place", F.coalesce(F.sum(is_checkout.cast("int")).over(w_local), F.lit(0))) \
+            .join(counts, ["customer_id", "_chunk"]).join(open_carts, "customer_id", "left")
+        found = found | (F.col("_off") + F.col("_place") < F.coalesce("n_open", F.lit(0)))
+        ev = ev.withColumn("ok_checkout", is_checkout & found).drop("_place", "_off", "n_open")
+    else:
+        ev = ev.withColumn("ok_checkout", is_checkout & found)
     # running count of successful checkouts, exclusive: chunk offsets + local running sum
     okn = F.col("ok_checkout").cast("int")
     ev = ev.withColumn("_ok_local", F.coalesce(F.sum(okn).over(w_local), F.lit(0)))
@@ -137,3 +154,87 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
 
     return LazyFrames({"cart_orders": cart_orders, "cart_lines": cart_lines, "stock_moves": stock_moves})
 
+
+def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame,
+                          chunk_seconds: int = CHUNK_SECONDS) -> LazyFrames:
+    """W6 on a store: new versions of ``orders``, ``order_details`` and ``product``.
+
+    A customer's events go to their orders in state 'cart', lowest id first (each checkout moves
+    on to the next), and to new orders once these are used up. A line that is there keeps its
+    price and gains quantity, a new one takes today's price; a removal flags the line off and a
+    checkout all lines of the order. Every add takes one unit of stock. Ids of new orders follow
+    the first added event."""
+    ensure_checkpoint_dir(events.sparkSession)
+    o, od, product = store["orders"], store["order_details"], store["product"]
+    events = events.dropDuplicates(["event_id"])
+    is_add, is_remove = F.col("action") == ADD, F.col("action") == REMOVE
+    known = product.select("product_id", F.col("price").alias("_today"))
+    events = events.where(~is_add).unionByName(events.where(is_add).join(
+        known.select("product_id"), "product_id", "left_semi"))
+    mine = events.select("customer_id").distinct()
+    carts = o.where(text_equals("status", "cart")).select("customer_id", "order_id").join(mine, "customer_id", "left_semi")
+    n_open = carts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_open"))
+
+    def numbered() -> DataFrame:
+        return with_cart_numbers(events, chunk_seconds, n_open).checkpoint(eager=True)
+
+    ev = once(numbered)
+
+    def placed_carts() -> DataFrame:
+        """customer_id, cart_no, order_id, is_new, opened_at, checked_out_at of every cart that an
+        event touched."""
+        seen = ev().groupBy("customer_id", "cart_no").agg(
+            F.min(F.when(is_add, F.col("ts"))).alias("opened_at"),
+            F.min_by("event_id", F.when(is_add, F.struct("ts", "event_id"))).alias("_first"),
+            F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
+        old = numbered_within(carts, "customer_id", "order_id", "_nth").select(
+            "customer_id", (F.col("_nth") - 1).alias("cart_no"), F.col("order_id").alias("_old"))
+        both = seen.join(old, ["customer_id", "cart_no"], "left")
+        top = o.agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
+        new = positions(both.where(F.col("_old").isNull() & F.col("opened_at").isNotNull()), "_first", "_pos") \
+            .withColumn("order_id", top + F.col("_pos")).drop("_pos")
+        kept = both.where(F.col("_old").isNotNull()).withColumn("order_id", F.col("_old"))
+        return kept.unionByName(new).withColumn("is_new", F.col("_old").isNull()).drop("_old", "_first") \
+            .checkpoint(eager=True)
+
+    placed = once(placed_carts)
+
+    def orders() -> DataFrame:
+        done = placed().where(~F.col("is_new") & F.col("checked_out_at").isNotNull()).select(
+            "order_id", F.to_date("checked_out_at").alias("_date"))
+        old = o.join(done, "order_id", "left") \
+            .withColumn("status", F.when(F.col("_date").isNotNull(), "confirmed").otherwise(F.col("status"))) \
+            .withColumn("order_date", F.coalesce("_date", "order_date")).select(*o.columns)
+        out = F.col("checked_out_at")
+        new = placed().where("is_new").select(
+            "order_id", "customer_id", F.lit(None).cast("long").alias("employee_id"),
+            F.to_date(F.coalesce(out, "opened_at")).alias("order_date"),
+            F.lit(None).cast("date").alias("expected_received_date"), F.lit(None).cast("date").alias("actual_received_date"),
+            F.when(out.isNotNull(), "confirmed").otherwise("cart").alias("status"), F.lit(True).alias("is_valid"))
+        return old.unionByName(new)
+
+    def order_details() -> DataFrame:
+        seq = F.struct("ts", "event_id")
+        touched = ev().where(is_add | is_remove).groupBy("customer_id", "cart_no", "product_id").agg(
+            F.count_if(is_add).cast("int").alias("_adds"), F.min(F.when(is_add, seq)).alias("_first_add"),
+            F.max(F.when(is_remove, seq)).alias("_last_remove"))
+        touched = touched.join(placed().select("customer_id", "cart_no", "order_id"), ["customer_id", "cart_no"]) \
+            .drop("customer_id", "cart_no")
+        closed = placed().where(F.col("checked_out_at").isNotNull()).select("order_id", F.lit(True).alias("_closed"))
+        old = od.join(touched, ["order_id", "product_id"], "left").join(closed, "order_id", "left") \
+            .withColumn("quantity", F.col("quantity") + F.coalesce("_adds", F.lit(0))) \
+            .withColumn("is_valid", F.col("is_valid") & F.col("_last_remove").isNull() & F.col("_closed").isNull()) \
+            .select(*od.columns)
+        new = touched.where("_adds > 0").join(od.select("order_id", "product_id"), ["order_id", "product_id"], "left_anti") \
+            .join(closed, "order_id", "left").join(known, "product_id").select(
+            "order_id", "product_id", F.col("_today").alias("price"), F.col("_adds").alias("quantity"),
+            (~F.coalesce(F.col("_last_remove") > F.col("_first_add"), F.lit(False))
+             & F.col("_closed").isNull()).alias("is_valid"))
+        return old.unionByName(new)
+
+    def products() -> DataFrame:
+        moves = events.where(is_add).groupBy("product_id").agg(F.count(F.lit(1)).alias("_taken"))
+        return product.join(moves, "product_id", "left").withColumn(
+            "stock_quantity", (F.col("stock_quantity") - F.coalesce("_taken", F.lit(0))).cast("int")).select(*product.columns)
+
+    return LazyFrames({"orders": orders, "order_details": order_details, "product": products})

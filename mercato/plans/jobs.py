@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.operators import changes as W
 from mercato.operators import quality as V
-from mercato.operators.carts import fold_carts
+from mercato.operators.carts import fold_carts, fold_carts_into_store
 from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
 from mercato.sources.adapter import Store
@@ -72,6 +72,10 @@ def _cart_fold(st: Store) -> dict[str, DataFrame]:
     return fold_carts(feeds.carts(st), st["product"])
 
 
+def _stored_carts(st: Store) -> dict[str, DataFrame]:
+    return fold_carts_into_store(st, feeds.carts(st))
+
+
 def _checkout(st: Store) -> dict[str, DataFrame]:
     return W.checkout_carts(st, feeds.checkout_requests(st), feeds.AS_OF_CHECKOUT)
 
@@ -160,6 +164,9 @@ JOB_QUERIES = {
     "W6_cart_lines": _s(lambda st: _cart_fold(st)["cart_lines"]),
     "W6_cart_orders": _s(lambda st: _cart_fold(st)["cart_orders"]),
     "W6_stock_moves": _s(lambda st: _cart_fold(st)["stock_moves"]),
+    "W6_store_orders": _s(lambda st: _stored_carts(st)["orders"]),
+    "W6_store_lines": _s(lambda st: _stored_carts(st)["order_details"]),
+    "W6_store_products": _s(lambda st: _stored_carts(st)["product"]),
     "W7_checkout_payments": _s(_new_payments),
     "W7_checkout_orders": _s(lambda st: _checkout(st)["orders"]),
     "W7_checkout_customers": _s(lambda st: _checkout(st)["customer"].select("customer_id", "order_count")),

@@ -929,3 +929,54 @@ ORACLE["W3_flagged_customers"] = with_store(
     "SELECT * REPLACE (customer_id % 3 = 0 AS is_valid) FROM st_customer")
 ORACLE["W3_customer_rejects"] = with_store("""SELECT customer_id * 10 + 4 AS change_id, 'W3:unknown_key' AS reason
     FROM st_customer WHERE customer_id % 5 = 0""")
+
+_STORED = """ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS customer_id,
+        event_id % (SELECT max(p_partkey) + 1 FROM part) AS product_id,
+        CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type = 'error' THEN 'remove'
+             WHEN event_type = 'purchase' THEN 'checkout' END AS action
+    FROM events WHERE event_type <> 'signup'),
+ev2 AS (SELECT * FROM ev WHERE action <> 'add' OR product_id IN (SELECT product_id FROM st_product)),
+open AS (SELECT customer_id, order_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY order_id) - 1 AS cart_no
+    FROM st_orders WHERE lower(status) = 'cart'),
+ev3 AS (SELECT e.*, COALESCE(n_open, 0) AS n_open, ROW_NUMBER() OVER w AS ord,
+        COUNT(*) FILTER (WHERE action = 'checkout') OVER w AS place,
+        last_value(CASE WHEN action <> 'remove' THEN action END IGNORE NULLS) OVER (
+            PARTITION BY e.customer_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+    FROM ev2 e LEFT JOIN (SELECT customer_id, COUNT(*) AS n_open FROM open GROUP BY 1) k ON k.customer_id = e.customer_id
+    WINDOW w AS (PARTITION BY e.customer_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+ev4 AS (SELECT *, action = 'checkout' AND (place <= n_open OR COALESCE(prev = 'add', FALSE)) AS ok FROM ev3),
+ev5 AS (SELECT *, COALESCE(SUM(CASE WHEN ok THEN 1 ELSE 0 END) OVER (
+        PARTITION BY customer_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cart_no
+    FROM ev4),
+seen AS (SELECT customer_id, cart_no, MIN(ts) FILTER (WHERE action = 'add') AS opened_at,
+        arg_min(event_id, ord) FILTER (WHERE action = 'add') AS first_event, MIN(ts) FILTER (WHERE ok) AS out_at
+    FROM ev5 GROUP BY ALL),
+fresh AS (SELECT s.*, (SELECT MAX(order_id) FROM st_orders) + ROW_NUMBER() OVER (ORDER BY first_event) AS order_id
+    FROM seen s WHERE opened_at IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM open o WHERE o.customer_id = s.customer_id AND o.cart_no = s.cart_no)),
+placed AS (SELECT s.customer_id, s.cart_no, o.order_id, s.out_at FROM seen s JOIN open o
+        ON o.customer_id = s.customer_id AND o.cart_no = s.cart_no
+    UNION ALL SELECT customer_id, cart_no, order_id, out_at FROM fresh),
+touched AS (SELECT p.order_id, e.product_id, COUNT(*) FILTER (WHERE action = 'add') AS adds,
+        MIN(ord) FILTER (WHERE action = 'add') AS fa, MAX(ord) FILTER (WHERE action = 'remove') AS lr,
+        p.out_at IS NOT NULL AS closed
+    FROM ev5 e JOIN placed p ON p.customer_id = e.customer_id AND p.cart_no = e.cart_no
+    WHERE action IN ('add', 'remove') GROUP BY p.order_id, e.product_id, p.out_at)"""
+ORACLE["W6_store_orders"] = with_store("""SELECT o.order_id, o.customer_id, o.employee_id,
+        CAST(COALESCE(CAST(p.out_at AS DATE), o.order_date) AS DATE) AS order_date, o.expected_received_date,
+        o.actual_received_date, CASE WHEN p.out_at IS NULL THEN o.status ELSE 'confirmed' END AS status, o.is_valid
+    FROM st_orders o LEFT JOIN placed p ON p.order_id = o.order_id
+    UNION ALL SELECT order_id, customer_id, NULL, CAST(COALESCE(out_at, opened_at) AS DATE), NULL, NULL,
+        CASE WHEN out_at IS NULL THEN 'cart' ELSE 'confirmed' END, TRUE FROM fresh""", _STORED)
+ORACLE["W6_store_lines"] = with_store("""SELECT od.order_id, od.product_id, od.price,
+        CAST(od.quantity + COALESCE(t.adds, 0) AS INTEGER) AS quantity,
+        od.is_valid AND t.lr IS NULL AND od.order_id NOT IN (SELECT order_id FROM placed WHERE out_at IS NOT NULL) AS is_valid
+    FROM st_order_details od LEFT JOIN touched t ON t.order_id = od.order_id AND t.product_id = od.product_id
+    UNION ALL SELECT t.order_id, t.product_id, p.price, CAST(t.adds AS INTEGER),
+        NOT COALESCE(t.lr > t.fa, FALSE) AND NOT t.closed
+    FROM touched t JOIN st_product p ON p.product_id = t.product_id
+    WHERE t.adds > 0 AND NOT EXISTS (SELECT 1 FROM st_order_details od
+        WHERE od.order_id = t.order_id AND od.product_id = t.product_id)""", _STORED)
+ORACLE["W6_store_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity - COALESCE(n, 0) AS INTEGER) AS stock_quantity)
+    FROM st_product p LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM ev2 WHERE action = 'add' GROUP BY 1) m
+      ON m.product_id = p.product_id""", _STORED)
