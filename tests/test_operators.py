@@ -9,12 +9,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from mercato.operators import changes as W
 from mercato.operators.carts import fold_carts
 from mercato.operators.ranking import dense_rank_desc, positions, top1_per_group
 from mercato.plans import feeds
+from mercato.plans.registry import all_queries
 from mercato.sources.adapter import store_from_driver
 
 
@@ -143,7 +143,7 @@ def test_streaming_fold_equals_batch(spark):
         assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0, name
 
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 
 
 def test_plans_semi_join_and_topk(spark):
