@@ -16,12 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from mercato.session import configure, shared_dir
 
 _SHIPPED: set[str] = set()
+# Rows of an Arrow batch between the JVM and Python workers: texts are long, and a batch is held
+# several times over on its way.
+BATCH_ROWS = 1_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options and make this package importable in Python workers, wherever the
     driver was started."""
     configure(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

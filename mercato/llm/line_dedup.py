@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3,
         reader = ShardReader(path)
         for batch in batches:
             texts, ids = _texts(batch), _ids(batch)
-            for part in by_bytes(texts, 32_000_000):
+            for part in by_bytes(texts, 8_000_000):
                 yield _drop(batch.slice(part.start, part.stop - part.start), texts[part],
                             ids[part], reader)
 

@@ -54,7 +54,7 @@ def signature_table(docs: DataFrame, width: int, k: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            for part in by_bytes(texts):
+            for part in by_bytes(texts, 1_500_000):
                 sets = shingle_sets(texts[part], width)
                 f = fingerprints(sets)
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(),
@@ -97,7 +97,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = (batch["text_a"].str.len() + batch["text_b"].str.len()).to_numpy()
-            for part in by_bytes([range(n) for n in sizes]):
+            for part in by_bytes([range(n) for n in sizes], 1_500_000):
                 rows = batch.iloc[part]
                 distinct = {t: i for i, t in enumerate(
                     dict.fromkeys([*rows["text_a"], *rows["text_b"]]))}

@@ -315,7 +315,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = 2000
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             scores = np.zeros(len(texts))
             if p is not None:
-                for part in by_bytes(texts, 2_000_000):
+                for part in by_bytes(texts, 400_000):
                     scores[part] = score_texts(p, texts[part])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)
 
