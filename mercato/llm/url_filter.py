@@ -3,10 +3,10 @@
 Accepted and rejected URLs, as the rules mark them, each train a variable-order Markov model over
 the bytes of host and path: counts of every byte after its 0 to ``ORDER`` preceding bytes, added
 up by Spark over all marked URLs outside a calibration fold and smoothed by interpolating each
-order with the one below (Witten-Bell). Counts are kept in a fixed number of hashed bins, so the
-model's size does not depend on the table. A URL without a rule is judged by its
-length-normalised log-likelihood difference against a threshold calibrated on the marked URLs of
-the fold.
+order with the one below (Witten-Bell). Counts are exact and stay in a Spark table that grows with
+the distinct n-grams of all URLs; URLs are scored in blocks, each of which is joined to the counts
+of its own distinct n-grams. A URL without a rule is judged by its length-normalised
+log-likelihood difference against a threshold calibrated on the marked URLs of the fold.
 
 Rows: a null URL or one without ``://`` has an empty host and path and fits no rule. A URL that
 is empty is allowed, and so is every URL when either model has no training rows. An empty table
@@ -20,15 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.common import by_bytes, materialise, prepare
-from mercato.llm.shingles import mix64
 
 ORDER = 5
-BIN_BITS = 18
 FOLD = 10
+SIDES = ("good", "bad")      # accepted, rejected
+# A block is so many rows of a partition; a text of more than LONG characters is one by itself.
+BLOCK_BITS = 10
+LONG = 4_096
+SLICE = 1_000_000            # characters that are taken apart at once
 
 
 @dataclass(frozen=True)
@@ -73,86 +76,107 @@ def _symbols(texts: list[bytes]):
     return data, at, owner
 
 
-def context_bins(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins of context + symbol, bins of context, text of each symbol); bins have one row per
-    order. Bins of order o lie in a table of their own."""
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of context + symbol, text of each symbol); keys have one row per order. A key is the
+    order and the bytes themselves, so different n-grams never share one; without its last byte
+    (``key >> 8``) it names the context."""
     data, at, owner = _symbols(texts)
-    wide = data.astype(np.uint64)
-    joint, context = [], []
-    past = np.zeros(len(at), dtype=np.uint64)
+    wide = data.astype(np.int64)
+    keys, past = [], np.zeros(len(at), dtype=np.int64)
     for order in range(ORDER + 1):
         if order:
-            past = past | (wide[at - order] << np.uint64(8 * order))
-        seed = np.uint64(order + 1) << np.uint64(56)
-        joint.append(mix64(past | wide[at] | seed) >> np.uint64(64 - BIN_BITS))
-        context.append(mix64(past | seed | np.uint64(1 << 55)) >> np.uint64(64 - BIN_BITS))
-    return np.array(joint, np.int64), np.array(context, np.int64), owner
+            past = past | (wide[at - order] << 8 * order)
+        keys.append(past | wide[at] | order << 8 * (ORDER + 1))
+    return np.array(keys), owner
 
 
-def count_bins(urls: DataFrame) -> DataFrame:
-    """kind (0: context + symbol, 1: context, 2: distinct symbols after a context), order, bin,
-    accepted (0/1) and n, over all marked URLs. ``urls``: text, accepted."""
+def _encoded(texts) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
+
+
+def block_grams(urls: DataFrame) -> DataFrame:
+    """block, key and how often accepted (``good``) and rejected (``bad``) texts hold it, for every
+    n-gram of every text; both are 0 where only texts without a mark do. A block's key may come
+    more than once. ``urls``: block, text, accepted (null: no mark)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for accepted, rows in batch.groupby("accepted"):
-                texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
-                for part in by_bytes(texts):
-                    joint, context, _ = context_bins(texts[part])
-                    for order in range(ORDER + 1):
-                        pair = joint[order] << BIN_BITS | context[order]
-                        values, n = np.unique(pair, return_counts=True)
-                        yield pd.DataFrame({"order": order, "pair": values,
-                                            "accepted": accepted, "n": n})
-
-    pairs = urls.mapInPandas(count, "order long, pair long, accepted boolean, n long") \
-        .groupBy("order", "pair", "accepted").agg(F.sum("n").alias("n"))
-    joint = pairs.groupBy("order", "accepted", F.shiftright("pair", BIN_BITS).alias("bin")) \
-        .agg(F.sum("n").alias("n")).withColumn("kind", F.lit(0))
-    context = pairs.groupBy("order", "accepted",
-                            F.col("pair").bitwiseAND(F.lit((1 << BIN_BITS) - 1)).alias("bin")) \
-        .agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    return joint.unionByName(context.drop("kinds").withColumn("kind", F.lit(1))).unionByName(
-        context.drop("n").withColumnRenamed("kinds", "n").withColumn("kind", F.lit(2)))
-
-
-def load_model(counts: DataFrame) -> np.ndarray:
-    """Dense counts [accepted, kind, order, bin]; at most 2 * 3 * (ORDER + 1) * 2**BIN_BITS
-    numbers, whatever was counted."""
-    model = np.zeros((2, 3, ORDER + 1, 1 << BIN_BITS), dtype=np.float32)
-    rows = counts.select("accepted", "kind", "order", "bin", "n").toPandas()
-    model[rows["accepted"].to_numpy().astype(int), rows["kind"].to_numpy(),
-          rows["order"].to_numpy(), rows["bin"].to_numpy()] = rows["n"].to_numpy()
-    return model
-
-
-def log_ratio(model: np.ndarray, texts: list[bytes]) -> np.ndarray:
+            for block, rows in batch.groupby("block"):
+                texts = _encoded(rows["text"])
+                marks = [(rows["accepted"] == side).to_numpy(dtype=float) for side in (True, False)]
+                for part in by_bytes(texts, SLICE):
+                    keys, owner = grams(texts[part])
+                    weights = [m[part][owner] for m in marks]
+                    for of_order in keys:
+                        values, at = np.unique(of_order, return_inverse=True)
+                        good, bad = (np.bincount(at, w, len(values)).astype(np.int64)
+                                     for w in weights)
+                        yield pd.DataFrame({"block": block, "key": values, "good": good, "bad": bad})
+
+    return urls.select("block", "text", "accepted").mapInPandas(
+        count, "block long, key long, good long, bad long")
+
+
+def add_up(found: DataFrame) -> DataFrame:
+    """The model, a row per n-gram: key, its counts, and of its context how many symbols (n_) and
+    how many distinct ones (kinds_) follow. A context has at most 256 rows."""
+    total = found.groupBy("key").agg(*[F.sum(side).alias(side) for side in SIDES])
+    same = Window.partitionBy(F.shiftright("key", 8))
+    return total.select("key", *SIDES, *[F.sum(side).over(same).alias(f"n_{side}") for side in SIDES],
+                        *[F.count_if(F.col(side) > 0).over(same).alias(f"kinds_{side}")
+                          for side in SIDES])
+
+
+def count_bins(urls: DataFrame) -> DataFrame:
+    """The model of all ``urls`` (text, accepted)."""
+    return add_up(block_grams(urls.withColumn("block", F.lit(0).cast("long"))))
+
+
+def load_model(counts: DataFrame | pd.DataFrame) -> pd.DataFrame:
+    """Rows of the model in the order of their keys, for ``log_ratio``."""
+    rows = counts if isinstance(counts, pd.DataFrame) else counts.toPandas()
+    return rows.drop_duplicates("key").sort_values("key", ignore_index=True)
+
+
+def _find(have: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``have``, and which of them are there."""
+    at = np.minimum(np.searchsorted(have, wanted), max(len(have) - 1, 0))
+    return at, (have[at] == wanted if len(have) else np.zeros(len(wanted), dtype=bool))
+
+
+def log_ratio(model: pd.DataFrame, texts: list[bytes]) -> np.ndarray:
     """Mean over a text's symbols of log P(accepted) - log P(rejected)."""
-    joint, context, owner = context_bins(texts)
-    logs = []
-    for side in (1, 0):
-        chance = np.full(len(owner), 1 / 256)
-        for order in range(ORDER + 1):
-            n = model[side, 1, order, context[order]]
-            kinds = np.maximum(model[side, 2, order, context[order]], 1)
-            seen = np.minimum(model[side, 0, order, joint[order]], n)
-            chance = np.where(n > 0, (seen + kinds * chance) / (n + kinds), chance)
-        logs.append(np.log(chance))
+    keys, owner = grams(texts)
+    have = model["key"].to_numpy()
+    columns = {c: model[c].to_numpy(dtype=float) for c in model.columns if c != "key"}
+    chance = {side: np.full(len(owner), 1 / 256) for side in SIDES}
+    for of_order in keys:
+        at, known = _find(have, of_order)
+        before, followed = _find(have >> 8, of_order >> 8)
+        for side in SIDES:
+            seen = np.where(known, columns[side][at], 0) if len(have) else 0
+            n = np.where(followed, columns[f"n_{side}"][before], 0) if len(have) else 0
+            kinds = columns[f"kinds_{side}"][before] if len(have) else 0
+            chance[side] = np.where(n > 0, (seen + kinds * chance[side])
+                                    / np.where(n > 0, n + kinds, 1), chance[side])
     size = np.bincount(owner, minlength=len(texts))
-    return np.bincount(owner, logs[0] - logs[1], minlength=len(texts)) / size
+    logs = np.log(chance["good"]) - np.log(chance["bad"])
+    return np.bincount(owner, logs, minlength=len(texts)) / size
 
 
-def _scores(rows: DataFrame, model, columns: str, keep: list[str]) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [(h + p).encode("utf-8", "surrogatepass")
-                     for h, p in zip(batch["host"], batch["path"])]
-            out = np.zeros(len(texts))
-            for part in by_bytes(texts):
-                out[part] = log_ratio(model.value, texts[part])
-            yield batch[keep].assign(ratio=out)
+def _scores(rows: DataFrame, found: DataFrame, keep: list[str], columns: str) -> DataFrame:
+    """``keep`` (with text) and ratio: every block of rows meets the model's rows of its own n-grams."""
+
+    def score(urls: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        model, texts = load_model(counts.drop(columns="block")), _encoded(urls["text"])
+        out = np.zeros(len(texts))
+        for part in by_bytes(texts, SLICE):
+            out[part] = log_ratio(model, texts[part])
+        return urls[keep].assign(ratio=out)
 
-    return rows.mapInPandas(score, columns)
+    needed = found.select("block", "key").join(add_up(found), "key")
+    return rows.select("block", *keep).groupBy("block").cogroup(
+        needed.groupBy("block")).applyInPandas(score, columns)
 
 
 def calibrated_threshold(marked: DataFrame) -> float:
@@ -176,27 +200,31 @@ def calibrated_threshold(marked: DataFrame) -> float:
 
 def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio for every page."""
-    spark = prepare(pages.sparkSession)
+    prepare(pages.sparkSession)
     host, path = url_parts(F.col("url"))
     verdicts = {r.text: r.verdict for r in rules}
-    parts = (pages.select("page_id", F.col("url").cast("string").alias("url"))
-             .select("page_id", host.alias("host"), path.alias("path"))
-             .withColumn("rule", matching_rule(rules)))
     by_rule = F.create_map(*[F.lit(x) for item in verdicts.items() for x in item])[F.col("rule")]
-    marked = parts.filter("rule IS NOT NULL").withColumn("accepted", by_rule == "allow")
     in_fold = F.pmod(F.crc32(F.concat("host", "path").cast("binary")), F.lit(FOLD)) == 0
-    counts = materialise(count_bins(marked.filter(~in_fold).select(
-        F.concat("host", "path").alias("text"), "accepted")), "url-counts")
-    sides = {r["accepted"] for r in counts.select("accepted").distinct().collect()}
-    model = spark.sparkContext.broadcast(load_model(counts))      # 38 MB at most, see load_model
+    row = F.monotonically_increasing_id()
+    parts = materialise(
+        pages.select(F.col("page_id").cast("string").alias("page_id"),  # a null makes longs floats
+                     F.col("url").cast("string").alias("url"))
+        .select("page_id", host.alias("host"), path.alias("path"))
+        .withColumn("text", F.concat("host", "path"))
+        .withColumn("rule", matching_rule(rules))
+        .withColumn("block", F.when(F.length("text") > LONG, -1 - row)
+                    .otherwise(F.shiftright(row, BLOCK_BITS))), "urls")
+    marks = parts.withColumn("accepted", F.when(~in_fold, by_rule == "allow"))
+    found = materialise(block_grams(marks), "url-grams")
+    scored = materialise(_scores(parts, found, ["page_id", "host", "path", "rule", "text"],
+                                 "page_id string, host string, path string, rule string, "
+                                 "text string, ratio double"), "url-ratios")
+    sides = marks.filter("accepted IS NOT NULL").select("accepted").distinct().count()
     limit = 0.0
-    if len(sides) == 2:
-        fold = _scores(marked.filter(in_fold).select("host", "path", "accepted"), model,
-                       "accepted boolean, ratio double", ["accepted"])
-        limit = calibrated_threshold(fold)
-    scored = _scores(parts, model, "page_id long, host string, path string, rule string, ratio double",
-                     ["page_id", "host", "path", "rule"])
-    accepted = (F.lit(len(sides) < 2) | (F.concat("host", "path") == "")
-                | (F.col("ratio") >= limit))
-    return scored.withColumn("verdict", F.coalesce(
-        by_rule, F.when(accepted, "allow").otherwise("block")))
+    if sides == 2:
+        limit = calibrated_threshold(scored.filter(F.col("rule").isNotNull() & in_fold).select(
+            (by_rule == "allow").alias("accepted"), "ratio"))
+    accepted = F.lit(sides < 2) | (F.col("text") == "") | (F.col("ratio") >= limit)
+    verdict = F.coalesce(by_rule, F.when(accepted, "allow").otherwise("block"))
+    return scored.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule",
+                         "ratio", verdict.alias("verdict"))

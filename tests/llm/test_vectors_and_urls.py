@@ -248,6 +248,16 @@ def test_model_equals_exact_counts(spark):
     assert close.sum() >= 0.8 * len(texts)
 
 
+def test_counts_stay_exact_with_many_ngrams(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    train = [("".join(rng.choice(letters) for _ in range(40)), bool(i % 2)) for i in range(4000)]
+    counts = url_filter.count_bins(spark.createDataFrame(train, "text string, accepted boolean"))
+    texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(3)]
+    got = url_filter.log_ratio(url_filter.load_model(counts), [t.encode() for t in texts])
+    assert np.allclose(got, [plain_ratio(train, t) for t in texts], rtol=0, atol=1e-6)
+
+
 def test_method_judges_unmarked_urls(spark):
     rng = random.Random(6)
     rules = [Rule("good", "/", "allow"), Rule("bad", "/", "block")]
