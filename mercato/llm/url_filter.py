@@ -1,15 +1,16 @@
 """URL filtering by rules and by the ratio of two character language models.
 
 Accepted and rejected URLs, as the rules mark them, each train a variable-order Markov model over
-the bytes of host and path: counts of every byte after its 0 to ``ORDER`` preceding bytes, added
+the bytes of the whole URL after ``://`` (all of it where there is none): counts of every byte after its 0 to ``ORDER`` preceding bytes, added
 up by Spark over all marked URLs outside a calibration fold and smoothed by interpolating each
 order with the one below (Witten-Bell). Counts are exact and stay in a Spark table that grows with
 the distinct n-grams of all URLs; URLs are scored in blocks, each of which is joined to the counts
 of its own distinct n-grams. A URL without a rule is judged by its length-normalised
 log-likelihood difference against a threshold calibrated on the marked URLs of the fold.
 
-Rows: a null URL or one without ``://`` has an empty host and path and fits no rule. A URL that
-is empty is allowed, and so is every URL when either model has no training rows. An empty table
+Rows: a null URL or one without ``://`` has an empty host and path and fits no rule; it is allowed,
+though the latter has a ratio. A URL with nothing after ``://`` is allowed too, and so is every URL
+when either model has no training rows. An empty table
 gives no rows; repeated rows are judged one by one but counted each.
 """
 
@@ -55,6 +56,12 @@ def url_parts(url) -> tuple:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def read_text(url):
+    """What the models read: the URL after its first ``://``, or all of it; empty for a null."""
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
+                      .otherwise(url), F.lit(""))
+
+
 def matching_rule(rules: list[Rule]):
     """The text of the longest rule that fits host and path, or null."""
     found = F.lit(None).cast("string")
@@ -209,22 +216,23 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     parts = materialise(
         pages.select(F.col("page_id").cast("string").alias("page_id"),  # a null makes longs floats
                      F.col("url").cast("string").alias("url"))
-        .select("page_id", host.alias("host"), path.alias("path"))
-        .withColumn("text", F.concat("host", "path"))
+        .select("page_id", host.alias("host"), path.alias("path"),
+                read_text(F.col("url")).alias("text"),
+                F.coalesce(F.instr("url", "://") == 0, F.lit(True)).alias("bare"))
         .withColumn("rule", matching_rule(rules))
         .withColumn("block", F.when(F.length("text") > LONG, -1 - row)
                     .otherwise(F.shiftright(row, BLOCK_BITS))), "urls")
     marks = parts.withColumn("accepted", F.when(~in_fold, by_rule == "allow"))
     found = materialise(block_grams(marks), "url-grams")
-    scored = materialise(_scores(parts, found, ["page_id", "host", "path", "rule", "text"],
+    scored = materialise(_scores(parts, found, ["page_id", "host", "path", "rule", "text", "bare"],
                                  "page_id string, host string, path string, rule string, "
-                                 "text string, ratio double"), "url-ratios")
+                                 "text string, bare boolean, ratio double"), "url-ratios")
     sides = marks.filter("accepted IS NOT NULL").select("accepted").distinct().count()
     limit = 0.0
     if sides == 2:
         limit = calibrated_threshold(scored.filter(F.col("rule").isNotNull() & in_fold).select(
             (by_rule == "allow").alias("accepted"), "ratio"))
-    accepted = F.lit(sides < 2) | (F.col("text") == "") | (F.col("ratio") >= limit)
+    accepted = F.lit(sides < 2) | F.col("bare") | (F.col("text") == "") | (F.col("ratio") >= limit)
     verdict = F.coalesce(by_rule, F.when(accepted, "allow").otherwise("block"))
     return scored.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule",
                          "ratio", verdict.alias("verdict"))

@@ -273,6 +273,30 @@ def test_method_judges_unmarked_urls(spark):
     assert [got[400 + i] for i in range(60)] == ["allow"] * 30 + ["block"] * 30
 
 
+def test_models_read_the_whole_url(spark):
+    rng = random.Random(8)
+    rules = [Rule("good", "/", "allow"), Rule("bad", "/", "block")]
+    fine, spam = ["news", "science", "garden"], ["casino", "bets", "winner"]
+
+    def words(of):
+        return "-".join(rng.choice(of) for _ in range(4))
+
+    def number():
+        return rng.randrange(10_000)
+
+    urls = [f"http://good/{number()}?{words(fine)}" for _ in range(200)] \
+        + [f"http://bad/{number()}?{words(spam)}" for _ in range(200)]
+    for mark in "?#":
+        urls += [f"http://other/1{mark}{words(fine)}" for _ in range(10)]
+        urls += [f"http://other/1{mark}{words(spam)}" for _ in range(10)]
+    urls += [words(fine) for _ in range(10)] + [words(spam) for _ in range(10)]     # no ://
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(df, rules).collect()}
+    assert [got[400 + i]["verdict"] for i in range(40)] == (["allow"] * 10 + ["block"] * 10) * 2
+    assert all(got[440 + i]["ratio"] > 0 > got[450 + i]["ratio"] for i in range(10))
+    assert {got[440 + i]["verdict"] for i in range(20)} == {"allow"}    # no host and path: as before
+
+
 def test_op9_judges_every_page(spark):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     got = queries.op9_url_filter(spark, SMALL).collect()
