@@ -2,11 +2,12 @@
 
 Accepted and rejected URLs, as the rules mark them, each train a variable-order Markov model over
 the bytes of the whole URL after ``://`` (all of it where there is none): counts of every byte after its 0 to ``ORDER`` preceding bytes, added
-up by Spark over all marked URLs outside a calibration fold and smoothed by interpolating each
+up by Spark over all marked URLs and smoothed by interpolating each
 order with the one below (Witten-Bell). Counts are exact and stay in a Spark table that grows with
 the distinct n-grams of all URLs; URLs are scored in blocks, each of which is joined to the counts
 of its own distinct n-grams. A URL without a rule is judged by its length-normalised
-log-likelihood difference against a threshold calibrated on the marked URLs of the fold.
+log-likelihood difference against a threshold. That is calibrated on a fold of the marked URLs,
+scored with the counts of those outside it; verdicts come from the counts of all.
 
 Rows: a null URL or one without ``://`` has an empty host and path and fits no rule; it is allowed,
 though the latter has a ratio. A URL with nothing after ``://`` is allowed too, and so is every URL
@@ -29,6 +30,8 @@ from mercato.llm.common import by_bytes, materialise, prepare
 ORDER = 5
 FOLD = 10
 SIDES = ("good", "bad")      # accepted, rejected
+FIT = "fit_"                 # before a side: its count outside the calibration fold
+COUNTS = [*SIDES, *(FIT + side for side in SIDES)]
 # A block is so many rows of a partition; a text of more than LONG characters is one by itself.
 BLOCK_BITS = 10
 LONG = 4_096
@@ -102,41 +105,43 @@ def _encoded(texts) -> list[bytes]:
 
 
 def block_grams(urls: DataFrame) -> DataFrame:
-    """block, key and how often accepted (``good``) and rejected (``bad``) texts hold it, for every
-    n-gram of every text; both are 0 where only texts without a mark do. A block's key may come
-    more than once. ``urls``: block, text, accepted (null: no mark)."""
+    """block, key and COUNTS, for every n-gram of every text: how often accepted (``good``) and
+    rejected (``bad``) texts hold it, and how often those outside the fold do. All are 0 where only
+    texts without a mark hold it. A block's key may come more than once. ``urls``: block, text,
+    accepted (null: no mark), in_fold."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, rows in batch.groupby("block"):
                 texts = _encoded(rows["text"])
                 marks = [(rows["accepted"] == side).to_numpy(dtype=float) for side in (True, False)]
+                marks += [m * ~rows["in_fold"].to_numpy(dtype=bool) for m in marks]
                 for part in by_bytes(texts, SLICE):
                     keys, owner = grams(texts[part])
-                    weights = [m[part][owner] for m in marks]
                     for of_order in keys:
                         values, at = np.unique(of_order, return_inverse=True)
-                        good, bad = (np.bincount(at, w, len(values)).astype(np.int64)
-                                     for w in weights)
-                        yield pd.DataFrame({"block": block, "key": values, "good": good, "bad": bad})
+                        yield pd.DataFrame({"block": block, "key": values} | {
+                            name: np.bincount(at, m[part][owner], len(values)).astype(np.int64)
+                            for name, m in zip(COUNTS, marks)})
 
-    return urls.select("block", "text", "accepted").mapInPandas(
-        count, "block long, key long, good long, bad long")
+    return urls.select("block", "text", "accepted", "in_fold").mapInPandas(
+        count, "block long, key long, " + ", ".join(f"{name} long" for name in COUNTS))
 
 
 def add_up(found: DataFrame) -> DataFrame:
     """The model, a row per n-gram: key, its counts, and of its context how many symbols (n_) and
     how many distinct ones (kinds_) follow. A context has at most 256 rows."""
-    total = found.groupBy("key").agg(*[F.sum(side).alias(side) for side in SIDES])
+    total = found.groupBy("key").agg(*[F.sum(name).alias(name) for name in COUNTS])
     same = Window.partitionBy(F.shiftright("key", 8))
-    return total.select("key", *SIDES, *[F.sum(side).over(same).alias(f"n_{side}") for side in SIDES],
-                        *[F.count_if(F.col(side) > 0).over(same).alias(f"kinds_{side}")
-                          for side in SIDES])
+    return total.select("key", *COUNTS, *[F.sum(name).over(same).alias(f"n_{name}") for name in COUNTS],
+                        *[F.count_if(F.col(name) > 0).over(same).alias(f"kinds_{name}")
+                          for name in COUNTS])
 
 
 def count_bins(urls: DataFrame) -> DataFrame:
-    """The model of all ``urls`` (text, accepted)."""
-    return add_up(block_grams(urls.withColumn("block", F.lit(0).cast("long"))))
+    """The model of all ``urls`` (text, accepted), none of them in the fold."""
+    return add_up(block_grams(urls.withColumns({"block": F.lit(0).cast("long"),
+                                                "in_fold": F.lit(False)})))
 
 
 def load_model(counts: DataFrame | pd.DataFrame) -> pd.DataFrame:
@@ -151,8 +156,9 @@ def _find(have: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (have[at] == wanted if len(have) else np.zeros(len(wanted), dtype=bool))
 
 
-def log_ratio(model: pd.DataFrame, texts: list[bytes]) -> np.ndarray:
-    """Mean over a text's symbols of log P(accepted) - log P(rejected)."""
+def log_ratio(model: pd.DataFrame, texts: list[bytes], counted: str = "") -> np.ndarray:
+    """Mean over a text's symbols of log P(accepted) - log P(rejected), from the counts whose names
+    begin with ``counted``."""
     keys, owner = grams(texts)
     have = model["key"].to_numpy()
     columns = {c: model[c].to_numpy(dtype=float) for c in model.columns if c != "key"}
@@ -161,9 +167,10 @@ def log_ratio(model: pd.DataFrame, texts: list[bytes]) -> np.ndarray:
         at, known = _find(have, of_order)
         before, followed = _find(have >> 8, of_order >> 8)
         for side in SIDES:
-            seen = np.where(known, columns[side][at], 0) if len(have) else 0
-            n = np.where(followed, columns[f"n_{side}"][before], 0) if len(have) else 0
-            kinds = columns[f"kinds_{side}"][before] if len(have) else 0
+            name = counted + side
+            seen = np.where(known, columns[name][at], 0) if len(have) else 0
+            n = np.where(followed, columns[f"n_{name}"][before], 0) if len(have) else 0
+            kinds = columns[f"kinds_{name}"][before] if len(have) else 0
             chance[side] = np.where(n > 0, (seen + kinds * chance[side])
                                     / np.where(n > 0, n + kinds, 1), chance[side])
     size = np.bincount(owner, minlength=len(texts))
@@ -172,14 +179,21 @@ def log_ratio(model: pd.DataFrame, texts: list[bytes]) -> np.ndarray:
 
 
 def _scores(rows: DataFrame, found: DataFrame, keep: list[str], columns: str) -> DataFrame:
-    """``keep`` (with text) and ratio: every block of rows meets the model's rows of its own n-grams."""
+    """``keep`` (with text and in_fold), ratio and, for the fold, fit_ratio: every block of rows
+    meets the model's rows of its own n-grams."""
 
-    def score(urls: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        model, texts = load_model(counts.drop(columns="block")), _encoded(urls["text"])
+    def ratios(model: pd.DataFrame, texts: list[bytes], counted: str) -> np.ndarray:
         out = np.zeros(len(texts))
         for part in by_bytes(texts, SLICE):
-            out[part] = log_ratio(model, texts[part])
-        return urls[keep].assign(ratio=out)
+            out[part] = log_ratio(model, texts[part], counted)
+        return out
+
+    def score(urls: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        model, texts = load_model(counts.drop(columns="block")), _encoded(urls["text"])
+        fit = np.full(len(texts), np.nan)
+        fold = np.flatnonzero(urls["in_fold"])
+        fit[fold] = ratios(model, [texts[i] for i in fold], FIT)
+        return urls[keep].assign(ratio=ratios(model, texts, ""), fit_ratio=fit)
 
     needed = found.select("block", "key").join(add_up(found), "key")
     return rows.select("block", *keep).groupBy("block").cogroup(
@@ -220,18 +234,23 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
                 read_text(F.col("url")).alias("text"),
                 F.coalesce(F.instr("url", "://") == 0, F.lit(True)).alias("bare"))
         .withColumn("rule", matching_rule(rules))
+        .withColumn("in_fold", in_fold)
         .withColumn("block", F.when(F.length("text") > LONG, -1 - row)
                     .otherwise(F.shiftright(row, BLOCK_BITS))), "urls")
-    marks = parts.withColumn("accepted", F.when(~in_fold, by_rule == "allow"))
+    marks = parts.withColumn("accepted", by_rule == "allow")
     found = materialise(block_grams(marks), "url-grams")
-    scored = materialise(_scores(parts, found, ["page_id", "host", "path", "rule", "text", "bare"],
-                                 "page_id string, host string, path string, rule string, "
-                                 "text string, bare boolean, ratio double"), "url-ratios")
-    sides = marks.filter("accepted IS NOT NULL").select("accepted").distinct().count()
+    scored = materialise(_scores(
+        parts, found, ["page_id", "host", "path", "rule", "text", "bare", "in_fold"],
+        "page_id string, host string, path string, rule string, text string, bare boolean, "
+        "in_fold boolean, ratio double, fit_ratio double"), "url-ratios")
+    classes = {(r["accepted"], r["in_fold"]) for r in marks.filter("accepted IS NOT NULL")
+               .select("accepted", "in_fold").distinct().collect()}      # at most 4 rows
+    sides = len({side for side, _ in classes})
     limit = 0.0
-    if sides == 2:
-        limit = calibrated_threshold(scored.filter(F.col("rule").isNotNull() & in_fold).select(
-            (by_rule == "allow").alias("accepted"), "ratio"))
+    if len({side for side, fold in classes if not fold}) == 2:
+        limit = calibrated_threshold(scored.filter(F.col("rule").isNotNull() & F.col("in_fold"))
+                                     .select((by_rule == "allow").alias("accepted"),
+                                             F.col("fit_ratio").alias("ratio")))
     accepted = F.lit(sides < 2) | F.col("bare") | (F.col("text") == "") | (F.col("ratio") >= limit)
     verdict = F.coalesce(by_rule, F.when(accepted, "allow").otherwise("block"))
     return scored.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule",

@@ -297,6 +297,17 @@ def test_models_read_the_whole_url(spark):
     assert {got[440 + i]["verdict"] for i in range(20)} == {"allow"}    # no host and path: as before
 
 
+def test_marked_urls_of_the_fold_are_counted(spark):
+    rules = [Rule("good", "/", "allow"), Rule("bad", "/", "block")]
+    urls = [f"http://{host}/{word}/{i}" for i in range(40)
+            for host, word in (("good", "news"), ("bad", "bets"))] + ["http://other/1", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["ratio"] for r in url_filter.judge_urls(df, rules).collect()}
+    train = [(u[7:], "good" in u) for u in urls[:80]]
+    assert got[0] == pytest.approx(plain_ratio(train, urls[0][7:]), abs=1e-9)
+    assert got[80] == pytest.approx(plain_ratio(train, "other/1"), abs=1e-9)
+
+
 def test_op9_judges_every_page(spark):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     got = queries.op9_url_filter(spark, SMALL).collect()
