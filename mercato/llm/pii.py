@@ -37,6 +37,27 @@ class Kind:
     base: bool = True
 
 
+# IBAN lengths after country code and check digits (the IBAN registry).
+IBAN_BODIES = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK",
+    17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL",
+    20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR",
+    23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA",
+    26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """IBANs of the length of their country, so that a word or number after one is no part of it.
+    Other country codes may have any length, but end before an IBAN of a known country."""
+    known = "|".join(" ".join(IBAN_BODIES.values()).split())
+    fixed = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}"
+                     for n, codes in IBAN_BODIES.items())
+    other = (f"(?!{known})[A-Z]{{2}}[0-9]{{2}}"
+             f"(?:(?! (?:{known})[0-9]{{2}}) ?[A-Z0-9]){{11,30}}")
+    return f"(?<![A-Za-z0-9])(?:{fixed}|{other})(?![A-Za-z0-9])"
+
+
 # Patterns, and words near a span that speak for it (English, German, French,
 # Spanish).
 KINDS = [
@@ -53,7 +74,7 @@ KINDS = [
          r"\+[0-9][\x20().0-9-]+[0-9]",
          0.6, "call|phone|tel|fax|mobile|cell|anruf|handy|appel|llam|móvil"),
     Kind("iban", "[A-Z]{2}[0-9]{2}",
-         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+         iban_pattern(),
          0.8, "iban|account|bank|konto|compte|cuenta", base=False),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}",
          r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

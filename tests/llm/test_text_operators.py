@@ -517,6 +517,22 @@ def test_checksums_and_context_decide_the_other_kinds(spark, docs):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_ibans_end_where_their_country_says(spark):
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    odd = next(x for x in (f"ZZ{n:02d}12345678901234" for n in range(2, 99))
+               if int(f"123456789012343535{x[2:4]}") % 97 == 1)
+    texts = [(f"IBAN {spaced} BIC COBADEFFXXX", [spaced]), (f"{iban} EUR 500", [iban]),
+             (f"{iban} 500", [iban]), (f"{spaced}, 12", [spaced]), (f"{spaced} and", [spaced]),
+             (f"{spaced} GB82 WEST 1234 5698 7654 32 EUR", [spaced, "GB82 WEST 1234 5698 7654 32"]),
+             (f"NR12 KONTO {spaced} BIC", [spaced]), (f"{iban}0", []), (f"{odd}.", [odd]),
+             ("NO9386011117947 NOK", ["NO9386011117947"]),
+             ("MT84MALT011000012345MTLCAST001S EUR", ["MT84MALT011000012345MTLCAST001S"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in pii.find_personal_data(df).collect():
+        found = [r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "iban"]
+        assert found == texts[r["doc_id"]][1], r["text"]
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, given):
