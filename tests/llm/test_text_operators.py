@@ -533,6 +533,19 @@ def test_ibans_end_where_their_country_says(spark):
         assert found == texts[r["doc_id"]][1], r["text"]
 
 
+def test_repeated_ids_with_other_texts_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, c), (4, b), (5, ""), (5, " "), (5, c + " end"),
+            (None, a), (6, None), (7, a), (7, "seven only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(
+        df, width=3, percent=85).collect())
+    empty = [k for k in got if k[0] == 5]
+    assert len(empty) == 1 and got.pop(empty[0]) == 1 and not empty[0][1].strip()
+    assert got == Counter([(1, a), (2, b), (3, c), (None, a), (6, None), (7, "seven only")])
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, given):
