@@ -62,13 +62,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application (call it once their results are
     written)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/llm-scratch/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, f"{shared_dir(spark)}/llm-scratch/{spark.sparkContext.applicationId}")
 
 
 def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:

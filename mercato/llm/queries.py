@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from mercato.llm.ann import nearest
 from mercato.llm.binary_ids import read_token_files, write_token_files
 from mercato.llm.common import table
+from mercato.llm.heap_kmeans import cluster_vectors
+from mercato.llm.html_extract import extract_main_text
 from mercato.llm.line_dedup import dedup_lines
 from mercato.llm.minhash import near_duplicates
 from mercato.llm.mixing import mix_sources
 from mercato.llm.multi_index import near_duplicate_vectors
+from mercato.llm.oracles import ORACLE as NEW_ORACLE
 from mercato.llm.packing import pack_documents
 from mercato.llm.pii import find_personal_data, span_text
+from mercato.llm.spelling import count_words, spelling_variants
 from mercato.llm.toxicity import score_toxicity
 from mercato.llm.url_filter import Rule, judge_urls
 
@@ -84,6 +88,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=4096, end_id=1)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants(count_words(docs, slip=199), min_chars=6, min_count=5, ratio=5)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -95,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -260,4 +280,5 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n)
                       FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
         FROM lines LEFT JOIN shared USING (key) GROUP BY doc_id""",
+    **NEW_ORACLE,
 }

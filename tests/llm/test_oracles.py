@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(queries.ORACLE) <= set(queries.QUERIES) & set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
