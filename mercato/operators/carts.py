@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from mercato.functions.expr import text_equals
 from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.ranking import numbered_within, positions
+from mercato.operators.timeline import CHUNK_ROWS, as_of, covered, price_history, with_chunks
 from mercato.session import ensure_checkpoint_dir
 
 ADD, REMOVE, CHECKOUT = "add", "remove", "checkout"
+# an add that the stock does not cover: it opens a cart, but makes no line and takes no stock
+OPEN = "open"
 # fixed action mapping of the driver's event types onto cart actions
 EVENT_ACTIONS = {"click": ADD, "view": ADD, "error": REMOVE, "purchase": CHECKOUT}
 CHUNK_SECONDS = 3600
@@ -54,36 +57,58 @@ def _chunk(ts_col: str, seconds: int):
     return F.floor(F.unix_micros(F.col(ts_col)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def usable_events(events: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cart events that can be folded, rejects (event_id, reason)). An event that arrives twice
+    counts once; where copies of an id differ, the earliest counts (then the smallest customer,
+    product and action). Events without id, time, customer or action, and adds and removals
+    without product, are rejected. So is an add of an unknown product (the reference looks the
+    product up; its flag is not checked): it neither opens a cart nor counts for a checkout."""
+    lines = F.col("action").isin(ADD, REMOVE)
+    why = F.when(F.col("event_id").isNull(), "W6:missing_event_id").when(F.col("ts").isNull(), "W6:missing_time") \
+        .when(F.col("customer_id").isNull(), "W6:missing_customer").when(F.col("action").isNull(), "W6:missing_action") \
+        .when(lines & F.col("product_id").isNull(), "W6:missing_product")
+    judged = events.select("event_id", "ts", "customer_id", "product_id", "action").withColumn("_why", why)
+    rest = F.struct("ts", "customer_id", "product_id", "action")
+    once_each = judged.where(F.col("_why").isNull()).groupBy("event_id").agg(F.min(rest).alias("_e")).select("event_id", "_e.*")
+    is_add = F.col("action") == ADD
+    known = products.select("product_id")
+    good = once_each.where(~is_add).unionByName(once_each.where(is_add).join(known, "product_id", "left_semi"))
+    unknown = once_each.where(is_add).join(known, "product_id", "left_anti")
+    rejects = judged.where(F.col("_why").isNotNull()).select("event_id", F.col("_why").alias("reason")) \
+        .unionByName(unknown.select("event_id", F.lit("W6:unknown_product").alias("reason")))
+    return good, rejects
+
+
 def with_cart_numbers(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS,
                       open_carts: DataFrame | None = None) -> DataFrame:
     """Add ``ok_checkout`` (the checkout found an open cart) and ``cart_no`` (successful
     checkouts strictly before the event) to cart events of one or many customers.
     ``open_carts`` (customer_id, n_open): carts that were open before the first event; a
     customer's first ``n_open`` checkouts find one of them, whatever was added."""
-    ev = events.withColumn("_chunk", _chunk("ts", chunk_seconds)) \
-        .withColumn("_seq", F.struct("ts", "event_id"))
-    # previous add/checkout of the customer: local part inside the chunk ...
+    ev = events if "_chunk" in events.columns else events.withColumn("_chunk", _chunk("ts", chunk_seconds))
+    ev = ev.withColumn("_seq", F.struct("ts", "event_id"))
+    is_checkout = F.col("action") == CHECKOUT
+    # previous add/checkout of the customer, and checkouts before: local part inside the chunk ...
     w_local = Window.partitionBy("customer_id", "_chunk").orderBy("ts", "event_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
     ev = ev.withColumn("_prev_local", F.last(F.when(F.col("action") != REMOVE, F.col("action")), True).over(w_local))
-    # ... and the carried part: last add/checkout of each earlier chunk
+    if open_carts is not None:
+        ev = ev.withColumn("_place", F.coalesce(F.sum(is_checkout.cast("int")).over(w_local), F.lit(0)))
+    # ... and the carried part: last add/checkout and number of checkouts of the earlier chunks
     chunks = ev.groupBy("customer_id", "_chunk").agg(
-        F.max_by(F.col("action"), F.when(F.col("action") != REMOVE, F.col("_seq"))).alias("_last_act"))
+        F.max_by(F.col("action"), F.when(F.col("action") != REMOVE, F.col("_seq"))).alias("_last_act"),
+        F.count_if(is_checkout).alias("_n"))
     w_chunks = Window.partitionBy("customer_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_carry_act", F.last("_last_act", True).over(w_chunks))
-    ev = ev.join(chunks.select("customer_id", "_chunk", "_carry_act"), ["customer_id", "_chunk"])
-    found = F.coalesce(F.coalesce(F.col("_prev_local"), F.col("_carry_act")) == ADD, F.lit(False))
-    is_checkout = F.col("action") == CHECKOUT
+    chunks = chunks.select("customer_id", "_chunk", F.last("_last_act", True).over(w_chunks).alias("_carry_act"),
+                           F.coalesce(F.sum("_n").over(w_chunks), F.lit(0)).alias("_off"))
     if open_carts is not None:
-        # the checkout's place among the customer's checkouts, with the same two levels
-        counts = ev.groupBy("customer_id", "_chunk").agg(F.count_if(is_checkout).alias("_n"))
-        counts = counts.select("customer_id", "_chunk", F.coalesce(F.sum("_n").over(w_chunks), F.lit(0)).alias("_off"))
-        ev = ev.withColumn("_place", F.coalesce(F.sum(is_checkout.cast("int")).over(w_local), F.lit(0))) \
-            .join(counts, ["customer_id", "_chunk"]).join(open_carts, "customer_id", "left")
+        chunks = chunks.join(open_carts, "customer_id", "left")
+    ev = ev.join(chunks, ["customer_id", "_chunk"])
+    found = F.coalesce(F.coalesce("_prev_local", "_carry_act").isin(ADD, OPEN), F.lit(False))
+    if open_carts is not None:
+        # the checkout's place among the customer's checkouts
         found = found | (F.col("_off") + F.col("_place") < F.coalesce("n_open", F.lit(0)))
-        ev = ev.withColumn("ok_checkout", is_checkout & found).drop("_place", "_off", "n_open")
-    else:
-        ev = ev.withColumn("ok_checkout", is_checkout & found)
+    ev = ev.withColumn("ok_checkout", is_checkout & found).drop("_place", "n_open", "_off")
     # running count of successful checkouts, exclusive: chunk offsets + local running sum
     okn = F.col("ok_checkout").cast("int")
     ev = ev.withColumn("_ok_local", F.coalesce(F.sum(okn).over(w_local), F.lit(0)))
@@ -98,15 +123,10 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
                chunk_seconds: int = CHUNK_SECONDS) -> LazyFrames:
     """Batch fold of cart events. Returns ``cart_orders``, ``cart_lines`` and ``stock_moves``
     (each built when read)."""
-    # an event that arrives twice counts once
-    events = events.dropDuplicates(["event_id"])
+    events, rejects = usable_events(events, products)
     seq = F.struct("ts", "event_id")
     is_add, is_remove = F.col("action") == ADD, F.col("action") == REMOVE
-    # an add of an unknown product does nothing (the reference looks the product up; its flag
-    # is not checked), so it neither opens a cart nor counts for a checkout
     known = products.select("product_id", "price")
-    events = events.where(F.col("action") != ADD).unionByName(
-        events.where(is_add).join(known.select("product_id"), "product_id", "left_semi"))
     line_keys = ["customer_id", "cart_no", "product_id"]
 
     def numbered_shared() -> DataFrame:
@@ -152,31 +172,59 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
         return events.where(is_add).groupBy("product_id").agg(
             (-F.count(F.lit(1))).cast("long").alias("stock_change"))
 
-    return LazyFrames({"cart_orders": cart_orders, "cart_lines": cart_lines, "stock_moves": stock_moves})
+    return LazyFrames({"cart_orders": cart_orders, "cart_lines": cart_lines, "stock_moves": stock_moves,
+                       "rejects": lambda: rejects})
 
 
-def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame,
-                          chunk_seconds: int = CHUNK_SECONDS) -> LazyFrames:
-    """W6 on a store: new versions of ``orders``, ``order_details`` and ``product``.
+def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame, rows_per_chunk: int = CHUNK_ROWS,
+                          price_changes: DataFrame | None = None, restocks: DataFrame | None = None,
+                          check_stock: bool = False) -> LazyFrames:
+    """W6 on a store: new versions of ``orders``, ``order_details`` and ``product``, and
+    ``rejects`` (event_id, reason).
 
     A customer's events go to their orders in state 'cart', lowest id first (each checkout moves
     on to the next), and to new orders once these are used up. A line that is there keeps its
-    price and gains quantity, a new one takes today's price; a removal flags the line off and a
-    checkout all lines of the order. Every add takes one unit of stock. Ids of new orders follow
-    the first added event."""
+    price and gains quantity; a new one takes the price that held when it was added: today's, or
+    the one of ``price_changes`` (change_id, product_id, ts, price) as of its first add. A removal
+    flags the line off and a checkout all lines of the order. Every add takes one unit of stock.
+    Ids of new orders follow the first added event.
+
+    With ``check_stock`` the stock never goes below zero, as the table's CHECK demands: adds are
+    met in the order of (ts, event_id) as long as there is stock, with ``restocks`` (product_id,
+    ts, quantity) coming in at their time, before the adds of that instant. A refused add is in
+    ``rejects``; it still opens a cart, because the reference commits the order before it takes
+    the stock. The product table then holds the final stock (with restocks) and, after price
+    changes, each product's last price."""
     ensure_checkpoint_dir(events.sparkSession)
     o, od, product = store["orders"], store["order_details"], store["product"]
-    events = events.dropDuplicates(["event_id"])
-    is_add, is_remove = F.col("action") == ADD, F.col("action") == REMOVE
+    times = events.select("ts").where(F.col("ts").isNotNull())
+    events, rejects = usable_events(events, product)
+    is_add, is_remove, opens = F.col("action") == ADD, F.col("action") == REMOVE, F.col("action").isin(ADD, OPEN)
     known = product.select("product_id", F.col("price").alias("_today"))
-    events = events.where(~is_add).unionByName(events.where(is_add).join(
-        known.select("product_id"), "product_id", "left_semi"))
+    prices = None
+    if price_changes is not None:
+        prices, bad_prices = price_history(product, price_changes)
+        rejects = rejects.unionByName(bad_prices.select(F.col("change_id").alias("event_id"), "reason"))
+    left_over = None
+    if check_stock:
+        adds = events.where(is_add).withColumn("_q", F.lit(-1).cast("long"))
+        moves = adds if restocks is None else adds.unionByName(restocks.join(known, "product_id", "left_semi").select(
+            F.lit(-1).cast("long").alias("event_id"), F.col("ts").cast(adds.schema["ts"].dataType).alias("ts"), "product_id",
+            F.col("quantity").cast("long").alias("_q")), allowMissingColumns=True)
+        moves = moves.withColumn("_second", (F.col("_q") < 0).cast("int"))
+        judged = covered(moves, product.select("product_id", F.col("stock_quantity").alias("stock")), "product_id",
+                         ["ts", "_second", "event_id"], "_q", "ts", rows_per_chunk, "_met", times).checkpoint(eager=True)
+        refused = judged.where(~F.col("_met"))
+        rejects = rejects.unionByName(refused.select("event_id", F.lit("W6:no_stock").alias("reason")))
+        taken = judged.where(F.col("_q") < 0).withColumn("action", F.when(F.col("_met"), ADD).otherwise(OPEN))
+        events = events.where(~is_add).unionByName(taken.select(*events.columns))
+        left_over = judged.where("_met").groupBy("product_id").agg(F.sum("_q").alias("_net"))
     mine = events.select("customer_id").distinct()
     carts = o.where(text_equals("status", "cart")).select("customer_id", "order_id").join(mine, "customer_id", "left_semi")
     n_open = carts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_open"))
 
     def numbered() -> DataFrame:
-        return with_cart_numbers(events, chunk_seconds, n_open).checkpoint(eager=True)
+        return with_cart_numbers(with_chunks(events, "ts", rows_per_chunk, like=times), open_carts=n_open).checkpoint(eager=True)
 
     ev = once(numbered)
 
@@ -184,8 +232,8 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame,
         """customer_id, cart_no, order_id, is_new, opened_at, checked_out_at of every cart that an
         event touched."""
         seen = ev().groupBy("customer_id", "cart_no").agg(
-            F.min(F.when(is_add, F.col("ts"))).alias("opened_at"),
-            F.min_by("event_id", F.when(is_add, F.struct("ts", "event_id"))).alias("_first"),
+            F.min(F.when(opens, F.col("ts"))).alias("opened_at"),
+            F.min_by("event_id", F.when(opens, F.struct("ts", "event_id"))).alias("_first"),
             F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
         old = numbered_within(carts, "customer_id", "order_id", "_nth").select(
             "customer_id", (F.col("_nth") - 1).alias("cart_no"), F.col("order_id").alias("_old"))
@@ -225,16 +273,31 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame,
             .withColumn("quantity", F.col("quantity") + F.coalesce("_adds", F.lit(0))) \
             .withColumn("is_valid", F.col("is_valid") & F.col("_last_remove").isNull() & F.col("_closed").isNull()) \
             .select(*od.columns)
-        new = touched.where("_adds > 0").join(od.select("order_id", "product_id"), ["order_id", "product_id"], "left_anti") \
-            .join(closed, "order_id", "left").join(known, "product_id").select(
+        new = touched.where("_adds > 0").join(od.select("order_id", "product_id"), ["order_id", "product_id"], "left_anti")
+        if prices is None:
+            new = new.join(known, "product_id")
+        else:
+            new = as_of(new.withColumn("ts", F.col("_first_add.ts").cast("timestamp")), prices.select(
+                "product_id", F.coalesce("valid_from", F.timestamp_micros(F.lit(-(2 ** 62)))).alias("ts"),
+                F.col("price").alias("_today")), "product_id", "ts", "_today", rows_per_chunk, times)
+        new = new.join(closed, "order_id", "left").select(
             "order_id", "product_id", F.col("_today").alias("price"), F.col("_adds").alias("quantity"),
             (~F.coalesce(F.col("_last_remove") > F.col("_first_add"), F.lit(False))
              & F.col("_closed").isNull()).alias("is_valid"))
         return old.unionByName(new)
 
     def products() -> DataFrame:
-        moves = events.where(is_add).groupBy("product_id").agg(F.count(F.lit(1)).alias("_taken"))
-        return product.join(moves, "product_id", "left").withColumn(
-            "stock_quantity", (F.col("stock_quantity") - F.coalesce("_taken", F.lit(0))).cast("int")).select(*product.columns)
-
-    return LazyFrames({"orders": orders, "order_details": order_details, "product": products})
+        out = product
+        if prices is not None:
+            now = prices.where(F.col("valid_to").isNull()).select("product_id", F.col("price").alias("_now"))
+            out = out.join(now, "product_id").withColumn("price", F.col("_now")).select(*product.columns)
+        moves = left_over if left_over is not None else events.where(is_add).groupBy("product_id").agg(
+            (-F.count(F.lit(1))).alias("_net"))
+        # without check_stock a stock may leave its column; it then stays at the column's end
+        stock = F.col("stock_quantity") + F.coalesce("_net", F.lit(0))
+        return out.join(moves, "product_id", "left").withColumn(
+            "stock_quantity", F.greatest(F.least(stock, F.lit(2 ** 31 - 1)), F.lit(-(2 ** 31))).cast("int")) \
+            .select(*product.columns)
+
+    return LazyFrames({"orders": orders, "order_details": order_details, "product": products,
+                       "rejects": lambda: rejects})

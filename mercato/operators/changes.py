@@ -11,8 +11,12 @@ aggregate per field (``max_by`` over ``change_id``, partially computed before th
 where a request depends on the one before, the previous value comes from
 ``ranking.previous_value``, which never gathers a key's requests in one window. New ids are the
 table's largest id plus the position of the change id among accepted rows (repeatable; no
-``monotonically_increasing_id``); jobs that make new ids reject requests whose change id is
-missing or not unique.
+``monotonically_increasing_id``).
+
+No request vanishes: every one is applied or has a reject row. A request without a change id, or
+with one that another request of the feed has, has no place in the order and is rejected; so is
+one without the key that it is about. A request whose result would not fit its column is rejected
+too, instead of ending the job.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from mercato.functions.expr import active, as_of_date, blank_to_null, text_equal
 from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag, \
     with_parent_flag
-from mercato.operators.ranking import numbered_within, positions, previous_value
+from mercato.operators.ranking import numbered_within, positions, previous_value, running_total
 from mercato.sources.schemas import DELIVERY_STATUSES, LINE_MONEY, SCHEMAS
 
 Store = Mapping[str, DataFrame]
@@ -88,10 +92,35 @@ def identified(feed: DataFrame) -> tuple[DataFrame, list]:
         ("W0:duplicate_change_id", F.col("_copy"))]
 
 
+def ordered_requests(feed: DataFrame, key: str, job: str) -> tuple[DataFrame, DataFrame]:
+    """(requests that have a place in the order and a key, one reject row for each other one)."""
+    why = F.when(F.col("change_id").isNull(), "W0:missing_change_id") \
+        .when(F.col("_copy"), "W0:duplicate_change_id") \
+        .when(F.col(key).isNull(), f"{job}:missing_key")
+    judged = with_duplicate_flag(feed, ["change_id"], "_copy").withColumn("_why", why)
+    return (judged.where(F.col("_why").isNull()).drop("_why", "_copy").select(*feed.columns),
+            judged.where(F.col("_why").isNotNull()).select("change_id", F.col("_why").alias("reason")))
+
+
 def _blank(c: str) -> Column:
     return blank_to_null(c).isNull()
 
 
+INT_MAX = 2 ** 31 - 1
+
+
+def _beyond_stock(product: DataFrame, items: DataFrame, good: DataFrame) -> DataFrame:
+    """change_id of the requests of ``good`` that raise a product's stock beyond its column: those
+    up to which all requests of ``items`` (change_id, product_id, quantity), in their order, ask
+    for more than fits on top of the stock. Only products whose total may not fit are looked at."""
+    room = product.select("product_id", (F.lit(INT_MAX) - F.col("stock_quantity").cast("long")).alias("_room"))
+    full = items.groupBy("product_id").agg(F.sum(F.col("quantity").cast("long")).alias("_all")) \
+        .join(room, "product_id").where(F.col("_all") > F.col("_room")).select("product_id", "_room")
+    asked = items.join(full, "product_id").join(good.select("change_id"), "change_id", "left_semi")
+    upto = running_total(asked, "product_id", "quantity", "change_id", "_upto")
+    return upto.where(F.col("_upto") > F.col("_room")).select("change_id").distinct()
+
+
 # ---- W1 ---------------------------------------------------------------------------------------
 def insert_rows(store: Store, table: str, feed: DataFrame) -> dict[str, DataFrame]:
     """Validate create requests (required fields, declared checks, contact patterns for
@@ -176,6 +205,7 @@ def patch_rows(store: Store, table: str, patches: DataFrame, ignore_blank: bool
     fields = [c for c in base.columns if c != key and c in patches.columns]
     must_be_active = DEACTIVATE_NEEDS_ACTIVE.get(table, False)
     targets = (active(base) if must_be_active else base).select(key, F.lit(True).alias("_found"))
+    patches, unplaced = ordered_requests(patches, key, "W2")
     p = patches.join(targets, key, "left")
 
     def supplied(c):
@@ -192,7 +222,7 @@ def patch_rows(store: Store, table: str, patches: DataFrame, ignore_blank: bool
     rules = [("W2:empty_patch", empty), ("W2:unknown_key", ~empty & unknown)] + [
         (code, ~empty & ~unknown & bad) for code, bad in checks]
     ok, bad_patches = validate(p, rules)
-    rejects = _reject_rows(bad_patches)
+    rejects = _reject_rows(bad_patches).unionByName(unplaced)
 
     latest = ok.groupBy(key).agg(*[
         F.max_by(F.struct(F.col(c).cast(base.schema[c].dataType).alias("v")),
@@ -214,6 +244,7 @@ def set_active(store: Store, table: str, flags: DataFrame, reactivate_needs_inac
     key = KEYS[table]
     base = store[table]
     state = base.select(key, F.col("is_valid").alias("_old"))
+    flags, unplaced = ordered_requests(flags, key, "W3")
     asked = previous_value(flags.where(F.col("flag").isNotNull()), key, "flag", "change_id", "_before")
     req = asked.join(state, key, "left").withColumn("_now", F.coalesce("_before", "_old"))
     exists = F.col("_old").isNotNull()
@@ -222,7 +253,8 @@ def set_active(store: Store, table: str, flags: DataFrame, reactivate_needs_inac
     req = req.withColumn("_ok", exists & F.when(F.col("flag"), react_ok).otherwise(deact_ok))
     rejects = req.where(~F.col("_ok")).select(
         "change_id", F.when(~exists, F.lit("W3:unknown_key")).otherwise(F.lit("W3:state_guard")).alias("reason")
-    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W3:missing_flag").alias("reason")))
+    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W3:missing_flag").alias("reason"))) \
+        .unionByName(unplaced)
     changed = req.where("_ok").groupBy(key).agg(F.max_by("flag", "change_id").alias("_new"),
                                                 F.bool_or(~F.col("flag")).alias("_was_off"))
     new = base.join(changed, key, "left").withColumn("is_valid", F.coalesce("_new", "is_valid"))
@@ -250,6 +282,7 @@ def set_purchase_order_active(store: Store, flags: DataFrame) -> dict[str, DataF
     deactivated, so it is active once it was, or once any request asked for it."""
     key = "purchase_order_id"
     po = store["purchase_order"]
+    flags, unplaced = ordered_requests(flags, key, "W4")
     asked = flags.where(F.col("flag").isNotNull())
     asked = previous_value(asked, key, "flag", "change_id", "_before")
     first_on = asked.where("flag").groupBy(key).agg(F.min("change_id").alias("_first_on"))
@@ -264,7 +297,8 @@ def set_purchase_order_active(store: Store, flags: DataFrame) -> dict[str, DataF
     accepted = req.where("_ok").groupBy(key).agg(F.max_by("flag", "change_id").alias("_new"))
     rejects = req.where(~F.col("_ok")).select(
         "change_id", F.when(~exists, F.lit("W4:unknown_key")).otherwise(F.lit("W4:state_guard")).alias("reason")
-    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W4:missing_flag").alias("reason")))
+    ).unionByName(flags.where(F.col("flag").isNull()).select("change_id", F.lit("W4:missing_flag").alias("reason"))) \
+        .unionByName(unplaced)
     out = {"rejects": rejects}
     for t in ("purchase_order", "purchase_order_details"):
         d = store[t]
@@ -288,6 +322,10 @@ def archive_delete_products(store: Store, ids: DataFrame, as_of: _dt.datetime) -
     return out
 
 
+# A counter may be raised by this much before anybody has to look whether it still fits.
+ORDER_COUNT_SPAN = 2 ** 30
+
+
 # ---- W7 ---------------------------------------------------------------------------------------
 def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = None) -> dict[str, DataFrame]:
     """Check out customers' open carts, request by request: a customer's n-th complete
@@ -295,10 +333,12 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = N
     without name, email or payment method, a card payment without card fields, a request
     beyond the customer's carts, or a cart whose total does not fit the payment is rejected.
     Output: orders (confirmed, dated), lines flagged off, new invoice and payment of the cart's
-    active-line total, customer counter + 1."""
+    active-line total, customer counter + 1. A customer whose counter is full has the requests
+    beyond it rejected (the n-th complete request counts as n)."""
     o = store["orders"]
     asked, id_rules = identified(requests)
-    rules = [("W7:missing_field", _blank("name") | _blank("email") | _blank("payment_method")),
+    rules = [("W7:missing_customer", F.col("customer_id").isNull()),
+             ("W7:missing_field", _blank("name") | _blank("email") | _blank("payment_method")),
              ("W7:card_fields", (F.lower("payment_method") == "card") & ~F.coalesce("has_card_fields", F.lit(False)))]
     good, bad = validate(asked, rules + id_rules)
     good = numbered_within(good.select("change_id", "customer_id", "payment_method"),
@@ -316,7 +356,14 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = N
         "amount_paid", F.coalesce("_total", F.lit(0)).try_cast("decimal(10,2)"))
     too_large = done.where(F.col("amount_paid").isNull()).select(
         "change_id", F.lit("W7:amount_out_of_range").alias("reason"))
-    done = done.where(F.col("amount_paid").isNotNull())
+    # the counter of a customer whose checkouts would not fit it
+    c = store["customer"]
+    room = c.where(F.col("order_count") > INT_MAX - ORDER_COUNT_SPAN).select(
+        "customer_id", (F.lit(INT_MAX) - F.col("order_count")).alias("_room"))
+    done = done.where(F.col("amount_paid").isNotNull()).join(room, "customer_id", "left")
+    full = F.coalesce(F.col("_nth") > F.col("_room"), F.lit(False))
+    too_many = done.where(full).select("change_id", F.lit("W7:order_count_out_of_range").alias("reason"))
+    done = done.where(~full).drop("_room")
     hit = done.select("order_id", F.lit(True).alias("_hit"))
     orders = o.join(hit, "order_id", "left").select(*[
         F.when(F.col("_hit"), F.lit("confirmed")).otherwise(F.col("status")).alias("status") if c == "status" else
@@ -345,13 +392,14 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = N
 
     def payments() -> DataFrame:
         return store["payment"].unionByName(new_payments())
-    c = store["customer"]
+
     bumps = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
     customers = c.join(bumps, "customer_id", "left").withColumn(
         "order_count", (F.coalesce("order_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
     return LazyFrames({"orders": lambda: orders, "order_details": lambda: lines, "invoice": invoices,
                        "payment": payments, "new_payments": new_payments, "customer": lambda: customers,
-                       "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(too_large)})
+                       "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(too_large)
+                       .unionByName(too_many)})
 
 
 # ---- W8 ---------------------------------------------------------------------------------------
@@ -362,6 +410,7 @@ def set_order_status(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
     with status 'completed' (any case) and a date."""
     o = store["orders"]
     owned = active(o).select("order_id", F.col("employee_id").alias("_owner"))
+    feed, unplaced = ordered_requests(feed, "order_id", "W8")
     req = feed.join(owned, "order_id", "left")
     good, bad = validate(req, [
         ("W8:missing_status", _blank("status")),
@@ -374,7 +423,7 @@ def set_order_status(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
     out = o.join(last, "order_id", "left") \
         .withColumn("status", F.coalesce("_status", "status")) \
         .withColumn("actual_received_date", F.coalesce("_date", "actual_received_date"))
-    return {"orders": out.select(*o.columns), "rejects": _reject_rows(bad)}
+    return {"orders": out.select(*o.columns), "rejects": _reject_rows(bad).unionByName(unplaced)}
 
 
 # ---- W9 ---------------------------------------------------------------------------------------
@@ -384,8 +433,9 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     ``items`` (change_id, product_id, price, quantity) as a separate frame, so an order with
     very many items is never gathered into one row. A request is rejected as a whole when a
     field is missing or it has no item, the expected date is not after ``as_of``, the supplier
-    is not active, or any item's product is not active, repeated, or has no positive price and
-    quantity. Accepted: header ('pending', dated
+    is not active, any item's product is not active, repeated, or has no positive price and
+    quantity, or the stock of a product would no longer fit its column (counted up to the request
+    over all requests before it). Accepted: header ('pending', dated
     ``as_of``), lines, and stock up (``stock_on='create'``; with 'receive' stock moves at W10
     instead, S15)."""
     supp = active(store["supplier"]).select("supplier_id", F.lit(True).alias("_supp_ok"))
@@ -409,6 +459,11 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
              ("W9:bad_price_or_quantity", F.coalesce("_bad_value", F.lit(False))),
              ("W9:repeated_product", F.coalesce("_again", F.lit(False)))] + id_rules
     good, bad = validate(r, rules)
+    rejects = _reject_rows(bad)
+    if stock_on == "create":
+        beyond = _beyond_stock(store["product"], items, good)
+        rejects = rejects.unionByName(beyond.select("change_id", F.lit("W9:stock_out_of_range").alias("reason")))
+        good = good.join(beyond, "change_id", "left_anti")
     hdr = once(lambda: next_ids(good.select("change_id", "supplier_id", "employee_id", "expected_received_date"),
                                 store["purchase_order"], "purchase_order_id"))
 
@@ -426,7 +481,8 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     out = {"purchase_order": headers, "new_purchase_orders": new_headers,
            "purchase_order_details": lambda: store["purchase_order_details"].unionByName(
                _conform(new_lines(), "purchase_order_details")),
-           "rejects": lambda: _reject_rows(bad)}
+           "new_lines": lambda: _conform(new_lines(), "purchase_order_details"),
+           "rejects": lambda: rejects}
     if stock_on == "create":
         out["product"] = lambda: apply_stock(store["product"], new_lines().groupBy("product_id").agg(
             F.sum("quantity").cast("long").alias("stock_change")))
@@ -445,16 +501,33 @@ def set_purchase_status(store: Store, feed: DataFrame, stock_on: str = "create")
     """(change_id, purchase_order_id, status, received_date), for active purchase orders.
     Requests apply in order: the status is the last one's; 'Received' with a date also sets the
     received date (the last such request's) and the products' arrival date. With
-    ``stock_on='receive'`` the stock moves here, once per purchase order, never on both paths."""
+    ``stock_on='receive'`` the stock moves here, never on both paths, and once per purchase order
+    whatever the feeds: only when the order had no received date before. Requests that receive an
+    order whose stock would not fit the product's column are rejected."""
     po = store["purchase_order"]
     known = active(po).select("purchase_order_id", F.lit(True).alias("_k"))
+    feed, unplaced = ordered_requests(feed, "purchase_order_id", "W10")
     req = feed.join(known, "purchase_order_id", "left")
     good, bad = validate(req, [
         ("W10:missing_status", _blank("status")),
         ("W10:not_found_or_inactive", ~_blank("status") & F.col("_k").isNull()),
         ("V7:delivery_status:domain", ~_blank("status") & F.col("_k").isNotNull()
          & ~F.lower("status").isin([s.lower() for s in DELIVERY_STATUSES]))])
+    rejects = _reject_rows(bad).unionByName(unplaced)
     received = (F.col("status") == "Received") & F.col("received_date").isNotNull()
+    fresh = po.where(F.col("actual_received_date").isNull()).select("purchase_order_id", F.lit(True).alias("_fresh"))
+    items = active(store["purchase_order_details"])
+    if stock_on == "receive":
+        # an order moves stock at its first receiving request
+        first = good.where(received).join(fresh, "purchase_order_id", "left_semi") \
+            .groupBy("purchase_order_id").agg(F.min("change_id").alias("change_id"))
+        beyond = _beyond_stock(store["product"], items.join(first, "purchase_order_id"), first)
+        over = first.join(beyond, "change_id", "left_semi").select("purchase_order_id", F.lit(True).alias("_over"))
+        good = good.join(over, "purchase_order_id", "left")
+        refused = received & F.col("_over").isNotNull()
+        rejects = rejects.unionByName(good.where(refused).select(
+            "change_id", F.lit("W10:stock_out_of_range").alias("reason")))
+        good = good.where(~refused).drop("_over")
     last = good.groupBy("purchase_order_id").agg(
         F.max_by("status", "change_id").alias("_status"),
         F.max_by(F.struct("change_id", "received_date"), F.when(received, F.col("change_id"))).alias("_in"))
@@ -462,62 +535,72 @@ def set_purchase_status(store: Store, feed: DataFrame, stock_on: str = "create")
     new_po = j.withColumn("delivery_status", F.coalesce("_status", "delivery_status")) \
         .withColumn("actual_received_date", F.coalesce("_in.received_date", "actual_received_date")) \
         .select(*po.columns)
-    arrivals = last.where(F.col("_in").isNotNull()).select("purchase_order_id", "_in")
-    per_product = active(store["purchase_order_details"]).join(arrivals, "purchase_order_id") \
+    arrivals = last.where(F.col("_in").isNotNull()).select("purchase_order_id", "_in") \
+        .join(fresh, "purchase_order_id", "left")
+    per_product = items.join(arrivals, "purchase_order_id") \
         .groupBy("product_id").agg(F.max_by("_in.received_date", "_in.change_id").alias("_arrival"),
-                                   F.sum("quantity").cast("long").alias("stock_change"))
+                                   F.sum(F.when(F.col("_fresh"), F.col("quantity"))).cast("long").alias("stock_change"))
     p = store["product"]
     products = p.join(per_product, "product_id", "left") \
         .withColumn("stock_arrival_date", F.coalesce("_arrival", "stock_arrival_date"))
     if stock_on == "receive":
         products = products.withColumn("stock_quantity",
                                        (F.col("stock_quantity") + F.coalesce("stock_change", F.lit(0))).cast("int"))
-    return {"purchase_order": new_po, "product": products.select(*p.columns), "rejects": _reject_rows(bad)}
+    return {"purchase_order": new_po, "product": products.select(*p.columns), "rejects": rejects}
 
 
 # ---- W11 --------------------------------------------------------------------------------------
 def change_employee_type(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
     """(change_id, employee_id, new_type, hours_worked, hourly_wages, contract_start_date,
-    contract_end_date, salary). Latest request per employee wins; active subtype rows are
-    closed and the new subtype row is upserted (the subtype tables are keyed by employee);
-    a contract type also gets a new contract row."""
+    contract_end_date, salary). Every accepted request takes effect: it closes the employee's
+    active subtype rows; an hourly one then upserts the hourly row, a contract one adds a contract
+    (which stays, whatever comes later) and upserts the employee's reference to it (the subtype
+    tables are keyed by employee). So the hourly and contract rows have the values of the last
+    request of their type, and are active where that was the employee's last request."""
     e = active(store["employee"]).select("employee_id", F.lit(True).alias("_e"))
     asked, id_rules = identified(feed)
     req = asked.join(e, "employee_id", "left")
     t = F.lower("new_type")
-    rules = id_rules + [("W11:unknown_employee", F.col("_e").isNull()),
+    rules = id_rules + [("W11:unknown_employee", F.col("_e").isNull()),  # a null id is unknown too
              ("W11:bad_type", F.coalesce(~t.isin("hourly", "contract", "regular"), F.lit(True))),
              ("W11:missing_field", ((t == "hourly") & (F.col("hours_worked").isNull() | F.col("hourly_wages").isNull()))
               | ((t == "contract") & (F.col("salary").isNull() | F.col("contract_start_date").isNull()
                                       | F.col("contract_end_date").isNull()))),
              ("V8:contract:dates", (t == "contract") & (F.col("contract_start_date") >= F.col("contract_end_date")))]
     good, bad = validate(req, rules)
-    fields = [c for c in feed.columns if c not in ("change_id", "employee_id")]
-    last = good.groupBy("employee_id").agg(F.max_by(F.struct("change_id", *fields), F.col("change_id")).alias("_r")) \
-        .select("employee_id", "_r.*").withColumn("_t", F.lower("new_type"))
-    touched = last.select("employee_id", F.lit(True).alias("_touch"))
+    good = good.withColumn("_t", t)
+    is_hourly, is_contract = F.col("_t") == "hourly", F.col("_t") == "contract"
+    ended = good.groupBy("employee_id").agg(
+        F.max_by("_t", "change_id").alias("_type"),
+        F.max_by(F.struct("hours_worked", "hourly_wages"), F.when(is_hourly, F.col("change_id"))).alias("_hours"),
+        F.max(F.when(is_contract, F.col("change_id"))).alias("_contract_change"))
     he, ce = store["hourly_employee"], store["contract_employee"]
-    he_closed = he.join(touched, "employee_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_touch").isNull()) \
-        .select(*he.columns)
-    ce_closed = ce.join(touched, "employee_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_touch").isNull()) \
-        .select(*ce.columns)
-    new_he = last.where(F.col("_t") == "hourly").select("employee_id", "hours_worked", "hourly_wages",
-                                                        F.lit(True).alias("is_valid"))
-    contracts = once(lambda: next_ids(last.where(F.col("_t") == "contract"), store["contract"], "contract_id"))
+
+    def upserted(table: str, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Rows of ``old`` closed where the employee asked for a type, and replaced by ``new``."""
+        closed = old.join(ended.select("employee_id", F.lit(True).alias("_touch")), "employee_id", "left") \
+            .withColumn("is_valid", F.col("is_valid") & F.col("_touch").isNull()).select(*old.columns)
+        return closed.join(new.select("employee_id"), "employee_id", "left_anti").unionByName(_conform(new, table))
+
+    def hourly_employees() -> DataFrame:
+        return upserted("hourly_employee", he, ended.where(F.col("_hours").isNotNull()).select(
+            "employee_id", "_hours.*", (F.col("_type") == "hourly").alias("is_valid")))
+
+    contracts = once(lambda: next_ids(good.where(is_contract).select(
+        "change_id", "employee_id", "contract_start_date", "contract_end_date", "salary"), store["contract"],
+        "contract_id"))
 
     def contract_employees() -> DataFrame:
-        new_ce = contracts().select("employee_id", "contract_id", F.lit(True).alias("is_valid"))
-        return ce_closed.join(new_ce.select("employee_id"), "employee_id", "left_anti") \
-            .unionByName(_conform(new_ce, "contract_employee"))
+        of = contracts().select(F.col("change_id").alias("_contract_change"), "contract_id")
+        return upserted("contract_employee", ce, ended.join(of, "_contract_change").select(
+            "employee_id", "contract_id", (F.col("_type") == "contract").alias("is_valid")))
 
     def contract_rows() -> DataFrame:
         new_c = contracts().select("contract_id", "contract_start_date", "contract_end_date", "salary",
                                    F.lit(True).alias("is_valid"))
         return store["contract"].unionByName(_conform(new_c, "contract"))
 
-    hourly = he_closed.join(new_he.select("employee_id"), "employee_id", "left_anti") \
-        .unionByName(_conform(new_he, "hourly_employee"))
-    return LazyFrames({"hourly_employee": lambda: hourly, "contract_employee": contract_employees,
+    return LazyFrames({"hourly_employee": hourly_employees, "contract_employee": contract_employees,
                        "contract": contract_rows, "rejects": lambda: _reject_rows(bad)})
 
 

@@ -120,6 +120,13 @@ def _chunked(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / ORDER_CHUNK))
 
 
+def _with_carry(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
+    """Join the chunk table back; rows without a key or an order keep their place too."""
+    right = carried.withColumnsRenamed({key: "_key", "_chunk": "_of"})
+    return rows.join(right, F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_of"))) \
+        .drop("_key", "_of")
+
+
 def previous_value(df: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
     """Add ``out``: ``value`` (not null) of the key's row before this one by ``order`` (a unique
     whole number), null for its first. A window runs within chunks of the order only; the last
@@ -128,7 +135,7 @@ def previous_value(df: DataFrame, key: str, value: str, order: str, out: str) ->
     within = Window.partitionBy(key, "_chunk").orderBy(order)
     carried = rows.groupBy(key, "_chunk").agg(F.max_by(value, order).alias("_last")).select(
         key, "_chunk", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_carry"))
-    return (rows.withColumn("_local", F.lag(value).over(within)).join(carried, [key, "_chunk"])
+    return (_with_carry(rows.withColumn("_local", F.lag(value).over(within)), carried, key)
             .withColumn(out, F.coalesce("_local", "_carry")).drop("_local", "_carry", "_chunk"))
 
 
@@ -140,5 +147,18 @@ def numbered_within(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order))
-    return (rows.withColumn("_local", local).join(offsets, [key, "_chunk"])
+    return (_with_carry(rows.withColumn("_local", local), offsets, key)
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_local", "_off", "_chunk"))
+
+
+def running_total(df: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the key's rows up to and including this one by
+    ``order`` (a whole number), with the same two levels as ``previous_value``."""
+    rows = _chunked(df, order)
+    amount = F.col(value).cast("long")
+    sums = rows.groupBy(key, "_chunk").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (_with_carry(rows.withColumn("_local", F.sum(amount).over(within)), offsets, key)
             .withColumn(out, F.col("_off") + F.col("_local")).drop("_local", "_off", "_chunk"))

@@ -53,8 +53,10 @@ def order_employee_requests(store: Store) -> DataFrame:
 
 
 def supplier_requests(store: Store) -> DataFrame:
-    """Supplier ids asked about: part key modulo 150 for every part (some ids do not exist)."""
-    return store.driver["part"].select((F.col("p_partkey") % 150).alias("supplier_id"))
+    """Supplier ids asked about: for every part its key modulo one and a half times the suppliers'
+    key range, so that every supplier can be asked for and some ids do not exist."""
+    span = store.driver["supplier"].agg(F.floor(F.max("s_suppkey") * 1.5) + 1).scalar()
+    return store.driver["part"].select((F.col("p_partkey") % span).alias("supplier_id"))
 
 
 QUERIES: dict[str, Query] = {

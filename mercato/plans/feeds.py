@@ -285,3 +285,65 @@ def purchase_order_deactivations(store: Store) -> DataFrame:
     return ask(1, po, False).unionByName(ask(2, po.where(k % 2 == 0), True)) \
         .unionByName(ask(3, po.where(k % 4 == 0), False)) \
         .unionByName(ask(4, po.where(k % 9 == 0), False, _unknown(k)))
+
+
+# ---- feeds with requests that have no place in the order, and a shop that runs out of stock ----
+def with_unplaced(feed: DataFrame, key: str, number: int = 1, step: int = 10) -> DataFrame:
+    """``feed`` with copies of its requests number ``number`` of a key, which follow from
+    (change_id / step) modulo 4: 0 without a change id, 1 two with one change id, 2 without a key.
+    Their change ids are the originals' below zero."""
+    cid = F.col("change_id")
+    first = feed.where((cid % 10 == number) & (cid > 0))
+    case = F.floor(cid / step) % 4
+    missing = first.where(case == 0).withColumn("change_id", F.lit(None).cast("long"))
+    twice = first.where(case == 1).withColumn("change_id", -cid)
+    keyless = first.where(case == 2).withColumn("change_id", -cid) \
+        .withColumn(key, F.lit(None).cast(feed.schema[key].dataType))
+    return feed.unionByName(missing).unionByName(twice).unionByName(twice).unionByName(keyless)
+
+
+def _busy(store: Store):
+    """A fiftieth of the products, which all busy events go to."""
+    return store["product"].agg(F.floor(F.max("product_id") / 50) + 1).scalar()
+
+
+def busy_carts(store: Store) -> DataFrame:
+    """W6 feed that empties stocks: the driver's events on a fiftieth of the products. Every
+    40th event comes again a second later (the first one counts), and copies of others come
+    without id (event id % 41 = 0), time (% 43), customer (% 47), action (% 53) or product
+    (% 59, adds), with ids below zero."""
+    ev = cart_events(store.driver["events"], store["product"]).withColumn("product_id", F.col("event_id") % _busy(store))
+    k = F.col("event_id")
+    again = ev.where(k % 40 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+
+    def without(modulus: int, column: str) -> DataFrame:
+        own = ev.where(k % modulus == 0).withColumn("event_id", -k - modulus * 10_000_000_000)
+        return own.withColumn(column, F.lit(None).cast(ev.schema[column].dataType))
+
+    return ev.unionByName(again).unionByName(without(41, "event_id")).unionByName(without(43, "ts")) \
+        .unionByName(without(47, "customer_id")).unionByName(without(53, "action")) \
+        .unionByName(without(59, "product_id").where(F.col("action") == "add"))
+
+
+def price_changes(store: Store) -> DataFrame:
+    """Price patches over time, one per sign-up event whose id is no multiple of 3: the product
+    follows from the event id / 3, the price from the id. id % 17 = 0 asks for price 0, id % 19 = 0
+    for an unknown product, id % 23 = 0 for none, id % 29 = 0 comes without a time, and id % 5 = 0
+    has the time of the hour's start, so that changes meet at one instant."""
+    e = store.driver["events"].where("event_type = 'signup' AND event_id % 3 <> 0")
+    k = F.col("event_id")
+    product = F.floor(k / 3) % _busy(store)
+    ts = F.col("ts").cast("timestamp")
+    return e.select(
+        k.alias("change_id"),
+        F.when(k % 23 == 0, None).when(k % 19 == 0, -product - 1).otherwise(product).alias("product_id"),
+        F.when(k % 29 == 0, None).when(k % 5 == 0, F.date_trunc("hour", ts)).otherwise(ts).alias("ts"),
+        F.when(k % 17 == 0, 0).otherwise(5 + k % 90).cast("decimal(10,2)").alias("price"))
+
+
+def restocks(store: Store) -> DataFrame:
+    """Deliveries over time, one per sign-up event whose id is a multiple of 3: 1 to 5 units."""
+    e = store.driver["events"].where("event_type = 'signup' AND event_id % 3 = 0")
+    k = F.col("event_id")
+    return e.select((F.floor(k / 3) % _busy(store)).alias("product_id"), F.col("ts").cast("timestamp").alias("ts"),
+                    (1 + k % 5).cast("int").alias("quantity"))

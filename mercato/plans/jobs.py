@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mercato.operators import changes as W
 from mercato.operators import quality as V
 from mercato.operators.carts import fold_carts, fold_carts_into_store
+from mercato.operators.timeline import price_history
 from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
 from mercato.sources.adapter import Store
@@ -76,6 +77,31 @@ def _stored_carts(st: Store) -> dict[str, DataFrame]:
     return fold_carts_into_store(st, feeds.carts(st))
 
 
+def _busy_shop(st: Store) -> dict[str, DataFrame]:
+    return fold_carts_into_store(st, feeds.busy_carts(st), price_changes=feeds.price_changes(st),
+                                 restocks=feeds.restocks(st), check_stock=True)
+
+
+def _unplaced_rejects(job: str):
+    """The rejects of a job over its feed with requests that have no place in the order."""
+    def run(st: Store) -> DataFrame:
+        if job == "W2":
+            return W.patch_rows(st, "product", feeds.with_unplaced(feeds.product_patches(st), "product_id"))["rejects"]
+        if job == "W3":
+            return W.set_active(st, "product", feeds.with_unplaced(feeds.product_flags(st), "product_id"))["rejects"]
+        if job == "W4":
+            return W.set_purchase_order_active(st, feeds.with_unplaced(
+                feeds.purchase_order_deactivations(st), "purchase_order_id"))["rejects"]
+        if job == "W7":
+            return W.checkout_carts(st, feeds.with_unplaced(feeds.checkout_requests(st), "customer_id", 2, 20),
+                                    feeds.AS_OF_CHECKOUT)["rejects"]
+        if job == "W8":
+            return W.set_order_status(st, feeds.with_unplaced(feeds.order_status_updates(st), "order_id"))["rejects"]
+        return W.set_purchase_status(st, feeds.with_unplaced(feeds.purchase_status_updates(st), "purchase_order_id"),
+                                     stock_on="receive")["rejects"]
+    return run
+
+
 def _checkout(st: Store) -> dict[str, DataFrame]:
     return W.checkout_carts(st, feeds.checkout_requests(st), feeds.AS_OF_CHECKOUT)
 
@@ -167,6 +193,20 @@ JOB_QUERIES = {
     "W6_store_orders": _s(lambda st: _stored_carts(st)["orders"]),
     "W6_store_lines": _s(lambda st: _stored_carts(st)["order_details"]),
     "W6_store_products": _s(lambda st: _stored_carts(st)["product"]),
+    "W2_price_history": _s(lambda st: price_history(st["product"], feeds.price_changes(st))[0].where("valid_from IS NOT NULL")),
+    "W6_busy_orders": _s(lambda st: _busy_shop(st)["orders"]),
+    "W6_busy_lines": _s(lambda st: _busy_shop(st)["order_details"]),
+    "W6_busy_products": _s(lambda st: _busy_shop(st)["product"]),
+    "W6_busy_rejects": _s(lambda st: _busy_shop(st)["rejects"]),
+    **{f"{job}_unplaced_rejects": _s(_unplaced_rejects(job)) for job in ("W2", "W3", "W4", "W7", "W8", "W10")},
+    "W5_products_after_delete": _s(lambda st: W.archive_delete_products(
+        st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["product"]),
+    "W5_purchase_lines_after_delete": _s(lambda st: W.archive_delete_products(
+        st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["purchase_order_details"]),
+    "W7_checkout_lines": _s(lambda st: _checkout(st)["order_details"]),
+    "W7_checkout_invoices": _s(lambda st: _checkout(st)["invoice"]),
+    "W9_new_purchase_lines": _s(lambda st: _purchase(st)["new_lines"]),
+    "W9_stocked_products": _s(lambda st: _purchase(st)["product"]),
     "W7_checkout_payments": _s(_new_payments),
     "W7_checkout_orders": _s(lambda st: _checkout(st)["orders"]),
     "W7_checkout_customers": _s(lambda st: _checkout(st)["customer"].select("customer_id", "order_count")),
@@ -179,6 +219,8 @@ JOB_QUERIES = {
     "W10_purchase_orders": _s(lambda st: _purchase_status(st)["purchase_order"]),
     "W10_purchase_rejects": _s(lambda st: _purchase_status(st)["rejects"]),
     "W11_hourly_after": _s(lambda st: _type_changes(st)["hourly_employee"]),
+    "W11_contracts_after": _s(lambda st: _type_changes(st)["contract"]),
+    "W11_rejects": _s(lambda st: _type_changes(st)["rejects"]),
     "W11_contract_employee_after": _s(lambda st: _type_changes(st)["contract_employee"]),
     "W12_stock_ledger": _s(W.stock_ledger),
     "W12_stock_ledger_on_receive": _s(lambda st: W.stock_ledger(st, stock_on="receive")),

@@ -378,7 +378,7 @@ ORACLE["R46_open_carts"] = with_store(f"""SELECT o.customer_id, od.order_id, od.
     WHERE lower(o.status) = 'cart' AND od.is_valid""")
 ORACLE["R47_supplier_check"] = with_store("""SELECT r.supplier_id, s.supplier_id IS NOT NULL AS "exists",
         COALESCE(s.is_valid, FALSE) AS is_valid
-    FROM (SELECT DISTINCT p_partkey % 150 AS supplier_id FROM part) r
+    FROM (SELECT DISTINCT p_partkey % (SELECT CAST(floor(max(s_suppkey) * 1.5) AS BIGINT) + 1 FROM supplier) AS supplier_id FROM part) r
     LEFT JOIN st_supplier s ON r.supplier_id = s.supplier_id""")
 ORACLE["R48_order_status_manager"] = with_store("""SELECT CASE WHEN actual_received_date IS NULL THEN 'Cart'
         WHEN actual_received_date <= expected_received_date THEN 'Completed'
@@ -767,11 +767,12 @@ replay AS (
     SELECT r.purchase_order_id, a.status, CASE WHEN a.status = 'Received' AND a.rd IS NOT NULL THEN a.rd ELSE r.rd END,
         a.n, a.change_id, a.status = 'Received' AND a.rd IS NOT NULL
     FROM replay r JOIN asked a ON a.purchase_order_id = r.purchase_order_id AND a.n = r.n + 1),
-moves AS (SELECT pod.product_id, r.purchase_order_id, r.change_id, r.rd, pod.quantity
-    FROM replay r JOIN st_purchase_order_details pod ON pod.purchase_order_id = r.purchase_order_id AND pod.is_valid
+moves AS (SELECT pod.product_id, r.purchase_order_id, r.change_id, r.rd, pod.quantity,
+        po.actual_received_date IS NULL AS fresh
+    FROM replay r JOIN st_purchase_order po ON po.purchase_order_id = r.purchase_order_id JOIN st_purchase_order_details pod ON pod.purchase_order_id = r.purchase_order_id AND pod.is_valid
     WHERE r.arrived
     QUALIFY ROW_NUMBER() OVER (PARTITION BY r.purchase_order_id, pod.product_id ORDER BY r.change_id DESC) = 1),
-pp AS (SELECT product_id, arg_max(rd, change_id) AS arrival, SUM(quantity) AS q FROM moves GROUP BY product_id)"""
+pp AS (SELECT product_id, arg_max(rd, change_id) AS arrival, SUM(quantity) FILTER (fresh) AS q FROM moves GROUP BY product_id)"""
 ORACLE["W10_received_products"] = with_store("""SELECT p.product_id, p.product_name, p.category, p.price, p.is_valid,
         CAST(p.stock_quantity + COALESCE(pp.q, 0) AS INTEGER) AS stock_quantity,
         COALESCE(pp.arrival, p.stock_arrival_date) AS stock_arrival_date
@@ -791,16 +792,23 @@ _TYPES = """chg AS (
     SELECT n * 10 + 2, n, CASE WHEN n % 9 = 0 THEN 'regular' WHEN (n // 4) % 2 = 1 THEN 'hourly' ELSE 'contract' END
     FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation) k),
 okt AS (SELECT c.* FROM chg c JOIN st_employee e ON c.employee_id = e.employee_id AND e.is_valid),
-lastt AS (SELECT employee_id, MAX(change_id) AS change_id, arg_max(new_type, change_id) AS t FROM okt GROUP BY employee_id)"""
+lastt AS (SELECT employee_id, MAX(change_id) AS change_id, arg_max(new_type, change_id) AS t FROM okt GROUP BY employee_id),
+made AS (SELECT *, (SELECT MAX(contract_id) FROM st_contract) + ROW_NUMBER() OVER (ORDER BY change_id) AS contract_id
+    FROM okt WHERE new_type = 'contract')"""
 ORACLE["W11_hourly_after"] = with_store("""SELECT he.employee_id, he.hours_worked, he.hourly_wages,
         he.is_valid AND he.employee_id NOT IN (SELECT employee_id FROM lastt) AS is_valid
-    FROM st_hourly_employee he WHERE he.employee_id NOT IN (SELECT employee_id FROM lastt WHERE t = 'hourly')
-    UNION ALL SELECT employee_id, 40, CAST(20 AS DECIMAL(10,2)), TRUE FROM lastt WHERE t = 'hourly'""", _TYPES)
+    FROM st_hourly_employee he WHERE he.employee_id NOT IN (SELECT employee_id FROM okt WHERE new_type = 'hourly')
+    UNION ALL SELECT employee_id, 40, CAST(20 AS DECIMAL(10,2)), t = 'hourly' FROM lastt
+    WHERE employee_id IN (SELECT employee_id FROM okt WHERE new_type = 'hourly')""", _TYPES)
 ORACLE["W11_contract_employee_after"] = with_store("""SELECT ce.employee_id, ce.contract_id,
         ce.is_valid AND ce.employee_id NOT IN (SELECT employee_id FROM lastt) AS is_valid
-    FROM st_contract_employee ce WHERE ce.employee_id NOT IN (SELECT employee_id FROM lastt WHERE t = 'contract')
-    UNION ALL SELECT employee_id, (SELECT MAX(contract_id) FROM st_contract) + ROW_NUMBER() OVER (ORDER BY change_id),
-        TRUE FROM lastt WHERE t = 'contract'""", _TYPES)
+    FROM st_contract_employee ce WHERE ce.employee_id NOT IN (SELECT employee_id FROM made)
+    UNION ALL SELECT employee_id, arg_max(m.contract_id, m.change_id), any_value(t) = 'contract'
+    FROM made m JOIN lastt USING (employee_id) GROUP BY employee_id""", _TYPES)
+ORACLE["W11_contracts_after"] = with_store("""SELECT * FROM st_contract
+    UNION ALL SELECT contract_id, DATE '2024-01-01', DATE '2024-12-31', CAST(50000 AS DECIMAL(10,2)), TRUE FROM made""", _TYPES)
+ORACLE["W11_rejects"] = with_store("""SELECT change_id, 'W11:unknown_employee' AS reason FROM chg
+    WHERE employee_id NOT IN (SELECT employee_id FROM st_employee WHERE is_valid)""", _TYPES)
 
 _CREATES = """req AS (SELECT cid AS change_id,
         CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_name || ' new' END AS product_name, p_type AS category,
@@ -980,3 +988,106 @@ ORACLE["W6_store_lines"] = with_store("""SELECT od.order_id, od.product_id, od.p
 ORACLE["W6_store_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity - COALESCE(n, 0) AS INTEGER) AS stock_quantity)
     FROM st_product p LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM ev2 WHERE action = 'add' GROUP BY 1) m
       ON m.product_id = p.product_id""", _STORED)
+
+# ---- requests without a place in the order ----
+_UNPLACED = {
+    "W2": ("patches", "product_id", "W2_patch_rejects", _PATCHES, False),
+    "W3": ("flags", "product_id", "W3_flag_rejects", _FLAGS, True),
+    "W4": ("poff", "purchase_order_id", "W4_purchase_order_rejects", _PO_OFF, True),
+    "W7": ("req", "customer_id", "W7_checkout_rejects", _CHECKOUT, False),
+    "W8": ("upd", "order_id", "W8_status_rejects", _STATUS, True),
+    "W10": ("upd", "purchase_order_id", "W10_purchase_rejects", _PO_STATUS, True),
+}
+
+
+def _unplaced(job: str) -> str:
+    feed, key, base, ctes, recursive = _UNPLACED[job]
+    number, step = (2, 20) if job == "W7" else (1, 10)
+    missing = "missing_customer" if job == "W7" else "missing_key"
+    first = f"{feed} WHERE change_id > 0 AND change_id % 10 = {number} AND change_id // {step} % 4"
+    rejects = ORACLE[base][len(with_store("", ctes, recursive)):]
+    return with_store(f"""SELECT * FROM ({rejects}) r
+    UNION ALL SELECT NULL, 'W0:missing_change_id' FROM {first} = 0
+    UNION ALL SELECT -change_id, 'W0:duplicate_change_id' FROM {first} = 1
+    UNION ALL SELECT -change_id, 'W0:duplicate_change_id' FROM {first} = 1
+    UNION ALL SELECT -change_id, '{job}:{missing}' FROM {first} = 2""", ctes, recursive)
+
+
+for _job in _UNPLACED:
+    ORACLE[f"{_job}_unplaced_rejects"] = _unplaced(_job)
+
+# ---- price changes, and a shop that runs out of stock: stocks are replayed move by move ----
+_BUSY = """rng AS (SELECT CAST(floor(max(p_partkey) / 50) AS BIGINT) + 1 AS n FROM part),
+pc AS (SELECT event_id AS change_id,
+        CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 19 = 0 THEN -(event_id // 3 % n) - 1 ELSE event_id // 3 % n END
+            AS product_id,
+        CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 5 = 0 THEN date_trunc('hour', CAST(ts AS TIMESTAMP))
+             ELSE CAST(ts AS TIMESTAMP) END AS ts,
+        CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 5 + event_id % 90 END AS DECIMAL(10,2)) AS price
+    FROM events, rng WHERE event_type = 'signup' AND event_id % 3 <> 0),
+pj AS (SELECT *, CASE WHEN product_id IS NULL THEN 'W2:missing_key' WHEN ts IS NULL THEN 'W2:missing_time'
+        WHEN product_id NOT IN (SELECT product_id FROM st_product) THEN 'W2:unknown_key'
+        WHEN price <= 0 THEN 'V6:price:range' END AS why FROM pc),
+pt AS (SELECT product_id, ts, arg_max(price, change_id) AS price FROM pj WHERE why IS NULL GROUP BY product_id, ts
+    UNION ALL SELECT product_id, NULL, price FROM st_product),
+steps AS (SELECT product_id, ts, price FROM (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY ts NULLS FIRST) AS was
+    FROM pt) WHERE was IS NULL OR was <> price),
+hist AS (SELECT product_id, ts AS valid_from, lead(ts) OVER (PARTITION BY product_id ORDER BY ts NULLS FIRST) AS valid_to, price
+    FROM steps),
+raw AS (SELECT event_id AS k, CAST(ts AS TIMESTAMP) AS ts, user_id AS customer_id, event_id % n AS product_id,
+        CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type = 'error' THEN 'remove'
+             WHEN event_type = 'purchase' THEN 'checkout' END AS action
+    FROM events, rng WHERE event_type <> 'signup'),
+moves AS (SELECT product_id, ts, 1 AS second, k AS event_id, -1 AS q FROM raw WHERE action = 'add'
+    UNION ALL SELECT event_id // 3 % n, CAST(ts AS TIMESTAMP), 0, NULL, 1 + event_id % 5 FROM events, rng
+        WHERE event_type = 'signup' AND event_id % 3 = 0),
+turn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY ts, second, event_id) AS i FROM moves),
+stock AS (
+    SELECT product_id, stock_quantity::BIGINT AS s, 0::BIGINT AS i, NULL::BIGINT AS event_id, TRUE AS met FROM st_product
+    UNION ALL
+    SELECT t.product_id, CASE WHEN s + t.q >= 0 THEN s + t.q ELSE s END, t.i, t.event_id, s + t.q >= 0
+    FROM stock x JOIN turn t ON t.product_id = x.product_id AND t.i = x.i + 1),
+refused AS (SELECT event_id FROM stock WHERE NOT met),
+ev2 AS (SELECT k AS event_id, ts, customer_id, product_id,
+        CASE WHEN k IN (SELECT event_id FROM refused) THEN 'open' ELSE action END AS action FROM raw),
+open AS (SELECT customer_id, order_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY order_id) - 1 AS cart_no
+    FROM st_orders WHERE lower(status) = 'cart'),
+""" + _STORED[_STORED.index("ev3 AS"):].replace("prev = 'add'", "prev IN ('add', 'open')") \
+    .replace("MIN(ts) FILTER (WHERE action = 'add') AS opened_at", "MIN(ts) FILTER (WHERE action IN ('add', 'open')) AS opened_at") \
+    .replace("arg_min(event_id, ord) FILTER (WHERE action = 'add')", "arg_min(event_id, ord) FILTER (WHERE action IN ('add', 'open'))") \
+    .replace("MIN(ord) FILTER (WHERE action = 'add') AS fa", "MIN(ord) FILTER (WHERE action = 'add') AS fa, MIN(ts) FILTER (WHERE action = 'add') AS first_ts")
+ORACLE["W2_price_history"] = with_store("SELECT * FROM hist WHERE valid_from IS NOT NULL", _BUSY, recursive=True)
+_stored_lines = ORACLE["W6_store_lines"][len(with_store("", _STORED)):]
+_stored_orders = ORACLE["W6_store_orders"][len(with_store("", _STORED)):]
+ORACLE["W6_busy_orders"] = with_store(_stored_orders, _BUSY, recursive=True)
+ORACLE["W6_busy_lines"] = with_store(_stored_lines.replace("p.price,", """(SELECT arg_max(h.price, COALESCE(h.valid_from,
+        TIMESTAMP '1900-01-01')) FROM hist h WHERE h.product_id = t.product_id AND COALESCE(h.valid_from <= t.first_ts, TRUE)),"""),
+    _BUSY, recursive=True)
+ORACLE["W6_busy_products"] = with_store("""SELECT p.* REPLACE (CAST(s.s AS INTEGER) AS stock_quantity, h.price AS price)
+    FROM st_product p JOIN (SELECT product_id, arg_max(s, i) AS s FROM stock GROUP BY product_id) s USING (product_id)
+    JOIN hist h ON h.product_id = p.product_id AND h.valid_to IS NULL""", _BUSY, recursive=True)
+ORACLE["W6_busy_rejects"] = with_store("""SELECT event_id, 'W6:no_stock' AS reason FROM refused
+    UNION ALL SELECT change_id, why FROM pj WHERE why IS NOT NULL
+    UNION ALL SELECT NULL, 'W6:missing_event_id' FROM raw WHERE k % 41 = 0
+    UNION ALL SELECT -k - 430000000000, 'W6:missing_time' FROM raw WHERE k % 43 = 0
+    UNION ALL SELECT -k - 470000000000, 'W6:missing_customer' FROM raw WHERE k % 47 = 0
+    UNION ALL SELECT -k - 530000000000, 'W6:missing_action' FROM raw WHERE k % 53 = 0
+    UNION ALL SELECT -k - 590000000000, 'W6:missing_product' FROM raw WHERE k % 59 = 0 AND action = 'add'""", _BUSY, recursive=True)
+
+# ---- job outputs not covered above ----
+ORACLE["W5_products_after_delete"] = with_store(
+    "SELECT * FROM st_product WHERE product_id NOT IN (SELECT product_id FROM dels)", _DELETES)
+ORACLE["W5_purchase_lines_after_delete"] = with_store(
+    "SELECT * FROM st_purchase_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)", _DELETES)
+ORACLE["W7_checkout_lines"] = with_store("""SELECT * REPLACE (is_valid AND order_id NOT IN (SELECT order_id FROM done) AS is_valid)
+    FROM st_order_details""", _CHECKOUT)
+ORACLE["W7_checkout_invoices"] = with_store("""SELECT * FROM st_invoice
+    UNION ALL SELECT invoice_id, order_id, DATE '2024-02-01', TRUE FROM inv""", _CHECKOUT)
+_PURCHASED = _PURCHASE + """,
+made AS (SELECT change_id, (SELECT MAX(purchase_order_id) FROM st_purchase_order) + ROW_NUMBER() OVER (ORDER BY change_id)
+        AS purchase_order_id FROM chk WHERE NOT (r_missing OR r_date OR r_supp OR r_item))"""
+ORACLE["W9_new_purchase_lines"] = with_store("""SELECT purchase_order_id, product_id, price, quantity, TRUE AS is_valid
+    FROM itm JOIN made USING (change_id)""", _PURCHASED)
+ORACLE["W9_stocked_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity + COALESCE(q, 0) AS INTEGER) AS stock_quantity)
+    FROM st_product p LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM itm JOIN made USING (change_id) GROUP BY 1) m
+      ON m.product_id = p.product_id""", _PURCHASED)
