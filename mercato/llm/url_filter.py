@@ -1,18 +1,18 @@
 """URL filtering by rules and by the ratio of two character language models.
 
 Accepted and rejected URLs, as the rules mark them, each train a variable-order Markov model over
-the bytes of the whole URL after ``://`` (all of it where there is none): counts of every byte after its 0 to ``ORDER`` preceding bytes, added
-up by Spark over all marked URLs and smoothed by interpolating each
-order with the one below (Witten-Bell). Counts are exact and stay in a Spark table that grows with
+the bytes of the whole URL after ``://`` (all of it where there is none): counts of every byte
+after its 0 to ``ORDER`` preceding bytes, added up by Spark over all marked URLs and smoothed by
+interpolating each order with the one below (Witten-Bell). Counts are exact and stay in a Spark table that grows with
 the distinct n-grams of all URLs; URLs are scored in blocks, each of which is joined to the counts
 of its own distinct n-grams. A URL without a rule is judged by its length-normalised
 log-likelihood difference against a threshold. That is calibrated on a fold of the marked URLs,
 scored with the counts of those outside it; verdicts come from the counts of all.
 
-Rows: a null URL or one without ``://`` has an empty host and path and fits no rule; it is allowed,
-though the latter has a ratio. A URL with nothing after ``://`` is allowed too, and so is every URL
-when either model has no training rows. An empty table
-gives no rows; repeated rows are judged one by one but counted each.
+Rows: a null URL or one without ``://`` has an empty host and path and fits no rule; like every
+URL without a rule it is judged by its ratio (a null is read as an empty text, which has one too:
+both models give its end a probability). Every URL is allowed when either model has no training
+rows. An empty table gives no rows; repeated rows are judged one by one but counted each.
 """
 
 from __future__ import annotations
@@ -231,8 +231,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
         pages.select(F.col("page_id").cast("string").alias("page_id"),  # a null makes longs floats
                      F.col("url").cast("string").alias("url"))
         .select("page_id", host.alias("host"), path.alias("path"),
-                read_text(F.col("url")).alias("text"),
-                F.coalesce(F.instr("url", "://") == 0, F.lit(True)).alias("bare"))
+                read_text(F.col("url")).alias("text"))
         .withColumn("rule", matching_rule(rules))
         .withColumn("in_fold", in_fold)
         .withColumn("block", F.when(F.length("text") > LONG, -1 - row)
@@ -240,9 +239,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     marks = parts.withColumn("accepted", by_rule == "allow")
     found = materialise(block_grams(marks), "url-grams")
     scored = materialise(_scores(
-        parts, found, ["page_id", "host", "path", "rule", "text", "bare", "in_fold"],
-        "page_id string, host string, path string, rule string, text string, bare boolean, "
-        "in_fold boolean, ratio double, fit_ratio double"), "url-ratios")
+        parts, found, ["page_id", "host", "path", "rule", "text", "in_fold"],
+        "page_id string, host string, path string, rule string, text string, in_fold boolean, "
+        "ratio double, fit_ratio double"), "url-ratios")
     classes = {(r["accepted"], r["in_fold"]) for r in marks.filter("accepted IS NOT NULL")
                .select("accepted", "in_fold").distinct().collect()}      # at most 4 rows
     sides = len({side for side, _ in classes})
@@ -251,7 +250,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
         limit = calibrated_threshold(scored.filter(F.col("rule").isNotNull() & F.col("in_fold"))
                                      .select((by_rule == "allow").alias("accepted"),
                                              F.col("fit_ratio").alias("ratio")))
-    accepted = F.lit(sides < 2) | F.col("bare") | (F.col("text") == "") | (F.col("ratio") >= limit)
+    accepted = F.lit(sides < 2) | (F.col("ratio") >= limit)
     verdict = F.coalesce(by_rule, F.when(accepted, "allow").otherwise("block"))
     return scored.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule",
                          "ratio", verdict.alias("verdict"))
