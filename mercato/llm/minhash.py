@@ -369,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that represent their group: one row per component of linked texts, the one of
     the smallest doc_id, then of the smallest MD5 of its text. Unlike in ``near_duplicates``, rows
     that repeat a doc_id are nodes of their own, so a text goes only if another row of its
-    component stays; of rows without shingles, one per doc_id stays."""
+    component stays. Rows without shingles link with nothing, so each of them stays."""
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     named = rows.filter("doc_id IS NOT NULL")
     found = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), **options)
@@ -377,7 +377,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     kept = (named.select("_row", "doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))
                                                  .cast("binary")).alias("sum"))
             .join(found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "_row")
-            .groupBy(F.when(linked, F.col("component_id")), F.when(~linked, F.col("doc_id")))
+            .groupBy(F.when(linked, F.col("component_id")), F.when(~linked, F.col("_row")))
             .agg(F.min(F.struct("doc_id", "sum", "_row")).alias("first")).select("first._row"))
     return (named.join(kept, "_row", "left_semi").unionByName(rows.filter("doc_id IS NULL"))
             .drop("_row"))
