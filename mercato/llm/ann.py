@@ -7,10 +7,13 @@ query's k nearest are computed again in double precision from the original vecto
 keeps a heap of k results per query over all its candidate blocks, so it hands on k rows per
 query, and the heaps are merged by query. The result is exact, so recall is 1.
 
+Pairs are computed again in slices of bounded size, so many tied vectors cost time, not memory.
+
 Rows: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 null ids. Vectors of different lengths are never compared. A candidate with the query's own id
 is left out; repeated rows of another id are each a result of their own. Ties go to the smaller
-vec_id. A query gets fewer than k rows if there are fewer candidates. Empty tables give no rows.
+vec_id. Rows of ``queries`` that share a vec_id are queries of their own until their results are
+ranked: these are merged into one list of k for the id. A query gets fewer than k rows if there are fewer candidates. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from mercato.llm.common import prepare, stream_blocks
 from mercato.llm.vectors import cosine, matrix, unit, usable_vectors
 
+SLICE = 4_000_000       # components of a slice of pairs that are computed again at once
 EXACT_DIMS = 1024       # products of so many int8 pairs add up exactly in float32
 
 
@@ -71,11 +75,20 @@ class Heaps:
             if k == self.k else np.full(len(self.ids), -np.inf)
         floor = np.maximum(floor, self.best[:, -1])
         at, who = np.nonzero((close + bound >= floor[:, None]) & np.isfinite(close))
-        scores = cosine(self.vectors[at], vectors[who])
-        for i in np.unique(at):
-            own = at == i
-            score = np.concatenate([self.best[i], scores[own]])
-            found = np.concatenate([self.found[i], ids[who[own]]])
+        # pairs come sorted by query; a slice holds whole queries where it can
+        step = max(1, SLICE // vectors.shape[1])
+        for first in range(0, len(at), step):
+            self._keep(at[first:first + step], ids[who[first:first + step]],
+                       vectors[who[first:first + step]])
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Put exact scores of pairs, sorted by their query ``at``, into the heaps."""
+        scores = cosine(self.vectors[at], vectors)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
+        for start, stop in zip(starts, [*starts[1:], len(at)]):
+            i = at[start]
+            score = np.concatenate([self.best[i], scores[start:stop]])
+            found = np.concatenate([self.found[i], ids[start:stop]])
             order = np.lexsort((found, -score))[:self.k]
             self.best[i], self.found[i] = score[order], found[order]
 
