@@ -4,7 +4,9 @@ A line's key is the line without white space at its ends and with A-Z lower-case
 counts the keys of its documents (once per document) and the counts are added up by key. Keys
 found in enough documents go into a sharded minimal perfect hash with arrays of fingerprints,
 counts and last documents, written to the shared folder. Documents then probe these arrays where
-they are; lines are never joined or shuffled with their text.
+they are: a task gathers the distinct hashes of its documents (of up to 64 MB of text at a time,
+half an input split or more), looks them up shard by shard, each shard read once, and drops lines
+by what it found. Lines are never joined or shuffled with their text.
 
 Rows: a null or empty text has one empty line. Every row is a document of its own. A null
 ``doc_id`` sorts before all others. An empty table stays empty. Columns of the input keep their
@@ -14,7 +16,6 @@ values, but for ``text`` and ``n_chars`` (if there) and for input columns named
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from mercato.llm.common import (by_bytes, materialise, prepare, read_file, scrat
 from mercato.llm.perfect_hash import Shard
 
 WHITE = b" \t\n\x0b\x0c\r"
+PROBE_BYTES = 64_000_000        # text whose lines are looked up together
 NO_ID = -(1 << 63)
 
 
@@ -105,20 +107,23 @@ def build_shards(keys: DataFrame, path: str, shard_keys: int) -> int:
     return n_shards
 
 
-class ShardReader:
-    """Shards of a folder, at most ``limit`` of them in memory."""
-
-    def __init__(self, path: str, limit: int = 8):
-        self.path, self.limit = path, limit
-        self.held: OrderedDict[int, Shard] = OrderedDict()
-
-    def __getitem__(self, shard: int) -> Shard:
-        if shard not in self.held:
-            if len(self.held) >= self.limit:
-                self.held.popitem(last=False)
-            self.held[shard] = Shard.from_bytes(read_file(f"{self.path}/shard-{shard}.npz"))
-        self.held.move_to_end(shard)
-        return self.held[shard]
+def look_up(path: str, n_shards: int, digests: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``digests`` (rows of key and fingerprint, any number of times), those that the shards
+    hold, sorted by key, and the last document of each. A shard is read once, and only if it can
+    hold one."""
+    rows = digests[np.lexsort((digests[:, 1], digests[:, 0]))]
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    wanted = rows[first]
+    shard = np.mod(wanted[:, 0], n_shards)
+    order = np.argsort(shard, kind="stable")
+    held, last = np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(at):
+            arrays = Shard.from_bytes(read_file(f"{path}/shard-{int(shard[at[0]])}.npz"))
+            count, last[at] = arrays.find(wanted[at, 0], wanted[at, 1])
+            held[at] = count >= min_docs
+    return wanted[held], last[held]
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3,
@@ -137,35 +142,47 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3,
                            else f for f in fields] + added)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = ShardReader(path)
+        waiting, digests, size = [], [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            found = look_up(path, n_shards, np.concatenate(digests), min_docs) if digests else None
+            for part in waiting:
+                yield _drop(part, _texts(part), _ids(part), found)
+
         for batch in batches:
-            texts, ids = _texts(batch), _ids(batch)
+            texts = _texts(batch)
             for part in by_bytes(texts, 8_000_000):
-                yield _drop(batch.slice(part.start, part.stop - part.start), texts[part],
-                            ids[part], reader)
-
-    def _drop(batch, texts, ids, reader) -> pa.RecordBatch:
+                waiting.append(batch.slice(part.start, part.stop - part.start))
+                size += sum(map(len, texts[part]))
+                own = {line_digest(x, min_chars) for t in texts[part] for x in t.split(b"\n")} \
+                    if n_shards else set()
+                own.discard(None)
+                if own:
+                    digests.append(np.frombuffer(b"".join(own), "<i8").reshape(-1, 2))
+                if size >= PROBE_BYTES:
+                    yield from settle()
+                    waiting, digests, size = [], [], 0
+        yield from settle()
+
+    def _drop(batch, texts, ids, found) -> pa.RecordBatch:
         lines = [t.split(b"\n") for t in texts]
+        dropped: list[set[int]] = [set() for _ in texts]
         doc_at, line_at, digests = [], [], []
-        for i, own in enumerate(lines):
+        for i, own in enumerate(lines if found is not None and len(found[0]) else []):
             for j, line in enumerate(own):
-                digest = line_digest(line, min_chars) if n_shards else None
+                digest = line_digest(line, min_chars)
                 if digest is not None:
                     doc_at.append(i)
                     line_at.append(j)
                     digests.append(digest)
-        dropped: list[set[int]] = [set() for _ in texts]
         if digests:
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            shared, last = found
+            asked = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             doc_at, line_at = np.array(doc_at), np.array(line_at)
-            shard = np.mod(halves[:, 0], n_shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for at in np.split(order, cuts):
-                count, last = reader[int(shard[at[0]])].find(halves[at, 0], halves[at, 1])
-                out = at[(count >= min_docs) & (last != ids[doc_at[at]])]
-                for i, j in zip(doc_at[out].tolist(), line_at[out].tolist()):
-                    dropped[i].add(j)
+            at = np.minimum(np.searchsorted(shared[:, 0], asked[:, 0]), len(shared) - 1)
+            out = (shared[at] == asked).all(axis=1) & (last[at] != ids[doc_at])
+            for i, j in zip(doc_at[out].tolist(), line_at[out].tolist()):
+                dropped[i].add(j)
         kept = [b"\n".join(x for j, x in enumerate(own) if j not in gone) if gone else text
                 for own, gone, text in zip(lines, dropped, texts)]
         new = {"text": pa.array(kept, pa.binary()).cast(pa.string()),
