@@ -20,7 +20,7 @@ from mercato.llm.mixing import mix_sources
 from mercato.llm.multi_index import near_duplicate_vectors
 from mercato.llm.oracles import ORACLE as NEW_ORACLE
 from mercato.llm.packing import pack_documents
-from mercato.llm.pii import find_personal_data, span_text
+from mercato.llm.pii import IBAN_BODIES, find_personal_data, span_text
 from mercato.llm.spelling import count_words, spelling_variants
 from mercato.llm.toxicity import score_toxicity
 from mercato.llm.url_filter import Rule, judge_urls
@@ -127,6 +127,20 @@ _USABLE = r"""
                   AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0)"""
 
 
+def _iban_pattern() -> str:
+    """IBANs by the length of their country. Codes of no country in the registry may have any
+    length; they are listed by first letter, since this dialect cannot look ahead."""
+    fixed, other = [], []
+    codes = {code: n for n, codes in IBAN_BODIES.items() for code in codes.split()}
+    for code, n in sorted(codes.items()):
+        fixed.append(f"{code}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for first in letters:
+        rest = "".join(x for x in letters if first + x not in codes)
+        other.append(f"{first}[{rest}]")
+    return rf"\b(?:{'|'.join(fixed)}|(?:{'|'.join(other)})[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})\b"
+
+
 def _matches(kind: str, rank: int, pattern: str) -> str:
     """SQL for the matches of a pattern with their places, from the pieces between them."""
     return f"""
@@ -148,7 +162,7 @@ ORACLE: dict[str, str] = {
         _matches("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
         _matches("card", 2, r"[0-9](?:[\x20-]?[0-9])+"),
         _matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]"),
-        _matches("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+        _matches("iban", 4, _iban_pattern()),
         _matches("ssn", 5, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ]) + r"""),
         measured AS (
