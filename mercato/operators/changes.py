@@ -2,8 +2,9 @@
 
 Every job takes the store and a feed DataFrame and returns only the changed tables plus a
 ``rejects`` frame ``(change_id, reason)``. Nothing is updated in place (plain Parquet has no
-MERGE/UPDATE): new table versions are joins and unions of the old ones, written to a new
-version directory by ``mercato.sources.store.publish``.
+MERGE/UPDATE): new table versions are joins and unions of the old ones;
+``mercato.sources.partitioned`` runs the jobs on the parts of the tables that a feed touches and
+writes those parts alone.
 
 Requests of a feed take effect in the order of ``change_id``, and each is judged on the state
 that the requests before it left. Where only the last value of a field counts this is one
@@ -315,7 +316,7 @@ def archive_delete_products(store: Store, ids: DataFrame, as_of: _dt.datetime) -
     gone = store["product"].join(keys, "product_id", "left_semi")
     archived = gone.select("product_id", "product_name", "category", "price", "stock_quantity", "stock_arrival_date",
                            F.lit(as_of).cast("timestamp").alias("archived_at"))
-    out = {"product_archive": store["product_archive"].unionByName(archived),
+    out = {"product_archive": store["product_archive"].unionByName(archived), "archived": archived,
            "product": store["product"].join(keys, "product_id", "left_anti")}
     for t in ("order_details", "purchase_order_details"):
         out[t] = store[t].join(keys, "product_id", "left_anti")
@@ -381,9 +382,12 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = N
 
     inv = once(numbered)
 
-    def invoices() -> DataFrame:
+    def new_invoices() -> DataFrame:
         new = inv().select("invoice_id", "order_id", as_of_date(as_of).alias("invoice_date"), F.lit(True).alias("is_valid"))
-        return store["invoice"].unionByName(_conform(new, "invoice"))
+        return _conform(new, "invoice")
+
+    def invoices() -> DataFrame:
+        return store["invoice"].unionByName(new_invoices())
 
     def new_payments() -> DataFrame:
         new = inv().select("payment_id", "invoice_id", as_of_date(as_of).alias("payment_date"), "amount_paid",
@@ -397,7 +401,7 @@ def checkout_carts(store: Store, requests: DataFrame, as_of: _dt.date | None = N
     customers = c.join(bumps, "customer_id", "left").withColumn(
         "order_count", (F.coalesce("order_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")).select(*c.columns)
     return LazyFrames({"orders": lambda: orders, "order_details": lambda: lines, "invoice": invoices,
-                       "payment": payments, "new_payments": new_payments, "customer": lambda: customers,
+                       "payment": payments, "new_payments": new_payments, "new_invoices": new_invoices, "customer": lambda: customers,
                        "rejects": lambda: _reject_rows(bad).unionByName(no_cart).unionByName(too_large)
                        .unionByName(too_many)})
 
@@ -595,13 +599,13 @@ def change_employee_type(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
         return upserted("contract_employee", ce, ended.join(of, "_contract_change").select(
             "employee_id", "contract_id", (F.col("_type") == "contract").alias("is_valid")))
 
-    def contract_rows() -> DataFrame:
+    def new_contracts() -> DataFrame:
         new_c = contracts().select("contract_id", "contract_start_date", "contract_end_date", "salary",
                                    F.lit(True).alias("is_valid"))
-        return store["contract"].unionByName(_conform(new_c, "contract"))
+        return _conform(new_c, "contract")
 
     return LazyFrames({"hourly_employee": hourly_employees, "contract_employee": contract_employees,
-                       "contract": contract_rows, "rejects": lambda: _reject_rows(bad)})
+                       "contract": lambda: store["contract"].unionByName(new_contracts()), "new_contracts": new_contracts, "rejects": lambda: _reject_rows(bad)})
 
 
 # ---- W12 --------------------------------------------------------------------------------------

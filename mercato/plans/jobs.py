@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from mercato.operators.carts import fold_carts, fold_carts_into_store
 from mercato.operators.timeline import price_history
 from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
+from mercato.session import shared_dir
 from mercato.sources.adapter import Store
+from mercato.sources.partitioned import PartitionedStore, apply_checkouts, apply_patches
+from mercato.sources.store import bucket_count
 
 
 # ---- validation -------------------------------------------------------------------------------
@@ -102,6 +107,28 @@ def _unplaced_rejects(job: str):
     return run
 
 
+def _in_place(st: Store, tables: list[str]) -> PartitionedStore:
+    """A copy of ``tables`` in parts, in the shared folder, for a job that writes in place. About
+    one part per 128 MB of lines, like the buckets of the staged tables."""
+    root = f"{shared_dir(st.spark)}/mercato-parts/{st.spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+    return PartitionedStore.create(st.spark, root, {t: st[t] for t in tables}, bucket_count(st.spark), st.driver)
+
+
+def _patched_in_place(st: Store) -> DataFrame:
+    """W2 on a table in parts, which are replaced in place."""
+    parts = _in_place(st, ["product"])
+    apply_patches(parts, "product", feeds.product_patches(st))
+    return parts["product"]
+
+
+def _checked_out_in_place(table: str):
+    def run(st: Store) -> DataFrame:
+        parts = _in_place(st, ["orders", "order_details", "customer", "invoice", "payment"])
+        apply_checkouts(parts, feeds.checkout_requests(st), feeds.AS_OF_CHECKOUT)
+        return parts[table]
+    return run
+
+
 def _checkout(st: Store) -> dict[str, DataFrame]:
     return W.checkout_carts(st, feeds.checkout_requests(st), feeds.AS_OF_CHECKOUT)
 
@@ -203,6 +230,9 @@ JOB_QUERIES = {
         st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["product"]),
     "W5_purchase_lines_after_delete": _s(lambda st: W.archive_delete_products(
         st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["purchase_order_details"]),
+    "A7_patched_in_place": _s(_patched_in_place),
+    "A7_checked_out_orders": _s(_checked_out_in_place("orders")),
+    "A7_checked_out_invoices": _s(_checked_out_in_place("invoice")),
     "W7_checkout_lines": _s(lambda st: _checkout(st)["order_details"]),
     "W7_checkout_invoices": _s(lambda st: _checkout(st)["invoice"]),
     "W9_new_purchase_lines": _s(lambda st: _purchase(st)["new_lines"]),

@@ -294,21 +294,19 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
 
 
 def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) -> Store:
-    """The store for a driver data set. With ``staged`` (default) the adapter runs once per
-    source fingerprint: the tables are written as Parquet under the session's
-    ``spark.checkpoint.dir`` (shared storage; order tables clustered by order id) and every
-    query reads that snapshot instead of re-deriving it from the raw files."""
+    """The store for a driver data set. With ``staged`` (default) a table is derived from the raw
+    files once per application and source fingerprint, when it is first read: it is written as
+    Parquet under the session's ``spark.checkpoint.dir`` (shared storage; order tables clustered
+    by order id), and every query reads that instead of deriving it again."""
     live = adapted_store(spark, sf_dir)
     if not staged:
         return live
     from mercato.session import shared_dir
-    from mercato.sources.store import bucket_count, is_published, materialize, read_store
+    from mercato.sources.store import bucket_count, staged_store
     fp, line_bytes = _fingerprint(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, fp)
-    if key not in _STAGED:
-        buckets = bucket_count(spark, line_bytes)
-        root = f"{shared_dir(spark)}/mercato-store/b4-{buckets}-{fp}"
-        st = read_store(spark, root) if is_published(spark, root) else materialize(live, root, buckets)
-        _STAGED[key] = st
-    st = _STAGED[key]
+    app = spark.sparkContext.applicationId
+    if (app, fp) not in _STAGED:
+        root = f"{shared_dir(spark)}/mercato-store/{app}-{fp}"
+        _STAGED[app, fp] = staged_store(live, root, bucket_count(spark, line_bytes))
+    st = _STAGED[app, fp]
     return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver)

@@ -1,24 +1,15 @@
-"""Store I/O (A1, A2, A6, A7): Parquet store directories, JDBC loading, JSON sink, and
-all-or-nothing publication of change-job output.
+"""Store I/O (A1, A2, A6): the store as plain Spark tables, JDBC loading, JSON sink.
 
-Layout of a store root (shared storage)::
-
-    <root>/v000001/<table>/part-*.parquet     one directory per published version
-    <root>/CURRENT                            text file naming the current version
-
-A change job writes every changed table into a new version directory (unchanged tables are
-referenced by the new version's manifest) and only then replaces ``CURRENT``: readers see the
-old version or the new one, never a mix (the snapshot replaces the reference's transaction).
+A staged store lies in a folder of its own per application, ``<root>/<table>``, and a table is
+written when it is first used, by Spark's own committer. Change jobs that write tables in place
+are in ``mercato.sources.partitioned``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import uuid
 from collections.abc import Mapping
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,57 +22,6 @@ CLUSTER_KEYS = {"orders": "order_id", "order_details": "order_id", "purchase_ord
                 "purchase_order_details": "purchase_order_id"}
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    """A small control file (version pointer, manifest) through the Hadoop file system."""
-    fs, p = _hadoop_fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readAllBytes()).decode("utf-8")
-    finally:
-        stream.close()
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write under a temporary name and rename, so a reader sees the old file or the whole new
-    one, never a part."""
-    fs, p = _hadoop_fs(spark, path)
-    _, draft = _hadoop_fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(draft, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    if not fs.rename(draft, p):      # some file systems do not rename over an existing file
-        fs.delete(p, False)
-        if not fs.rename(draft, p):
-            raise OSError(f"cannot publish {path}")
-
-
-def _claim(spark: SparkSession, root: str, number: int) -> str:
-    """Take the next free version number: its marker is created only if nobody else did."""
-    while True:
-        version = f"v{number:06d}"
-        fs, marker = _hadoop_fs(spark, f"{root}/{version}/_claimed")
-        try:
-            if not fs.exists(marker):
-                fs.create(marker, False).close()
-                return version
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in str(e.java_exception):
-                raise
-        number += 1
-
-
-def is_published(spark: SparkSession, root: str) -> bool:
-    return bool((_read_text(spark, f"{root.rstrip('/')}/CURRENT") or "").strip())
-
-
 def _catalog_name(path: str) -> str:
     return "mercato_" + hashlib.sha1(path.encode()).hexdigest()[:16]
 
@@ -102,17 +42,6 @@ def _open_table(spark: SparkSession, table: str, path: str, bucket: list | None)
     return spark.table(name)
 
 
-def read_store(spark: SparkSession, root: str, version: str | None = None) -> Store:
-    """A1: open a published store (the version named by CURRENT unless given)."""
-    root = root.rstrip("/")
-    version = version or (_read_text(spark, f"{root}/CURRENT") or "").strip()
-    manifest = json.loads(_read_text(spark, f"{root}/{version}/manifest.json"))
-    buckets = manifest.get("buckets", {})
-    makers = {t: (lambda path=path, t=t: _open_table(spark, t, path, buckets.get(t)))
-              for t, path in manifest["tables"].items()}
-    return Store(spark, makers)
-
-
 BUCKET_BYTES = 128 * 1024 * 1024
 
 
@@ -128,7 +57,7 @@ def bucket_count(spark: SparkSession, source_bytes: int | None = None) -> int:
 
 
 def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None) -> list | None:
-    """Write one store table as Parquet. Tables with a join key are bucketed and sorted by
+    """Write one store table as Parquet. Tables with a join key are bucketed and sorted by
     it (an external catalog table over ``path``); returns the bucket spec, or None."""
     key = CLUSTER_KEYS.get(table)
     if key and buckets:
@@ -141,45 +70,15 @@ def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None
     return None
 
 
-def publish(spark: SparkSession, root: str, changed: Mapping[str, DataFrame], base: Store | None = None,
-            buckets: int | None = None) -> str:
-    """Write the changed tables into a new version and switch CURRENT to it. Tables not in
-    ``changed`` keep pointing at the previous version's files."""
-    root = root.rstrip("/")
-    current = (_read_text(spark, f"{root}/CURRENT") or "").strip()
-    previous = json.loads(_read_text(spark, f"{root}/{current}/manifest.json")) if current else {}
-    number = int(current[1:]) + 1 if current else 1
-    version = _claim(spark, root, number)
-    tables = dict(previous["tables"]) if previous else {}
-    specs = dict(previous.get("buckets", {})) if previous else {}
-    n = buckets or bucket_count(spark)
-    for t in changed:
-        if t not in SCHEMAS:
-            continue  # rejects and reports are not store tables (and are not built)
-        path = f"{root}/{version}/{t}"
-        specs.pop(t, None)
-        spec = write_table(changed[t].select(*SCHEMAS[t].fieldNames()), path, t, n)
-        tables[t] = path
-        if spec:
-            specs[t] = spec
-    if base is not None:
-        for t in TABLES:
-            if t not in tables:
-                path = f"{root}/{version}/{t}"
-                spec = write_table(base[t], path, t, n)
-                tables[t] = path
-                if spec:
-                    specs[t] = spec
-    _write_text(spark, f"{root}/{version}/manifest.json", json.dumps({"tables": tables, "buckets": specs}))
-    _write_text(spark, f"{root}/CURRENT", version)
-    return version
-
-
-def materialize(store: Store, root: str, buckets: int | None = None) -> Store:
-    """Write every table of ``store`` as the first version under ``root`` and reopen it."""
-    spark = store.spark
-    publish(spark, root, {}, base=store, buckets=buckets)
-    return read_store(spark, root)
+def staged_store(live: Store, root: str, buckets: int | None = None) -> Store:
+    """``live`` with every table written under ``root`` the first time it is read."""
+    spark, n = live.spark, buckets or bucket_count(live.spark)
+
+    def stage(table: str) -> DataFrame:
+        path = f"{root.rstrip('/')}/{table}"
+        return _open_table(spark, table, path, write_table(live[table], path, table, n))
+
+    return Store(spark, {t: (lambda t=t: stage(t)) for t in live}, live.driver)
 
 
 def load_store_jdbc(spark: SparkSession, url: str, properties: Mapping[str, str],

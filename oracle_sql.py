@@ -1091,3 +1091,6 @@ ORACLE["W9_new_purchase_lines"] = with_store("""SELECT purchase_order_id, produc
 ORACLE["W9_stocked_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity + COALESCE(q, 0) AS INTEGER) AS stock_quantity)
     FROM st_product p LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM itm JOIN made USING (change_id) GROUP BY 1) m
       ON m.product_id = p.product_id""", _PURCHASED)
+ORACLE["A7_patched_in_place"] = ORACLE["W2_patched_products"]
+ORACLE["A7_checked_out_orders"] = ORACLE["W7_checkout_orders"]
+ORACLE["A7_checked_out_invoices"] = ORACLE["W7_checkout_invoices"]
