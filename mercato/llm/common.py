@@ -3,6 +3,9 @@ the package to executors."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +13,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,6 +105,25 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are kept between stages, and what the
+    allocators of one stage hold on to is missing for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """The batch function ``work``, releasing memory when a task is through."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+    return run
+
+
 def by_bytes(texts: list, limit: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch that hold about ``limit`` characters each, so that array work on long
     texts stays in bounded memory."""

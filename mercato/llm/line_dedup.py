@@ -4,9 +4,9 @@ A line's key is the line without white space at its ends and with A-Z lower-case
 counts the keys of its documents (once per document) and the counts are added up by key. Keys
 found in enough documents go into a sharded minimal perfect hash with arrays of fingerprints,
 counts and last documents, written to the shared folder. Documents then probe these arrays where
-they are: a task gathers the distinct hashes of its documents (of up to 64 MB of text at a time,
-half an input split or more), looks them up shard by shard, each shard read once, and drops lines
-by what it found. Lines are never joined or shuffled with their text.
+they are: a task gathers the distinct hashes of its documents (of up to 32 MB of text at a time),
+looks them up shard by shard, each shard read once, and drops lines by what it found. Lines are
+never joined or shuffled with their text.
 
 Rows: a null or empty text has one empty line. Every row is a document of its own. A null
 ``doc_id`` sorts before all others. An empty table stays empty. Columns of the input keep their
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import (by_bytes, materialise, prepare, read_file, scratch_path,
+from mercato.llm.common import (by_bytes, lean, materialise, prepare, read_file, scratch_path,
                                 write_file)
 from mercato.llm.perfect_hash import Shard
 
 WHITE = b" \t\n\x0b\x0c\r"
-PROBE_BYTES = 64_000_000        # text whose lines are looked up together
+PROBE_BYTES = 32_000_000        # text whose lines are looked up together
 NO_ID = -(1 << 63)
 
 
@@ -85,7 +85,7 @@ def count_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.col("text").cast("string").alias("text"))
-    partial = own.mapInArrow(count, "key long, fingerprint long, n long, last long")
+    partial = own.mapInArrow(lean(count), "key long, fingerprint long, n long, last long")
     return partial.groupBy("key", "fingerprint").agg(F.sum("n").alias("n"),
                                                      F.max("last").alias("last"))
 
@@ -195,4 +195,4 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3,
 
     source = docs.drop("n_lines", "n_dropped").withColumns(
         {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    return source.mapInArrow(drop, schema)
+    return source.mapInArrow(lean(drop), schema)

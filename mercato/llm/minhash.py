@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_bytes, materialise, prepare, stream_blocks
+from mercato.llm.common import by_bytes, lean, materialise, prepare, stream_blocks
 from mercato.llm.components import connected_components
 from mercato.llm.shingles import fingerprints, shingle_sets, signatures
 
@@ -64,7 +64,7 @@ def signature_table(docs: DataFrame, width: int, k: int) -> DataFrame:
     return (docs.filter("doc_id IS NOT NULL")
             .select(F.col("doc_id").cast("long").alias("doc_id"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .mapInPandas(sign, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>"))
+            .mapInPandas(lean(sign), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>"))
 
 
 def prefix_postings(classes: DataFrame, k: int, t: int) -> DataFrame:
@@ -110,7 +110,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                     keep.append(both > 0 and 100 * both >= percent * union)
                 yield rows.loc[keep, ["a", "b"]]
 
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(lean(check), "a long, b long")
 
 
 class _Forest:
@@ -205,7 +205,7 @@ def list_forest(members: DataFrame, t: int, percent: int, block: int) -> DataFra
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return stream_blocks(batches, key, "asking", lambda rows: _List(rows, t, percent), 1024)
 
-    return dealt.mapInPandas(stream, "a long, b long").unionByName(pairs).distinct()
+    return dealt.mapInPandas(lean(stream), "a long, b long").unionByName(pairs).distinct()
 
 
 def _common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -294,7 +294,7 @@ def cluster_links(clusters: DataFrame, sized: DataFrame, docs: DataFrame, *, wid
         return stream_blocks(batches, ["cluster", "block"], "asking",
                              lambda rows: _Cluster(rows, options), block)
 
-    return dealt.mapInPandas(stream, "a long, b long")
+    return dealt.mapInPandas(lean(stream), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 64,

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import materialise, prepare
+from mercato.llm.common import lean, materialise, prepare
 from mercato.llm.tokens import WORD_BPE, encoder
 
 GROUP_BITS = 36
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, *, size: int, end_id: int, tokenizer: str,
                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
             .withColumn("deal", F.xxhash64(F.monotonically_increasing_id())
                         .bitwiseAND(F.lit((1 << 62) - 1)))
-            .mapInPandas(cut, schema))
+            .mapInPandas(lean(cut), schema))
 
 
 def pack_documents(docs: DataFrame, *, size: int = 4096, end_id: int = 1,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import by_bytes, prepare
+from mercato.llm.common import by_bytes, lean, prepare
 from mercato.llm.shingles import mix64
 
 WINDOW, STRIDE = 32, 16
@@ -288,7 +288,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int, train_c
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen],
                                             "doc_id long, toxic int")
     rows = (docs.filter(F.length("text").between(1, train_chars)).select("doc_id", "text")
-            .join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
+            .join(F.broadcast(ids), "doc_id")
+            # of rows that repeat an id, the one with the smallest text is learned from
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect())
     odds = math.log(counts[1] / counts[0])
     return [r["text"].encode() for r in rows], np.array([r["toxic"] for r in rows]), odds
 
@@ -319,6 +321,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = 2000
                     scores[part] = score_texts(p, texts[part])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)
 
-    return (source.mapInArrow(score, schema)
+    return (source.mapInArrow(lean(score), schema)
             .withColumn("held_out", is_held_out(F.col("doc_id")))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
