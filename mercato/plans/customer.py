@@ -24,15 +24,43 @@ def _customers(store: Store, customer_ids: DataFrame | None = None) -> DataFrame
     return lookup(c, customer_ids, "customer_id") if customer_ids is not None else c
 
 
-def _order_stats(store: Store) -> DataFrame:
-    """Count and latest date of active orders per customer."""
-    return active_orders(store).groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("order_count"), F.max("order_date").alias("last_order_date"))
+def _order_stats(store: Store, line_scope: str) -> DataFrame:
+    """R1 to R4 and R8 in one grouping: active orders with the totals of their lines."""
+    per_order = order_totals(store, line_scope, active_orders(store, "order_id", "customer_id", "order_date"), "left")
+    return per_order.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("order_count"), F.max("order_date").alias("last_order_date"),
+        F.sum("order_value").cast(SUM_MONEY).alias("total_spent"),
+        F.sum("order_qty").cast("long").alias("items_ordered"),
+        F.count("order_lines").alias("_orders_with_lines"))
+
+
+def _product_stats(store: Store, line_scope: str) -> DataFrame:
+    """R5 to R7 in one grouping of the (customer, product) pairs: a pair counts once under its
+    category and once under its product name; a pair of an unknown product only counts as one of
+    the different products."""
+    p = store["product"].select("product_id", "category", "product_name", F.lit(True).alias("_known"))
+    pairs = customer_product_lines(store, line_scope).join(p, "product_id", "left")
+
+    def entry(kind: int, label, amount):
+        return F.struct(F.lit(kind).alias("kind"), F.lower(label).alias("key"), label.alias("label"),
+                        F.col(amount).cast("long").alias("amount"))
+    category, name = entry(0, F.col("category"), "n_lines"), entry(1, F.col("product_name"), "qty")
+    unknown = entry(2, F.lit(None).cast("string"), "n_lines")
+    entries = F.when(F.col("_known"), F.array(category, name)).otherwise(F.array(unknown))
+    # text keys group whatever their case (S1) and show their least spelling
+    groups = pairs.select("customer_id", F.explode(entries).alias("e")).groupBy("customer_id", "e.kind", "e.key").agg(
+        F.min("e.label").alias("label"), F.sum("e.amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+
+    def best(kind: int):
+        return F.min(F.when(F.col("kind") == kind, F.struct((-F.col("amount")).alias("k"), "label")))["label"]
+    return groups.groupBy("customer_id").agg(
+        best(0).alias("favourite_category"), best(1).alias("top_product"),
+        F.sum(F.when(F.col("kind") != 1, F.col("n"))).alias("distinct_products"))
 
 
 def _spend_stats(store: Store, line_scope: str) -> DataFrame:
     """R2, R4, R8 from per-order totals: lines are reduced to orders before the join."""
-    per_order = order_totals(store, line_scope).join(active_orders(store, "order_id", "customer_id"), "order_id")
+    per_order = order_totals(store, line_scope, active_orders(store, "order_id", "customer_id"))
     return per_order.groupBy("customer_id").agg(
         F.sum("order_value").cast(SUM_MONEY).alias("total_spent"),
         F.sum("order_qty").cast("long").alias("items_ordered"),
@@ -137,36 +165,25 @@ PROFILE_COLUMNS = ["customer_id", "customer_name", "phone_number", "email_addres
 
 
 def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_scope: str = "all") -> DataFrame:
-    """The full profile, one row per customer (or per requested id)."""
-    # three parts of the profile read the (customer, product) table, the largest intermediate:
-    # it is computed once
+    """The full profile, one row per customer (or per requested id). Lines are read twice:
+    reduced per order, and per (customer, product) pair."""
+    # the totals of every customer, not only of the requested ones, are read for the rank's cut
+    # points, the ranks and the profile: computed once and cut from their lineage with a reliable
+    # checkpoint in the shared checkpoint folder
     ensure_checkpoint_dir(store.spark)
-    cp = customer_product_lines(store, line_scope).checkpoint(eager=True)
-    # one row per customer, needed three times (profile, rank cut points, rank): computed once
-    # and cut from its lineage with a reliable checkpoint in the shared checkpoint folder
-    spend = _spend_stats(store, line_scope).checkpoint(eager=True)
-    stats = _order_stats(store)
-    products = cp.groupBy("customer_id").agg(F.count(F.lit(1)).alias("distinct_products"))
+    stats = (store["customer"].select("customer_id").join(_order_stats(store, line_scope), "customer_id", "left")
+             .withColumn("total_spent", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)))
+             .checkpoint(eager=True))
+    ranked = dense_rank_desc(stats, "total_spent", "spend_rank", materialize=False, hot=0)
     base = _customers(store, customer_ids).drop("order_count")
-    out = (base.join(stats, "customer_id", "left")
-           .join(spend, "customer_id", "left")
-           .join(products, "customer_id", "left")
-           .join(_favourite_category(store, cp), "customer_id", "left")
-           .join(_top_product(store, cp), "customer_id", "left"))
-    out = out.select(
-        "customer_id", "customer_name", "phone_number", "email_address", "city", "shipping_address", "is_valid",
-        zero_if_null("order_count").alias("order_count"),
-        F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)).alias("total_spent"),
-        "last_order_date",
-        zero_if_null("items_ordered").alias("items_ordered"),
-        label_if_null("favourite_category", NA).alias("favourite_category"),
-        zero_if_null("distinct_products").alias("distinct_products"),
-        label_if_null("top_product", NA).alias("top_product"),
-        F.coalesce(average("total_spent", "_orders_with_lines"), F.lit(0.0)).alias("avg_order_value"))
-    # The rank needs every customer's total, not only the requested ones.
-    totals = store["customer"].select("customer_id").join(spend.select("customer_id", "total_spent"),
-                                                          "customer_id", "left") \
-        .select("customer_id", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)).alias("total_spent"))
-    ranks = dense_rank_desc(totals, "total_spent", "spend_rank", materialize=False, hot=0).select("customer_id", "spend_rank")
-    return out.join(ranks, "customer_id", "left").select(*PROFILE_COLUMNS)
-
+    out = (base.join(ranked, "customer_id")
+           .join(_product_stats(store, line_scope), "customer_id", "left")
+           .withColumns({
+               "order_count": zero_if_null("order_count"),
+               "items_ordered": zero_if_null("items_ordered"),
+               "favourite_category": label_if_null("favourite_category", NA),
+               "distinct_products": zero_if_null("distinct_products"),
+               "top_product": label_if_null("top_product", NA),
+               "avg_order_value": F.when(F.col("_orders_with_lines") > 0, average("total_spent", "_orders_with_lines"))
+                                   .otherwise(F.lit(0.0))}))
+    return out.select(*PROFILE_COLUMNS)

@@ -12,7 +12,7 @@ from mercato.functions.expr import (MANAGER_ROLES, active, average, employee_typ
                                     line_value, zero_if_null)
 from mercato.operators.joins import left_join_filtered, lookup, without
 from mercato.operators.ranking import keep_at_least_max
-from mercato.plans.common import Store, active_orders, lines, order_totals
+from mercato.plans.common import Store, active_orders, by_order, lines, order_totals
 from mercato.sources.schemas import LINE_MONEY, SUM_MONEY
 
 
@@ -30,7 +30,7 @@ def orders_handled(store: Store, employee_ids=None) -> DataFrame:
 
 def sales_value(store: Store, employee_ids=None) -> DataFrame:
     """Value of active lines of active orders per employee, 0 when none."""
-    per_order = order_totals(store, "active").join(active_orders(store, "order_id", "employee_id"), "order_id")
+    per_order = order_totals(store, "active", active_orders(store, "order_id", "employee_id"))
     v = per_order.groupBy("employee_id").agg(F.sum("order_value").cast(SUM_MONEY).alias("total_sales_value"))
     return (_employees(store, employee_ids).select("employee_id").join(v, "employee_id", "left")
             .select("employee_id", F.coalesce("total_sales_value", F.lit(0).cast(SUM_MONEY)).alias("total_sales_value")))
@@ -53,9 +53,10 @@ def handled_lines(store: Store, employee_ids=None) -> DataFrame:
     o = active_orders(store, "order_id", "employee_id", "order_date").where(F.col("employee_id").isNotNull())
     if employee_ids is not None:
         o = lookup(o, employee_ids, "employee_id")
-    li = lines(store, "active").select("order_id", "product_id", "quantity", "price")
+    li = by_order(store, "active", o, lambda li, o, small: (
+        li.select("order_id", "product_id", "quantity", "price").join(small(o), "order_id")))
     p = store["product"].select("product_id", "product_name")
-    return (li.join(o, "order_id").join(p, "product_id")
+    return (li.join(p, "product_id")
             .select("employee_id", "order_id", "order_date", "product_id", "product_name", "quantity", "price",
                     line_value().alias("total_value"))
             .orderBy(F.col("order_date").desc(), "order_id", "product_id"))
@@ -82,17 +83,18 @@ def min_line_value(store: Store) -> DataFrame:
 
 def min_value_handlers(store: Store) -> DataFrame:
     """Employees whose active orders hold an active line of the smallest value (distinct)."""
-    li = lines(store, "active").select("order_id", line_value().alias("order_value"))
-    smallest = li.agg(F.min("order_value")).scalar()
-    o = active_orders(store, "order_id", "employee_id")
+    smallest = lines(store, "active").agg(F.min(line_value())).scalar()
+    of_value = by_order(store, "active", active_orders(store, "order_id", "employee_id"), lambda li, o, small: (
+        li.select("order_id", line_value().alias("order_value")).where(F.col("order_value") == smallest)
+        .join(small(o), "order_id")))
     e = store["employee"].select("employee_id", "employee_name")
-    return (li.where(F.col("order_value") == smallest).join(o, "order_id").join(e, "employee_id")
+    return (of_value.join(e, "employee_id")
             .select("employee_name", "order_id", "order_value").distinct())
 
 
 def avg_line_value(store: Store) -> DataFrame:
     """Average active line value per employee name (a line average, as in the reference)."""
-    per_order = order_totals(store, "active").join(active_orders(store, "order_id", "employee_id"), "order_id")
+    per_order = order_totals(store, "active", active_orders(store, "order_id", "employee_id"))
     per_emp = per_order.groupBy("employee_id").agg(F.sum("order_value").alias("v"), F.sum("order_lines").alias("n"))
     e = store["employee"].select("employee_id", "employee_name")
     by_name = per_emp.join(e, "employee_id").groupBy(F.lower("employee_name").alias("_key")).agg(

@@ -15,7 +15,7 @@ from mercato.functions.expr import (UNKNOWN_PRODUCT, active, active_label, deliv
 from mercato.functions.search import (SearchSpec, apply_search, by_flag, by_id, by_int, by_money, by_text,
                                       by_text_equal, by_tristate)
 from mercato.operators.joins import lookup
-from mercato.plans.common import Store, active_orders, lines, order_totals
+from mercato.plans.common import Store, active_orders, by_order, order_totals
 from mercato.plans.employee import typed_employees
 from mercato.sources.schemas import SUM_MONEY
 
@@ -82,8 +82,7 @@ def list_orders(store: Store, search_by: str | None = None, value: str | None =
     """Active orders with the value of their active lines (0 when none), oldest first.
     A search on the total runs after the aggregation (HAVING)."""
     o = apply_search(store["orders"], ORDER_SEARCH, search_by, value, stage="where")
-    totals = order_totals(store, "active").select("order_id", "order_value")
-    out = o.join(totals, "order_id", "left").select(
+    out = order_totals(store, "active", o, "left").select(
         "order_id", "customer_id", "employee_id", "order_date", "expected_received_date", "actual_received_date",
         F.coalesce(F.col("order_value"), F.lit(0)).cast(SUM_MONEY).alias("total_price"))
     out = apply_search(out, ORDER_SEARCH, search_by, value, stage="having")
@@ -115,12 +114,15 @@ def order_lines(store: Store, order_ids: DataFrame | None = None) -> DataFrame:
     o = active_orders(store, "order_id")
     if order_ids is not None:
         o = lookup(o, order_ids, "order_id")
-    li = lines(store, "active").join(o, "order_id", "left_semi").select("order_id", "product_id", "price", "quantity")
-    li = li.withColumn("subtotal", line_value())
-    per_order = li.groupBy("order_id").agg(F.sum("subtotal").cast(SUM_MONEY).alias("order_total"),
-                                           F.count(F.lit(1)).alias("line_count"))
+
+    def with_totals(li: DataFrame, o: DataFrame, small) -> DataFrame:
+        li = (li.join(small(o), "order_id", "left_semi").select("order_id", "product_id", "price", "quantity")
+              .withColumn("subtotal", line_value()))
+        per_order = li.groupBy("order_id").agg(F.sum("subtotal").cast(SUM_MONEY).alias("order_total"),
+                                               F.count(F.lit(1)).alias("line_count"))
+        return li.join(small(per_order), "order_id")
     p = store["product"].select("product_id", "product_name")
-    return (li.join(per_order, "order_id").join(p, "product_id", "left")
+    return (by_order(store, "active", o, with_totals).join(p, "product_id", "left")
             .select("order_id", "product_id", label_if_null("product_name", UNKNOWN_PRODUCT).alias("product_name"),
                     "price", "quantity", "subtotal", "order_total", "line_count"))
 
@@ -179,11 +181,11 @@ def list_employee_orders(store: Store, employee_ids: DataFrame | None = None, se
     o = store["orders"].where(F.col("employee_id").isNotNull())
     if employee_ids is not None:
         o = lookup(o, employee_ids, "employee_id")
-    o = o.join(order_totals(store, "active").select("order_id", F.col("order_value").alias("_total_active")),
-               "order_id", "left")
+    cols = o.columns
+    o = order_totals(store, "active", o, "left").select(*cols, F.col("order_value").alias("_total_active"))
     if search_by == "total_price" and value:
-        o = o.join(order_totals(store, "all").select("order_id", F.col("order_value").alias("_total_all")),
-                   "order_id", "left")
+        o = order_totals(store, "all", o, "left").select(
+            *cols, "_total_active", F.col("order_value").alias("_total_all"))
     o = apply_search(o, EMPLOYEE_ORDER_SEARCH, search_by, value)
     return (o.select("order_id", "customer_id", "employee_id", "order_date", "expected_received_date",
                      "actual_received_date", "status", "is_valid",
@@ -197,9 +199,10 @@ def employee_order_lines(store: Store, pairs: DataFrame) -> DataFrame:
     active and belongs to the requested employee."""
     o = active_orders(store, "order_id", "employee_id").join(
         pairs.select("order_id", "employee_id"), ["order_id", "employee_id"], "left_semi")
-    li = lines(store, "active").select("order_id", "product_id", "price", "quantity")
+    li = by_order(store, "active", o, lambda li, o, small: (
+        li.select("order_id", "product_id", "price", "quantity").join(small(o), "order_id")))
     p = store["product"].select("product_id", "product_name")
-    return li.join(o, "order_id").join(p, "product_id").select(
+    return li.join(p, "product_id").select(
         "employee_id", "order_id", "product_id", "product_name", "price", "quantity")
 
 
@@ -223,12 +226,15 @@ def open_carts(store: Store) -> DataFrame:
     """Lines of orders in state 'cart' (order flag not checked) with product, line value,
     and the cart's total and item count."""
     carts = store["orders"].where(text_equals("status", "cart")).select("order_id", "customer_id")
-    li = lines(store, "active").select("order_id", "product_id", "quantity", "price").join(carts, "order_id")
-    li = li.withColumn("line_total", line_value())
-    per_cart = li.groupBy("order_id").agg(F.sum("line_total").cast(SUM_MONEY).alias("cart_total"),
-                                          F.count(F.lit(1)).alias("item_count"))
+
+    def with_totals(li: DataFrame, carts: DataFrame, small) -> DataFrame:
+        li = (li.select("order_id", "product_id", "quantity", "price").join(small(carts), "order_id")
+              .withColumn("line_total", line_value()))
+        per_cart = li.groupBy("order_id").agg(F.sum("line_total").cast(SUM_MONEY).alias("cart_total"),
+                                              F.count(F.lit(1)).alias("item_count"))
+        return li.join(small(per_cart), "order_id")
     p = store["product"].select("product_id", "product_name")
-    return li.join(per_cart, "order_id").join(p, "product_id").select(
+    return by_order(store, "active", carts, with_totals).join(p, "product_id").select(
         "customer_id", "order_id", "product_id", "product_name", "quantity", "price", "line_total",
         "cart_total", "item_count")
 

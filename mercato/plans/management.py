@@ -53,7 +53,7 @@ def team_roster(store: Store, min_reports: int = 2) -> DataFrame:
 
 def spend_by_customer(store: Store, line_scope: str) -> DataFrame:
     """Per active customer: spend over active orders (lines reduced per order first)."""
-    per_order = order_totals(store, line_scope).join(active_orders(store, "order_id", "customer_id"), "order_id")
+    per_order = order_totals(store, line_scope, active_orders(store, "order_id", "customer_id"))
     spend = per_order.groupBy("customer_id").agg(F.sum("order_value").cast(SUM_MONEY).alias("total_spent"),
                                                  F.count(F.lit(1)).alias("total_orders"))
     c = active(store["customer"]).select("customer_id", "customer_name")
@@ -125,7 +125,7 @@ def lowest_priced_products(store: Store) -> DataFrame:
 
 def customer_spending(store: Store) -> DataFrame:
     """Per customer with active lines of active orders: distinct orders and spend."""
-    per_order = order_totals(store, "active").join(active_orders(store, "order_id", "customer_id"), "order_id")
+    per_order = order_totals(store, "active", active_orders(store, "order_id", "customer_id"))
     spend = per_order.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("order_value").cast(SUM_MONEY).alias("total_amount_spent"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,17 +230,38 @@ BUILDERS: dict[str, Callable[[DriverTables], DataFrame]] = {
 }
 
 
+#: Rows of a table with their cluster key, before they are grouped: what a layout is planned from.
+KEY_ROWS: dict[str, Callable[[DriverTables], DataFrame]] = {
+    "order_details": lambda d: d["lineitem"].select(F.col("l_orderkey").cast("long").alias("order_id")),
+    "purchase_order_details": lambda d: d["lineitem"].select(
+        purchase_order_id(d).cast("long").alias("purchase_order_id")),
+}
+
+
+class Part(NamedTuple):
+    """Some rows of a table, and the heavy keys (None where the table has none): the part holds
+    the rows of exactly those keys (``heavy``) or of all others."""
+
+    rows: DataFrame
+    keys: DataFrame | None = None
+    heavy: bool = False
+
+
 class Store(Mapping):
     """The 14 store tables as lazily built DataFrames, plus the driver tables (``store.driver``)
-    that change feeds are derived from."""
+    that change feeds are derived from. ``parts`` gives a table in its parts by key."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]],
-                 driver: DriverTables | None = None):
+                 driver: DriverTables | None = None, parts: Mapping[str, Callable[[], list[Part]]] | None = None):
         self.spark = spark
         self._makers = dict(tables)
+        self._parts = dict(parts or {})
         self._built: dict[str, DataFrame] = {}
         self.driver = driver
 
+    def parts(self, name: str) -> list[Part]:
+        return self._parts[name]() if name in self._parts else [Part(self[name])]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             self._built[name] = self._makers[name]()
@@ -256,7 +278,8 @@ class Store(Mapping):
         makers = {name: (lambda n=name: self[n]) for name in self._makers}
         for name, df in tables.items():
             makers[name] = (lambda df=df: df)
-        return Store(self.spark, makers, self.driver)
+        parts = {name: make for name, make in self._parts.items() if name not in tables}
+        return Store(self.spark, makers, self.driver, parts)
 
 
 def adapted_store(spark: SparkSession, sf_dir: str) -> Store:
@@ -309,4 +332,5 @@ def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) ->
         root = f"{shared_dir(spark)}/mercato-store/{app}-{fp}"
         _STAGED[app, fp] = staged_store(live, root, bucket_count(spark, line_bytes))
     st = _STAGED[app, fp]
-    return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver)
+    return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver,
+                 {t: (lambda t=t: st.parts(t)) for t in st})

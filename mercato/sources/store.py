@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.sources.adapter import Store
+from mercato.operators.heavy import heavy_keys
+from mercato.sources.adapter import KEY_ROWS, Part, Store
 from mercato.sources.schemas import SCHEMAS, TABLES
 
 # tables bucketed by their join key when written, so that order x lines joins and per-order
@@ -70,15 +72,46 @@ def write_table(df: DataFrame, path: str, table: str, buckets: int | None = None
     return None
 
 
+# tables in which one key may hold very many rows; ``SALT`` spreads such a key's rows
+SALTED = ("order_details", "purchase_order_details")
+SALT = "product_id"
+
+
+def _stage_parts(live: Store, root: str, table: str, n: int) -> list[Part]:
+    """Write one table; the parts it lies in. Rows of heavy keys go to files of their own, spread
+    by a second column, because a bucket cannot be split when it is read."""
+    spark, path, key = live.spark, f"{root.rstrip('/')}/{table}", CLUSTER_KEYS.get(table)
+    rows, keys = live[table], None
+    if table in SALTED:
+        raw = KEY_ROWS[table](live.driver) if live.driver else rows.select(key)
+        keys = heavy_keys(raw, n)
+    if keys is None:
+        return [Part(_open_table(spark, table, path, write_table(rows, path, table, n)))]
+    keys.write.mode("overwrite").parquet(f"{path}_heavy_keys")
+    keys = spark.read.schema(keys.schema).parquet(f"{path}_heavy_keys")
+    few = F.broadcast(keys)  # fewer than 2n rows
+    rest = write_table(rows.join(few, key, "left_anti"), path, table, n)
+    (rows.join(few, key, "left_semi").select(*SCHEMAS[table].fieldNames()).repartition(n, key, SALT)
+     .write.mode("overwrite").parquet(f"{path}_heavy"))
+    return [Part(_open_table(spark, table, path, rest), keys),
+            Part(spark.read.schema(SCHEMAS[table]).parquet(f"{path}_heavy"), keys, heavy=True)]
+
+
 def staged_store(live: Store, root: str, buckets: int | None = None) -> Store:
     """``live`` with every table written under ``root`` the first time it is read."""
-    spark, n = live.spark, buckets or bucket_count(live.spark)
+    n = buckets or bucket_count(live.spark)
+    staged: dict[str, list[Part]] = {}
+
+    def parts(table: str) -> list[Part]:
+        if table not in staged:
+            staged[table] = _stage_parts(live, root, table, n)
+        return staged[table]
 
-    def stage(table: str) -> DataFrame:
-        path = f"{root.rstrip('/')}/{table}"
-        return _open_table(spark, table, path, write_table(live[table], path, table, n))
+    def whole(table: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.rows for p in parts(table)])
 
-    return Store(spark, {t: (lambda t=t: stage(t)) for t in live}, live.driver)
+    return Store(live.spark, {t: (lambda t=t: whole(t)) for t in live}, live.driver,
+                 {t: (lambda t=t: parts(t)) for t in live})
 
 
 def load_store_jdbc(spark: SparkSession, url: str, properties: Mapping[str, str],
