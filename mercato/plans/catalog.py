@@ -28,6 +28,10 @@ ROLE_TEXT = "manager"
 ORDER_TOTAL_TEXT = "0"
 ORDER_STATUS_TEXT = "delayed"
 CUSTOMER_ID_TEXT = "1"
+CUSTOMER_NAME_TEXT = "customer#%5"
+SUPPLIER_ID_TEXT = "7"
+PRODUCT_NAME_TEXT = "BLUE%brand#1"
+STOCK_TEXT = "17"
 SUPPLIER_NAME_TEXT = "supplier#00000001"
 PO_STATUS_TEXT = "pending"
 PO_FLAG_TEXT = "false"
@@ -97,28 +101,40 @@ QUERIES: dict[str, Query] = {
     "R31_list_customers": _s(L.list_customers),
     "R31_list_customers_by_city": _s(lambda st: L.list_customers(st, "city", CITY_TEXT)),
     "R31_list_customers_by_flag": _s(lambda st: L.list_customers(st, "is_valid", FLAG_TEXT)),
+    "R31_list_customers_by_name": _s(lambda st: L.list_customers(st, "customer_name", CUSTOMER_NAME_TEXT)),
     "R32_list_employees": _s(L.list_employees),
     "R32_list_employees_by_type": _s(lambda st: L.list_employees(st, "employee_type", EMPLOYEE_TYPE_TEXT)),
     "R32_list_employees_by_role": _s(lambda st: L.list_employees(st, "emp_role", ROLE_TEXT)),
+    "R32_list_employees_by_contract": _s(lambda st: L.list_employees(st, "employee_type", "contract")),
+    "R32_list_employees_by_no_type": _s(lambda st: L.list_employees(st, "employee_type", "regular")),
     "R33_list_orders": _s(L.list_orders),
     "R33_list_orders_by_total": _s(lambda st: L.list_orders(st, "total_price", ORDER_TOTAL_TEXT)),
     "R33_list_orders_by_status": _s(lambda st: L.list_orders(st, "status", ORDER_STATUS_TEXT)),
     "R33_list_orders_by_customer": _s(lambda st: L.list_orders(st, "customer_id", CUSTOMER_ID_TEXT)),
+    "R33_list_orders_in_cart": _s(lambda st: L.list_orders(st, "status", "cart")),
+    "R33_list_orders_completed": _s(lambda st: L.list_orders(st, "status", "completed")),
     "R34_list_suppliers": _s(L.list_suppliers),
     "R34_list_suppliers_by_name": _s(lambda st: L.list_suppliers(st, "supplier_name", SUPPLIER_NAME_TEXT)),
+    "R34_list_suppliers_by_flag": _s(lambda st: L.list_suppliers(st, "is_valid", FLAG_TEXT)),
     "R35_order_lines": _s(L.order_lines),
     "R36_list_purchase_orders": _s(L.list_purchase_orders),
     "R36_list_purchase_orders_by_status": _s(lambda st: L.list_purchase_orders(st, "delivery_status", PO_STATUS_TEXT)),
     "R36_list_purchase_orders_by_flag": _s(lambda st: L.list_purchase_orders(st, "is_valid", PO_FLAG_TEXT)),
+    "R36_list_purchase_orders_by_supplier": _s(lambda st: L.list_purchase_orders(st, "supplier_id", SUPPLIER_ID_TEXT)),
     "R37_purchase_order_lines": _s(L.purchase_order_lines),
     "R38_list_products": _s(L.list_products),
     "R38_list_products_by_category": _s(lambda st: L.list_products(st, "category", CATEGORY_TEXT)),
     "R38_list_products_by_price": _s(lambda st: L.list_products(st, "price", PRICE_TEXT)),
+    "R38_list_products_by_name": _s(lambda st: L.list_products(st, "product_name", PRODUCT_NAME_TEXT)),
+    "R38_list_products_by_stock": _s(lambda st: L.list_products(st, "stock_quantity", STOCK_TEXT)),
+    "R38_list_products_by_flag": _s(lambda st: L.list_products(st, "is_valid", FLAG_TEXT)),
     "R39_list_employee_orders": _s(L.list_employee_orders),
     "R39_list_employee_orders_by_status": _s(
         lambda st: L.list_employee_orders(st, None, "status", EMPLOYEE_ORDER_STATUS_TEXT)),
     "R39_list_employee_orders_by_total": _s(
         lambda st: L.list_employee_orders(st, None, "total_price", EMPLOYEE_ORDER_TOTAL_TEXT)),
+    "R39_list_employee_orders_by_customer": _s(
+        lambda st: L.list_employee_orders(st, None, "customer_id", CUSTOMER_ID_TEXT)),
     "R40_employee_order_lines": _s(lambda st: L.employee_order_lines(st, order_employee_requests(st))),
     "R41_employee_with_manager": _s(E.employee_with_manager),
     "R42_employee_detail": _s(E.employee_detail),
@@ -130,5 +146,6 @@ QUERIES: dict[str, Query] = {
     "R47_supplier_check": _s(lambda st: L.supplier_check(st, supplier_requests(st))),
     "R48_order_status_manager": _s(lambda st: L.order_status_counts(st, "manager")),
     "R48_order_status_employee": _s(lambda st: L.order_status_counts(st, "employee")),
+    "E_order_labels": _s(L.order_labels),
     "E_product_labels": _s(L.product_labels),
 }

@@ -34,12 +34,12 @@ def _order_stats(store: Store, line_scope: str) -> DataFrame:
         F.count("order_lines").alias("_orders_with_lines"))
 
 
-def _product_stats(store: Store, line_scope: str) -> DataFrame:
-    """R5 to R7 in one grouping of the (customer, product) pairs: a pair counts once under its
+def product_stats(store: Store, pairs: DataFrame) -> DataFrame:
+    """R5 to R7 in one grouping of (customer, product) pairs with n_lines and qty: a pair counts once under its
     category and once under its product name; a pair of an unknown product only counts as one of
     the different products."""
     p = store["product"].select("product_id", "category", "product_name", F.lit(True).alias("_known"))
-    pairs = customer_product_lines(store, line_scope).join(p, "product_id", "left")
+    pairs = pairs.join(p, "product_id", "left")
 
     def entry(kind: int, label, amount):
         return F.struct(F.lit(kind).alias("kind"), F.lower(label).alias("key"), label.alias("label"),
@@ -176,14 +176,21 @@ def customer_profile(store: Store, customer_ids: DataFrame | None = None, line_s
              .checkpoint(eager=True))
     ranked = dense_rank_desc(stats, "total_spent", "spend_rank", materialize=False, hot=0)
     base = _customers(store, customer_ids).drop("order_count")
-    out = (base.join(ranked, "customer_id")
-           .join(_product_stats(store, line_scope), "customer_id", "left")
-           .withColumns({
-               "order_count": zero_if_null("order_count"),
-               "items_ordered": zero_if_null("items_ordered"),
-               "favourite_category": label_if_null("favourite_category", NA),
-               "distinct_products": zero_if_null("distinct_products"),
-               "top_product": label_if_null("top_product", NA),
-               "avg_order_value": F.when(F.col("_orders_with_lines") > 0, average("total_spent", "_orders_with_lines"))
-                                   .otherwise(F.lit(0.0))}))
-    return out.select(*PROFILE_COLUMNS)
+    products = product_stats(store, customer_product_lines(store, line_scope))
+    out = base.join(ranked, "customer_id").join(products, "customer_id", "left")
+    return finished_profile(out).select(*PROFILE_COLUMNS)
+
+
+def finished_profile(df: DataFrame) -> DataFrame:
+    """Customers with the figures joined to them: zeros and labels where there are none. A
+    ``spend_rank`` passes through."""
+    out = df.withColumns({
+        "order_count": zero_if_null("order_count"),
+        "total_spent": F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY)),
+        "items_ordered": zero_if_null("items_ordered"),
+        "favourite_category": label_if_null("favourite_category", NA),
+        "distinct_products": zero_if_null("distinct_products"),
+        "top_product": label_if_null("top_product", NA),
+        "avg_order_value": F.when(F.col("_orders_with_lines") > 0, average("total_spent", "_orders_with_lines"))
+                            .otherwise(F.lit(0.0))})
+    return out.select(*[c for c in PROFILE_COLUMNS if c in out.columns])

@@ -13,6 +13,7 @@ from mercato.operators.carts import fold_carts, fold_carts_into_store
 from mercato.operators.timeline import price_history
 from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
+from mercato.plans.maintained import CustomerCounters
 from mercato.session import shared_dir
 from mercato.sources.adapter import Store
 from mercato.sources.partitioned import PartitionedStore, apply_checkouts, apply_patches
@@ -70,6 +71,19 @@ def _archive(st: Store) -> DataFrame:
     return W.archive_delete_products(st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["product_archive"]
 
 
+def _maintained_profile(st: Store) -> DataFrame:
+    """Profiles from counters that were built before products were deleted with their lines
+    and brought up to date by deltas."""
+    ids = feeds.product_deletes(st)
+    out = W.archive_delete_products(st, ids, feeds.AS_OF_ARCHIVE)
+    after = st.replace(product=out["product"], order_details=out["order_details"])
+    counters = CustomerCounters.create(st, f"{shared_dir(st.spark)}/mercato-counters/{uuid.uuid4().hex}",
+                                       bucket_count(st.spark))
+    hit = st["order_details"].join(ids.select("product_id").distinct(), "product_id", "left_semi")
+    counters.apply(st, after, hit.select("order_id"))
+    return counters.profile(after)
+
+
 def _lines_after_delete(st: Store) -> DataFrame:
     return W.archive_delete_products(st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["order_details"]
 
@@ -214,6 +228,7 @@ JOB_QUERIES = {
     "W3_flag_rejects": _s(_flag_rejects),
     "W5_product_archive": _s(_archive),
     "W5_lines_after_delete": _s(_lines_after_delete),
+    "R10_maintained_profile": _s(_maintained_profile),
     "W6_cart_lines": _s(lambda st: _cart_fold(st)["cart_lines"]),
     "W6_cart_orders": _s(lambda st: _cart_fold(st)["cart_orders"]),
     "W6_stock_moves": _s(lambda st: _cart_fold(st)["stock_moves"]),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.expr import (UNKNOWN_PRODUCT, active, active_label, delivery_status_text,
+from mercato.functions.expr import (NOT_RECEIVED, UNKNOWN_PRODUCT, active, active_label, delivery_status_text,
                                     employee_status_text, iso_date, label_if_null, line_value, money_text,
                                     text_equals, zero_if_null)
 from mercato.functions.search import (SearchSpec, apply_search, by_flag, by_id, by_int, by_money, by_text,
@@ -271,3 +271,11 @@ def product_labels(store: Store) -> DataFrame:
     return p.select("product_id", active_label().alias("status_label"), money_text("price").alias("price_text"),
                     money_text("price", thousands=True).alias("price_display"),
                     iso_date("stock_arrival_date").alias("arrival_text"))
+
+
+def order_labels(store: Store) -> DataFrame:
+    """Active orders as the pages show their dates: ISO text, 'Not received yet' where an order
+    has no received date."""
+    return active_orders(store).select(
+        "order_id", iso_date("order_date").alias("order_date_text"),
+        label_if_null(iso_date("actual_received_date"), NOT_RECEIVED).alias("received_text"))

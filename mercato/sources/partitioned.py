@@ -34,7 +34,7 @@ def part_of(key: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(parts)).cast("int")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -83,7 +83,7 @@ class PartitionedStore(Store):
         left = {r[0] for r in self._placed(table, df).select(PART).distinct().collect()}
         for p in parts:  # a part that lost its last row has no file to replace the old one
             if p not in left:
-                _delete(self.spark, f"{self.root}/{table}/{PART}={p}")
+                delete_folder(self.spark, f"{self.root}/{table}/{PART}={p}")
 
     def apply(self, job: Callable[[Mapping[str, DataFrame]], Mapping[str, DataFrame]],
               touched: Mapping[str, DataFrame], appended: Mapping[str, str] | None = None

@@ -275,6 +275,10 @@ _LIST_EMPLOYEES = """SELECT e.employee_id, e.employee_name, e.emp_role, e.email_
     WHERE e.is_valid {cond} ORDER BY e.employee_id"""
 ORACLE["R32_list_employees"] = with_store(_LIST_EMPLOYEES.format(cond=""))
 ORACLE["R32_list_employees_by_type"] = with_store(_LIST_EMPLOYEES.format(cond="AND he.employee_id IS NOT NULL"))
+ORACLE["R31_list_customers_by_name"] = with_store(_LIST_CUSTOMERS.format(where="WHERE c.customer_name ILIKE '%customer#%5%'"))
+ORACLE["R32_list_employees_by_contract"] = with_store(_LIST_EMPLOYEES.format(cond="AND ce.employee_id IS NOT NULL"))
+ORACLE["R32_list_employees_by_no_type"] = with_store(_LIST_EMPLOYEES.format(
+    cond="AND he.employee_id IS NULL AND ce.employee_id IS NULL"))
 ORACLE["R32_list_employees_by_role"] = with_store(_LIST_EMPLOYEES.format(cond="AND e.emp_role ILIKE '%manager%'"))
 
 _LIST_ORDERS = f"""SELECT o.order_id, o.customer_id, o.employee_id, o.order_date, o.expected_received_date,
@@ -288,6 +292,9 @@ ORACLE["R33_list_orders_by_total"] = with_store(
     _LIST_ORDERS.format(where="", having="HAVING COALESCE(SUM(od.price * od.quantity), 0) = 0"))
 ORACLE["R33_list_orders_by_status"] = with_store(_LIST_ORDERS.format(
     where="AND o.actual_received_date IS NOT NULL AND o.actual_received_date > o.expected_received_date", having=""))
+ORACLE["R33_list_orders_in_cart"] = with_store(_LIST_ORDERS.format(where="AND o.actual_received_date IS NULL", having=""))
+ORACLE["R33_list_orders_completed"] = with_store(_LIST_ORDERS.format(
+    where="AND o.actual_received_date <= o.expected_received_date", having=""))
 ORACLE["R33_list_orders_by_customer"] = with_store(_LIST_ORDERS.format(where="AND o.customer_id = 1", having=""))
 
 _LIST_SUPPLIERS = """SELECT s.supplier_id, s.supplier_name, s.email_address, s.phone_number, s.is_valid,
@@ -296,6 +303,7 @@ _LIST_SUPPLIERS = """SELECT s.supplier_id, s.supplier_name, s.email_address, s.p
     WHERE {where} GROUP BY s.supplier_id, s.supplier_name, s.email_address, s.phone_number, s.is_valid
     ORDER BY s.supplier_id"""
 ORACLE["R34_list_suppliers"] = with_store(_LIST_SUPPLIERS.format(where="s.is_valid"))
+ORACLE["R34_list_suppliers_by_flag"] = with_store(_LIST_SUPPLIERS.format(where="NOT s.is_valid"))
 ORACLE["R34_list_suppliers_by_name"] = with_store(_LIST_SUPPLIERS.format(where="s.supplier_name ILIKE '%supplier#00000001%'"))
 
 ORACLE["R35_order_lines"] = with_store(f"""SELECT od.order_id, od.product_id, COALESCE(p.product_name, 'Unknown Product') AS product_name,
@@ -310,6 +318,7 @@ _LIST_PO = """SELECT purchase_order_id, employee_id, supplier_id, order_date, ex
     FROM st_purchase_order WHERE 1=1 {cond} ORDER BY order_date, purchase_order_id"""
 ORACLE["R36_list_purchase_orders"] = with_store(_LIST_PO.format(cond=""))
 ORACLE["R36_list_purchase_orders_by_status"] = with_store(_LIST_PO.format(cond="AND lower(delivery_status) = 'pending'"))
+ORACLE["R36_list_purchase_orders_by_supplier"] = with_store(_LIST_PO.format(cond="AND supplier_id = 7"))
 ORACLE["R36_list_purchase_orders_by_flag"] = with_store(_LIST_PO.format(cond="AND is_valid = FALSE"))
 
 ORACLE["R37_purchase_order_lines"] = with_store("""SELECT pod.purchase_order_id, pod.product_id, p.product_name, pod.price, pod.quantity
@@ -319,6 +328,9 @@ _LIST_PRODUCTS = """SELECT product_id, product_name, category, price, stock_quan
     FROM st_product WHERE {where} ORDER BY product_id"""
 ORACLE["R38_list_products"] = with_store(_LIST_PRODUCTS.format(where="is_valid"))
 ORACLE["R38_list_products_by_category"] = with_store(_LIST_PRODUCTS.format(where="category ILIKE '%promo%'"))
+ORACLE["R38_list_products_by_name"] = with_store(_LIST_PRODUCTS.format(where="product_name ILIKE '%blue%brand#1%'"))
+ORACLE["R38_list_products_by_stock"] = with_store(_LIST_PRODUCTS.format(where="stock_quantity = 17"))
+ORACLE["R38_list_products_by_flag"] = with_store(_LIST_PRODUCTS.format(where="NOT is_valid"))
 ORACLE["R38_list_products_by_price"] = with_store(_LIST_PRODUCTS.format(where="price = 900.10"))
 
 _LIST_EMP_ORDERS = f"""SELECT o.order_id, o.customer_id, o.employee_id, o.order_date, o.expected_received_date,
@@ -329,6 +341,10 @@ _LIST_EMP_ORDERS = f"""SELECT o.order_id, o.customer_id, o.employee_id, o.order_
     ORDER BY o.order_date DESC, o.order_id"""
 ORACLE["R39_list_employee_orders"] = with_store(_LIST_EMP_ORDERS.format(cond=""))
 ORACLE["R39_list_employee_orders_by_status"] = with_store(_LIST_EMP_ORDERS.format(cond="AND lower(o.status) = 'completed'"))
+ORACLE["R39_list_employee_orders_by_customer"] = with_store(_LIST_EMP_ORDERS.format(cond="AND o.customer_id = 1"))
+ORACLE["E_order_labels"] = with_store("""SELECT order_id, strftime(order_date, '%Y-%m-%d') AS order_date_text,
+        COALESCE(strftime(actual_received_date, '%Y-%m-%d'), 'Not received yet') AS received_text
+    FROM st_orders WHERE is_valid""")
 ORACLE["R39_list_employee_orders_by_total"] = with_store(_LIST_EMP_ORDERS.format(
     cond="AND (SELECT SUM(od.price * od.quantity) FROM st_order_details od WHERE od.order_id = o.order_id) = 9483349.94"))
 
@@ -608,6 +624,22 @@ _DELETES = """dels AS (SELECT product_id FROM st_product WHERE NOT is_valid
 ORACLE["W5_product_archive"] = with_store("""SELECT product_id, product_name, category, price, stock_quantity, stock_arrival_date,
         TIMESTAMP '2024-02-01 12:00:00' AS archived_at
     FROM st_product WHERE product_id IN (SELECT product_id FROM dels)""", _DELETES)
+# the profile (without the rank) over the tables after the deletes
+_KEPT = """kept_lines AS (SELECT * FROM st_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)),
+kept_products AS (SELECT * FROM st_product WHERE product_id NOT IN (SELECT product_id FROM dels))"""
+_PROFILE_PARTS = ",\n".join([_ORDER_STATS, _CUST_TOTALS, _FAV, _DISTINCT, _TOP, _AVG])
+ORACLE["R10_maintained_profile"] = with_store(
+    f"""SELECT c.customer_id, c.customer_name, c.phone_number, c.email_address, c.city, c.shipping_address, c.is_valid,
+        COALESCE(s.n, 0) AS order_count, CAST(COALESCE(t.total_spent, 0) AS {M38}) AS total_spent,
+        s.last_date AS last_order_date, CAST(COALESCE(t.items, 0) AS BIGINT) AS items_ordered,
+        COALESCE(f.category, 'N/A') AS favourite_category, COALESCE(d.n, 0) AS distinct_products,
+        COALESCE(tp.product_name, 'N/A') AS top_product, COALESCE(a.v, 0.0) AS avg_order_value
+    FROM st_customer c
+    LEFT JOIN ostats s USING (customer_id) LEFT JOIN cust_totals t USING (customer_id)
+    LEFT JOIN fav f USING (customer_id) LEFT JOIN dprod d USING (customer_id)
+    LEFT JOIN topp tp USING (customer_id) LEFT JOIN avgv a USING (customer_id)""",
+    _DELETES + ",\n" + _KEPT + ",\n"
+    + _PROFILE_PARTS.replace("st_order_details", "kept_lines").replace("st_product", "kept_products"))
 ORACLE["W5_lines_after_delete"] = with_store(
     "SELECT * FROM st_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)", _DELETES)
 
