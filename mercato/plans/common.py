@@ -42,7 +42,7 @@ def by_order(store: Store, line_scope: str, orders: DataFrame,
     heavy order, which lie in many files, never meet in one task. ``small`` marks a frame of at
     most one row per heavy order (fewer than two per bucket) for broadcasting; it leaves the frames of the
     others as they are."""
-    parts = store.parts("order_details") if hasattr(store, "parts") else [Part(store["order_details"])]
+    parts = store.parts_of("order_details") if hasattr(store, "parts_of") else [Part(store["order_details"])]
     results = []
     for part in parts:
         li = part.rows if line_scope == "all" else active(part.rows)

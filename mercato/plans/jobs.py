@@ -16,6 +16,7 @@ from mercato.plans.catalog import _s
 from mercato.plans.maintained import CustomerCounters
 from mercato.session import shared_dir
 from mercato.sources.adapter import Store
+from mercato.sources.order_statistics import OrderStatistics
 from mercato.sources.partitioned import PartitionedStore, apply_checkouts, apply_patches
 from mercato.sources.store import bucket_count
 
@@ -72,16 +73,17 @@ def _archive(st: Store) -> DataFrame:
 
 
 def _maintained_profile(st: Store) -> DataFrame:
-    """Profiles from counters that were built before products were deleted with their lines
+    """Profiles with ranks from counters that were built before products were deleted with their lines
     and brought up to date by deltas."""
     ids = feeds.product_deletes(st)
     out = W.archive_delete_products(st, ids, feeds.AS_OF_ARCHIVE)
     after = st.replace(product=out["product"], order_details=out["order_details"])
-    counters = CustomerCounters.create(st, f"{shared_dir(st.spark)}/mercato-counters/{uuid.uuid4().hex}",
-                                       bucket_count(st.spark))
+    root = f"{shared_dir(st.spark)}/mercato-counters/{uuid.uuid4().hex}"
+    counters = CustomerCounters.create(st, f"{root}/counters", bucket_count(st.spark))
+    spend = OrderStatistics.create(counters.totals(), f"{root}/spend", bucket_count(st.spark))
     hit = st["order_details"].join(ids.select("product_id").distinct(), "product_id", "left_semi")
-    counters.apply(st, after, hit.select("order_id"))
-    return counters.profile(after)
+    counters.apply(st, after, hit.select("order_id"), spend)
+    return counters.profile(after, spend=spend)
 
 
 def _lines_after_delete(st: Store) -> DataFrame:

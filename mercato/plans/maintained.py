@@ -1,4 +1,4 @@
-"""Customer profiles from maintained counters (R1-R8, R10): a change costs what it touches.
+"""Customer profiles from maintained counters (R1-R10): a change costs what it touches.
 
 The counters are rows ``(customer_id, kind, key, n, qty, value)`` that only ever add up:
 
@@ -27,6 +27,7 @@ from mercato.operators.joins import lookup
 from mercato.plans.common import Store, active_orders, by_order
 from mercato.plans.customer import finished_profile, product_stats
 from mercato.session import ensure_checkpoint_dir
+from mercato.sources.order_statistics import OrderStatistics
 from mercato.sources.partitioned import PART, delete_folder, part_of
 
 SCHEMA = "customer_id BIGINT, kind STRING, key BIGINT, n BIGINT, qty BIGINT, value DECIMAL(38,2)"
@@ -107,10 +108,16 @@ class CustomerCounters:
         changed = (F.col("n") != 0) | (F.col("qty") != 0) | (F.col("value") != 0)
         return _summed(new.unionByName(minus)).where(changed)
 
-    def apply(self, before: Store, after: Store, order_ids: DataFrame) -> list[int]:
+    def totals(self, rows: DataFrame | None = None) -> DataFrame:
+        """Spend per customer that has counters."""
+        return (self.rows() if rows is None else rows).groupBy("customer_id").agg(
+            F.sum("value").cast("decimal(38,2)").alias("value"))
+
+    def apply(self, before: Store, after: Store, order_ids: DataFrame,
+              spend: OrderStatistics | None = None) -> list[int]:
         """Bring the counters from the state of ``before`` to that of ``after``, which differ in
         rows of ``order_ids`` only (orders that neither has count for nothing; so do repeats).
-        Returns the folders rewritten. Apply each change once."""
+        ``spend`` (of ``totals``) follows. Returns the folders rewritten. Apply each change once."""
         ensure_checkpoint_dir(self.spark)
         deltas = self.deltas(before, after, order_ids).checkpoint(eager=True)
         parts = self.touched(deltas)
@@ -118,13 +125,23 @@ class CustomerCounters:
             return []
         # computed before the files it is read from are replaced
         fresh = _summed(self.rows(parts).unionByName(deltas)).where(F.col("n") != 0).checkpoint(eager=True)
+        moves = None
+        if spend is not None:
+            who = deltas.select("customer_id").distinct()
+            moves = self.totals(lookup(fresh, who, "customer_id")).select("value", F.lit(1).alias("n")).unionByName(
+                self.totals(lookup(self.rows(parts), who, "customer_id")).select("value", F.lit(-1).alias("n")))
+            moves = moves.checkpoint(eager=True)
         self._write(fresh)
         for p in set(parts) - set(self.touched(fresh)):  # its last row went: no file replaced the old one
             delete_folder(self.spark, f"{self.root}/{PART}={p}")
+        if spend is not None:
+            spend.apply(moves)
         return parts
 
-    def profile(self, store: Store, customer_ids: DataFrame | None = None) -> DataFrame:
-        """R10 without the rank, per customer or per requested id, from the counters."""
+    def profile(self, store: Store, customer_ids: DataFrame | None = None,
+                spend: OrderStatistics | None = None) -> DataFrame:
+        """R10 per customer or per requested id, from the counters; the spend rank (R9) is there
+        with ``spend``, and reads the ranges that the customers' totals lie in."""
         base = store["customer"].drop("order_count")
         rows = self.rows()
         if customer_ids is not None:
@@ -140,5 +157,8 @@ class CustomerCounters:
             F.sum(of("filled", "n")).alias("_orders_with_lines"))
         pairs = rows.where("kind = 'product'").select(
             "customer_id", F.col("key").alias("product_id"), F.col("n").alias("n_lines"), "qty")
-        return finished_profile(base.join(stats, "customer_id", "left")
-                                .join(product_stats(store, pairs), "customer_id", "left")).drop("spend_rank")
+        out = base.join(stats, "customer_id", "left").join(product_stats(store, pairs), "customer_id", "left")
+        if spend is None:
+            return finished_profile(out)
+        out = out.withColumn("value", F.coalesce("total_spent", F.lit(0).cast("decimal(38,2)")))
+        return finished_profile(spend.ranked(out, "spend_rank"))

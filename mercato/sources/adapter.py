@@ -249,7 +249,7 @@ class Part(NamedTuple):
 
 class Store(Mapping):
     """The 14 store tables as lazily built DataFrames, plus the driver tables (``store.driver``)
-    that change feeds are derived from. ``parts`` gives a table in its parts by key."""
+    that change feeds are derived from. ``parts_of`` gives a table in its parts by key."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]],
                  driver: DriverTables | None = None, parts: Mapping[str, Callable[[], list[Part]]] | None = None):
@@ -259,7 +259,7 @@ class Store(Mapping):
         self._built: dict[str, DataFrame] = {}
         self.driver = driver
 
-    def parts(self, name: str) -> list[Part]:
+    def parts_of(self, name: str) -> list[Part]:
         return self._parts[name]() if name in self._parts else [Part(self[name])]
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -333,4 +333,4 @@ def store_from_driver(spark: SparkSession, sf_dir: str, staged: bool = True) ->
         _STAGED[app, fp] = staged_store(live, root, bucket_count(spark, line_bytes))
     st = _STAGED[app, fp]
     return Store(spark, {t: (lambda t=t: st[t]) for t in st}, live.driver,
-                 {t: (lambda t=t: st.parts(t)) for t in st})
+                 {t: (lambda t=t: st.parts_of(t)) for t in st})

@@ -624,17 +624,17 @@ _DELETES = """dels AS (SELECT product_id FROM st_product WHERE NOT is_valid
 ORACLE["W5_product_archive"] = with_store("""SELECT product_id, product_name, category, price, stock_quantity, stock_arrival_date,
         TIMESTAMP '2024-02-01 12:00:00' AS archived_at
     FROM st_product WHERE product_id IN (SELECT product_id FROM dels)""", _DELETES)
-# the profile (without the rank) over the tables after the deletes
+# the profile over the tables after the deletes
 _KEPT = """kept_lines AS (SELECT * FROM st_order_details WHERE product_id NOT IN (SELECT product_id FROM dels)),
 kept_products AS (SELECT * FROM st_product WHERE product_id NOT IN (SELECT product_id FROM dels))"""
-_PROFILE_PARTS = ",\n".join([_ORDER_STATS, _CUST_TOTALS, _FAV, _DISTINCT, _TOP, _AVG])
+_PROFILE_PARTS = ",\n".join([_ORDER_STATS, _CUST_TOTALS, _FAV, _DISTINCT, _TOP, _AVG, _RANK])
 ORACLE["R10_maintained_profile"] = with_store(
     f"""SELECT c.customer_id, c.customer_name, c.phone_number, c.email_address, c.city, c.shipping_address, c.is_valid,
         COALESCE(s.n, 0) AS order_count, CAST(COALESCE(t.total_spent, 0) AS {M38}) AS total_spent,
         s.last_date AS last_order_date, CAST(COALESCE(t.items, 0) AS BIGINT) AS items_ordered,
         COALESCE(f.category, 'N/A') AS favourite_category, COALESCE(d.n, 0) AS distinct_products,
-        COALESCE(tp.product_name, 'N/A') AS top_product, COALESCE(a.v, 0.0) AS avg_order_value
-    FROM st_customer c
+        COALESCE(tp.product_name, 'N/A') AS top_product, COALESCE(a.v, 0.0) AS avg_order_value, rk.spend_rank
+    FROM st_customer c JOIN rk USING (customer_id)
     LEFT JOIN ostats s USING (customer_id) LEFT JOIN cust_totals t USING (customer_id)
     LEFT JOIN fav f USING (customer_id) LEFT JOIN dprod d USING (customer_id)
     LEFT JOIN topp tp USING (customer_id) LEFT JOIN avgv a USING (customer_id)""",

@@ -2,6 +2,7 @@
 the changed store, and only the folders of touched customers are rewritten."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,75 @@ def test_patched_names_need_no_delta(st, counters):
     p = st["product"].withColumn("category", F.concat(F.lit("New "), "category"))
     after = st.replace(product=p)
     same(counters.profile(after), recomputed(after))
+
+
+# ---- order statistics -----------------------------------------------------------------------
+def brute_ranks(values, asked):
+    distinct = set(values)
+    return {a: None if a is None else 1 + sum(v > a for v in distinct) for a in asked}
+
+
+def ranks_of(stats, asked):
+    df = stats.spark.createDataFrame([(None if a is None else str(a),) for a in asked], "value string") \
+        .select(F.col("value").cast("decimal(38,2)").alias("value"))
+    out = stats.ranked(df).collect()
+    assert len(out) == len(asked)
+    return {None if r["value"] is None else float(r["value"]): r["rank"] for r in out}
+
+
+def money(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "value double")
+
+
+def test_ranks_against_brute_force_through_changes(spark, tmp_path):
+    from mercato.sources.order_statistics import OrderStatistics
+    values = [float((i * 37) % 500) for i in range(2_000)] + [250.0] * 700  # a hot value, all repeated
+    stats = OrderStatistics.create(money(spark, values + [None]), str(tmp_path / "s"), 8)
+    asked = [0.0, 0.5, 250.0, 499.0, 999.0, -3.0, 123.0, None, 250.0]
+    assert ranks_of(stats, asked) == brute_ranks(values, asked)
+    # all values of the top ranges go, one new value far above comes, one loses one holder only
+    gone = [v for v in values if v >= 300] + [250.0]
+    new = [5_000.0, 5_000.0]
+    deltas = money(spark, gone).withColumn("n", F.lit(-1)).unionByName(money(spark, new).withColumn("n", F.lit(1)))
+    touched = stats.apply(deltas)
+    left = [v for v in values if v < 300] + new
+    assert 0 < len(touched) < 8
+    asked += [5_000.0, 400.0, 6_000.0]
+    assert ranks_of(stats, asked) == brute_ranks(left, asked)
+    assert ranks_of(OrderStatistics.open(spark, stats.root), asked) == brute_ranks(left, asked)
+    assert stats.apply(deltas.limit(0)) == []
+
+
+def test_a_few_ranks_read_their_ranges_only(spark, tmp_path):
+    from mercato.sources.order_statistics import OrderStatistics
+    stats = OrderStatistics.create(money(spark, [float(i) for i in range(4_000)]), str(tmp_path / "s"), 8)
+    some = stats.values([stats.range_of(10), stats.range_of(12)])
+    assert some.where("value IN (10, 12)").count() == 2
+    plan = stats.ranked(money(spark, [10.0, 12.0]).select(F.col("value").cast("decimal(38,2)").alias("value"))) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_range#\d+ = 0", plan)
+    assert some.count() < 4_000 / 4
+
+
+def test_outgrown_ranges_are_cut_anew(spark, tmp_path):
+    from mercato.sources.order_statistics import OrderStatistics
+    stats = OrderStatistics.create(money(spark, [float(i) for i in range(100)]), str(tmp_path / "s"), 2, most_per_range=200)
+    more = [1_000.0 + i for i in range(900)]
+    stats.apply(money(spark, more).withColumn("n", F.lit(1)))
+    assert max(r["distinct"] for r in stats.counts().collect()) <= 200
+    asked = [0.0, 99.0, 1_000.0, 1_899.0]
+    assert ranks_of(stats, asked) == brute_ranks([float(i) for i in range(100)] + more, asked)
+    empty = OrderStatistics.create(money(spark, [1.0]).limit(0), str(tmp_path / "e"), 4)
+    assert ranks_of(empty, [1.0]) == {1.0: 1}
+
+
+def test_ranks_follow_the_counters(st, counters, tmp_path):
+    from mercato.sources.order_statistics import OrderStatistics
+    spend = OrderStatistics.create(counters.totals(), str(tmp_path / "spend"), 8)
+    same(counters.profile(st, spend=spend), customer_profile(st))
+    ids = list(range(0, 300))
+    after = changed(st, ids)
+    counters.apply(st, after, st.spark.range(300).withColumnRenamed("id", "order_id"), spend)
+    same(counters.profile(after, spend=spend), customer_profile(after))
+    asked = st["customer"].select("customer_id").where("customer_id IN (3, 5, 9)")
+    same(counters.profile(after, asked, spend), customer_profile(after, asked))

@@ -68,7 +68,7 @@ def test_lines_of_a_heavy_order_lie_in_files_of_their_own(spark, hot_dir, tmp_pa
     spark.conf.set(merging, "false")
     try:
         st = staged_store(live, str(tmp_path), 8)
-        rest, heavy = st.parts("order_details")
+        rest, heavy = st.parts_of("order_details")
     finally:
         spark.conf.set(merging, before)
     assert [r[0] for r in heavy.keys.collect()] == [0] and not rest.heavy and heavy.heavy
@@ -113,5 +113,5 @@ def test_replaced_tables_have_one_part(spark, hot_dir):
     from mercato.sources.adapter import store_from_driver
     st = store_from_driver(spark, hot_dir)
     changed = st.replace(order_details=st["order_details"].where("quantity > 1"))
-    assert len(changed.parts("order_details")) == 1 and len(changed.parts("purchase_order_details")) >= 1
-    assert len(st.replace(product=st["product"]).parts("order_details")) == 2
+    assert len(changed.parts_of("order_details")) == 1 and len(changed.parts_of("purchase_order_details")) >= 1
+    assert len(st.replace(product=st["product"]).parts_of("order_details")) == 2
