@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from mercato.operators import changes as W
 from mercato.operators import quality as V
 from mercato.operators.carts import fold_carts, fold_carts_into_store
+from mercato.operators.key_set import key_set, merged, size
 from mercato.operators.timeline import price_history
 from mercato.plans import dirty, feeds
 from mercato.plans.catalog import _s
@@ -32,8 +34,8 @@ def line_feed_violations(store: Store) -> DataFrame:
     """V1, V2, V3, V6 on the raw line feed, one row per (line, failed rule)."""
     f = feeds.raw_line_feed(store)
     f = V.with_duplicate_flag(f, ["order_id", "product_id"], "_dup")
-    f = V.with_parent_flag(f, "order_id", store["orders"], "order_id", "_orphan_order")
-    f = V.with_parent_flag(f, "product_id", store["product"], "product_id", "_orphan_product")
+    f = V.with_parent_bit(f, "order_id", store["orders"], "order_id", "_orphan_order")
+    f = V.with_parent_bit(f, "product_id", store["product"], "product_id", "_orphan_product")
     rules = V.table_rules("order_details", ["order_id", "product_id", "price", "quantity"]) + [
         ("V1:primary_key:duplicate", F.col("_dup")),
         ("V3:order_id:orphan", F.col("_orphan_order")),
@@ -42,6 +44,18 @@ def line_feed_violations(store: Store) -> DataFrame:
     return V.violations(bad, ["order_id", "product_id", "line_number"])
 
 
+def feed_key_counts(store: Store) -> DataFrame:
+    """V3 over whole key sets: distinct orders and products of the line feed, of the store, and of
+    both together (exact; the sets are built once each and merged)."""
+    f = feeds.raw_line_feed(store)
+    rows = []
+    for column, parent in (("order_id", "orders"), ("product_id", "product")):
+        sent, known = key_set(f, column), key_set(store[parent], column)
+        rows += [size(keys).select(F.lit(column).alias("key"), F.lit(what).alias("of"), "n")
+                 for what, keys in (("feed", sent), ("store", known), ("either", merged(sent, known)))]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _table_violations(table: str, contact: bool = False):
     return lambda st: V.table_violations(st, table, contact)
 
@@ -211,6 +225,7 @@ JOB_QUERIES = {
     "W4_purchase_order_rejects": _s(lambda st: _purchase_flags(st)["rejects"]),
     "V1_duplicate_line_keys": _s(duplicate_line_keys),
     "V_line_feed_violations": _s(line_feed_violations),
+    "V3_feed_key_counts": _s(feed_key_counts),
     "V_employee_violations": _s(_table_violations("employee", contact=True)),
     "V_purchase_order_violations": _s(_table_violations("purchase_order")),
     "V_product_violations": _s(_table_violations("product")),

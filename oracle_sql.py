@@ -417,6 +417,11 @@ _FEED = """feed AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, l_li
         CAST(l_extendedprice AS DECIMAL(10,2)) AS price, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem)"""
 ORACLE["V1_duplicate_line_keys"] = """SELECT l_orderkey AS order_id, l_partkey AS product_id, COUNT(*) AS n_copies
     FROM lineitem GROUP BY l_orderkey, l_partkey HAVING COUNT(*) > 1"""
+ORACLE["V3_feed_key_counts"] = with_store("\nUNION ALL ".join(
+    f"""SELECT '{k}' AS key, 'feed' AS of, COUNT(DISTINCT {k}) AS n FROM feed
+    UNION ALL SELECT '{k}', 'store', COUNT(DISTINCT {k}) FROM {t}
+    UNION ALL SELECT '{k}', 'either', COUNT(DISTINCT {k}) FROM (SELECT {k} FROM feed UNION ALL SELECT {k} FROM {t}) b"""
+    for k, t in (("order_id", "st_orders"), ("product_id", "st_product"))), _FEED)
 ORACLE["V_line_feed_violations"] = with_store("""
     SELECT order_id, product_id, line_number, 'V2:order_id:null' AS reason FROM feed WHERE order_id IS NULL
     UNION ALL SELECT order_id, product_id, line_number, 'V2:product_id:null' FROM feed WHERE product_id IS NULL
