@@ -2,7 +2,12 @@
 
 A text is a sequence of words (runs of letters, digits and non-ASCII characters, A-Z
 lower-cased). A word's input is a word embedding, found by hash, next to the mean embedding of
-its character trigrams, so an unseen form of a known stem still counts. The network reads
+its character trigrams, and next to its evidence: the log odds of the classes among the training
+texts that hold it, less 1.5 standard errors, and the strongest such odds for and against of
+its pieces of six bytes, so an unseen form of a known stem still counts.
+Embeddings are shrunk by the number of training texts that hold the word, so that words of one text
+cannot be learned by heart; while training, a text's own count and label are left out of both, and
+words lose their embedding at random. The network reads
 windows of ``WINDOW`` words that overlap by half; a text's score is its highest window score, so
 one bad sentence in a long text counts in full. All windows of the whole text are scored.
 
@@ -31,7 +36,12 @@ from mercato.llm.shingles import mix64
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS = 15, 14
-WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
+SEEN_BITS, PIECE = 20, 6
+WORD_DIM, CHAR_DIM, FACTS, HIDDEN, ATTENTION = 8, 8, 3, 8, 8
+SHRINK = 4.0        # a word of this many training texts keeps half its embedding
+PRIOR = 2.0         # texts that every word is taken to have been seen in, spread like the classes
+ERRORS = 1.5        # standard errors taken off the evidence
+DROP = 0.9          # share of words without their embeddings in a training step
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -41,10 +51,11 @@ _FOLD[~_IS_WORD[_FOLD]] = 32
 
 
 class Words:
-    """The words of a batch of texts: hash buckets, trigram codes, and the words of each text."""
+    """The words of a batch of texts: hash buckets, trigram codes, the words of each text, and the
+    slots of words and then of their pieces in ``Seen``."""
 
     def __init__(self, texts: list[bytes]):
-        data = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)]
+        data = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" " * PIECE, dtype=np.uint8)]
         inside = data != 32
         edge = np.diff(inside.view(np.int8))
         first, last = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
@@ -59,7 +70,18 @@ class Words:
             place = (np.arange(len(self.trigrams)) - np.repeat(self.at[:-1], last - first) + 1)
             value = mix64(code[inside].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(40)))
             whole = np.add.reduceat(value, self.at[:-1]) if len(first) else value[:0]
-            self.buckets = (mix64(whole) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+            whole = mix64(whole)
+            self.buckets = (whole >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+            # pieces: runs of PIECE bytes of a word with a space at each end
+            run = np.zeros(len(data), dtype=np.uint64)
+            for k in range(PIECE):
+                run[:len(data) - PIECE + 1] |= (data[k:len(data) - PIECE + 1 + k].astype(np.uint64)
+                                                << np.uint64(8 * k))
+            n = np.maximum(last - first + 3 - PIECE, 0)
+            self.piece_word = np.repeat(np.arange(len(n)), n)
+            start = np.arange(n.sum()) + np.repeat(first - 1 - np.cumsum(n) + n, n)
+            self.slots = np.concatenate([(v >> np.uint64(64 - SEEN_BITS)).astype(np.int32)
+                                         for v in (whole, mix64(run[start] ^ np.uint64(1 << 63)))])
         ends = 1 + np.cumsum([len(t) + 1 for t in texts])
         until = np.searchsorted(first, ends)
         self.counts = np.diff(until, prepend=0)
@@ -74,13 +96,51 @@ class Words:
         return np.where(index < until[text][:, None], index, -1), text
 
 
+class Seen:
+    """In how many training texts of each class a word or piece was seen, by hash (4 MB)."""
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray, step: int = 256):
+        self.counts = np.zeros((2, 1 << SEEN_BITS), dtype=np.uint16)
+        self.totals = np.bincount(labels, minlength=2).astype(np.float64)
+        for i in range(0, len(texts), step):
+            words = Words(texts[i:i + step])
+            pairs = np.unique(self._texts(words).astype(np.int64) << SEEN_BITS | words.slots)
+            np.add.at(self.counts, (labels[i + (pairs >> SEEN_BITS)], pairs & (1 << SEEN_BITS) - 1), 1)
+
+    @staticmethod
+    def _texts(words: Words) -> np.ndarray:
+        """The text of each slot."""
+        text = np.repeat(np.arange(len(words.counts)), words.counts)
+        return np.concatenate([text, text[words.piece_word]])
+
+    def facts(self, words: Words, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(share of its embedding that each word keeps; evidence of each word, and the strongest
+        for and against of its pieces). With ``label`` the texts are training texts of these
+        classes and do not vouch for themselves."""
+        seen = self.counts[:, words.slots].astype(np.float32)
+        if label is not None:
+            seen[label.astype(int)[self._texts(words)], np.arange(len(words.slots))] -= 1
+        share = (PRIOR * self.totals / max(self.totals.sum(), 1)).astype(np.float32)
+        some = seen + share[:, None]
+        odds = np.log(some[1] / some[0]) - np.log(share[1] / share[0])
+        sure = np.abs(odds) - np.float32(ERRORS) * np.sqrt((1 / some).sum(axis=0))
+        sure = np.sign(odds) * np.maximum(sure, 0)
+        n = len(words.buckets)
+        evidence = np.zeros((n, FACTS), dtype=np.float32)
+        evidence[:, 0] = sure[:n]
+        np.maximum.at(evidence[:, 1], words.piece_word, sure[n:])
+        np.minimum.at(evidence[:, 2], words.piece_word, sure[n:])
+        texts = seen[:, :n].sum(axis=0)
+        return texts / (texts + np.float32(SHRINK)), evidence
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 def initial_parameters(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    d = WORD_DIM + CHAR_DIM
+    d = WORD_DIM + CHAR_DIM + FACTS
 
     def draw(scale, *shape):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -95,14 +155,17 @@ def initial_parameters(seed: int = 7) -> dict[str, np.ndarray]:
     return p
 
 
-def word_inputs(p: dict, words: Words) -> np.ndarray:
+def word_inputs(p: dict, words: Words, facts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Input vectors of all words, and a row of zeros at the end for places beyond the text."""
     n = len(words.buckets)
-    out = np.zeros((n + 1, WORD_DIM + CHAR_DIM), dtype=np.float32)
-    out[:n, :WORD_DIM] = p["word"][words.buckets]
+    keeps, evidence = facts
+    out = np.zeros((n + 1, WORD_DIM + CHAR_DIM + FACTS), dtype=np.float32)
+    out[:n, :WORD_DIM] = p["word"][words.buckets] * keeps[:, None]
+    out[:n, -FACTS:] = evidence
     if n:
         size = np.diff(words.at)[:, None].astype(np.float32)
-        out[:n, WORD_DIM:] = np.add.reduceat(p["char"][words.trigrams], words.at[:-1], axis=0) / size
+        chars = np.add.reduceat(p["char"][words.trigrams], words.at[:-1], axis=0) / size
+        out[:n, WORD_DIM:-FACTS] = chars * keeps[:, None]
     return out
 
 
@@ -178,9 +241,10 @@ def _flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
-def gradients(p: dict, words: Words, index: np.ndarray, text: np.ndarray, label: np.ndarray):
+def gradients(p: dict, words: Words, facts: tuple[np.ndarray, np.ndarray], index: np.ndarray,
+              text: np.ndarray, label: np.ndarray):
     """Loss of the noisy-or over each text's windows, and the gradient of every parameter."""
-    inputs = word_inputs(p, words)
+    inputs = word_inputs(p, words, facts)
     at = index.T
     mask = at >= 0
     x = inputs[at]
@@ -218,6 +282,7 @@ def gradients(p: dict, words: Words, index: np.ndarray, text: np.ndarray, label:
         d_x += d_gates @ p[f"Wx{side}"].T
     n = len(inputs) - 1
     d_word = _scatter(np.where(at < 0, n, at).ravel(), d_x.reshape(-1, x.shape[2]), n + 1)[:n]
+    d_word = d_word[:, :-FACTS] * facts[0][:, None]
     g["word"] = _scatter(words.buckets, d_word[:, :WORD_DIM], len(p["word"]))
     size = np.diff(words.at)
     g["char"] = _scatter(words.trigrams, np.repeat(d_word[:, WORD_DIM:] / size[:, None], size, axis=0),
@@ -227,8 +292,10 @@ def gradients(p: dict, words: Words, index: np.ndarray, text: np.ndarray, label:
 
 def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 5, batch: int = 48,
           rate: float = 0.01, decay: float = 1e-4, least_steps: int = 250,
-          seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit the network with Adam; same texts and labels, same parameters."""
+          seed: int = 7) -> tuple[dict[str, np.ndarray], Seen]:
+    """Fit the network with Adam; same texts and labels, same parameters. Returns them and the
+    words seen."""
+    seen = Seen(texts, labels)
     p = initial_parameters(seed)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in p.items()}
@@ -243,7 +310,9 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 5, batch: int
             own = order[i:i + batch]
             words = Words([texts[j] for j in own])
             index, text = words.windows()
-            _, g = gradients(p, words, index, text, labels[own].astype(bool))
+            keeps, evidence = seen.facts(words, labels[own])
+            keeps *= rng.random(len(keeps)) >= DROP
+            _, g = gradients(p, words, (keeps, evidence), index, text, labels[own].astype(bool))
             step += 1
             speed = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in p.items():
@@ -252,14 +321,15 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 5, batch: int
                 second[k] += 0.01 * (grad * grad - second[k])
                 v -= speed * (first[k] / (1 - 0.9 ** step)
                               / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6) + decay * v)
-    return p
+    return p, seen
 
 
-def score_texts(p: dict, texts: list[bytes]) -> np.ndarray:
+def score_texts(p: dict, seen: Seen, texts: list[bytes]) -> np.ndarray:
     """Highest window score of each text."""
     words = Words(texts)
     index, text = words.windows()
-    logits = window_logits(p, word_inputs(p, words), index)
+    keeps, evidence = seen.facts(words)
+    logits = window_logits(p, word_inputs(p, words, (keeps * np.float32(1 - DROP), evidence)), index)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, text, logits)
     return _sigmoid(top.astype(np.float64))
@@ -305,20 +375,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = 2000
     if texts:
         learned = train(texts, marks)
         # the sample holds the classes in other shares than the labelled rows do
-        learned["b"] += np.float32(odds - math.log(marks.sum() / (1 - marks).sum()))
-    model = spark.sparkContext.broadcast(learned)       # about 2 MB, whatever the input
+        learned[0]["b"] += np.float32(odds - math.log(marks.sum() / (1 - marks).sum()))
+    model = spark.sparkContext.broadcast(learned)       # about 4 MB, whatever the input
     names = ("held_out", "score", "predicted")
     source = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = model.value
+        learned = model.value
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             scores = np.zeros(len(texts))
-            if p is not None:
+            if learned is not None:
                 for part in by_bytes(texts, 400_000):
-                    scores[part] = score_texts(p, texts[part])
+                    scores[part] = score_texts(*learned, texts[part])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)
 
     return (source.mapInArrow(lean(score), schema)

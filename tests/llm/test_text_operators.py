@@ -392,14 +392,16 @@ def test_gradients_match_differences():
     words = toxicity.Words(texts)
     index, text = words.windows()
     p = toxicity.initial_parameters()
-    _, g = toxicity.gradients(p, words, index, text, label)
+    facts = toxicity.Seen(texts * 4, np.tile(label.astype(int), 4)).facts(words)
+    assert facts[0].min() > 0 and facts[1].any()
+    _, g = toxicity.gradients(p, words, facts, index, text, label)
     for name, value in p.items():
         at = np.unravel_index(np.abs(g[name]).argmax(), value.shape)
         old, step = value[at], 1e-2
         sides = []
         for change in (step, -step):
             value[at] = old + change
-            sides.append(toxicity.gradients(p, words, index, text, label)[0])
+            sides.append(toxicity.gradients(p, words, facts, index, text, label)[0])
         value[at] = old
         assert g[name][at] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=0.05, abs=1e-4)
 
@@ -413,6 +415,128 @@ def test_windows_cover_every_word():
     assert np.bincount(text).tolist() == [1, 1, 1, 2, 2, 62]
 
 
+def folded_words(text):
+    return [w for w in re.split(rb"[^0-9a-z\x80-\xff]+", text.lower()) if w]
+
+
+def word_pieces(word):
+    padded = b" " + word + b" "
+    return [padded[i:i + toxicity.PIECE] for i in range(len(padded) - toxicity.PIECE + 1)]
+
+
+TOXIC_TEXTS = [b"You are a LOSER, an idiot", b"the cat sat on the mat", b"", b"idiots! loser?", b"caf\xc3\xa9 cat x",
+               b"moronically idiotic", b"the idiot", b"a loser and a cat", b"mat mat mat"] * 4
+TOXIC_LABELS = np.array([1, 0, 0, 1, 0, 1, 1, 1, 0] * 4)
+
+
+def plain_facts(word, texts, labels):
+    """Share and evidence of a word from plain counts over sets of texts."""
+    n = [int((labels == c).sum()) for c in (0, 1)]
+    share = [toxicity.PRIOR * x / sum(n) for x in n]
+
+    def seen(has):
+        return [sum(has(t) for t, y in zip(texts, labels) if y == c) for c in (0, 1)]
+
+    def evidence(counts):
+        a, b = (c + s for c, s in zip(counts, share))
+        odds = np.log(b / a) - np.log(share[1] / share[0])
+        return np.sign(odds) * max(0, abs(odds) - toxicity.ERRORS * np.sqrt(1 / a + 1 / b))
+
+    own = seen(lambda t: word in folded_words(t))
+    parts = [evidence(seen(lambda t: any(q in word_pieces(w) for w in folded_words(t)))) for q in word_pieces(word)]
+    return sum(own) / (sum(own) + toxicity.SHRINK), [evidence(own), max([0, *parts]), min([0, *parts])]
+
+
+def test_words_seen_equal_plain_counts():
+    asked = [b"a loser, the idiot", b"", b"unseen moronic cat"]
+    keeps, evidence = toxicity.Seen(TOXIC_TEXTS, TOXIC_LABELS, step=2).facts(toxicity.Words(asked))
+    plain = [plain_facts(w, TOXIC_TEXTS, TOXIC_LABELS) for t in asked for w in folded_words(t)]
+    assert keeps == pytest.approx([k for k, _ in plain], abs=1e-5)
+    assert evidence == pytest.approx(np.array([e for _, e in plain]), abs=1e-4)
+    assert evidence[1, 0] > 0 and keeps[4] == 0 and not evidence[4].any()     # 'loser', 'unseen'
+
+
+def test_training_texts_do_not_vouch_for_themselves():
+    texts, labels = [*TOXIC_TEXTS, b"once"], np.append(TOXIC_LABELS, 1)
+    words = toxicity.Words(texts)
+    keeps, evidence = toxicity.Seen(texts, labels).facts(words, labels.astype(bool))
+    at = 0
+    for i, t in enumerate(texts):
+        rest = [x for j, x in enumerate(texts) if j != i]
+        for w in folded_words(t):
+            counts = sum(w in folded_words(x) for x in rest)
+            assert keeps[at] == pytest.approx(counts / (counts + toxicity.SHRINK), abs=1e-5)
+            if counts == 0:
+                assert evidence[at, 0] == 0
+            at += 1
+    assert at == len(keeps)
+
+
+def plain_window_logit(p, rows):
+    """One window, one step at a time."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    n = toxicity.HIDDEN
+    states = []
+    for side, order in (("f", rows), ("r", rows[::-1])):
+        h, own = np.zeros(n), []
+        for x in order:
+            gx, gh = x @ p["Wx" + side] + p["bx" + side], h @ p["Wh" + side]
+            r, z = sigmoid(gx[:n] + gh[:n]), sigmoid(gx[n:2 * n] + gh[n:2 * n])
+            new = np.tanh(gx[2 * n:] + r * gh[2 * n:])
+            h = (1 - z) * new + z * h
+            own.append(h)
+        states.append(own if side == "f" else own[::-1])
+    if not rows:
+        return p["b"][0]
+    both = [np.concatenate(pair) for pair in zip(*states)]
+    weight = np.exp([np.tanh(s @ p["Wa"] + p["ba"]) @ p["va"] for s in both])
+    return sum(w * s for w, s in zip(weight / weight.sum(), both)) @ p["w"] + p["b"][0]
+
+
+def test_scores_equal_a_plain_loop():
+    rng = random.Random(5)
+    pool = [w.decode("utf-8") for t in TOXIC_TEXTS for w in folded_words(t)] + ["new", "losers"]
+    asked = [" ".join(rng.choice(pool) for _ in range(n)).encode() for n in (0, 1, 31, 32, 33, 48, 49, 100)]
+    p = toxicity.initial_parameters(3)
+    seen = toxicity.Seen(TOXIC_TEXTS, TOXIC_LABELS)
+    got = toxicity.score_texts(p, seen, asked)
+    for text, score in zip(asked, got):
+        words = folded_words(text)
+        inputs = []
+        for w in words:
+            one = toxicity.Words([w])
+            keep, evidence = plain_facts(w, TOXIC_TEXTS, TOXIC_LABELS)
+            keep *= 1 - toxicity.DROP
+            inputs.append(np.concatenate([p["word"][one.buckets[0]] * keep,
+                                          p["char"][one.trigrams].mean(axis=0) * keep, evidence]))
+        windows, start = [], 0
+        while True:
+            windows.append(inputs[start:start + toxicity.WINDOW])
+            if start + toxicity.WINDOW >= len(words):
+                break
+            start += toxicity.STRIDE
+        top = max(plain_window_logit(p, w) for w in windows)
+        assert score == pytest.approx(1 / (1 + np.exp(-top)), abs=1e-4)
+
+
+def test_words_of_single_texts_are_not_learned_by_heart():
+    """Toxic texts with one bad word among words of their own: held-out ones are found too."""
+    rng = random.Random(11)
+
+    def text(toxic):
+        words = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(80)]
+        if toxic:
+            words[rng.randrange(80)] = rng.choice(["worthless", "scum"])
+        return " ".join(words).encode()
+    labels = np.array([int(i % 6 == 0) for i in range(300)])
+    texts = [text(y) for y in labels]
+    learned = toxicity.train(texts[:240], labels[:240])
+    found = toxicity.score_texts(*learned, texts[240:]) >= 0.5
+    assert (found == (labels[240:] == 1)).all()
+
+
 def test_toxicity_learns_and_defines_odd_rows(spark, docs):
     rng = random.Random(3)
     plain = [f"w{i}" for i in range(300)]
