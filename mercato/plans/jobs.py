@@ -14,13 +14,17 @@ from mercato.operators.carts import fold_carts, fold_carts_into_store
 from mercato.operators.key_set import key_set, merged, size
 from mercato.operators.timeline import price_history
 from mercato.plans import dirty, feeds
-from mercato.plans.catalog import _s
+from mercato.plans import listings as L
+from mercato.plans.catalog import KEYWORD_TEXT, PRODUCT_NAME_TEXT, Query, _s
 from mercato.plans.maintained import CustomerCounters
 from mercato.session import shared_dir
 from mercato.sources.adapter import Store
 from mercato.sources.order_statistics import OrderStatistics
 from mercato.sources.partitioned import PartitionedStore, apply_checkouts, apply_patches
 from mercato.sources.store import bucket_count
+from mercato.sources.text_index import TextIndex
+
+INDEXED_NAME_TEXT = "0012"
 
 
 # ---- validation -------------------------------------------------------------------------------
@@ -100,6 +104,15 @@ def _maintained_profile(st: Store) -> DataFrame:
     return counters.profile(after, spend=spend)
 
 
+def _indexed(table: str, columns: list[str], patterns: dict[str, str], listing) -> Query:
+    """A listing over the rows that a substring index, built over the whole table, lets through."""
+    def run(st: Store) -> DataFrame:
+        root = f"{shared_dir(st.spark)}/mercato-grams/{st.spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+        index = TextIndex.create(_in_place(st, [table]), table, columns, root, bucket_count(st.spark))
+        return listing(index.view(patterns, st))
+    return _s(run)
+
+
 def _lines_after_delete(st: Store) -> DataFrame:
     return W.archive_delete_products(st, feeds.product_deletes(st), feeds.AS_OF_ARCHIVE)["order_details"]
 
@@ -243,6 +256,15 @@ JOB_QUERIES = {
     "W2_patch_rejects": _s(_patch_rejects),
     "W3_flagged_products": _s(_products_flagged),
     "W3_flag_rejects": _s(_flag_rejects),
+    "R31_indexed_customers_by_name": _indexed(
+        "customer", ["customer_name", "city"], {"customer_name": f"%{INDEXED_NAME_TEXT}%"},
+        lambda st: L.list_customers(st, "customer_name", INDEXED_NAME_TEXT)),
+    "R38_indexed_products_by_name": _indexed(
+        "product", ["product_name", "category"], {"product_name": f"%{PRODUCT_NAME_TEXT}%"},
+        lambda st: L.list_products(st, "product_name", PRODUCT_NAME_TEXT)),
+    "R45_indexed_keyword_search": _indexed(
+        "product", ["product_name", "category"], {c: f"%{KEYWORD_TEXT}%" for c in ("product_name", "category")},
+        lambda st: L.keyword_search(st, KEYWORD_TEXT)),
     "W5_product_archive": _s(_archive),
     "W5_lines_after_delete": _s(_lines_after_delete),
     "R10_maintained_profile": _s(_maintained_profile),

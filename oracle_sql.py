@@ -275,6 +275,7 @@ _LIST_EMPLOYEES = """SELECT e.employee_id, e.employee_name, e.emp_role, e.email_
     WHERE e.is_valid {cond} ORDER BY e.employee_id"""
 ORACLE["R32_list_employees"] = with_store(_LIST_EMPLOYEES.format(cond=""))
 ORACLE["R32_list_employees_by_type"] = with_store(_LIST_EMPLOYEES.format(cond="AND he.employee_id IS NOT NULL"))
+ORACLE["R31_indexed_customers_by_name"] = with_store(_LIST_CUSTOMERS.format(where="WHERE c.customer_name ILIKE '%0012%'"))
 ORACLE["R31_list_customers_by_name"] = with_store(_LIST_CUSTOMERS.format(where="WHERE c.customer_name ILIKE '%customer#%5%'"))
 ORACLE["R32_list_employees_by_contract"] = with_store(_LIST_EMPLOYEES.format(cond="AND ce.employee_id IS NOT NULL"))
 ORACLE["R32_list_employees_by_no_type"] = with_store(_LIST_EMPLOYEES.format(
@@ -329,6 +330,7 @@ _LIST_PRODUCTS = """SELECT product_id, product_name, category, price, stock_quan
 ORACLE["R38_list_products"] = with_store(_LIST_PRODUCTS.format(where="is_valid"))
 ORACLE["R38_list_products_by_category"] = with_store(_LIST_PRODUCTS.format(where="category ILIKE '%promo%'"))
 ORACLE["R38_list_products_by_name"] = with_store(_LIST_PRODUCTS.format(where="product_name ILIKE '%blue%brand#1%'"))
+ORACLE["R38_indexed_products_by_name"] = ORACLE["R38_list_products_by_name"]
 ORACLE["R38_list_products_by_stock"] = with_store(_LIST_PRODUCTS.format(where="stock_quantity = 17"))
 ORACLE["R38_list_products_by_flag"] = with_store(_LIST_PRODUCTS.format(where="NOT is_valid"))
 ORACLE["R38_list_products_by_price"] = with_store(_LIST_PRODUCTS.format(where="price = 900.10"))
@@ -385,6 +387,7 @@ ORACLE["R45_catalogue"] = with_store("""SELECT product_id, product_name, categor
     FROM st_product WHERE is_valid ORDER BY product_id""")
 ORACLE["R45_keyword_search"] = with_store(
     "SELECT * FROM st_product WHERE product_name ILIKE '%red%' OR category ILIKE '%red%'")
+ORACLE["R45_indexed_keyword_search"] = ORACLE["R45_keyword_search"]
 ORACLE["R46_open_carts"] = with_store(f"""SELECT o.customer_id, od.order_id, od.product_id, p.product_name, od.quantity, od.price,
         {LV} AS line_total,
         CAST(SUM(od.price * od.quantity) OVER (PARTITION BY od.order_id) AS {M38}) AS cart_total,
