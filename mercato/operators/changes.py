@@ -33,6 +33,7 @@ from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.quality import contact_rules, table_rules, validate, with_duplicate_flag, \
     with_parent_flag
 from mercato.operators.ranking import numbered_within, positions, previous_value, running_total
+from mercato.operators.timeline import as_of as value_as_of
 from mercato.sources.schemas import DELIVERY_STATUSES, LINE_MONEY, SCHEMAS
 
 Store = Mapping[str, DataFrame]
@@ -262,6 +263,24 @@ def set_active(store: Store, table: str, flags: DataFrame, reactivate_needs_inac
     return {table: new.select(*base.columns), "rejects": rejects, "changed": changed}
 
 
+def with_active(store: Store, table: str, rows: DataFrame, out: str, flags: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: true where the row of ``table`` that ``rows`` name by its key is active, else
+    null. With a W3 feed ``flags`` it is judged as of the row's ``change_id``: by the key's last
+    flag before it, else by the table. Rows without a key or change id find the table's state."""
+    key = KEYS[table]
+    if flags is None:
+        return rows.join(active(store[table]).select(key, F.lit(True).alias(out)), key, "left")
+    placed, _ = ordered_requests(flags, key, "W3")
+    changes = placed.where(F.col("flag").isNotNull()).select(
+        key, F.col("change_id").cast("long").alias("change_id"), F.col("flag").alias("_flag"))
+    known = F.col(key).isNotNull() & F.col("change_id").isNotNull()
+    seen = value_as_of(rows.where(known), changes, key, "change_id", "_flag").unionByName(
+        rows.where(~known).withColumn("_flag", F.lit(None).cast("boolean")))
+    state = store[table].select(key, F.col("is_valid").alias("_old"))
+    on = F.col("_old").isNotNull() & F.coalesce("_flag", "_old")
+    return seen.join(state, key, "left").withColumn(out, F.when(on, True)).drop("_flag", "_old")
+
+
 def deactivate_employees(store: Store, flags: DataFrame) -> dict[str, DataFrame]:
     """Employee flag together with the flags of its subtype rows. A deactivation closes the
     subtype rows; a later reactivation does not open them again."""
@@ -432,7 +451,8 @@ def set_order_status(store: Store, feed: DataFrame) -> dict[str, DataFrame]:
 
 # ---- W9 ---------------------------------------------------------------------------------------
 def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame, as_of: _dt.date | None = None,
-                           stock_on: str = "create") -> dict[str, DataFrame]:
+                           stock_on: str = "create", flags: Mapping[str, DataFrame] | None = None
+                           ) -> dict[str, DataFrame]:
     """``requests`` (change_id, supplier_id, employee_id, expected_received_date) with their
     ``items`` (change_id, product_id, price, quantity) as a separate frame, so an order with
     very many items is never gathered into one row. A request is rejected as a whole when a
@@ -441,15 +461,15 @@ def create_purchase_orders(store: Store, requests: DataFrame, items: DataFrame,
     quantity, or the stock of a product would no longer fit its column (counted up to the request
     over all requests before it). Accepted: header ('pending', dated
     ``as_of``), lines, and stock up (``stock_on='create'``; with 'receive' stock moves at W10
-    instead, S15)."""
-    supp = active(store["supplier"]).select("supplier_id", F.lit(True).alias("_supp_ok"))
+    instead, S15). ``flags`` holds W3 feeds of 'supplier' and 'product' whose change ids are of
+    the same order: a request finds the suppliers and products as the flags before it left them."""
+    flags = flags or {}
     asked, id_rules = identified(requests)
-    r = asked.join(supp, "supplier_id", "left")
+    r = with_active(store, "supplier", asked, "_supp_ok", flags.get("supplier"))
     has_items = items.select("change_id").distinct().withColumn("_has_items", F.lit(True))
     r = r.join(has_items, "change_id", "left")
-    live = active(store["product"]).select("product_id", F.lit(True).alias("_ok"))
-    flagged = with_duplicate_flag(items, ["change_id", "product_id"], "_again") \
-        .join(live, "product_id", "left").groupBy("change_id").agg(
+    again = with_duplicate_flag(items, ["change_id", "product_id"], "_again")
+    flagged = with_active(store, "product", again, "_ok", flags.get("product")).groupBy("change_id").agg(
         F.bool_or(F.col("_ok").isNull()).alias("_inactive"),
         F.bool_or(F.col("price").isNull() | (F.col("price") <= 0) | F.col("quantity").isNull()
                   | (F.col("quantity") <= 0)).alias("_bad_value"),
@@ -500,6 +520,32 @@ def apply_stock(product: DataFrame, moves: DataFrame) -> DataFrame:
         .select(*product.columns)
 
 
+def purchase_feed(store: Store, requests: DataFrame, items: DataFrame, flags: Mapping[str, DataFrame],
+                  as_of: _dt.date | None = None) -> dict[str, DataFrame]:
+    """W3 and W9 as one ordered feed: switching suppliers and products on and off (``flags``, by
+    table) and purchase requests share their change ids, and each is judged on what those before
+    it left. Change ids must be distinct over all of them. Stock moves with the request."""
+    switched = {t: set_active(store, t, f) for t, f in flags.items()}
+    bought = create_purchase_orders(store, requests, items, as_of, flags=flags)
+
+    def products() -> DataFrame:
+        stocked = bought["product"]
+        if "product" not in switched:
+            return stocked
+        now = switched["product"]["product"].select("product_id", F.col("is_valid").alias("_now"))
+        return stocked.join(now, "product_id").withColumn("is_valid", F.col("_now")).select(*stocked.columns)
+
+    def rejects() -> DataFrame:
+        out = bought["rejects"]
+        for job in switched.values():
+            out = out.unionByName(job["rejects"])
+        return out
+
+    return LazyFrames({**{t: (lambda t=t: bought[t]) for t in ("purchase_order", "new_purchase_orders",
+                                                               "purchase_order_details", "new_lines")},
+                       **{t: (lambda t=t: switched[t][t]) for t in switched}, "product": products, "rejects": rejects})
+
+
 # ---- W10 --------------------------------------------------------------------------------------
 def set_purchase_status(store: Store, feed: DataFrame, stock_on: str = "create") -> dict[str, DataFrame]:
     """(change_id, purchase_order_id, status, received_date), for active purchase orders.

@@ -18,6 +18,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_ROWS = 65_536
 
@@ -26,8 +27,10 @@ def with_chunks(df: DataFrame, ts: str = "ts", rows_per_chunk: int = CHUNK_ROWS,
                 like: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the row's time chunk, numbered in time order. The cut points are approximate
     quantiles of ``ts`` in ``like`` (default: ``df``; a cheaper frame of about the same times), one
-    per ``rows_per_chunk`` rows. Rows of one instant share a chunk."""
-    at = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    per ``rows_per_chunk`` rows. Rows of one instant share a chunk. ``ts`` may be a number, such as
+    the place of a request in its feed."""
+    number = isinstance(df.schema[ts].dataType, T.NumericType)
+    at = (F.col(ts) if number else F.unix_micros(F.col(ts).cast("timestamp"))).cast("double")
     timed = df.withColumn("_at", at)
     times = timed.select("_at") if like is None else like.select(at.alias("_at"))
     n = -(-times.count() // rows_per_chunk)

@@ -148,6 +148,22 @@ def purchase_requests(store: Store) -> tuple[DataFrame, DataFrame]:
     return headers, items
 
 
+def switched_purchases(store: Store) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The W9 feed in one order with W3 feeds: each request is 4 times its old change id; just before
+    it its largest part is switched off (every third order) or on, and for orders with key % 8 = 0
+    its supplier (off for key % 16 = 0, else on)."""
+    headers, items = purchase_requests(store)
+    four = F.col("change_id") * 4
+    asked = store.driver["lineitem"].groupBy("l_orderkey", "l_suppkey").agg(F.max("l_partkey").alias("product_id")) \
+        .withColumn("_at", purchase_order_id(store.driver) * 4)
+    order = F.col("l_orderkey")
+    products = asked.select((F.col("_at") - 1).alias("change_id"), "product_id", (order % 3 != 0).alias("flag"))
+    suppliers = asked.where(order % 8 == 0).select((F.col("_at") - 2).alias("change_id"), F.col("l_suppkey").alias("supplier_id"),
+                                                   (order % 16 != 0).alias("flag"))
+    return (headers.withColumn("change_id", four), items.withColumn("change_id", four),
+            {"product": products, "supplier": suppliers})
+
+
 def purchase_status_updates(store: Store) -> DataFrame:
     """W10 feed, up to four requests per purchase order, active or not: 'Shipped'; for id % 7 = 0
     'Received' 12 days after the order date; for id % 14 = 0 'Shipped' again; for id % 11 = 0 no

@@ -185,6 +185,10 @@ def _purchase(st: Store) -> dict[str, DataFrame]:
     return W.create_purchase_orders(st, headers, items, feeds.AS_OF_PURCHASES)
 
 
+def _switched_purchases(st: Store) -> dict[str, DataFrame]:
+    return W.purchase_feed(st, *feeds.switched_purchases(st), feeds.AS_OF_PURCHASES)
+
+
 def _new_purchase_orders(st: Store) -> DataFrame:
     return _purchase(st)["new_purchase_orders"]
 
@@ -291,6 +295,9 @@ JOB_QUERIES = {
     "W7_checkout_invoices": _s(lambda st: _checkout(st)["invoice"]),
     "W9_new_purchase_lines": _s(lambda st: _purchase(st)["new_lines"]),
     "W9_stocked_products": _s(lambda st: _purchase(st)["product"]),
+    "W9_switched_orders": _s(lambda st: _switched_purchases(st)["new_purchase_orders"]),
+    "W9_switched_products": _s(lambda st: _switched_purchases(st)["product"]),
+    "W9_switched_rejects": _s(lambda st: _switched_purchases(st)["rejects"]),
     "W7_checkout_payments": _s(_new_payments),
     "W7_checkout_orders": _s(lambda st: _checkout(st)["orders"]),
     "W7_checkout_customers": _s(lambda st: _checkout(st)["customer"].select("customer_id", "order_count")),

@@ -1131,6 +1131,44 @@ ORACLE["W9_new_purchase_lines"] = with_store("""SELECT purchase_order_id, produc
 ORACLE["W9_stocked_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity + COALESCE(q, 0) AS INTEGER) AS stock_quantity)
     FROM st_product p LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM itm JOIN made USING (change_id) GROUP BY 1) m
       ON m.product_id = p.product_id""", _PURCHASED)
+# purchases in one order with switches: the state at a request is the last switch before it
+_SWITCHED = """four AS (SELECT l_orderkey, l_suppkey AS supplier_id, 4 * (l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey) AS ask,
+        MAX(l_partkey) AS product_id, MAX(CAST(l_shipdate AS DATE)) + 30 AS due FROM lineitem GROUP BY l_orderkey, l_suppkey),
+pf AS (SELECT ask - 1 AS change_id, product_id, l_orderkey % 3 <> 0 AS flag FROM four),
+sf AS (SELECT ask - 2 AS change_id, supplier_id, l_orderkey % 16 <> 0 AS flag FROM four WHERE l_orderkey % 8 = 0),
+itm AS (SELECT 4 * (l_orderkey * (SELECT max(s_suppkey) + 1 FROM supplier) + l_suppkey) AS ask, l_partkey AS product_id,
+        MAX(CAST(l_extendedprice AS DECIMAL(10,2))) AS price, CAST(SUM(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity
+    FROM lineitem GROUP BY l_orderkey, l_suppkey, l_partkey),
+found AS (SELECT i.*, p.product_id IS NOT NULL AND COALESCE(f.flag, p.is_valid) AS is_on
+    FROM itm i ASOF LEFT JOIN pf f ON i.product_id = f.product_id AND i.ask >= f.change_id
+    LEFT JOIN st_product p ON i.product_id = p.product_id),
+chk AS (SELECT h.*, COALESCE(h.due <= DATE '1995-06-01', FALSE) AS r_date,
+        NOT (s.supplier_id IS NOT NULL AND COALESCE(f.flag, s.is_valid)) AS r_supp,
+        h.ask IN (SELECT ask FROM found WHERE NOT is_on) AS r_item
+    FROM four h ASOF LEFT JOIN sf f ON h.supplier_id = f.supplier_id AND h.ask >= f.change_id
+    LEFT JOIN st_supplier s ON h.supplier_id = s.supplier_id),
+made AS (SELECT * FROM chk WHERE NOT (r_date OR r_supp OR r_item))"""
+ORACLE["W9_switched_orders"] = with_store("""SELECT
+        (SELECT MAX(purchase_order_id) FROM st_purchase_order) + ROW_NUMBER() OVER (ORDER BY ask) AS purchase_order_id,
+        supplier_id % 25 AS employee_id, supplier_id, DATE '1995-06-01' AS order_date, CAST(due AS DATE) AS expected_received_date,
+        CAST(NULL AS DATE) AS actual_received_date, 'pending' AS delivery_status, TRUE AS is_valid FROM made""", _SWITCHED)
+ORACLE["W9_switched_products"] = with_store("""SELECT p.* REPLACE (CAST(p.stock_quantity + COALESCE(q, 0) AS INTEGER) AS stock_quantity,
+        COALESCE(l.flag, p.is_valid) AS is_valid)
+    FROM st_product p LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM itm WHERE ask IN (SELECT ask FROM made) GROUP BY 1) m
+      ON m.product_id = p.product_id
+    LEFT JOIN (SELECT product_id, arg_max(flag, change_id) AS flag FROM pf GROUP BY 1) l ON l.product_id = p.product_id""", _SWITCHED)
+ORACLE["W9_switched_rejects"] = with_store("""
+    SELECT ask AS change_id, 'V9:expected_date_not_after_as_of' AS reason FROM chk WHERE r_date
+    UNION ALL SELECT ask, 'W9:supplier_inactive' FROM chk WHERE r_supp
+    UNION ALL SELECT ask, 'W9:inactive_product' FROM chk WHERE r_item
+    UNION ALL SELECT change_id, CASE WHEN p.product_id IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END
+        FROM (SELECT *, LAG(flag) OVER (PARTITION BY product_id ORDER BY change_id) AS was FROM pf) f
+        LEFT JOIN st_product p ON p.product_id = f.product_id
+        WHERE p.product_id IS NULL OR (NOT flag AND NOT COALESCE(was, p.is_valid))
+    UNION ALL SELECT change_id, CASE WHEN s.supplier_id IS NULL THEN 'W3:unknown_key' ELSE 'W3:state_guard' END
+        FROM (SELECT *, LAG(flag) OVER (PARTITION BY supplier_id ORDER BY change_id) AS was FROM sf) f
+        LEFT JOIN st_supplier s ON s.supplier_id = f.supplier_id
+        WHERE s.supplier_id IS NULL OR (NOT flag AND NOT COALESCE(was, s.is_valid))""", _SWITCHED)
 ORACLE["A7_patched_in_place"] = ORACLE["W2_patched_products"]
 ORACLE["A7_checked_out_orders"] = ORACLE["W7_checkout_orders"]
 ORACLE["A7_checked_out_invoices"] = ORACLE["W7_checkout_invoices"]
