@@ -5,7 +5,7 @@ with a third of all rows is spread over a third of the chunks. Each operator run
 (key, chunk) only; one row per (key, chunk) carries what earlier chunks leave.
 
 * ``as_of``: the value that held at each row's time, by a sorted union of rows and changes and the
-  last value carried on. No range join.
+  last value carried on. No range join. Only hot keys are cut into chunks.
 * ``price_history``: validity intervals per product from price changes.
 * ``covered``: which requests to take from a stock can be met, in order, when a stock never goes
   below zero and an unmet request takes nothing.
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.operators.ranking import by_heat
+
 CHUNK_ROWS = 65_536
 
 
@@ -56,18 +58,32 @@ def as_of(rows: DataFrame, changes: DataFrame, key: str, ts: str, value: str,
     """Add ``value`` to ``rows`` (which have ``key`` and ``ts``): that of the key's last row of
     ``changes`` (key, ts, value) at or before ``ts``; null before the first one. Of several
     changes of a key at one instant the one with the largest value counts."""
-    columns = rows.columns
-    latest = changes.groupBy(key, ts).agg(F.max(value).alias("_value"))
-    both = latest.withColumn("_row", F.lit(None).cast(rows.select(F.struct(*columns)).schema[0].dataType)) \
+    columns, is_row = rows.columns, F.col("_is_row")
+    others = [c for c in columns if c not in (key, ts)]
+    both = changes.select(key, ts, F.col(value).alias("_value"), F.lit(False).alias("_is_row"),
+                          *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in others]) \
         .unionByName(rows.select(key, ts, F.lit(None).cast(changes.schema[value].dataType).alias("_value"),
-                                 F.struct(*columns).alias("_row")))
-    both = with_chunks(both, ts, rows_per_chunk, like=like)
-    order = F.struct(ts, F.col("_row").isNotNull())  # a change counts for the rows of its instant
-    chunks = both.groupBy(key, "_chunk").agg(F.max_by("_value", F.when(F.col("_row").isNull(), F.col(ts))).alias("_last"))
+                                 F.lit(True).alias("_is_row"), *others))
+    # a change counts for the rows of its instant, the largest of several last
+    order = F.struct(ts, "_is_row", "_value")
+
+    def carried_on(*by: str):
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last("_value", True).over(w)
+
+    def typed(found: DataFrame, held: Column) -> DataFrame:
+        return found.where(is_row).select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in columns],
+                                          held.alias(value))
+    ordinary, hot = by_heat(both, key, rows_per_chunk)
+    out = typed(ordinary.withColumn("_here", carried_on(key)), F.col("_here"))
+    if hot is None:
+        return out
+    hot = with_chunks(hot, ts, rows_per_chunk, like=like)
+    told = F.when(~is_row & F.col("_value").isNotNull(), F.struct(ts, "_value"))
+    chunks = hot.groupBy(key, "_chunk").agg(F.max_by("_value", told).alias("_last"))
     carry = chunks.select(key, "_chunk", F.last("_last", True).over(_earlier(key)).alias("_carry"))
-    local = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    found = _carried(both.withColumn("_here", F.last("_value", True).over(local)), carry, key)
-    return found.where(F.col("_row").isNotNull()).select("_row.*", F.coalesce("_here", "_carry").alias(value))
+    found = _carried(hot.withColumn("_here", carried_on(key, "_chunk")), carry, key)
+    return out.unionByName(typed(found, F.coalesce("_here", "_carry")))
 
 
 def price_history(products: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
