@@ -30,7 +30,7 @@ from mercato.functions.expr import text_equals
 from mercato.operators.lazy import LazyFrames, once
 from mercato.operators.ranking import numbered_within, positions
 from mercato.operators.timeline import CHUNK_ROWS, as_of, covered, price_history, with_chunks
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import kept
 
 ADD, REMOVE, CHECKOUT = "add", "remove", "checkout"
 # an add that the stock does not cover: it opens a cart, but makes no line and takes no stock
@@ -132,8 +132,7 @@ def fold_carts(events: DataFrame, products: DataFrame, reactivate_on_add: bool =
     def numbered_shared() -> DataFrame:
         # the numbered events feed both the line and the cart aggregates: computed once and cut
         # from their lineage with a reliable checkpoint in the shared checkpoint folder
-        ensure_checkpoint_dir(events.sparkSession)
-        return with_cart_numbers(events, chunk_seconds).checkpoint(eager=True)
+        return kept(with_cart_numbers(events, chunk_seconds))
 
     shared = once(numbered_shared)
     state: dict[str, bool] = {}
@@ -195,8 +194,7 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame, row
     ``rejects``; it still opens a cart, because the reference commits the order before it takes
     the stock. The product table then holds the final stock (with restocks) and, after price
     changes, each product's last price."""
-    ensure_checkpoint_dir(events.sparkSession)
-    o, od, product = store["orders"], store["order_details"], store["product"]
+    product = store["product"]  # orders and lines are read for the outputs that need them
     times = events.select("ts").where(F.col("ts").isNotNull())
     events, rejects = usable_events(events, product)
     is_add, is_remove, opens = F.col("action") == ADD, F.col("action") == REMOVE, F.col("action").isin(ADD, OPEN)
@@ -212,19 +210,24 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame, row
             F.lit(-1).cast("long").alias("event_id"), F.col("ts").cast(adds.schema["ts"].dataType).alias("ts"), "product_id",
             F.col("quantity").cast("long").alias("_q")), allowMissingColumns=True)
         moves = moves.withColumn("_second", (F.col("_q") < 0).cast("int"))
-        judged = covered(moves, product.select("product_id", F.col("stock_quantity").alias("stock")), "product_id",
-                         ["ts", "_second", "event_id"], "_q", "ts", rows_per_chunk, "_met", times).checkpoint(eager=True)
+        judged = kept(covered(moves, product.select("product_id", F.col("stock_quantity").alias("stock")), "product_id",
+                              ["ts", "_second", "event_id"], "_q", "ts", rows_per_chunk, "_met", times))
         refused = judged.where(~F.col("_met"))
         rejects = rejects.unionByName(refused.select("event_id", F.lit("W6:no_stock").alias("reason")))
         taken = judged.where(F.col("_q") < 0).withColumn("action", F.when(F.col("_met"), ADD).otherwise(OPEN))
         events = events.where(~is_add).unionByName(taken.select(*events.columns))
         left_over = judged.where("_met").groupBy("product_id").agg(F.sum("_q").alias("_net"))
-    mine = events.select("customer_id").distinct()
-    carts = o.where(text_equals("status", "cart")).select("customer_id", "order_id").join(mine, "customer_id", "left_semi")
-    n_open = carts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_open"))
+
+    def open_carts() -> DataFrame:
+        mine = events.select("customer_id").distinct()
+        return store["orders"].where(text_equals("status", "cart")).select("customer_id", "order_id") \
+            .join(mine, "customer_id", "left_semi")
+
+    carts = once(open_carts)
 
     def numbered() -> DataFrame:
-        return with_cart_numbers(with_chunks(events, "ts", rows_per_chunk, like=times), open_carts=n_open).checkpoint(eager=True)
+        n_open = carts().groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_open"))
+        return kept(with_cart_numbers(with_chunks(events, "ts", rows_per_chunk, like=times), open_carts=n_open))
 
     ev = once(numbered)
 
@@ -235,19 +238,19 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame, row
             F.min(F.when(opens, F.col("ts"))).alias("opened_at"),
             F.min_by("event_id", F.when(opens, F.struct("ts", "event_id"))).alias("_first"),
             F.min(F.when(F.col("ok_checkout"), F.col("ts"))).alias("checked_out_at"))
-        old = numbered_within(carts, "customer_id", "order_id", "_nth").select(
+        old = numbered_within(carts(), "customer_id", "order_id", "_nth").select(
             "customer_id", (F.col("_nth") - 1).alias("cart_no"), F.col("order_id").alias("_old"))
         both = seen.join(old, ["customer_id", "cart_no"], "left")
-        top = o.agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
+        top = store["orders"].agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
         new = positions(both.where(F.col("_old").isNull() & F.col("opened_at").isNotNull()), "_first", "_pos") \
             .withColumn("order_id", top + F.col("_pos")).drop("_pos")
-        kept = both.where(F.col("_old").isNotNull()).withColumn("order_id", F.col("_old"))
-        return kept.unionByName(new).withColumn("is_new", F.col("_old").isNull()).drop("_old", "_first") \
-            .checkpoint(eager=True)
+        known_carts = both.where(F.col("_old").isNotNull()).withColumn("order_id", F.col("_old"))
+        return kept(known_carts.unionByName(new).withColumn("is_new", F.col("_old").isNull()).drop("_old", "_first"))
 
     placed = once(placed_carts)
 
     def orders() -> DataFrame:
+        o = store["orders"]
         done = placed().where(~F.col("is_new") & F.col("checked_out_at").isNotNull()).select(
             "order_id", F.to_date("checked_out_at").alias("_date"))
         old = o.join(done, "order_id", "left") \
@@ -262,6 +265,7 @@ def fold_carts_into_store(store: Mapping[str, DataFrame], events: DataFrame, row
         return old.unionByName(new)
 
     def order_details() -> DataFrame:
+        od = store["order_details"]
         seq = F.struct("ts", "event_id")
         touched = ev().where(is_add | is_remove).groupBy("customer_id", "cart_no", "product_id").agg(
             F.count_if(is_add).cast("int").alias("_adds"), F.min(F.when(is_add, seq)).alias("_first_add"),
