@@ -26,7 +26,7 @@ from mercato.functions.expr import line_value
 from mercato.operators.joins import lookup
 from mercato.plans.common import Store, active_orders, by_order
 from mercato.plans.customer import finished_profile, product_stats
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import kept
 from mercato.sources.order_statistics import OrderStatistics
 from mercato.sources.partitioned import PART, delete_folder, part_of
 
@@ -118,19 +118,18 @@ class CustomerCounters:
         """Bring the counters from the state of ``before`` to that of ``after``, which differ in
         rows of ``order_ids`` only (orders that neither has count for nothing; so do repeats).
         ``spend`` (of ``totals``) follows. Returns the folders rewritten. Apply each change once."""
-        ensure_checkpoint_dir(self.spark)
-        deltas = self.deltas(before, after, order_ids).checkpoint(eager=True)
+        deltas = kept(self.deltas(before, after, order_ids))
         parts = self.touched(deltas)
         if not parts:
             return []
         # computed before the files it is read from are replaced
-        fresh = _summed(self.rows(parts).unionByName(deltas)).where(F.col("n") != 0).checkpoint(eager=True)
+        fresh = kept(_summed(self.rows(parts).unionByName(deltas)).where(F.col("n") != 0))
         moves = None
         if spend is not None:
             who = deltas.select("customer_id").distinct()
             moves = self.totals(lookup(fresh, who, "customer_id")).select("value", F.lit(1).alias("n")).unionByName(
                 self.totals(lookup(self.rows(parts), who, "customer_id")).select("value", F.lit(-1).alias("n")))
-            moves = moves.checkpoint(eager=True)
+            moves = kept(moves)
         self._write(fresh)
         for p in set(parts) - set(self.touched(fresh)):  # its last row went: no file replaced the old one
             delete_folder(self.spark, f"{self.root}/{PART}={p}")

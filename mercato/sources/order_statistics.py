@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import kept
 from mercato.sources.partitioned import delete_folder
 
 VALUE = "DECIMAL(38,2)"
@@ -34,9 +34,8 @@ class OrderStatistics:
     @classmethod
     def create(cls, values: DataFrame, root: str, ranges: int, most_per_range: int = MOST_PER_RANGE) -> OrderStatistics:
         """From a frame with a column ``value``, one row per holder; nulls are left out."""
-        ensure_checkpoint_dir(values.sparkSession)
-        counted = values.where(F.col("value").isNotNull()).groupBy(F.col("value").cast(VALUE).alias("value")) \
-            .agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        counted = kept(values.where(F.col("value").isNotNull()).groupBy(F.col("value").cast(VALUE).alias("value"))
+                       .agg(F.count(F.lit(1)).alias("n")))
         out = cls(values.sparkSession, root, [], most_per_range)
         out._lay_out(counted, ranges)
         return out
@@ -83,21 +82,20 @@ class OrderStatistics:
     def apply(self, deltas: DataFrame) -> list[int]:
         """Add signed counts ``(value, n)``; values whose count falls to nothing go. Returns the
         ranges rewritten. Apply each change once."""
-        ensure_checkpoint_dir(self.spark)
-        summed = deltas.where(F.col("value").isNotNull()).groupBy(F.col("value").cast(VALUE).alias("value")) \
-            .agg(F.sum("n").alias("n")).where("n != 0").checkpoint(eager=True)
+        summed = kept(deltas.where(F.col("value").isNotNull()).groupBy(F.col("value").cast(VALUE).alias("value"))
+                      .agg(F.sum("n").alias("n")).where("n != 0"))
         touched = sorted(r[0] for r in self._placed(summed).select(RANGE).distinct().collect())
         if not touched:
             return []
-        fresh = self.values(touched).select("value", "n").unionByName(summed).groupBy("value") \
-            .agg(F.sum("n").alias("n")).where("n != 0").checkpoint(eager=True)
+        fresh = kept(self.values(touched).select("value", "n").unionByName(summed).groupBy("value")
+                     .agg(F.sum("n").alias("n")).where("n != 0"))
         sizes = {r[0]: r[1] for r in self._placed(fresh).groupBy(RANGE).count().collect()}  # one row per range
         if max(sizes.values(), default=0) > self.most:
             rest = self.values().where(~F.col(RANGE).isin(touched)).select("value", "n")
-            self._lay_out(rest.unionByName(fresh).checkpoint(eager=True), len(self.cuts) + 1)
+            self._lay_out(kept(rest.unionByName(fresh)), len(self.cuts) + 1)
             return sorted(range(len(self.cuts) + 2))
-        counts = self.counts().where(~F.col(RANGE).isin(touched)).unionByName(
-            self.spark.createDataFrame(list(sizes.items()), f"{RANGE} INT, distinct BIGINT")).checkpoint(eager=True)
+        counts = kept(self.counts().where(~F.col(RANGE).isin(touched)).unionByName(
+            self.spark.createDataFrame(list(sizes.items()), f"{RANGE} INT, distinct BIGINT")))
         self._write(fresh)
         for r in set(touched) - set(sizes):  # its last value went: no file replaced the old one
             delete_folder(self.spark, f"{self.root}/values/{RANGE}={r}")

@@ -6,7 +6,7 @@ parts alone (the scan is pruned to their folders), and replaces them with dynami
 overwrite; rows under new ids are appended. So a patch of one row reads and writes one part, and
 the result equals the job on whole tables, because a part holds every row of its keys.
 
-Results are computed into a reliable checkpoint first: nothing is read from files that are being
+Results are computed into files of their own first (``kept``): nothing is read from files that are being
 replaced, and a repeated task of the write only copies. Each table is committed by Spark's own
 committer, one after the other; there is no commit across tables.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from mercato.functions.expr import text_equals
 from mercato.operators import changes as W
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import kept
 from mercato.sources.adapter import Store
 from mercato.sources.schemas import PRIMARY_KEYS, SCHEMAS, TABLES
 
@@ -92,14 +92,13 @@ class PartitionedStore(Store):
         table's layout key) and on the other tables as they are; write its output. ``appended``:
         tables that only get new rows -> the job's output that holds them. Returns the job's
         rejects and the parts rewritten per table."""
-        ensure_checkpoint_dir(self.spark)
         parts = {t: self.touched(t, keys) for t, keys in touched.items()}
         view = Store(self.spark, {t: (lambda t=t: self.part(t, parts[t]) if t in parts else self[t])
                                   for t in self}, self.driver)
         out = job(view)
-        rejects = out["rejects"].checkpoint(eager=True) if "rejects" in out else None
-        fresh = {t: out[t].select(*SCHEMAS[t].fieldNames()).checkpoint(eager=True) for t in parts if t in out and parts[t]}
-        new = {t: out[name].select(*SCHEMAS[t].fieldNames()).checkpoint(eager=True) for t, name in (appended or {}).items()}
+        rejects = kept(out["rejects"]) if "rejects" in out else None
+        fresh = {t: kept(out[t].select(*SCHEMAS[t].fieldNames())) for t in parts if t in out and parts[t]}
+        new = {t: kept(out[name].select(*SCHEMAS[t].fieldNames())) for t, name in (appended or {}).items()}
         for t, df in fresh.items():
             self.replace_parts(t, parts[t], df)
         for t, df in new.items():
