@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mercato.llm import binary_ids, line_dedup, minhash, mixing, packing, pii, queries, toxicity
 from mercato.llm.common import by_bytes
+from mercato.llm import components
 from mercato.llm.components import connected_components
 from mercato.llm.perfect_hash import PerfectHash, Shard
 from mercato.llm.shingles import shingle_sets
@@ -384,6 +385,21 @@ def test_components_equal_union_find(spark, seed):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, step = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or step(edges))
+    links = [(i, i + 1) for i in range(3_000) if i % 1_000 != 999]
+    random.Random(5).shuffle(links)
+    monkeypatch.setattr(components, "CHUNK_LINKS", 100, raising=False)
+    got = connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: i // 1_000 * 1_000 for i in range(3_000)}
+    del rounds[:]
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or step(edges))
+    assert connected_components(spark.createDataFrame(links, "a long, b long").coalesce(1)).count() == 3_000
+    assert not rounds  # one chunk needs no shuffled round
+
+
 # ---- 4: toxicity --------------------------------------------------------------------------
 
 def test_gradients_match_differences():
