@@ -31,11 +31,12 @@ class LazyFrames(Mapping):
 
 
 def once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
-    """A shared intermediate built at most once, on first use."""
+    """A shared intermediate built at most once, on first use; ``built`` tells whether it was."""
     box: list[DataFrame] = []
 
     def get() -> DataFrame:
         if not box:
             box.append(make())
         return box[0]
+    get.built = lambda: bool(box)
     return get
