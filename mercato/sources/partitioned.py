@@ -31,7 +31,9 @@ LAYOUT_KEYS = {t: keys[0] for t, keys in PRIMARY_KEYS.items()}
 
 
 def part_of(key: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(parts)).cast("int")
+    """The part of a key. ``repartition(parts, key)`` deals rows out by the same hash, so that each
+    task of a write has the rows of one part."""
+    return F.pmod(F.hash(F.col(key).cast("long")), F.lit(parts)).cast("int")
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -63,7 +65,8 @@ class PartitionedStore(Store):
         return df.select(*SCHEMAS[table].fieldNames()).withColumn(PART, part_of(LAYOUT_KEYS[table], self.parts))
 
     def _write(self, table: str, df: DataFrame, mode: str) -> None:
-        (self._placed(table, df).repartition(self.parts, PART).write.mode(mode)
+        rows = self._placed(table, df).repartition(self.parts, F.col(LAYOUT_KEYS[table]).cast("long"))
+        (rows.write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{table}"))
 
     def touched(self, table: str, keys: DataFrame) -> list[int]:
@@ -97,8 +100,9 @@ class PartitionedStore(Store):
                                   for t in self}, self.driver)
         out = job(view)
         rejects = kept(out["rejects"]) if "rejects" in out else None
-        fresh = {t: kept(out[t].select(*SCHEMAS[t].fieldNames())) for t in parts if t in out and parts[t]}
+        # new rows first: what they are made of, such as new ids, serves the other outputs too
         new = {t: kept(out[name].select(*SCHEMAS[t].fieldNames())) for t, name in (appended or {}).items()}
+        fresh = {t: kept(out[t].select(*SCHEMAS[t].fieldNames())) for t in parts if t in out and parts[t]}
         for t, df in fresh.items():
             self.replace_parts(t, parts[t], df)
         for t, df in new.items():
