@@ -12,7 +12,10 @@ from mercato.operators import changes as W
 from mercato.operators.carts import fold_carts_into_store
 from mercato.operators.quality import with_duplicate_flag
 from mercato.operators.ranking import by_heat, previous_value
+from mercato.plans import feeds
+from mercato.plans.jobs import _in_place
 from mercato.session import INITIAL_PARTITIONS, fit_partitions, partition_count
+from mercato.sources.adapter import Store
 from mercato.sources.store import bucket_count
 
 
@@ -116,3 +119,28 @@ def test_partitions_follow_the_size_of_the_source(spark):
         assert bucket_count(spark, 10 * 2 ** 30) >= 320
     finally:
         spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
+
+
+def test_stock_needs_no_purchase_ids(spark):
+    st = Tables(product=spark.createDataFrame([(1, 5, True)], "product_id long, stock_quantity int, is_valid boolean"),
+                supplier=spark.createDataFrame([(3, True)], "supplier_id long, is_valid boolean"))
+    requests = spark.createDataFrame([(1, 3, 2, dt.date(2024, 5, 1)), (2, 4, 2, dt.date(2024, 5, 1))],
+                                     "change_id long, supplier_id long, employee_id long, expected_received_date date")
+    items = spark.createDataFrame([(1, 1, 2), (2, 1, 7)], "change_id long, product_id long, quantity int") \
+        .withColumn("price", F.lit(1).cast("decimal(10,2)"))
+    out = W.create_purchase_orders(st, requests, items, dt.date(2024, 1, 1))
+    assert [r.stock_quantity for r in out["product"].collect()] == [7]
+
+
+def test_requests_and_switches_are_one_grouping_in_files(store):
+    headers, _, flags = feeds.switched_purchases(store)
+    for df in (headers, *flags.values()):
+        assert "hashpartitioning" not in plan(df)
+
+
+def test_layout_in_parts_stages_no_table(spark, store):
+    def staged():
+        raise AssertionError("orders were staged")
+
+    st = Store(spark, {"orders": staged}, sources={"orders": lambda: store["orders"]})
+    assert _in_place(st, ["orders"])["orders"].count() == store["orders"].count()
