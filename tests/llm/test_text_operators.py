@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mercato.llm import binary_ids, components, line_dedup, minhash, mixing, packing, pii, queries, toxicity
 from mercato.llm.common import by_bytes
-from mercato.llm import components
 from mercato.llm.components import connected_components
 from mercato.llm.perfect_hash import PerfectHash, Shard
 from mercato.llm.shingles import shingle_sets
