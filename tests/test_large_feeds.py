@@ -9,6 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from mercato.operators import changes as W
+from mercato.operators import quality, ranking
 from mercato.operators.carts import fold_carts_into_store
 from mercato.operators.quality import with_duplicate_flag
 from mercato.operators.ranking import by_heat, previous_value
@@ -144,3 +145,19 @@ def test_layout_in_parts_stages_no_table(spark, store):
 
     st = Store(spark, {"orders": staged}, sources={"orders": lambda: store["orders"]})
     assert _in_place(st, ["orders"])["orders"].count() == store["orders"].count()
+
+
+def test_rows_unlike_repeated_keys_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", 10)
+    rows = [(k, i) for k in range(300) for i in range(2)] + [(k, 0) for k in range(300, 20_000)] + [(None, 1)] * 2
+    df = spark.createDataFrame(rows, "k long, v int").withColumn("nothing", F.lit(None))
+    for feed in (df.drop("nothing"), df):
+        got = with_duplicate_flag(feed, ["k"])
+        assert got.columns == [*feed.columns, "_dup"]
+        assert sorted((r.k or -1, r._dup) for r in got.collect()) == sorted(
+            (k or -1, k is not None and k < 300) for k, _ in rows)
+    alike, others = quality._by_hash(df, ["k"], spark.range(300).select(F.col("id").alias("k")), 300)
+    assert alike.where("k < 300").count() == 600 and alike.count() + others.count() == len(rows)
+    assert alike.count() < 4_000 and "hashpartitioning(k" not in plan(others)
+    # the rows that share a repeated key's hash lie in files: what reads them shuffles no rows
+    assert "hashpartitioning(k" not in plan(with_duplicate_flag(df.drop("nothing"), ["k"]))
