@@ -161,3 +161,29 @@ def test_rows_unlike_repeated_keys_are_not_shuffled(spark, monkeypatch):
     assert alike.count() < 4_000 and "hashpartitioning(k" not in plan(others)
     # the rows that share a repeated key's hash lie in files: what reads them shuffles no rows
     assert "hashpartitioning(k" not in plan(with_duplicate_flag(df.drop("nothing"), ["k"]))
+
+
+def test_tables_lie_as_shuffles_do(spark, tmp_path):
+    from mercato.sources.store import staged_store
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        # more partitions than the machine has cores
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * spark.sparkContext.defaultParallelism))
+        po = spark.range(100).select(F.col("id").alias("purchase_order_id"), F.lit(1).cast("long").alias("employee_id"),
+                                     F.lit(1).cast("long").alias("supplier_id"),
+                                     *[F.lit(None).cast("date").alias(c) for c in
+                                       ("order_date", "expected_received_date", "actual_received_date")],
+                                     F.lit("pending").alias("delivery_status"), F.lit(True).alias("is_valid"))
+        st = staged_store(Store(spark, {"purchase_order": lambda: po}), f"{tmp_path}/s")
+        flags = spark.createDataFrame([(1, 5, False), (2, 7, False), (3, 5, True)],
+                                      "change_id long, purchase_order_id long, flag boolean")
+        with_sizes = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            after = W.set_purchase_order_active(st, flags)["purchase_order"]
+            assert plan(after).count("hashpartitioning") == 1  # the requests, once; the table not
+            assert [r.purchase_order_id for r in after.where("NOT is_valid").collect()] == [7]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_sizes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
