@@ -163,6 +163,21 @@ def test_rows_unlike_repeated_keys_are_not_shuffled(spark, monkeypatch):
     assert "hashpartitioning(k" not in plan(with_duplicate_flag(df.drop("nothing"), ["k"]))
 
 
+def test_earlier_flags_need_one_shuffle(spark):
+    rnd = random.Random(7)
+    rows = [(t, rnd.randrange(40), rnd.random() < 0.2) for t in range(400)]
+    df = spark.createDataFrame(rows, "t long, k long, v boolean")
+    last, ever, want = {}, {}, {}
+    for t, k, v in rows:
+        want[t] = (last.get(k), ever.get(k, False))
+        last[k], ever[k] = v, ever.get(k, False) or v
+    got = ranking.previous_and_any(df, "k", "v", "t", "p", "e")
+    assert plan(got).count("hashpartitioning") == 1
+    assert {r.t: (r.p, r.e) for r in got.collect()} == want
+    hot = ranking._any_in_levels(ranking._previous_in_levels(df, "k", "v", "t", "p"), "k", "v", "t", "e")
+    assert {r.t: (r.p, r.e) for r in hot.collect()} == want
+
+
 def test_tables_lie_as_shuffles_do(spark, tmp_path):
     from mercato.sources.store import staged_store
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
