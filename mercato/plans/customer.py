@@ -15,7 +15,7 @@ from mercato.functions.expr import NA, average, label_if_null, zero_if_null
 from mercato.operators.joins import lookup
 from mercato.operators.ranking import dense_rank_desc, top1_per_group
 from mercato.plans.common import Store, active_orders, customer_product_lines, order_totals
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import ensure_checkpoint_dir, partition_count
 from mercato.sources.schemas import SUM_MONEY
 
 
@@ -34,12 +34,16 @@ def _order_stats(store: Store, line_scope: str) -> DataFrame:
         F.count("order_lines").alias("_orders_with_lines"))
 
 
-def product_stats(store: Store, pairs: DataFrame) -> DataFrame:
+def product_stats(store: Store, pairs: DataFrame, by_customer: bool = False) -> DataFrame:
     """R5 to R7 in one grouping of (customer, product) pairs with n_lines and qty: a pair counts once under its
     category and once under its product name; a pair of an unknown product only counts as one of
-    the different products."""
+    the different products. With ``by_customer`` a pair goes to its customer's task before it is
+    counted twice, so its labels are shuffled once: for customers that are not hot."""
     p = store["product"].select("product_id", "category", "product_name", F.lit(True).alias("_known"))
     pairs = pairs.join(p, "product_id", "left")
+    if by_customer:
+        pairs = pairs.select("customer_id", "n_lines", "qty", "category", "product_name", "_known") \
+            .repartition(partition_count(pairs.sparkSession), "customer_id")
 
     def entry(kind: int, label, amount):
         return F.struct(F.lit(kind).alias("kind"), F.lower(label).alias("key"), label.alias("label"),

@@ -19,25 +19,30 @@ per product and date, however many lines they have.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.expr import line_value
 from mercato.operators.joins import lookup
+from mercato.operators.ranking import by_heat
 from mercato.plans.common import Store, active_orders, by_order
 from mercato.plans.customer import finished_profile, product_stats
-from mercato.session import kept
+from mercato.session import kept, shuffles_freed
 from mercato.sources.order_statistics import OrderStatistics
 from mercato.sources.partitioned import PART, delete_folder, part_of
+from mercato.sources.schemas import LINE_MONEY
 
 SCHEMA = "customer_id BIGINT, kind STRING, key BIGINT, n BIGINT, qty BIGINT, value DECIMAL(38,2)"
 KEY = ["customer_id", "kind", "key"]
 # Tasks that may share the writing of one folder.
 WRITERS_PER_PART = 4
+TASK = "_task"
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"),
+def _summed(rows: DataFrame, *placed: str) -> DataFrame:
+    return rows.groupBy(*placed, *KEY).agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"),
                                   F.sum("value").cast("decimal(38,2)").alias("value"))
 
 
@@ -51,14 +56,13 @@ def counter_rows(store: Store, line_scope: str = "all", order_ids: DataFrame | N
     def of_lines(li: DataFrame, o: DataFrame, small) -> DataFrame:
         li = li.select("order_id", "product_id", "quantity", line_value().alias("_value"))
         who = o.select("order_id", "customer_id")
-        bought = li.join(small(who), "order_id").groupBy("customer_id", "product_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("long").alias("qty"), F.sum("_value").alias("value"))
+        bought = li.join(small(who), "order_id").withColumn("n", F.lit(1))
         filled = who.join(small(li.select("order_id").distinct()), "order_id", "left_semi")
-        return _rows(bought, "product", "product_id", "n", "qty", "value").unionByName(
+        return _rows(bought, "product", "product_id", "n", "quantity", "_value").unionByName(
             _rows(filled.groupBy("customer_id").count(), "filled", None, "count"))
     lines = by_order(store, line_scope, orders, of_lines)
-    dates = orders.groupBy("customer_id", "order_date").count()
-    return lines.unionByName(_rows(dates, "date", F.unix_date("order_date"), "count"))
+    dates = orders.withColumn("n", F.lit(1))
+    return lines.unionByName(_rows(dates, "date", F.unix_date("order_date"), "n"))
 
 
 def _rows(df: DataFrame, kind: str, key, n: str, qty: str | None = None, value: str | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def _rows(df: DataFrame, kind: str, key, n: str, qty: str | None = None, value:
     return df.select(
         F.col("customer_id").cast("long"), F.lit(kind).alias("kind"), key.cast("long").alias("key"), F.col(n).cast("long").alias("n"),
         F.coalesce(F.col(qty) if qty else zero, zero).cast("long").alias("qty"),
-        F.coalesce(F.col(value) if value else zero, zero).cast("decimal(38,2)").alias("value"))
+        F.coalesce(F.col(value) if value else zero, zero).cast(LINE_MONEY).alias("value"))
 
 
 class CustomerCounters:
@@ -79,16 +83,29 @@ class CustomerCounters:
     @classmethod
     def create(cls, store: Store, root: str, parts: int, line_scope: str = "all") -> CustomerCounters:
         out = cls(store.spark, root, parts, line_scope)
-        out._write(_summed(counter_rows(store, line_scope)))
+        rows, hot = by_heat(counter_rows(store, line_scope), "customer_id")
+        if hot is not None:  # summed up by all tasks before few write them
+            rows = rows.unionByName(_summed(hot))
+        out._write(rows)
         return out
 
     def _placed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(PART, part_of("customer_id", self.parts))
 
-    def _write(self, df: DataFrame) -> None:
-        writer = F.pmod(F.xxhash64("key"), F.lit(WRITERS_PER_PART))
-        (self._placed(df).repartition(self.parts * WRITERS_PER_PART, PART, writer).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.root))
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        """The sums of ``rows`` where they are written. Rows are shuffled once: the tasks that write
+        them sum them up, each for one folder."""
+        writer = F.pmod(F.xxhash64("key"), F.lit(WRITERS_PER_PART)).cast("int")
+        placed = self._placed(rows).withColumn(TASK, F.col(PART) * WRITERS_PER_PART + writer) \
+            .repartitionById(self.parts * WRITERS_PER_PART, F.col(TASK))
+        return _summed(placed, PART, TASK).where(F.col("n") != 0).drop(TASK)
+
+    def _write(self, rows: DataFrame) -> None:
+        """The sums of ``rows`` in the place of the folders they lie in. Spark replaces folders when
+        all tasks are done, so ``rows`` may be read from them."""
+        with shuffles_freed(self.spark):
+            (self._laid_out(rows).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.root))
 
     def rows(self, parts: list[int] | None = None) -> DataFrame:
         df = self.spark.read.schema(f"{SCHEMA}, {PART} INT").parquet(self.root)
@@ -101,10 +118,9 @@ class CustomerCounters:
 
     def deltas(self, before: Store, after: Store, order_ids: DataFrame) -> DataFrame:
         """Signed counters of the touched orders: after the change, less before it."""
-        ids = order_ids.select("order_id").distinct()
+        ids = kept(order_ids.select("order_id").distinct())
         new, old = (counter_rows(s, self.line_scope, ids) for s in (after, before))
-        minus = old.select(*KEY, *[(-F.col(c)).cast(t).alias(c) for c, t in
-                                   (("n", "long"), ("qty", "long"), ("value", "decimal(38,2)"))])
+        minus = old.select(*KEY, *[(-F.col(c)).alias(c) for c in ("n", "qty", "value")])
         changed = (F.col("n") != 0) | (F.col("qty") != 0) | (F.col("value") != 0)
         return _summed(new.unionByName(minus)).where(changed)
 
@@ -123,20 +139,38 @@ class CustomerCounters:
         if not parts:
             return []
         # computed before the files it is read from are replaced
-        fresh = kept(_summed(self.rows(parts).unionByName(deltas)).where(F.col("n") != 0))
-        moves = None
-        if spend is not None:
-            who = deltas.select("customer_id").distinct()
-            moves = self.totals(lookup(fresh, who, "customer_id")).select("value", F.lit(1).alias("n")).unionByName(
-                self.totals(lookup(self.rows(parts), who, "customer_id")).select("value", F.lit(-1).alias("n")))
-            moves = kept(moves)
-        self._write(fresh)
-        for p in set(parts) - set(self.touched(fresh)):  # its last row went: no file replaced the old one
-            delete_folder(self.spark, f"{self.root}/{PART}={p}")
+        moves = None if spend is None else kept(self._moves(parts, deltas))
+        files = self._files(parts)
+        self._write(self.rows(parts).unionByName(deltas))
+        for folder in {os.path.dirname(f) for f in files & self._files(parts)}:
+            delete_folder(self.spark, folder)  # its last row went: no file replaced the old one
         if spend is not None:
             spend.apply(moves)
         return parts
 
+    def _files(self, parts: list[int]) -> set[str]:
+        """The files in ``parts``: at most one per task that writes a folder."""
+        names = {f"{PART}={p}" for p in parts}
+        return {f for f in self.rows().inputFiles() if os.path.basename(os.path.dirname(f)) in names}
+
+    def _moves(self, parts: list[int], deltas: DataFrame) -> DataFrame:
+        """Signed counts of the totals that the customers of ``deltas`` leave and reach. A customer
+        has a total while they have orders, and each counts for its date."""
+        def sums(df: DataFrame, changed: bool) -> DataFrame:
+            orders = F.when(F.col("kind") == "date", F.col("n")).otherwise(F.lit(0))
+            return df.select("customer_id", "value", orders.alias("orders"), F.lit(changed).alias("changed"))
+        was = ~F.col("changed")
+        per = sums(self.rows(parts), False).unionByName(sums(deltas, True)).groupBy("customer_id").agg(
+            F.sum(F.when(was, F.col("value"))).alias("old"), F.sum("value").alias("new"),
+            F.sum(F.when(was, F.col("orders"))).alias("had"), F.sum("orders").alias("has"),
+            F.bool_or("changed").alias("changed")).where("changed")
+
+        def move(value: str, n: int, orders: str):
+            return F.struct(F.col(value).cast("decimal(38,2)").alias("value"), F.lit(n).alias("n"),
+                            (F.col(orders) > 0).alias("counts"))
+        return per.select(F.inline(F.array(move("old", -1, "had"), move("new", 1, "has")))) \
+            .where("counts").select("value", "n")
+
     def profile(self, store: Store, customer_ids: DataFrame | None = None,
                 spend: OrderStatistics | None = None) -> DataFrame:
         """R10 per customer or per requested id, from the counters; the spend rank (R9) is there
@@ -156,7 +190,13 @@ class CustomerCounters:
             F.sum(of("filled", "n")).alias("_orders_with_lines"))
         pairs = rows.where("kind = 'product'").select(
             "customer_id", F.col("key").alias("product_id"), F.col("n").alias("n_lines"), "qty")
-        out = base.join(stats, "customer_id", "left").join(product_stats(store, pairs), "customer_id", "left")
+        pairs, hot = by_heat(pairs, "customer_id")
+        products = product_stats(store, pairs, by_customer=True)
+        if hot is not None:
+            products = products.unionByName(product_stats(store, hot))
+        if spend is not None:
+            stats = kept(stats)  # read for the ranges, the ranks and the profile
+        out = base.join(stats, "customer_id", "left").join(products, "customer_id", "left")
         if spend is None:
             return finished_profile(out)
         out = out.withColumn("value", F.coalesce("total_spent", F.lit(0).cast("decimal(38,2)")))
